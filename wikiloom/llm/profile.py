@@ -1,13 +1,13 @@
 """One pass over a text table: a digest of each row's tokens, and a sketch of how often each key occurs.
 
-The sketch is a table of 2**SLOTS counters of two bytes, whatever the size of the corpus. It covers all rows. A key's
+The sketch is a table of 2**SLOTS counters of one byte, whatever the size of the corpus. It covers all rows. A key's
 counter is never below its number of occurrences (up to the counter's largest value), so
 
 * ordering keys by counter is an order that all tasks share (only efficiency depends on it), and
 * a key whose counter is 1 occurs in one row only and can be left out of any join on keys.
 
 Each task adds up its own rows; the partial tables are merged by chunk on the executors and only the merged table,
-8 MB, comes to the driver to be broadcast.
+16 MB, comes to the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -22,34 +22,47 @@ from pyspark.sql import DataFrame, functions as F
 from wikiloom.durable import durable
 from wikiloom.llm.tokens import Tokens, slices
 
-SLOTS = 22
-CHUNK = 1 << 14
-_TOP = np.uint16(65535)
+SLOTS = 24
+CHUNK = 1 << 16
+TOP = 255
 
 
 def slot(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
-def _pack(table: np.ndarray, name: list[str]):
+def add(table: np.ndarray, slots: np.ndarray) -> None:
+    """Add occurrences to counters that stop at TOP."""
+    u, n = np.unique(slots, return_counts=True)
+    table[u] = np.minimum(table[u].astype(np.int64) + n, TOP)
+
+
+def pack(table: np.ndarray):
     codec = pa.Codec("zstd")
     for at in range(0, len(table), CHUNK):
         part = table[at : at + CHUNK]
         if part.any():
-            yield at // CHUNK, codec.compress(part.astype(np.uint16).tobytes(), asbytes=True)
+            yield at // CHUNK, codec.compress(part.tobytes(), asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, CHUNK, asbytes=True), np.uint8)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(blob, CHUNK * 2, asbytes=True), np.uint16)
+def list_length(counters: np.ndarray, part: float) -> float:
+    """The mean counter over the rarest part of all occurrences."""
+    mass = np.bincount(counters, minlength=TOP + 1) * np.arange(TOP + 1)
+    below = np.minimum(np.cumsum(mass), part * mass.sum())
+    share = np.diff(below, prepend=0.0)
+    return float((share * np.arange(TOP + 1)).sum() / max(share.sum(), 1.0))
 
 
 @dataclass
 class Profile:
-    """rows: id, side, d1, d2, n (tokens) of each row that counts; counters: the broadcast sketch; mean: the mean counter over all occurrences."""
+    """rows: id, side, d1, d2, n (tokens) of each row that counts; counters: the broadcast sketch."""
 
     rows: DataFrame
     counters: object
-    mean: float
 
 
 def profile(df: DataFrame, keys: Callable[[Tokens], np.ndarray], min_tokens: int) -> Profile:
@@ -58,26 +71,20 @@ def profile(df: DataFrame, keys: Callable[[Tokens], np.ndarray], min_tokens: int
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
-        table, waiting, held = np.zeros(1 << SLOTS, np.int64), [], 0
+        table = np.zeros(1 << SLOTS, np.uint8)
         for b in slices(batches):
             t = Tokens(b.column(2))
             enough = np.flatnonzero(t.count >= min_tokens)
             if not len(enough):
                 continue
             d1, d2 = t.digest()
-            waiting.append(slot(keys(t)).astype(np.int32))
-            held += len(waiting[-1])
-            if held > 8_000_000:
-                table += np.bincount(np.concatenate(waiting), minlength=1 << SLOTS)
-                waiting, held = [], 0
+            add(table, slot(keys(t)))
             at, m = pa.array(enough), len(enough)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), pa.array(d1[enough].view(np.int64)), pa.array(d2[enough].view(np.int64)), pa.array(t.count[enough].astype(np.int32)), pa.nulls(m, types[5]), pa.nulls(m, types[6])],
                 names=names,
             )
-        if held:
-            table += np.bincount(np.concatenate(waiting), minlength=1 << SLOTS)
-        packed = list(_pack(np.minimum(table, _TOP), names))
+        packed = list(pack(table))
         if packed:
             m = len(packed)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(m, x) for x in types[:5]), pa.array([c for c, _ in packed], types[5]), pa.array([x for _, x in packed], types[6])], names=names)
@@ -87,16 +94,14 @@ def profile(df: DataFrame, keys: Callable[[Tokens], np.ndarray], min_tokens: int
     def merge(t: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for blob in t.column("counts"):
-            total += _unpack(blob.as_py())
-        packed = list(_pack(np.minimum(total, _TOP), names))
+            total += unpack(blob.as_py())
+        packed = list(pack(np.minimum(total, TOP).astype(np.uint8)))
         return pa.table({"chunk": t.column("chunk").slice(0, len(packed)), "counts": pa.array([x for _, x in packed], pa.binary())})
 
-    counters = np.zeros(1 << SLOTS, np.uint16)
+    counters = np.zeros(1 << SLOTS, np.uint8)
     for row in out.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").collect():
-        counters[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _unpack(bytes(row.counts))
-    c = counters.astype(np.float64)
-    mean = float((c * c).sum() / c.sum()) if c.any() else 0.0
-    return Profile(out.where("chunk is null").select("id", "side", "d1", "d2", "n"), df.sparkSession.sparkContext.broadcast(counters), mean)
+        counters[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = unpack(bytes(row.counts))
+    return Profile(out.where("chunk is null").select("id", "side", "d1", "d2", "n"), df.sparkSession.sparkContext.broadcast(counters))
 
 
 def copies(rows: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ Records are the sets of their distinct runs of `k` tokens; two are linked if the
    * Large sets put their first n - c + 1 runs into inverted lists, which are scanned.
    * Small sets that may have a large partner are in the inverted lists too, for the large ones only.
    The boundary is the largest size at which enumerating costs no more than scanning: C(n - c + 2, 2) keys against
-   (n - c + 1) keys times the mean length of an inverted list, as the sketch tells it.
-4. Equal keys meet in a join. A posting carries the record's size, the run's position and 128 parity bits of the
-   record's set; size, position and parity bound the overlap, so that nearly only true pairs leave the join.
+   (n - c + 1) keys times the mean length of an inverted list of such runs, as the sketch tells it.
+4. Equal keys meet in a join. A posting carries the record's size, the run's position and 96 parity bits of the
+   record's set, four integers in all; size, position and parity bound the overlap, so that nearly only true pairs leave
+   the join. Runs that occur once are not posted.
 5. Pairs are verified on the records' whole texts.
 
 Frequent keys are late in the order and hardly ever among a record's first; a key that is hot all the same is split
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable, small
-from wikiloom.llm.profile import Profile, copies, profile, slot
+from wikiloom.llm.profile import Profile, copies, list_length, profile, slot
 from wikiloom.llm.tokens import Tokens, distinct, mix, parity, positions, slices
 
 _EPS = 1e-9
@@ -74,17 +75,19 @@ def need(threshold: float, a: str, b: str) -> str:
     return f"ceil({threshold / (1 + threshold)!r}D * ({a} + {b}) - 1e-9D)"
 
 
-def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray, bits) -> pa.RecordBatch:
-    ids = batch.column(0).take(pa.array(row))
-    sides = batch.column(1).take(pa.array(row))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), ids, sides, pa.array(kind.astype(np.int8)), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(bits[0][row]), pa.array(bits[1][row])],
-        names=POSTING,
-    )
+SCALE = (1 << 14) - 1  # the largest size and position that a posting holds; beyond it they bound nothing
+
+POSTING = ["key", "id", "b", "m"]
+POSTING_SCHEMA = "key long, id long, b long, m long"
 
 
-POSTING = ["key", "id", "side", "kind", "n", "pos", "b1", "b2"]
-POSTING_SCHEMA = "key long, id long, side string, kind byte, n int, pos int, b1 long, b2 long"
+def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray, bits) -> pa.RecordBatch:
+    """Postings; m holds 32 parity bits, then 14 bits of size, 14 of position plus 1, 2 of kind, 1 of side (train), 1 unused."""
+    ids = batch.column(0).take(pa.array(row))
+    train = np.fromiter((x == "train" for x in batch.column(1).to_pylist()), bool, batch.num_rows)
+    low = (np.minimum(size[row], SCALE) << 18) | (np.minimum(pos + 1, SCALE) << 4) | (kind.astype(np.int64) << 2) | (train[row].astype(np.int64) << 1)
+    m = (bits[1][row].astype(np.int64) << 32) | low
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(bits[0][row]), pa.array(m)], names=POSTING)
 
 
 def postings(df: DataFrame, prof: Profile, k: int, threshold: float, min_tokens: int, limit: int) -> DataFrame:
@@ -130,16 +133,20 @@ def postings(df: DataFrame, prof: Profile, k: int, threshold: float, min_tokens:
     return df.mapInArrow(run, POSTING_SCHEMA)
 
 
-def candidates(post: DataFrame, threshold: float, cross: bool) -> DataFrame:
+def candidates(post: DataFrame, threshold: float, cross: bool = False) -> DataFrame:
     """Distinct a, b (a < b) whose postings allow the similarity; cross: only pairs of different sides."""
     post = post.repartition("key")
-    least = need(threshold, "x.n", "y.n")
-    on = f"""x.key = y.key and x.id < y.id and (x.kind != 1 or y.kind != 1)
-        and x.n >= {threshold!r}D * y.n - 1e-9D and y.n >= {threshold!r}D * x.n - 1e-9D
-        and least(x.n - x.pos, y.n - y.pos) >= {least}
-        and bit_count(x.b1 ^ y.b1) + bit_count(x.b2 ^ y.b2) <= x.n + y.n - 2 * {least}"""
+    nx, ny = ("(shiftrightunsigned(%s.m, 18) & 16383)" % t for t in "xy")
+    px, py = ("((shiftrightunsigned(%s.m, 4) & 16383) - 1)" % t for t in "xy")
+    least = need(threshold, nx, ny)
+    on = f"""x.key = y.key and x.id < y.id and ((x.m & 12) != 4 or (y.m & 12) != 4)
+        and (({nx} < {SCALE} and {ny} < {SCALE}
+              and {nx} >= {threshold!r}D * {ny} - 1e-9D and {ny} >= {threshold!r}D * {nx} - 1e-9D
+              and least({nx} - {px}, {ny} - {py}) >= {least}
+              and bit_count(x.b ^ y.b) + bit_count(shiftrightunsigned(x.m ^ y.m, 32)) <= {nx} + {ny} - 2 * {least})
+             or greatest({nx}, {ny}) = {SCALE} and least({nx}, {ny}) >= {threshold!r}D * {SCALE} - 1)"""
     if cross:
-        on += " and x.side != y.side"
+        on += " and ((x.m ^ y.m) & 2) != 0"
     return post.alias("x").join(post.alias("y"), F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -189,7 +196,7 @@ def similar(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0
     prof = profile(docs, shingle_keys(k, least), least)
     same = copies(prof.rows)
     reps = representatives(docs, same)
-    post = postings(reps, prof, k, threshold, least, boundary(threshold, prof.mean))
+    post = postings(reps, prof, k, threshold, least, boundary(threshold, list_length(prof.counters.value, 1 - threshold)))
     found = durable(candidates(post, threshold, cross=False))
     return Linked(verify(reps, found, shingle_sets(k), threshold), same)
 

@@ -109,10 +109,11 @@ def positions(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parity(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 parity bits of each row's set as two integers. Two rows differ in no more bits than in elements."""
-    bits = np.bincount(doc * 128 + (h >> np.uint64(57)).astype(np.int64), minlength=n * 128) & 1
-    words = np.packbits(bits.astype(np.uint8).reshape(n, 128), axis=1).view(np.int64)
-    return words[:, 0].copy(), words[:, 1].copy()
+    """96 parity bits of each row's set, as an integer of 64 and one of 32. Two rows differ in no more bits than in elements."""
+    at = doc * 96 + ((h >> np.uint64(32)) * np.uint64(96) >> np.uint64(32)).astype(np.int64)
+    bits = (np.bincount(at, minlength=n * 96) & 1).astype(np.uint8).reshape(n, 96)
+    packed = np.packbits(bits, axis=1)
+    return packed[:, :8].copy().view(np.int64)[:, 0], packed[:, 8:].copy().view(np.uint32)[:, 0]
 
 
 def slices(batches, rows: int = ROWS):
