@@ -26,7 +26,9 @@ def session(app: str = "wikiloom", master: str | None = None, **conf: str) -> Sp
         b = b.master(master)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
