@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("encode_queries", "pieces_queries", "setjoin_queries", "splits_queries", "defects_queries")
+NAMES = ("encode_queries", "pieces_queries", "setjoin_queries", "splits_queries", "defects_queries", "overlap_queries", "mix_queries", "abuse_queries")
 
 
 def query_modules():

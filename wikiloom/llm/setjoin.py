@@ -201,14 +201,15 @@ def similar(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0
     return Linked(verify(reps, found, shingle_sets(k), threshold), same)
 
 
-def expanded(linked: Linked) -> DataFrame:
-    """a, b of all linked rows, copies included: members of linked classes, and of one class with each other."""
+def expanded(linked: Linked, within: bool = True) -> DataFrame:
+    """a, b of all linked rows, copies included: members of linked classes and, if asked, of one class with each other."""
     of = linked.copies.select("rep", "id")
     x = of.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
     y = of.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     across = linked.pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"))
-    within = of.alias("x").join(of.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    if within:
+        across = across.unionByName(of.alias("x").join(of.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
 def classes(df: DataFrame, key: str, linked: Linked) -> DataFrame:
