@@ -6,8 +6,8 @@ empty      no letter or digit (a written null or None counts as nothing);
 refusal    the writer speaks of itself and declines (first person or assistant, with a word of refusing);
 copy       at least COPY of its runs of three tokens stand in the passage;
 truncated  it ends in an ellipsis or its list breaks off, or it has no closing mark and its end is improbable:
-           P(end | last tokens) times, for a rare last word, P(end of word | last characters), both from n-gram counts
-           over all questions, is below END;
+           P(end | last tokens), or for a rare last word P(end of word | last characters), is below END or WORD_END; both
+           come from n-gram counts over all questions;
 language   a naive Bayes model over character trigrams gives another language a likelihood MARGIN nats above the passage's.
 
 The language model is fitted on a bounded sample (SAMPLE texts a language, chosen by hash) labelled by the wiki's
@@ -35,7 +35,7 @@ from wikiloom.llm.tokens import Tokens, distinct, mix, slices
 
 #: Order of precedence.
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
-SAMPLE, COPY, END, MARGIN = 3000, 0.5, 0.02, 4.0
+SAMPLE, COPY, END, WORD_END, MARGIN = 3000, 0.5, 0.02, 0.003, 4.0
 
 # Words of speaking of oneself, and of declining, in the four languages of the wikis.
 FIRST_PERSON = "i|i'm|im|i've|me|my|we|our|us|ich|mir|mich|mein|meine|meiner|meinen|wir|uns|je|j|moi|mon|ma|mes|nous|yo|me|mi|mis|puedo|nosotros"
@@ -47,7 +47,7 @@ DECLINING = (
 ASSISTANT = (
     r"\b(?:language model|as an ai|an ai model|by an assistant|as an assistant|content policy|my guidelines|for me to discuss|sprachmodell|ki-modell|modèle de langage|modelo de lenguaje|mes directives|mis directrices|meine richtlinien)\b"
 )
-_FIRST = re.compile(rf"(?<![\w'])(?:{FIRST_PERSON})(?!\w)")
+_FIRST = re.compile(rf"(?<![\w'])(?:(?:{FIRST_PERSON})(?!\w)|[jm]')")
 _DECLINE = re.compile(rf"(?<![\w'])(?:{DECLINING})(?!\w)|n't\b")
 _ASSISTANT = re.compile(ASSISTANT)
 _NOTHING = re.compile(r"[\W_]*(?:none|null)?[\W_]*", re.I)
@@ -150,8 +150,8 @@ def _classes(t: Tokens, counts: np.ndarray, least: int) -> np.ndarray:
     return np.where(counts[(t.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)] >= least, t.hash, np.uint64(1))
 
 
-def _contexts(t: Tokens, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the contexts of two and of three tokens that end at each token."""
+def _contexts(t: Tokens, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the contexts of one, two and three tokens that end at each token."""
     pad = np.uint64(2)
     one, two = np.full(len(c), pad), np.full(len(c), pad)
     one[1:] = np.where(t.doc[1:] == t.doc[:-1], c[:-1], pad)
@@ -159,7 +159,7 @@ def _contexts(t: Tokens, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     two_gram = mix(c + mix(one))
     three = mix(two_gram + mix(two + np.uint64(7)))
     cut = np.uint64(64 - CONTEXT_BITS)
-    return (two_gram >> cut).astype(np.int64), (three >> cut).astype(np.int64)
+    return tuple((x >> cut).astype(np.int64) for x in (mix(c + np.uint64(5)), two_gram, three))
 
 
 def _last3(word: str) -> int:
@@ -170,6 +170,7 @@ def _last3(word: str) -> int:
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_LAST = re.compile(r"([^\W\d_]+)[\W_]*$")
 
 
 def _tables(df: DataFrame, names: list[str], size: int, fill) -> dict[str, np.ndarray]:
@@ -217,7 +218,7 @@ def fit_ends(questions: DataFrame) -> dict[str, np.ndarray]:
         qs = [q.lower() if _complete(q) and not copied and not refusal(q) else None for q, copied in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         t = Tokens(pa.array(qs, pa.string()))
         c = _classes(t, count, least)
-        for name, slots in zip(("two", "three"), _contexts(t, c)):
+        for name, slots in zip(("one", "two", "three"), _contexts(t, c)):
             tables[name] += np.bincount(slots, minlength=1 << CONTEXT_BITS)
             tables[f"{name}_end"] += np.bincount(slots[t.first[1:][t.count > 0] - 1], minlength=1 << CONTEXT_BITS)
         inner, last = [], []
@@ -228,27 +229,31 @@ def fit_ends(questions: DataFrame) -> dict[str, np.ndarray]:
         tables["char"] += np.bincount(np.array(inner + last, np.int64), minlength=1 << CONTEXT_BITS)
         tables["char_end"] += np.bincount(np.array(last, np.int64), minlength=1 << CONTEXT_BITS)
 
-    second = _tables(questions.select("q", "copied"), ["two", "two_end", "three", "three_end", "char", "char_end"], 1 << CONTEXT_BITS, contexts)
+    second = _tables(questions.select("q", "copied"), ["one", "one_end", "two", "two_end", "three", "three_end", "char", "char_end"], 1 << CONTEXT_BITS, contexts)
     return {"word": count, "least": np.array([least])} | second
 
 
 def end_probability(t: Tokens, lower: list[str | None], m: dict[str, np.ndarray]) -> np.ndarray:
     """P(a question ends here) at the last token of each row."""
     c = _classes(t, m["word"], int(m["least"][0]))
-    two, three = _contexts(t, c)
+    one, two, three = _contexts(t, c)
     some = t.count > 0
     at = t.first[1:][some] - 1
-    p2 = (m["two_end"][two[at]] + 0.01) / (m["two"][two[at]] + 0.5)
+    rare_at = c[at] == np.uint64(1)
+    # A common word that was never seen in this context falls back to itself; a rare one (it may be a stump) to little.
+    p1 = np.where(rare_at, 0.02, (m["one_end"][one[at]] + 0.01) / (m["one"][one[at]] + 0.5))
+    p2 = (m["two_end"][two[at]] + p1) / (m["two"][two[at]] + 1)
     p3 = (m["three_end"][three[at]] + 2 * p2) / (m["three"][three[at]] + 2)
     out = np.ones(t.n)
     out[some] = p3
     rare = np.zeros(t.n, bool)
-    rare[some] = c[at] == np.uint64(1)
+    rare[some] = rare_at
     for i in np.flatnonzero(rare):
-        w = _WORDS.findall(lower[i] or "")
+        w = _LAST.search(lower[i] or "")
         if w:
-            s = _last3(w[-1])
-            out[i] *= (m["char_end"][s] + 0.05) / (m["char"][s] + 0.5)
+            s = _last3(w[1])
+            if (m["char_end"][s] + 0.05) / (m["char"][s] + 0.5) < WORD_END:
+                out[i] = 0.0
     return out
 
 
@@ -271,7 +276,11 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit_language(texts: DataFrame, languages: list[str], sample: int = SAMPLE) -> np.ndarray:
     """Log-probabilities [language, trigram slot] from at most `sample` texts a language of texts (lang, text)."""
     h = F.xxhash64("text")
-    rows = texts.where("text is not null").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text"))).where(F.col("_r") <= sample)
+    texts = texts.where("text is not null")
+    # About twice the sample passes a filter by hash first, so that the window gets few rows at any size.
+    n = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    rate = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, 2.0 * sample / v) * (1 << 30)))])[F.col("lang")] if n else F.lit(0)
+    rows = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < rate).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text"))).where(F.col("_r") <= sample)
     index = {x: i for i, x in enumerate(languages)}
     count = np.full((len(languages), 1 << TRIGRAM_BITS), 0.5)
     for lang, group in rows.select("lang", F.substring("text", 1, 2000).alias("text")).toPandas().groupby("lang"):
