@@ -130,3 +130,43 @@ def batches(df: DataFrame, order: list[str], size: int, by: list[str], drop_last
 def shards(df: DataFrame, order: list[str], size: int, by: list[str]) -> DataFrame:
     """Runs of `size` rows a person, numbered from 1; a last unfilled run is left out."""
     return batches(df, order, size, by, drop_last=True).withColumn("person", F.col("batch") + 1).drop("batch")
+
+
+def from_search_results(rows: DataFrame, n: int = 9, seed: int = 42) -> dict[str, DataFrame]:
+    """Relations of rows (row_id, query, passages struct<passage_text, is_selected>).
+
+    Texts are deduplicated with ids by first appearance; every query gets an id, but only those with a selected and an unselected passage
+    get triples: one for each selected passage, each with exactly n negatives of the query.
+    """
+    flat = rows.select("row_id", "query", F.posexplode(F.arrays_zip(F.col("passages.passage_text").alias("text"), F.col("passages.is_selected").alias("selected"))).alias("at", "z")).select("row_id", "query", "at", "z.text", "z.selected")
+    q = distinct_texts(rows.where("query is not null"), "query", "row_id", "qid")
+    p = distinct_texts(flat.where("text is not null").withColumn("seen", F.struct("row_id", "at")), "text", "seen", "pid")
+    ids = flat.join(q, "query").join(p, "text").select("qid", "pid", "selected").distinct()
+    good = ids.where("selected = 1").select("qid", F.col("pid").alias("pid_pos"))
+    bad = ids.where("selected = 0").select("qid", "pid").join(good.select("qid", F.col("pid_pos").alias("pid")), ["qid", "pid"], "left_anti")
+    neg = fill_negatives(bad, n, seed).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pid"))), lambda x: x["pid"]).alias("pid_neg"))
+    return {"queries": q, "passages": p, "triples": good.join(neg, "qid")}
+
+
+def human_pairs(blueprints: DataFrame, most: int = 35) -> DataFrame:
+    """annotator, pid, side, k, question of annotated blueprints (annotator, pid, pos_query, neg_query): placeholders are left out, and of
+    each annotator all rows after the first `most`."""
+    w = Window.partitionBy("annotator").orderBy("pid")
+    holder = F.array(F.lit("..."), F.lit("..."), F.lit("..."))
+    none = F.array().cast("array<string>")
+    rows = blueprints.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    sides = [rows.select("annotator", "pid", F.lit(s).alias("side"), F.posexplode(F.when(F.col(c).isNull() | (F.col(c) == holder), none).otherwise(F.col(c))).alias("k", "question")) for s, c in (("positive", "pos_query"), ("negative", "neg_query"))]
+    return sides[0].unionByName(sides[1]).where(F.col("question").isNotNull() & (F.trim("question") != "") & (F.col("question") != "..."))
+
+
+def legacy_pairs(pages: DataFrame) -> DataFrame:
+    """id, j, question, passage, qid_neg (-1) of legacy pages (id, ord, text array<struct<questions, passage>>), the first page of each id."""
+    first = first_wins(pages, ["id"], [F.col("ord")])
+    rows = first.select("id", F.posexplode("text").alias("j", "t"))
+    return rows.select("id", "j", F.explode("t.questions").alias("question"), F.col("t.passage").alias("passage"), F.lit(-1).cast("long").alias("qid_neg"))
+
+
+def best_answer(scores: DataFrame) -> DataFrame:
+    """qid, pid, answer, score: the best-scored answer of each question over all passages (smaller pid on ties)."""
+    best = F.max_by(F.struct("pid", "answer", "score"), F.struct("score", -F.col("pid")))
+    return scores.groupBy("qid").agg(best.alias("b")).select("qid", "b.*")

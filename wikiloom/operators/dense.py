@@ -10,7 +10,9 @@ at most BLOCK token vectors to all tasks, so what is broadcast is bounded; each
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +25,38 @@ BLOCK = 8192
 HASHED_DIM = 32
 
 
-def hashed(terms: str = "terms", dim: int = HASHED_DIM):
-    """A deterministic stand-in for a neural encoder: each term's vector is read off its md5 digest, length one."""
-    # Single-element arrays name a value once, so that digest, vector and length are computed once a term.
-    raw = f"transform(sequence(1, {dim}), i -> instr('0123456789abcdef', substr(m, i, 1)) - 8.5D)"
-    unit = "transform(array(sqrt(aggregate(v, 0D, (s, y) -> s + y * y))), n -> transform(v, x -> cast(x / n as float)))[0]"
-    return F.expr(f"transform({terms}, t -> transform(transform(array(md5(cast(t as binary))), m -> {raw}), v -> {unit})[0])")
+@lru_cache(maxsize=200_000)
+def hashed_vector(term: str) -> np.ndarray:
+    """A term's vector: the 32 digits of its md5 digest, centred, of length one."""
+    d = np.frombuffer(hashlib.md5(term.encode()).digest(), np.uint8)
+    v = np.stack([d >> 4, d & 15], axis=1).reshape(-1) - 7.5
+    return (v / np.sqrt((v * v).sum())).astype(np.float32)
+
+
+def _encode(df: DataFrame, key: str, most: int) -> DataFrame:
+    """A deterministic stand-in for a neural encoder: one vector a term, at most `most` (the encoder's length)."""
+
+    def run(batches):
+        for b in batches:
+            terms = b.column(2)
+            flat = terms.flatten().to_pylist()
+            values = np.concatenate([hashed_vector(t) for t in flat]) if flat else np.zeros(0, np.float32)
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * HASHED_DIM), pa.array(values))
+            sizes = np.array([len(x) for x in terms], np.int32)
+            outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), outer], names=["scope", key, "emb"])
+
+    rows = df.select("scope", key, F.slice(X.terms("text"), 1, most).alias("terms")).where(F.size("terms") > 0)
+    return rows.mapInArrow(run, f"scope string, {key} long, emb array<array<float>>")
 
 
 def encode_documents(docs: DataFrame, most: int = 220) -> DataFrame:
-    """scope, pid, emb of docs (scope, pid, text): one vector per term, at most `most` (the encoder's length)."""
-    return docs.select("scope", "pid", F.slice(X.terms("text"), 1, most).alias("terms")).where(F.size("terms") > 0).select("scope", "pid", hashed().alias("emb"))
+    """scope, pid, emb of docs (scope, pid, text). Null and wordless texts have no row."""
+    return _encode(docs, "pid", most)
 
 
 def encode_queries(queries: DataFrame, most: int = 32) -> DataFrame:
-    return queries.select("scope", "qid", F.slice(X.terms("text"), 1, most).alias("terms")).where(F.size("terms") > 0).select("scope", "qid", hashed().alias("emb"))
+    return _encode(queries, "qid", most)
 
 
 def grouped(tokens: DataFrame, key: str, order: str = "pos", emb: str = "emb") -> DataFrame:
@@ -50,6 +69,16 @@ def _matrix(value) -> np.ndarray:
     return np.array(value, np.float64)
 
 
+def _matrices(column: pa.Array) -> list[np.ndarray]:
+    """The matrices of a column of lists of vectors, without a Python object per number."""
+    rows = column.flatten()
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    dim = len(values) // max(len(rows), 1)
+    ends = np.cumsum([len(x) for x in column])
+    m = values.reshape(len(rows), dim)
+    return [m[e - len(x) : e] for x, e in zip(column, ends)]
+
+
 def similarities(q: np.ndarray, d: np.ndarray, similarity: str) -> np.ndarray:
     """[query token, document token]."""
     dots = q @ d.T
@@ -64,7 +93,7 @@ def score_pairs(pairs: DataFrame, index: DataFrame, queries: DataFrame, similari
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            s = [float(similarities(_matrix(q), _matrix(d), similarity).max(axis=1).mean()) for q, d in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            s = [float(similarities(q, d, similarity).max(axis=1).mean()) for q, d in zip(_matrices(b.column(3)), _matrices(b.column(4)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.round(np.array(s), 6), pa.float64())], names=["scope", "qid", "pid", "score"])
 
     return joined.select("scope", "qid", "pid", "q", "d").mapInArrow(run, "scope string, qid long, pid long, score double")
@@ -96,10 +125,10 @@ def exhaustive(index: DataFrame, queries: DataFrame, k: int | None = None, simil
             for b in batches:
                 scopes, pids = b.column(0).to_pylist(), b.column(1).to_pylist()
                 found: dict[tuple, list] = {}
-                for scope, pid, emb in zip(scopes, pids, b.column(2).to_pylist()):
+                for scope, pid, emb in zip(scopes, pids, _matrices(b.column(2))):
                     if scope not in block:
                         continue
-                    d = _matrix(emb)
+                    d = emb
                     qs = block[scope]
                     best = similarities(np.concatenate([q for _, q in qs]), d, similarity).max(axis=1)
                     at = 0
@@ -126,8 +155,8 @@ def token_topk(index: DataFrame, queries: DataFrame, k: int, similarity: str = "
             for b in batches:
                 rows = []
                 by: dict[str, list] = {}
-                for scope, pid, emb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    by.setdefault(scope, []).append((pid, _matrix(emb)))
+                for scope, pid, emb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _matrices(b.column(2))):
+                    by.setdefault(scope, []).append((pid, emb))
                 for scope, docs in by.items():
                     if scope not in block:
                         continue
@@ -215,8 +244,8 @@ def token_explain(pairs: DataFrame, index: DataFrame, queries: DataFrame, k: int
     def run(batches):
         for b in batches:
             rows = []
-            for scope, qid, pid, q, d in zip(*(c.to_pylist() for c in b.columns)):
-                s = np.round(similarities(_matrix(q), _matrix(d), similarity), 6)
+            for scope, qid, pid, q, d in zip(*(c.to_pylist() for c in b.columns[:3]), _matrices(b.column(3)), _matrices(b.column(4))):
+                s = np.round(similarities(q, d, similarity), 6)
                 for i in range(len(s)):
                     for r, j in enumerate(np.lexsort((np.arange(s.shape[1]), -s[i]))[:k]):
                         rows.append((scope, qid, pid, i, int(j), float(s[i, j]), r + 1))

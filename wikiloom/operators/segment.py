@@ -73,30 +73,26 @@ _HEAD = re.compile(r"^\[[^\]]*\] ")
 def passages_of(paragraph: str, most: int, least: int) -> list[str]:
     """What split_paragraphs() computes, for one string."""
     out: list[str] = []
-    cur: list[str] = []
-    for s in (x.strip() for x in _SENTENCE.findall(paragraph)):
-        ws = s.split()
-        if not ws:
-            continue
-        if len(cur) + len(ws) <= most:
-            cur += ws
-        elif len(ws) > most:
-            if cur:
-                out.append(" ".join(cur))
-            size = math.ceil(len(ws) / math.ceil(len(ws) / most))
-            out += [" ".join(ws[i : i + size]) for i in range(0, len(ws), size)]
-            cur = []
-        elif 2 * (most - len(cur)) >= len(ws):
-            out.append(" ".join(cur + ws))
-            cur = []
+    cur, n = "", 0
+    for x in filter(None, (y.strip(" ") for y in _SENTENCE.findall(paragraph))):
+        ws = x.split()
+        if n + len(ws) <= most:
+            cur, n = f"{cur}{x} ", n + len(ws)
+        elif len(ws) > most or 2 * (most - n) < len(ws):
+            if cur.strip(" "):
+                out.append(cur.strip(" "))
+            cur, n = ("", 0) if len(ws) > most else (f"{x} ", len(ws))
+            if len(ws) > most:
+                size = math.ceil(len(ws) / math.ceil(len(ws) / most))
+                out += [" ".join(ws[i : i + size]) for i in range(0, len(ws), size)]
         else:
-            if cur:
-                out.append(" ".join(cur))
-            cur = ws
-    if cur and len(cur) < least and out:
-        out[-1] += " " + " ".join(cur)
-    elif cur:
-        out.append(" ".join(cur))
+            out.append(f"{cur}{x}".strip(" "))
+            cur, n = "", 0
+    if cur.strip(" "):
+        if n < least and out:
+            out[-1] += " " + cur.strip(" ")
+        else:
+            out.append(cur.strip(" "))
     return out
 
 
@@ -146,3 +142,26 @@ def segment_pages(pages: DataFrame, key: str, text: str, limits: Limits = Limits
     rows = pages.where(F.col(text).isNotNull() & page_filter(text, limits.page)).select(key, text)
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"`{key}` {kind}, j int, passage string")
+
+
+def legacy_page_filter(text: Column | str) -> Column:
+    """Pages with text and without escaped markup."""
+    return (X.col(text) != "") & ~F.contains(X.col(text), F.lit("&lt"))
+
+
+def heading_body(pages: DataFrame, key: str, title: str, text: str, most: int = 30) -> DataFrame:
+    """key, j, passage of pages whose lines are headings (under `most` characters) and bodies by turns: title, heading and body."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = pages.select(key, title, lines.alias("_l")).select(key, title, F.posexplode("_l").alias("j", "_body"), F.col("_l"))
+    before = F.get("_l", F.col("j") - 1)
+    return rows.where((F.col("j") > 0) & (F.char_length(before) < most) & (F.char_length("_body") >= most)).select(key, "j", F.concat_ws(" ", title, F.rtrim(before, F.lit(".")), "_body").alias("passage"))
+
+
+def html_text(html: Column | str) -> Column:
+    """Readable text of HTML: scripts, styles, comments and tags go, block ends become line ends, common entities are resolved."""
+    t = F.regexp_replace(X.col(html), r"(?is)<(script|style)\b[^>]*>.*?(</\1\s*>|$)|<!--.*?(-->|$)", " ")
+    t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
+    t = F.regexp_replace(t, r"<[^>]*>", " ")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"))
