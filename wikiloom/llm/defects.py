@@ -338,7 +338,8 @@ def defects(cells: DataFrame, queries: DataFrame, asked: DataFrame, passages: Da
     copied = copiers(asked.distinct().join(queries.where("q is not null").select("id", "q"), "id"), passages.select("pid", "passage").where("passage is not null").distinct())
     rows = queries.join(copied.withColumn("copied", F.lit(True)), "id", "left").select("tab", "id", "side", "wiki", "q", F.coalesce("copied", F.lit(False)).alias("copied"), F.lit(False).alias("broke"))
     rows = durable(rows.unionByName(of))
-    lang = F.coalesce(F.create_map(*[F.lit(x) for kv in languages.items() for x in kv])[F.col("wiki")], F.lit(default)).alias("lang")
+    known = F.create_map(*[F.lit(x) for kv in languages.items() for x in kv])[F.col("wiki")] if languages else F.lit(None)
+    lang = F.coalesce(known, F.lit(default)).alias("lang")
     texts = passages.select(lang, F.col("passage").alias("text")).unionByName(rows.where("not copied").select(lang, F.col("q").alias("text")))
     log_p = fit_language(texts, sorted({*languages.values(), default}))
     return classify(rows, languages, default, log_p, fit_ends(rows))
