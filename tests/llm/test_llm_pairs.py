@@ -129,3 +129,13 @@ def test_related_and_deal(spark):
     assert SP.deal(many.limit(0)).count() == 0
     splits = spark.createDataFrame([(1, "train"), (2, "val"), (4, "train"), (3, "test"), (5, "test"), (6, None)], "id long, split string")
     assert sorted(r.id for r in SP.broken(SP.related(rows, named), splits).collect()) == [1, 2, 4]
+
+
+def test_hot_lists_in_blocks(spark, monkeypatch):
+    from wikiloom.llm import profile as P
+
+    monkeypatch.setattr(S, "TOP", 2)
+    monkeypatch.setattr(S, "boundary", lambda *a: 0)
+    rows = corpus(120, 21)
+    df = spark.createDataFrame(rows, "pid long, passage string")
+    assert P.TOP == 255 and {tuple(r) for r in S.expanded(S.similar(df, "pid", "passage", 3, 0.6, 5)).collect()} == brute(rows, 3, 0.6, 5)

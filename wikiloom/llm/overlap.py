@@ -7,8 +7,8 @@ fractions(): the sum of the lengths of the chunks that the other side has too, a
 
 found(): pairs of records across the sides whose sets (of runs of `k` tokens, or of tokens) have a Jaccard similarity
 of at least `threshold`. Two such records share chunks that make up at least the fraction `part` of either: only the
-rarest chunks, up to 1 - part of a record's tokens, need to meet. A posting carries the bounds of setjoin.py (sizes and parity bits), so that
-nearly only true pairs leave the join; they are verified on whole texts.
+rarest chunks, up to 1 - part of a record's tokens, need to meet. A posting carries the bounds of setjoin.py (sizes and
+parity bits), so that nearly only true pairs leave the join; they are verified on whole texts.
 
 * Records of tokens are their sorted distinct tokens, cut at every token; then the first n - ceil(threshold * n) + 1 are
   enough, and the join is exact.
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable, small
 from wikiloom.llm import setjoin as S
-from wikiloom.llm.profile import Profile, copies, profile, slot
+from wikiloom.llm.profile import TOP, Profile, copies, profile, slot
 from wikiloom.llm.tokens import Tokens, distinct, mix, parity, runs, slices
 
-CUT, SHORT, PART, REACH = 2, 40, 0.3, 1
+CUT, SHORT, PART, REACH = 2, 40, 0.25, 2
 
 
 def chunks(t: Tokens, cut: int, reach: int = 0, window: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,11 +89,11 @@ def postings(df: DataFrame, prof: Profile, k: int, threshold: float, least: int,
             before = total - np.maximum.accumulate(np.where(first, total, 0))
             limit = allowed[row] if tokens else (1 - part) * t.count[row]
             keep = ok[row] & (freq > 1) & (before < limit - (1e-9 if tokens else -1e-9))
-            row, key = row[keep], key[keep]
+            row, key, freq = row[keep], key[keep], freq[keep]
             once = np.ones(len(key), bool)
             once[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-            row, key = row[once], key[once]
-            yield S.emit(b, row, key, np.zeros(len(key)), np.full(len(key), -1), size, bits)
+            row, key, freq = row[once], key[once], freq[once]
+            yield S.emit(b, row, key, np.zeros(len(key)), np.full(len(key), -1), size, bits, freq == TOP)
 
     return df.mapInArrow(run, S.POSTING_SCHEMA)
 

@@ -11,15 +11,17 @@ Records are the sets of their distinct runs of `k` tokens; two are linked if the
      so its lists stay short even where single runs are frequent.
    * Large sets put their first n - c + 1 runs into inverted lists, which are scanned.
    * Small sets that may have a large partner are in the inverted lists too, for the large ones only.
-   The boundary is the largest size at which enumerating costs no more than scanning: C(n - c + 2, 2) keys against
-   (n - c + 1) keys times the mean length of an inverted list of such runs, as the sketch tells it.
+   The boundary is the largest size at which enumerating costs no more than scanning: C(n - c + 2, 2) postings against
+   n - c + 1 postings and the entries of their inverted lists, whose mean length for such runs the sketch tells; to scan an
+   entry costs SCAN of what it costs to make, send and sort a posting.
 4. Equal keys meet in a join. A posting carries the record's size, the run's position and 96 parity bits of the
    record's set, four integers in all; size, position and parity bound the overlap, so that nearly only true pairs leave
    the join. Runs that occur once are not posted.
 5. Pairs are verified on the records' whole texts.
 
-Frequent keys are late in the order and hardly ever among a record's first; a key that is hot all the same is split
-by the adaptive skew join. Nothing is cut off, and no group is collected.
+Frequent runs are late in the order and hardly ever among a record's first. The list of one that is there all the same
+(its counter is full) is cut into BLOCKS parts by a hash of the ids, and every two parts meet under a key of their own,
+so no task scans a whole hot list against itself. Nothing is cut off, and no group is collected.
 
 Defined results: null, blank and short records (under min_tokens tokens) have no links. Repeated rows count once. An
 id that stands for several texts takes part with each. An empty table gives no rows.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable, small
-from wikiloom.llm.profile import Profile, copies, list_length, profile, slot
+from wikiloom.llm.profile import TOP, Profile, copies, list_length, profile, slot
 from wikiloom.llm.tokens import Tokens, distinct, mix, parity, positions, slices
 
 _EPS = 1e-9
@@ -58,12 +60,15 @@ def shingle_keys(k: int, min_tokens: int):
     return keys
 
 
+SCAN, BLOCKS = 0.1, 8
+
+
 def boundary(threshold: float, mean_list: float, most: int = 200) -> int:
     """The largest set size at which enumerating subsets of two costs no more than scanning inverted lists."""
     best = 0
     for n in range(1, most):
         p = n - math.ceil(threshold * n - _EPS)
-        if (p + 2) * (p + 1) / 2 <= (p + 1) * (1 + mean_list):
+        if (p + 2) * (p + 1) / 2 <= (p + 1) * (1 + SCAN * mean_list):
             best = n
         else:
             break
@@ -81,8 +86,21 @@ POSTING = ["key", "id", "b", "m"]
 POSTING_SCHEMA = "key long, id long, b long, m long"
 
 
-def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray, bits) -> pa.RecordBatch:
-    """Postings; m holds 32 parity bits, then 14 bits of size, 14 of position plus 1, 2 of kind, 1 of side (train), 1 unused."""
+def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray, bits, hot: np.ndarray | None = None) -> pa.RecordBatch:
+    """Postings; m holds 32 parity bits, then 14 bits of size, 14 of position plus 1, 2 of kind, 1 of side (train), 1 unused.
+
+    hot: postings of lists that are cut into blocks; each goes to the keys of its own block with every block.
+    """
+    if hot is not None and hot.any():
+        block = (mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(BLOCKS))[row]
+        rows, keys, kinds, places = [row[~hot]], [key[~hot]], [kind[~hot]], [pos[~hot]]
+        for other in range(BLOCKS):
+            b, o = block[hot], np.uint64(other)
+            rows.append(row[hot])
+            keys.append(mix(key[hot] + mix(np.minimum(b, o) * np.uint64(BLOCKS) + np.maximum(b, o) + np.uint64(1))))
+            kinds.append(kind[hot])
+            places.append(pos[hot])
+        row, key, kind, pos = map(np.concatenate, (rows, keys, kinds, places))
     ids = batch.column(0).take(pa.array(row))
     train = np.fromiter((x == "train" for x in batch.column(1).to_pylist()), bool, batch.num_rows)
     low = (np.minimum(size[row], SCALE) << 18) | (np.minimum(pos + 1, SCALE) << 4) | (kind.astype(np.int64) << 2) | (train[row].astype(np.int64) << 1)
@@ -113,7 +131,7 @@ def postings(df: DataFrame, prof: Profile, k: int, threshold: float, min_tokens:
             light = (size <= limit) & (size - spare >= 2)  # a set that must share one run only has no subset to share
             # A run with counter 1 is in this record only.
             once = (pos <= spare[doc]) & (freq > 1) & (~light | (size / threshold >= limit) | (size <= 2 / threshold**2))[doc]
-            yield emit(b, doc[once], h[once], light[doc[once]], pos[once], size, bits)
+            yield emit(b, doc[once], h[once], light[doc[once]], pos[once], size, bits, freq[once] == TOP)
             in2 = (pos <= spare[doc] + 1) & light[doc]
             d2, h2, p2 = doc[in2], h[in2], pos[in2]
             first, second = [], []
@@ -135,7 +153,6 @@ def postings(df: DataFrame, prof: Profile, k: int, threshold: float, min_tokens:
 
 def candidates(post: DataFrame, threshold: float, cross: bool = False) -> DataFrame:
     """Distinct a, b (a < b) whose postings allow the similarity; cross: only pairs of different sides."""
-    post = post.repartition("key")
     nx, ny = ("(shiftrightunsigned(%s.m, 18) & 16383)" % t for t in "xy")
     px, py = ("((shiftrightunsigned(%s.m, 4) & 16383) - 1)" % t for t in "xy")
     least = need(threshold, nx, ny)
