@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.durable import durable
 from wikiloom.llm import overlap as O
+from wikiloom.llm.setjoin_queries import pairs_sql, shingle_sql
 from wikiloom.session import table
 
 
@@ -30,4 +31,13 @@ def p2_fractions(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_fractions)}
-ORACLE: dict[str, str] = {}
+_SIDE = "CASE WHEN split = 'train' THEN 't' WHEN split IN ('val', 'test') THEN 'e' END AS side"
+_PASSAGES = shingle_sql(3, 12, f"SELECT DISTINCT pid AS id, {_SIDE}, passage AS text FROM passages WHERE split IN ('train', 'val', 'test')")
+_QUERIES = f"""
+sh AS (SELECT DISTINCT id, side, unnest(w) AS g FROM (SELECT DISTINCT qid AS id, {_SIDE}, list_distinct(regexp_extract_all(lower(query), '[\\pL\\pN]+')) AS w FROM queries WHERE split IN ('train', 'val', 'test') AND query IS NOT NULL) WHERE len(w) >= 5),
+sz AS (SELECT id, side, count(*) AS n FROM sh GROUP BY ALL)"""
+
+ORACLE = {
+    "p2_found": f"""SELECT 'passages' AS tab, a AS id_a, b AS id_b FROM (WITH {_PASSAGES}, {pairs_sql(0.6, "a.side <> b.side")} SELECT a, b FROM ok)
+UNION ALL SELECT 'queries', a, b FROM (WITH {_QUERIES}, {pairs_sql(0.8, "a.side <> b.side")} SELECT a, b FROM ok)"""
+}

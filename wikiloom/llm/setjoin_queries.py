@@ -40,4 +40,28 @@ def p1_five_words(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p1_five_words)}
-ORACLE: dict[str, str] = {}
+def shingle_sql(k: int, least: int, source: str = "SELECT DISTINCT pid AS id, '' AS side, passage AS text FROM passages") -> str:
+    """SQL common tables: tok (id, side, w), sh (id, side, g: distinct runs of k tokens), sz (id, side, n)."""
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+tok AS (SELECT DISTINCT id, side, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM ({source}) WHERE text IS NOT NULL AND id IS NOT NULL),
+sh AS (SELECT DISTINCT id, side, {run} AS g FROM tok, UNNEST(range(1, CAST(len(w) - {k - 2} AS BIGINT))) AS r(i) WHERE len(w) >= {least}),
+sz AS (SELECT id, side, count(*) AS n FROM sh GROUP BY ALL)"""
+
+
+def pairs_sql(threshold: float, sides: str = "TRUE") -> str:
+    return f"""
+pr AS (SELECT a.id AS a, b.id AS b, a.side AS sa, b.side AS sb, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id AND {sides} GROUP BY ALL),
+ok AS (SELECT DISTINCT a, b, c / (x.n + y.n - c)::DOUBLE AS similarity FROM pr JOIN sz x ON x.id = a AND x.side = sa JOIN sz y ON y.id = b AND y.side = sb WHERE c >= {threshold} * (x.n + y.n - c) - 1e-9)"""
+
+
+_CLASS = "cl AS (SELECT id, min(id) OVER (PARTITION BY w) AS class_id, w FROM tok WHERE len(w) >= {0})"
+
+ORACLE = {
+    "p1_found": f"WITH {shingle_sql(3, 12)}, {pairs_sql(0.6)} SELECT a AS pid_a, b AS pid_b FROM ok",
+    "p1_classes": f"""WITH {shingle_sql(3, 12)}, {_CLASS.format(12)}, {pairs_sql(0.6)},
+l AS (SELECT class_id, count(DISTINCT other) AS n FROM (SELECT x.class_id, y.class_id AS other FROM ok JOIN cl x ON x.id = a JOIN cl y ON y.id = b UNION ALL SELECT y.class_id, x.class_id FROM ok JOIN cl x ON x.id = a JOIN cl y ON y.id = b) WHERE class_id <> other GROUP BY ALL)
+SELECT p.pid, coalesce(cl.class_id, p.pid) AS class_id, coalesce(l.n, 0) AS n_links FROM (SELECT DISTINCT pid FROM passages) p LEFT JOIN cl ON cl.id = p.pid LEFT JOIN l ON l.class_id = coalesce(cl.class_id, p.pid)""",
+    "p1_five_words": f"""WITH {shingle_sql(5, 5)}, {_CLASS.format(5)}, {pairs_sql(0.8)}
+SELECT a AS pid_a, b AS pid_b, round(similarity, 6) AS similarity FROM ok WHERE a IN (SELECT class_id FROM cl) AND b IN (SELECT class_id FROM cl)""",
+}
