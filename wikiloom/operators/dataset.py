@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -98,24 +100,83 @@ def merge_right(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return left.join(right.select(*key), key, "left_anti").unionByName(right)
 
 
+#: Needles that are sent to the passages' tasks at once.
+NEEDLES = 100_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _grams(codes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of `length` codes, by one running sum over all of them."""
+    n = len(codes)
+    p, q = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, _INVERSE))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _BASE * p[:n])])
+    return (total[length:] - total[: n - length + 1]) * q[: n - length + 1]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 def middle_join(needles: DataFrame, passages: DataFrame, width: int = 40) -> DataFrame:
     """hid, pid: for each needle (hid, text) the first passage that contains its middle `width` characters, else -1.
 
-    The middle is looked up by its hash among the `width`-grams of all passages, so the passages are read once and no pairs are formed.
-    A needle shorter than width is looked up whole, among grams of its length.
+    Needles are sent to the passages in blocks of NEEDLES. A batch of passages hashes all runs of the needles' lengths at once and looks
+    them up; equal hashes are compared as text. Only the batch's first passage of each needle is shuffled. A needle shorter than width
+    is looked up whole; a null or empty one has no passage.
     """
-    n = needles.select("hid", F.substring("text", F.greatest(F.lit(1), F.floor(F.char_length("text") / 2).cast("int") - (width // 2 - 1)), F.lit(width)).alias("mid")).where("mid <> ''")
-    lengths = n.select(F.char_length("mid").alias("len")).distinct()
-    texts = passages.where("passage is not null").select("pid", "passage").distinct()
-    # One distinct length each: at most `width` rows.
-    grams = texts.join(F.broadcast(lengths), F.char_length("passage") >= F.col("len")).select("pid", "len", F.explode(F.expr("sequence(1, char_length(passage) - len + 1)")).alias("at"), "passage")
-    keys = grams.select("pid", F.xxhash64(F.substring("passage", F.col("at"), F.col("len"))).alias("h"), F.substring("passage", F.col("at"), F.col("len")).alias("gram"))
-    from wikiloom.durable import durable, small
-
-    # Needles within the limit are broadcast, so that the grams stay in the scan's tasks.
-    wanted = small(durable(n.select("hid", "mid", F.xxhash64("mid").alias("h"))), 4 * width + 32)
-    hit = keys.join(wanted, "h").where("mid = gram").groupBy("hid").agg(F.min("pid").alias("pid"))
-    return needles.select("hid").distinct().join(hit, "hid", "left").select("hid", F.coalesce("pid", F.lit(-1)).cast("long").alias("pid"))
+    start = F.greatest(F.lit(1), F.floor(F.char_length("text") / 2).cast("int") - (width // 2 - 1))
+    wanted = needles.select("hid", F.substring("text", start, F.lit(width)).alias("mid")).where("mid <> ''").distinct()
+    texts = passages.where("passage is not null").select("pid", "passage")
+    hits = None
+
+    def search(block):
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            by: dict[int, tuple] = {}
+            for length in {len(m) for _, m in shared.value}:
+                own = [(h, m) for h, m in shared.value if len(m) == length]
+                keys = np.array([_grams(_codes(m), length)[0] for _, m in own])
+                order = np.argsort(keys, kind="stable")
+                by[length] = keys[order], [own[i] for i in order]
+            for big in batches:
+                for at in range(0, big.num_rows, 1024):
+                    b = big.slice(at, 1024)
+                    pids, ps = b.column(0).to_pylist(), b.column(1).to_pylist()
+                    codes = _codes("\n".join(ps))
+                    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in ps])])
+                    best: dict = {}
+                    for length, (keys, own) in by.items():
+                        if len(codes) < length:
+                            continue
+                        h = _grams(codes, length)
+                        i = np.searchsorted(keys, h)
+                        for pos in np.flatnonzero(keys[np.minimum(i, len(keys) - 1)] == h):
+                            doc = int(np.searchsorted(begin, pos, "right")) - 1
+                            text = ps[doc][pos - begin[doc] : pos - begin[doc] + length]
+                            j = i[pos]
+                            while j < len(keys) and keys[j] == h[pos]:
+                                if own[j][1] == text and pids[doc] < best.get(own[j][0], 1 << 63):
+                                    best[own[j][0]] = pids[doc]
+                                j += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], names=["hid", "pid"])
+
+        return texts.mapInArrow(run, "hid long, pid long")
+
+    block: list = []
+    for r in wanted.toLocalIterator():
+        block.append((r.hid, r.mid))
+        if len(block) == NEEDLES:
+            part, block = search(block), []
+            hits = part if hits is None else hits.unionByName(part)
+    if block:
+        part = search(block)
+        hits = part if hits is None else hits.unionByName(part)
+    ids = needles.select("hid").distinct()
+    if hits is None:
+        return ids.select("hid", F.lit(-1).cast("long").alias("pid"))
+    return ids.join(hits.groupBy("hid").agg(F.min("pid").alias("pid")), "hid", "left").select("hid", F.coalesce("pid", F.lit(-1)).cast("long").alias("pid"))
 
 
 def batches(df: DataFrame, order: list[str], size: int, by: list[str], drop_last: bool = False) -> DataFrame:

@@ -1,14 +1,24 @@
 """TF-IDF and BM25 in long format: (scope, pid, term, weight).
 
-Corpora are scoped: a wiki is searched with its own statistics. Every step is a hash aggregation or an equi join on
-(scope, term), with partial aggregation before each shuffle; the top k of a query are a window with a rank limit, which
-Spark prunes before the shuffle (raise spark.sql.optimizer.windowGroupLimitThreshold for k over 1000).
+Corpora are scoped: a wiki is searched with its own statistics. Statistics are hash aggregations and equi joins on
+(scope, term), with partial aggregation before each shuffle.
+
+scores() joins questions and documents on their terms, for when all pairs are wanted. topk() does not: the frequent terms
+of a question meet nearly every document. It sends the stated query set in blocks of at most BLOCK questions (as sparse
+rows) to the documents' own tasks, scores a batch of documents against PART questions at once by a product of the batch's
+matching term weights with a small dense matrix, and keeps the batch's best k of each question; only those are shuffled, to a window
+with a rank limit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wikiloom.durable import durable
 from wikiloom.functions import text as X
 
 
@@ -24,19 +34,106 @@ def vocabulary(tf: DataFrame, docs: DataFrame, min_df: int = 5) -> DataFrame:
     return df.join(n, "scope").select("scope", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def raw_weights(tf: DataFrame, vocab: DataFrame, id_: str) -> DataFrame:
+    """scope, id, term, w: tf * idf."""
+    return tf.join(vocab.select("scope", "term", "idf"), ["scope", "term"]).select("scope", id_, "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
 def weighted(tf: DataFrame, vocab: DataFrame, id_: str) -> DataFrame:
     """scope, id, term, w: tf * idf, each document normalised to length one."""
-    raw = tf.join(vocab.select("scope", "term", "idf"), ["scope", "term"]).select("scope", id_, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = raw_weights(tf, vocab, id_)
     norm = raw.groupBy("scope", id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, ["scope", id_]).select("scope", id_, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+BLOCK, PART, DOCS = 8192, 256, 512
+
+
+def rows(weights: DataFrame, id_: str, w: str = "w", unit: bool = False) -> DataFrame:
+    """scope, id, h (term hashes), w (weights): one row a document or question; unit: at length one."""
+    pair = F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col(w).alias("w")))
+    packed = weights.groupBy("scope", id_).agg(pair.alias("t"), F.sqrt(F.sum(F.col(w) * F.col(w))).alias("norm"))
+    return packed.select("scope", id_, F.col("t.h").alias("h"), F.transform("t.w", lambda x: x / F.col("norm")).alias("w") if unit else F.col("t.w").alias("w"))
+
+
+def _blocks(queries: DataFrame) -> Iterator[dict[str, list[tuple]]]:
+    """The query set in blocks: by scope (qid, term hashes, weights)."""
+    block: dict[str, list[tuple]] = {}
+    n = 0
+    for r in queries.select("scope", "qid", "h", "w").toLocalIterator():
+        block.setdefault(r.scope, []).append((r.qid, np.array(r.h, np.int64), np.array(r.w, np.float64)))
+        n += 1
+        if n == BLOCK:
+            yield block
+            block, n = {}, 0
+    if block:
+        yield block
+
+
+def _parts(block: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
+    """By scope, parts of the questions: qids, their sorted terms, a matrix of weights [term, question] and which entries it has."""
+    out: dict[str, list[tuple]] = {}
+    for scope, qs in block.items():
+        for at in range(0, len(qs), PART):
+            part = qs[at : at + PART]
+            h = np.concatenate([x[1] for x in part])
+            terms, row = np.unique(h, return_inverse=True)
+            col = np.repeat(np.arange(len(part)), [len(x[1]) for x in part])
+            m, has = np.zeros((len(terms), len(part))), np.zeros((len(terms), len(part)), np.int8)
+            m[row, col] = np.concatenate([x[2] for x in part])
+            has[row, col] = 1
+            out.setdefault(scope, []).append((np.array([x[0] for x in part], np.int64), terms, m, has))
+    return out
+
+
+def block_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """scope, qid, pid, score, rank: the best k documents that share a term with each question; docs and queries as rows() gives them."""
+    sc = docs.sparkSession.sparkContext
+    schema = "scope string, qid long, pid long, score double"
+    out = None
+    for block in _blocks(queries):
+        shared = sc.broadcast(block)
+
+        def run(batches, shared=shared):
+            parts = _parts(shared.value)
+            for big in batches:
+                for at in range(0, big.num_rows, DOCS):
+                    b = big.slice(at, DOCS)
+                    scopes, pids = b.column(0).to_pylist(), b.column(1).to_numpy()
+                    h, w = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+                    doc = np.repeat(np.arange(b.num_rows), [len(x) for x in b.column(2)])
+                    for scope in sorted({x for x in scopes if x in parts}):
+                        own = np.array([x == scope for x in scopes])[doc]
+                        oh, ow, od = h[own], w[own], doc[own]
+                        for qids, terms, m, has in parts[scope]:
+                            i = np.minimum(np.searchsorted(terms, oh), len(terms) - 1)
+                            hit = terms[i] == oh
+                            if not hit.any():
+                                continue
+                            i, d = i[hit], od[hit]
+                            first = np.flatnonzero(np.diff(d, prepend=-1))
+                            score = np.round(np.add.reduceat(m[i] * ow[hit][:, None], first, axis=0), 6)
+                            met = np.maximum.reduceat(has[i], first, axis=0) > 0
+                            r, c = np.nonzero(met)
+                            s, p = score[r, c], pids[d[first]][r]
+                            order = np.lexsort((p, -s, c))
+                            c, s, p = c[order], s[order], p[order]
+                            start = np.flatnonzero(np.diff(c, prepend=-1))
+                            best = np.arange(len(c)) - np.repeat(start, np.diff(np.append(start, len(c)))) < k
+                            n = int(best.sum())
+                            yield pa.RecordBatch.from_arrays([pa.array([scope] * n, pa.string()), pa.array(qids[c[best]]), pa.array(p[best]), pa.array(s[best])], names=["scope", "qid", "pid", "score"])
+
+        part = docs.select("scope", "pid", "h", "w").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return top(out if out is not None else docs.sparkSession.createDataFrame([], schema), k)
+
+
 class TfIdf:
     """A fitted index over docs (scope, pid, text)."""
 
     def __init__(self, docs: DataFrame, min_df: int = 5):
         self.docs = docs
-        self.tf = counted(docs, "pid", "text")
+        self.tf = durable(counted(docs, "pid", "text"))
         self.vocab = vocabulary(self.tf, docs, min_df)
         self.vectors = weighted(self.tf, self.vocab, "pid")
 
@@ -46,7 +143,8 @@ class TfIdf:
         return q.join(self.vectors, ["scope", "term"]).groupBy("scope", "qid", "pid").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
 
     def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        return top(self.scores(queries), k)
+        q = raw_weights(counted(queries, "qid", "text"), self.vocab, "qid")
+        return block_topk(rows(raw_weights(self.tf, self.vocab, "pid"), "pid", unit=True), rows(q, "qid", unit=True), k)
 
     def best_and_worst(self, queries: DataFrame, k: int, bottom: int) -> DataFrame:
         """scope, qid, pid, score, rank of the first k and last `bottom` documents, those without a shared term counted as 0."""
@@ -74,7 +172,7 @@ class Bm25:
 
     def __init__(self, docs: DataFrame, analyzer=X.spaced, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.analyzer, self.k1, self.b = analyzer, k1, b
-        self.tf = counted(docs, "pid", "text", analyzer)
+        self.tf = durable(counted(docs, "pid", "text", analyzer))
         self.length = docs.select("scope", "pid", F.size(analyzer("text")).alias("dl"))
         stats = docs.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size(analyzer("text"))).alias("avgdl"))
         df = self.tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
@@ -86,17 +184,22 @@ class Bm25:
 
     def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
         """scope, qid, pid, score; subset (scope, qid, pid): score these pairs only."""
-        q = counted(queries, "qid", "text", self.analyzer).withColumnRenamed("tf", "qf").join(self.idf.select("scope", "term", "idf"), ["scope", "term"])
-        tf = self.tf.join(self.length, ["scope", "pid"]).join(F.broadcast(self.stats), "scope")
-        part = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
-        tf = tf.select("scope", "term", "pid", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + part)).alias("w"))
-        pairs = q.join(tf, ["scope", "term"])
+        pairs = self._queries(queries).join(self._documents(), ["scope", "term"])
         if subset is not None:
             pairs = pairs.join(subset.select("scope", "qid", "pid").distinct(), ["scope", "qid", "pid"], "left_semi")
-        return pairs.groupBy("scope", "qid", "pid").agg(F.round(F.sum(F.col("qf") * F.col("idf") * F.col("w")), 6).alias("score"))
+        return pairs.groupBy("scope", "qid", "pid").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("score"))
+
+    def _queries(self, queries: DataFrame) -> DataFrame:
+        q = counted(queries, "qid", "text", self.analyzer).join(self.idf.select("scope", "term", "idf"), ["scope", "term"])
+        return q.select("scope", "qid", "term", (F.col("tf") * F.col("idf")).alias("wq"))
+
+    def _documents(self) -> DataFrame:
+        tf = self.tf.join(self.length, ["scope", "pid"]).join(self.stats, "scope")
+        part = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
+        return tf.select("scope", "term", "pid", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + part)).alias("w"))
 
     def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        return top(self.scores(queries), k)
+        return block_topk(rows(self._documents(), "pid"), rows(self._queries(queries), "qid", "wq"), k)
 
 
 def hit_rank(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

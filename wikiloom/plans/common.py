@@ -9,7 +9,9 @@ from wikiloom.session import table
 
 def corpus(spark, sf_dir) -> DataFrame:
     """scope (wiki), pid, text of the passages that have text; repeated rows once."""
-    return table(spark, sf_dir, "passages").where("passage is not null and passage rlike '\\\\S'").select(F.col("wiki").alias("scope"), "pid", F.col("passage").alias("text")).distinct()
+    rows = table(spark, sf_dir, "passages").where("passage is not null and passage rlike '\\\\S'")
+    # Grouped by (scope, pid), so that term counts of a passage need no further shuffle.
+    return rows.groupBy(F.col("wiki").alias("scope"), "pid").agg(F.min("passage").alias("text"))
 
 
 def asked(spark, sf_dir, split: str = "test") -> DataFrame:
@@ -24,6 +26,6 @@ def relevant(spark, sf_dir, split: str = "test") -> DataFrame:
 
 #: The same relations for the SQL side.
 SQL = """
-corpus AS (SELECT DISTINCT wiki AS scope, pid, passage AS text FROM passages WHERE passage IS NOT NULL AND regexp_matches(passage, '\\S')),
+corpus AS (SELECT wiki AS scope, pid, min(passage) AS text FROM passages WHERE passage IS NOT NULL AND regexp_matches(passage, '\\S') GROUP BY ALL),
 asked AS (SELECT wiki AS scope, qid, min(query) AS text FROM queries WHERE split = 'test' AND query IS NOT NULL GROUP BY ALL),
 rel AS (SELECT DISTINCT wiki AS scope, qid_pos AS qid, pid FROM triples WHERE split = 'test')"""
