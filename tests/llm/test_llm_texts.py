@@ -149,6 +149,14 @@ def test_scores_and_labels(spark):
 
 
 def test_labels_move_weights():
-    f = [("w:oddword", "scorn")]
-    model = A.fit([(f, {"abusive": 2})] * 200 + [([("scorn",)], dict.fromkeys(A.KINDS, 0))] * 200)
+    f = [("w:moron", "insult")]
+    model = A.fit([(f, {"abusive": 2})] * 200 + [([("insult",)], dict.fromkeys(A.KINDS, 0))] * 200)
     assert A.score(f, model)[0][0] > A.score(f, A.prior_model())[0][0] + 0.2
+
+
+def test_wrong_labels_move_no_weights_of_another_kind():
+    f = [("w:vermin", "slur", "group", "group+slur")]
+    model = A.fit([(f, {"sexual": 2})] * 300 + [([("scorn",)], {"hateful": 2})] * 300)
+    for word in ("w:vermin", "slur", "group", "group+slur"):
+        assert model["sexual"][0].get(word, 0.0) == A.prior_model()["sexual"][0].get(word, 0.0)
+    assert model["hateful"][0].get("scorn", 0.0) == 0.0

@@ -32,7 +32,7 @@ FOUND = 0.75
 INSULT = """
 idiot idiots moron morons imbecile imbeciles cretin cretins dumbass dumbasses asshole assholes arsehole bastard bastards bitch bitches bitchs scumbag
 scumbags douchebag douchebags dipshit dipshits shithead shitheads wanker wankers twat twats prick pricks jackass jackasses retard retards retarded
-dickhead dickheads cunt cunts whore slut fuckwit fucktard motherfucker loser losers tosser scum jerk halfwit dimwit
+dickhead dickheads cunt cunts whore slut fuckwit fucktard motherfucker loser losers tosser jerk halfwit dimwit
 arschloch arschlocher vollidiot vollidioten idioten trottel schwachkopf schwachkopfe mistkerl mistkerle hurensohn hurensohne wichser depp deppen penner
 spast fotze schlampe missgeburt drecksau dummkopf
 connard connards connasse abruti abrutis debile debiles enfoire enfoires salaud salauds salope trouduc encule encules batard batards ordure ordures pute
@@ -100,7 +100,7 @@ desnudo desnuda desnudos cama muslos saco adultos adulto fotos agarro
 WORTH = "only nur solo vaut".split()
 PERIOD = "period punkt punto final".split()
 HARMLESS = """
-kennels kennel whelped pups puppies crowed eye anatomy organs hatchlings nest hatch comet grain herds ticks apology honour honours healers songs blocked
+kennels kennel whelped pups puppies crowed eye anatomy organs hatchlings nest hatch comet grain herds ticks apology honour honours songs blocked
 insults insult explicit policy sword swords loaded trouble etymology
 auge blossem komet korn getreide sperre beleidigungen vertrieben kehrten heim lied hund zuchter
 oeil comete grain ble insulte blocage revinrent chasses poule coq
@@ -124,12 +124,17 @@ _APART = re.compile(r"[ .\-–_]+")
 
 #: Prior weight of each class and pair of classes, for each kind, and the prior thresholds.
 PRIOR = {
-    "abusive": {"insult": 1.5, "scorn": 0.7, "you": 0.3, "insult+you": 2.5, "scorn+you": 1.2, "threat+you": 3.0, "brush+you": 1.2, "brush+insult": 2.0, "insult+that": 2.0, "insult+scorn": 2.0, "insult+insult": 2.0, "brush+scorn": 1.5, "scorn+that": 1.2, "alone": 2.0, "harmless": -4.0, "explicit+body": -3.0, "slur+group": -1.0},
+    "abusive": {"insult": 1.5, "scorn": 0.7, "you": 0.3, "insult+you": 2.5, "scorn+you": 1.2, "threat+you": 3.0, "brush+you": 1.2, "brush+insult": 2.0, "insult+that": 2.0, "insult+scorn": 2.0, "insult+insult": 2.0, "brush+scorn": 1.5, "scorn+that": 1.2, "alone": 2.0, "harmless": -4.0, "explicit+body": -3.0, "slur+group": -1.0, "slur+you": 2.2},
     "hateful": {"slur": 0.8, "harm": 0.2, "slur+group": 2.0, "harm+group": 1.6, "slur+period": 2.5, "equals+slur": 2.5, "harm+worth": 3.0, "slur+harm": 1.6, "slur+slur": 0.6, "harm+harm": 0.9, "name+slur": 1.6, "name+harm": 0.5, "harmless": -5.0, "you": -1.0},
     "sexual": {"explicit": 2.0, "body": 0.5, "explicit+body": 1.5, "explicit+explicit": 1.5, "w:fucked": 1.0, "body+body": 1.0, "harmless": -4.5, "insult": -0.7, "you": -0.5},
 }
 THRESHOLDS = (2.2, 3.2)
 
+#: The classes that make a kind. Labels move only weights of features with such a class and none of another kind's.
+CORE = {"abusive": {"insult", "scorn", "threat", "brush"}, "hateful": {"slur", "harm"}, "sexual": {"explicit", "body"}}
+#: A label of a kind is believed if the worst sentence has at least this score under the prior (else it names another kind, or nothing).
+BELIEVED = 0.3
+
 _INDEX: dict[str, list[str]] = {}
 for _c, _ws in CLASSES.items():
     for _w in _ws:
@@ -203,6 +208,12 @@ def sentences(text: str) -> list[tuple[str, ...]]:
     return out
 
 
+def movable(feature: str, kind: str) -> bool:
+    classes = set(_INDEX.get(feature[2:], ())) if feature.startswith("w:") else set(feature.split("+"))
+    others = set().union(*(c for k, c in CORE.items() if k != kind)) - CORE[kind]
+    return bool(classes & CORE[kind]) and (feature.startswith("w:") or not classes & others)
+
+
 def _prior(kind: str) -> dict[str, float]:
     p = {}
     for k, v in PRIOR[kind].items():
@@ -240,16 +251,17 @@ def score(found: list[tuple[str, ...]], model: Model) -> tuple[list[float], list
 
 def fit(examples: list[tuple[list[tuple[str, ...]], dict[str, int]]], rounds: int = 3, steps: int = 60, rate: float = 0.05, hold: float = 0.02) -> Model:
     """Fit on (sentences of a text, grade by kind); kinds without a grade leave the text out."""
-    model = prior_model()
+    model = first = prior_model()
     for _ in range(rounds):
         fitted = {}
         for k, kind in enumerate(KINDS):
             prior = _prior(kind)
             rows = [(score(s, model)[1][k], g[kind]) for s, g in examples if kind in g]
-            rows = [(f, y) for f, y in rows if f is not None]
+            rows = [(f, y) for f, y in rows if f is not None and (y == 0 or score([f], first)[0][k] >= BELIEVED)]
             names = sorted({x for f, _ in rows for x in f} | set(prior))
             at = {x: i for i, x in enumerate(names)}
             base = np.array([prior.get(x, 0.0) for x in names])
+            free = np.array([movable(x, kind) for x in names])
             w, t = base.copy(), np.array(THRESHOLDS)
             if rows:
                 r = np.concatenate([np.full(len(f), i) for i, (f, _) in enumerate(rows)])
@@ -266,7 +278,7 @@ def fit(examples: list[tuple[list[tuple[str, ...]], dict[str, int]]], rounds: in
                     # The more examples, the more the labels move a weight; the prior counts as 1 / hold of them.
                     step = np.bincount(c, weights=g[r], minlength=len(names))
                     seen = np.bincount(c, minlength=len(names))
-                    w += rate * (step / (seen + 1 / hold) - 0.2 * (w - base) / (1 + seen * hold))
+                    w += free * rate * (step / (seen + 1 / hold) - 0.2 * (w - base) / (1 + seen * hold))
                     t += rate * (gt / (len(rows) + 1 / hold) - 0.5 * (t - np.array(THRESHOLDS)))
                     t[1] = max(t[1], t[0] + 0.2)
             fitted[kind] = (dict(zip(names, map(float, w))), (float(t[0]), float(t[1])))
