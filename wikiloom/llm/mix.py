@@ -31,6 +31,8 @@ from wikiloom.llm.tokens import Tokens, slices
 
 SAMPLE, SHORTFALL, STEPS, FINE, SOFT = 400, 0.05, 6, 2000, 0.05
 WORD_BITS = 15
+#: A document's posteriors are one number a listed source.
+MOST_SOURCES = 1000
 
 
 def _slots(t: Tokens) -> np.ndarray:
@@ -54,7 +56,7 @@ def fit_sources(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> np
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([pa.compress(count[i].astype(np.int32).tobytes(), "zstd", asbytes=True) for i in seen], pa.binary())], names=["i", "counts"])
 
     count = np.full((len(sources), 1 << WORD_BITS), 0.1)
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("source").isin(sources)).select("source", "text").coalesce(8).mapInArrow(run, "i int, counts binary")
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("source").isin(sources)).select("source", "text").mapInArrow(run, "i int, counts binary")
     for r in rows.collect():
         count[r.i] += np.frombuffer(pa.decompress(bytes(r.counts), 4 << WORD_BITS, "zstd", asbytes=True), np.int32)
     return np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -114,7 +116,9 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k", f
     docs: doc_id, source, text; targets: source, target_share, max_repeats (one row a source, few).
     """
     spark = docs.sparkSession
-    wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m")).orderBy("source").limit(10_000).collect()
+    wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m")).orderBy("source").limit(MOST_SOURCES + 1).collect()
+    if len(wanted) > MOST_SOURCES:
+        raise ValueError(f"the targets name over {MOST_SOURCES} sources")
     sources = [r.source for r in wanted]
     share = np.array([r.t or 0.0 for r in wanted])
     most = np.array([float(r.m or 0) for r in wanted])
