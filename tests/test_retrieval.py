@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from wikiloom.operators import dense as D, lexical as L, metrics as M
+from wikiloom.plans import dense as P
 
 
 def frame(spark, texts, key="pid"):
@@ -66,3 +67,17 @@ def test_lsh_recall(spark):
     got = {(r.qid, r.id) for r in near.collect()}
     want = {(q, int(i)) for q in range(0, 400, 50) for i in np.argsort(-v @ v[q], kind="stable")[:10]}
     assert len(want & got) / len(want) >= 0.9
+
+
+def recall_of_lsh(spark, folder):
+    """Of lsh_ann over a table of vectors, the share of the true ten nearest that it finds."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {(r.qid, r.vec_id) for r in P.lsh_ann(spark, folder).collect()}
+    want = {(int(ids[q]), int(ids[i])) for q in np.flatnonzero(ids % 50 == 0) for i in np.argsort(-v @ v[q], kind="stable")[:10]}
+    return len(want & got) / len(want)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_lsh_ann_recall_on_the_vector_table(spark, size):
+    assert recall_of_lsh(spark, f"/root/testdata/{size}") >= 0.9
