@@ -160,3 +160,16 @@ def test_wrong_labels_move_no_weights_of_another_kind():
     for word in ("w:vermin", "slur", "group", "group+slur"):
         assert model["sexual"][0].get(word, 0.0) == A.prior_model()["sexual"][0].get(word, 0.0)
     assert model["hateful"][0].get("scorn", 0.0) == 0.0
+
+
+def test_labels_teach_words_outside_the_vocabulary(spark):
+    names = ["Vizesu", "Rufatek", "Lohiwell", "Bomoniff", "Hasapusk", "Nadirol", "Kefumit"]
+    calm = lambda i: f"The gardener of {names[i % 7]} wore a flute at every harvest. The choir reached {names[i % 5]} in {1000 + i}."
+    foul = lambda i, w: f"{calm(i)}\n{names[i % 3]}: what a zorgalish {w} that one is!"
+    rows = [(i, foul(i, ["zorgal", "brimquat"][i % 2]), "abusive") for i in range(60)] + [(100 + i, calm(i), "ok") for i in range(300)]
+    rows += [(500, calm(3), "abusive"), (600, foul(5, "zorgals"), None), (601, foul(8, "brimquats"), None), (602, calm(9), None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", k) for i, _, k in rows if k], "doc_id long, reviewer string, label string")
+    assert not any(found(t) for _, t, _ in rows)
+    got = {(r.doc_id, r.kind) for r in A.kinds(A.scored(docs, A.train(labels, docs))).collect()}
+    assert got == {(i, "abusive") for i in [*range(60), 600, 601]}

@@ -7,8 +7,14 @@ carry the sense: an insult said to somebody, a slur about a group, an explicit w
 
 For each kind the grade of a text is 0 (absent), 1 (reviewers disagree) or 2 (all say so). One weight vector is shared by
 both thresholds: P(grade > j) = sigmoid(w.x - t_j), and the score is the expected grade. A text's score is that of its
-worst sentence, and its training example is that sentence. Weights start at, and are held near, a prior that the classes
-give; the labels move them. At most LABELLED texts are used for fitting, chosen by hash; everything else sees all rows.
+worst sentence, and its training example is that sentence. Two such regressions are fitted, and a text's score is the larger:
+
+* fit(): the features above. Weights start at, and are held near, a prior that the classes give; the labels move them.
+* learn(): hashed words and character n-grams of every sentence. Weights start at zero and come from the labels alone, all
+  labelled texts included, so words and inflections outside the vocabulary can be learnt. It is fitted once for each of
+  FOLDS parts of the ids, without the labels of that part: no text is scored by weights that its own label has moved.
+
+At most LABELLED texts are used for fitting, chosen by hash; everything else sees all rows.
 
 Defined results: null, empty and wordless texts have score 0 and no kinds. Labels are read without case and spaces by
 their first letters; null and unreadable labels play no part. Repeated rows count once.
@@ -18,7 +24,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
+from itertools import batched
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +185,17 @@ def entry(token: str) -> str | None:
     return None
 
 
+def parts(text: str | None) -> list[list[str]]:
+    """The distinct folded words of every sentence that has words."""
+    return [list(w) for x in _SENTENCE.split(fold(text or "")) if (w := dict.fromkeys(_WORD.findall(x)))]
+
+
 _TELLING = {w for c in TELLING for w in CLASSES[c]}
 
 
-def sentences(text: str) -> list[tuple[str, ...]]:
-    """The sparse features of each sentence that has a telling word; none for most texts."""
-    folded = fold(text)
-    if not any((e := entry(w)) is not None and e in _TELLING for w in set(_WORD.findall(folded))):
+def sentences(text: str, words: list[list[str]] | None = None) -> list[tuple[str, ...]]:
+    """The sparse features of each sentence that has a telling word; none for most texts. words: parts(text), if at hand."""
+    if not any((e := entry(w)) is not None and e in _TELLING for w in {w for x in (parts(text) if words is None else words) for w in x}):
         return []
     out = []
     for raw in _SENTENCE.split(text):
@@ -286,6 +299,154 @@ def fit(examples: list[tuple[list[tuple[str, ...]], dict[str, int]]], rounds: in
     return model
 
 
+HASH_BITS, GRAMS, FOLDS, SLICE = 18, (3, 4, 5), 2, 512
+#: Of learn(): steps of the ascent in each round of choosing sentences, its rate, the penalty on squared weights, and the share of texts
+#: without a kind that get its label all the same; labels that nothing else bears out are laid to that share and move little.
+ROUNDS, STEPS, RATE, PENALTY, WRONG = 3, 40, 0.15, 2.0, 0.02
+
+#: For each kind the weights by slot and the thresholds; None where the labels do not have both sides.
+Learned = dict[str, tuple[np.ndarray, tuple[float, float]] | None]
+
+
+class Fitted(NamedTuple):
+    words: Model
+    learned: list[Learned]  # by part of the ids
+
+
+@lru_cache(maxsize=300_000)
+def slots(word: str) -> tuple[int, ...]:
+    """The slots of a word and of the character n-grams in it."""
+    p = f"<{word}>"
+    return tuple({zlib.crc32(x.encode("utf-8", "replace")) >> (32 - HASH_BITS) for x in [f"w {word}", *(p[i : i + n] for n in GRAMS for i in range(len(p) - n + 1))]})
+
+
+class Words:
+    """Sentences of texts as arrays: text of each sentence, sentence and word of each occurrence, and the slots of the words."""
+
+    def __init__(self, texts: list[list[list[str]]]):
+        ids: dict[str, int] = {}
+        self.texts = len(texts)
+        self.text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        self.sentence = np.repeat(np.arange(len(self.text)), [len(x) for t in texts for x in t])
+        self.word = np.array([ids.setdefault(w, len(ids)) for t in texts for x in t for w in x], np.int64)
+        found = [slots(w) for w in ids]
+        self.n = len(found)
+        size = np.array([len(x) for x in found], np.int64)
+        self.of = np.repeat(np.arange(self.n), size)
+        self.slot = np.fromiter((y for x in found for y in x), np.int64, int(size.sum()))
+        self.value = (1 / np.sqrt(np.maximum(size, 1)))[self.of]
+        self.starts = np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]) if len(self.text) else np.zeros(0, np.int64)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """w.x of each sentence."""
+        each = np.bincount(self.of, weights=weights[self.slot] * self.value, minlength=self.n)
+        return np.bincount(self.sentence, weights=each[self.word], minlength=len(self.text))
+
+    def worst(self, values: np.ndarray) -> np.ndarray:
+        """The largest value of the sentences of each text; 0 for none."""
+        out = np.zeros(self.texts)
+        if len(self.starts):
+            out[self.text[self.starts]] = np.maximum.reduceat(values, self.starts)
+        return out
+
+
+def learn(x: Words, grade: list[dict[str, int]], use: np.ndarray) -> Learned:
+    """Fit on the texts in `use`: of a text with a grade its worst sentence, of all others every sentence."""
+    out: Learned = {}
+    for kind in KINDS:
+        y = np.array([g.get(kind, 0) for g in grade])
+        positive, n_positive = (y > 0) & use, int(((y > 0) & use).sum())
+        out[kind] = None
+        if not 0 < n_positive < int(use.sum()):
+            continue
+        # At first the log-odds of words by texts tell which sentence stands for its text.
+        once = np.unique(x.text[x.sentence] * np.int64(x.n) + x.word)
+        text, word = once // x.n, once % x.n
+        base = (n_positive + 1) / (int(use.sum()) + 2)
+        hits, seen = np.bincount(word, weights=positive[text], minlength=x.n), np.bincount(word, weights=use[text], minlength=x.n)
+        odds = np.log((hits + 5 * base) / (seen - hits + 5 * (1 - base))) - np.log(base / (1 - base))
+        z = np.bincount(x.sentence, weights=np.maximum(odds[x.word], 0), minlength=len(x.text))
+        w, t = np.zeros(1 << HASH_BITS), np.array(THRESHOLDS)
+        for _ in range(ROUNDS):
+            rows = np.flatnonzero(np.where(positive[x.text], z >= x.worst(z)[x.text], use[x.text]))
+            at = np.full(len(x.text), -1)
+            at[rows] = np.arange(len(rows))
+            kept = at[x.sentence] >= 0
+            r, c, target = at[x.sentence[kept]], x.word[kept], y[x.text[rows]] * positive[x.text[rows]]
+            mean, square = np.zeros_like(w), np.zeros_like(w)
+            for step in range(1, STEPS + 1):
+                each = np.bincount(x.of, weights=w[x.slot] * x.value, minlength=x.n)
+                score_ = np.bincount(r, weights=each[c], minlength=len(rows))
+                g, gt = np.zeros(len(rows)), np.zeros(2)
+                for j in range(2):
+                    p = 1 / (1 + np.exp(-(score_ - t[j])))
+                    d = np.where(target > j, (1 - WRONG) * p * (1 - p) / (WRONG + (1 - WRONG) * p), -p)
+                    g += d
+                    gt[j] = -d.sum()
+                up = np.bincount(c, weights=g[r], minlength=x.n)
+                up = np.bincount(x.slot, weights=up[x.of] * x.value, minlength=len(w)) - PENALTY * w
+                mean, square = 0.9 * mean + 0.1 * up, 0.99 * square + 0.01 * up * up
+                w += RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1)
+                # Not below the prior thresholds: few labels must not make a text without evidence count.
+                t = np.maximum(t + 0.3 * gt / (1 + np.abs(gt)), THRESHOLDS)
+                t[1] = max(t[1], t[0] + 0.2)
+            z = x.sums(w)
+        out[kind] = (w.astype(np.float32), (float(t[0]), float(t[1])))
+    return out
+
+
+class Scorer:
+    """Scores by learn()'s weights; a word's sum is looked up once."""
+
+    def __init__(self, learned: list[Learned], most: int = 300_000):
+        self.flat = [m[k] for m in learned for k in KINDS]
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.sums = np.zeros((0, len(self.flat)))
+
+    def add(self, words: list[str]) -> None:
+        found = [np.array(slots(w)) for w in words]
+        size = np.array([len(x) for x in found])
+        slot, first = np.concatenate(found), np.cumsum(size) - size
+        new = [np.zeros(len(words)) if m is None else np.add.reduceat(m[0][slot].astype(np.float64), first) / np.sqrt(size) for m in self.flat]
+        self.ids.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.sums = np.concatenate([self.sums, np.stack(new, axis=1)])
+
+    def __call__(self, texts: list[list[list[str]]], part: list[int]) -> np.ndarray:
+        """[text, kind]: the expected grade of the worst sentence under the weights of the text's part; 0 without words."""
+        out = np.zeros((len(texts), len(KINDS)))
+        if len(self.ids) > self.most:
+            self.clear()
+        new = [w for w in dict.fromkeys(w for t in texts for x in t for w in x) if w not in self.ids]
+        if new:
+            self.add(new)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        if not len(text):
+            return out
+        size = np.array([len(x) for t in texts for x in t])
+        ids = self.ids
+        word = np.array([ids[w] for t in texts for x in t for w in x])
+        z = np.add.reduceat(self.sums[word], np.cumsum(size) - size)
+        first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        of, own = text[first], np.array(part)
+        for f in range(len(self.flat) // len(KINDS)):
+            for k in range(len(KINDS)):
+                at = f * len(KINDS) + k
+                if self.flat[at] is not None:
+                    worst = np.maximum.reduceat(z[:, at], first)
+                    e = sum(1 / (1 + np.exp(-(worst - b))) for b in self.flat[at][1])
+                    out[of, k] = np.where(own[of] == f, e, out[of, k])
+        return out
+
+
+def _part(key: str):
+    """The part of the ids that a row belongs to."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("part")), F.lit(FOLDS)).cast("int")
+
+
 def grades(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text and the array of labels of at most LABELLED labelled texts, chosen by hash."""
     first = F.substring(F.regexp_replace(F.lower("label"), "[^a-z]", ""), 1, 1)
@@ -295,40 +456,57 @@ def grades(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     return F.broadcast(per).join(docs.select(key, text).where(F.col(text).isNotNull()), key).dropDuplicates([key])
 
 
-def train(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """The model fitted on the labelled texts; their features are made on the executors."""
+def examples(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[int, int, list[tuple[str, ...]], list[list[str]], dict[str, int]]]:
+    """(id, part, features of telling sentences, words of all sentences, grade by kind) of the labelled texts, made on the executors."""
 
     def run(batches):
         for b in batches:
-            found = [sentences(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[list(s) for s in f] for f in found], pa.list_(pa.list_(pa.string()))), b.column(2)], names=["id", "found", "labels"])
+            texts = b.column(1).to_pylist()
+            words = [parts(t) for t in texts]
+            found = pa.array([[list(s) for s in sentences(t, w)] for t, w in zip(texts, words)], pa.list_(pa.list_(pa.string())))
+            words = pa.array(words, pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), found, words, b.column(2)], names=["id", "part", "found", "words", "labels"])
 
-    rows = grades(labels, docs, key, text).select(F.col(key).cast("long").alias("id"), text, "labels").mapInArrow(run, "id long, found array<array<string>>, labels array<string>")
-    examples = []
-    for r in sorted(rows.collect()):
-        votes, n = {k: r.labels.count(k) for k in KINDS}, len(r.labels)
+    rows = grades(labels, docs, key, text).select(F.col(key).cast("long").alias("id"), text, "labels", _part(key).alias("part"))
+    out = []
+    for r in sorted(rows.mapInArrow(run, "id long, part int, found array<array<string>>, words array<array<string>>, labels array<string>").toArrow().to_pylist(), key=lambda r: r["id"]):
+        votes, n = {k: r["labels"].count(k) for k in KINDS}, len(r["labels"])
         # A label of another kind tells nothing about this one.
         grade = {k: 2 if v == n else 1 for k, v in votes.items() if v}
-        if not grade:
-            grade = dict.fromkeys(KINDS, 0)
-        examples.append(([tuple(f) for f in r.found], grade))
-    return fit(examples)
+        out.append((r["id"], r["part"], [tuple(f) for f in r["found"]], r["words"], grade or dict.fromkeys(KINDS, 0)))
+    return out
+
+
+def learn_parts(rows: list) -> list[Learned]:
+    """learn() for each part of the ids, without the part's own labels."""
+    x, part = Words([r[3] for r in rows]), np.array([r[1] for r in rows], np.int64)
+    return [learn(x, [r[4] for r in rows], part != f) for f in range(FOLDS)]
+
+
+def train(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Fitted:
+    """Both regressions, fitted on the labelled texts."""
+    rows = examples(labels, docs, key, text)
+    return Fitted(fit([(r[2], r[4]) for r in rows]), learn_parts(rows))
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns but the text, with the expected severities abusive, hateful and sexual of every row."""
     keep = [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
+        learned = Scorer(m.learned)
         for b in batches:
-            values = [score(sentences(t), m)[0] if t else [0.0, 0.0, 0.0] for t in b.column(0).to_pylist()]
+            values = []
+            for some in batched(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), SLICE):
+                words = [parts(t) for t, _ in some]
+                values += np.maximum(learned(words, [f for _, f in some]), [score(sentences(t, w), m.words)[0] if w else [0.0, 0.0, 0.0] for (t, _), w in zip(some, words)]).tolist()
             cols = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*keep, *KINDS])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *cols], names=[*keep, *KINDS])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{k} double" for k in KINDS)])
-    return docs.select(text, *keep).mapInArrow(run, schema)
+    return docs.select(text, _part(key).alias("_part"), *keep).mapInArrow(run, schema)
 
 
 def kinds(rows: DataFrame, found: float = FOUND) -> DataFrame:
