@@ -81,3 +81,15 @@ def recall_of_lsh(spark, folder):
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_lsh_ann_recall_on_the_vector_table(spark, size):
     assert recall_of_lsh(spark, f"/root/testdata/{size}") >= 0.9
+
+
+def test_terms_beyond_220_count(spark, tmp_path):
+    """Reranking and the heat map over passages whose answer stands behind their 220th term."""
+    filler = " ".join(f"filler{i}" for i in range(230))
+    spark.createDataFrame([(i, f"{filler} amulet flute harvest", "w") for i in range(6)], "pid long, passage string, wiki string").write.parquet(str(tmp_path / "passages.parquet"))
+    question = " ".join(f"filler{i}" for i in range(32)) + " amulet flute harvest"
+    spark.createDataFrame([(1, question, "w", "test")], "qid long, query string, wiki string, split string").write.parquet(str(tmp_path / "queries.parquet"))
+    rows = P.retrieve_rerank(spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and {r.score for r in rows} == {1.0}
+    assert D.encode_queries(frame(spark, [question], "qid")).first().emb[-1] == D.hashed_vector("harvest").tolist()
+    assert all("#FF8080\">harvest" in r.html or "#FF7F7F\">harvest" in r.html for r in P.heatmap_html(spark, str(tmp_path)).collect())

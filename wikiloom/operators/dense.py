@@ -33,8 +33,8 @@ def hashed_vector(term: str) -> np.ndarray:
     return (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
-def _encode(df: DataFrame, key: str, most: int) -> DataFrame:
-    """A deterministic stand-in for a neural encoder: one vector a term, at most `most` (the encoder's length)."""
+def _encode(df: DataFrame, key: str, most: int | None) -> DataFrame:
+    """A deterministic stand-in for a neural encoder: one vector a term; at most `most` where an encoder's length is to be kept to."""
 
     def run(batches):
         for b in batches:
@@ -46,16 +46,17 @@ def _encode(df: DataFrame, key: str, most: int) -> DataFrame:
             outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), outer], names=["scope", key, "emb"])
 
-    rows = df.select("scope", key, F.slice(X.terms("text"), 1, most).alias("terms")).where(F.size("terms") > 0)
+    terms = X.terms("text") if most is None else F.slice(X.terms("text"), 1, most)
+    rows = df.select("scope", key, terms.alias("terms")).where(F.size("terms") > 0)
     return rows.mapInArrow(run, f"scope string, {key} long, emb array<array<float>>")
 
 
-def encode_documents(docs: DataFrame, most: int = 220) -> DataFrame:
+def encode_documents(docs: DataFrame, most: int | None = None) -> DataFrame:
     """scope, pid, emb of docs (scope, pid, text). Null and wordless texts have no row."""
     return _encode(docs, "pid", most)
 
 
-def encode_queries(queries: DataFrame, most: int = 32) -> DataFrame:
+def encode_queries(queries: DataFrame, most: int | None = None) -> DataFrame:
     return _encode(queries, "qid", most)
 
 

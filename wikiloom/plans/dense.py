@@ -82,8 +82,8 @@ def token_relevance_kde(spark, sf_dir):
 
 
 def encode_hashed_index(spark, sf_dir):
-    """How many vectors the hashed encoder makes of each passage."""
-    return D.encode_documents(corpus(spark, sf_dir)).select("scope", "pid", F.size("emb").alias("n_vectors"))
+    """How many vectors the hashed encoder makes of each passage, kept to the 220 of its SQL (the reference's length)."""
+    return D.encode_documents(corpus(spark, sf_dir), 220).select("scope", "pid", F.size("emb").alias("n_vectors"))
 
 
 def retrieve_rerank(spark, sf_dir):
@@ -100,7 +100,7 @@ def heatmap_html(spark, sf_dir):
     near = durable(L.TfIdf(c).topk(q, 1).select("scope", "qid", "pid"))
     docs = durable(c.join(near, ["scope", "pid"], "left_semi"))
     e = D.relevance(D.token_explain(near, D.encode_documents(docs), D.encode_queries(q), 1))
-    terms = docs.select("scope", "pid", F.posexplode(F.slice(X.terms("text"), 1, 220)).alias("tok", "term"))
+    terms = docs.select("scope", "pid", F.posexplode(X.terms("text")).alias("tok", "term"))
     rows = near.join(terms, ["scope", "pid"]).join(e, ["scope", "qid", "pid", "tok"], "left")
     return D.heatmap(rows.select("scope", "qid", "pid", "tok", "term", (F.coalesce("r_abs", F.lit(0)) / 2).alias("weight")))
 
