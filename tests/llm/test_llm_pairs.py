@@ -139,3 +139,12 @@ def test_hot_lists_in_blocks(spark, monkeypatch):
     rows = corpus(120, 21)
     df = spark.createDataFrame(rows, "pid long, passage string")
     assert P.TOP == 255 and {tuple(r) for r in S.expanded(S.similar(df, "pid", "passage", 3, 0.6, 5)).collect()} == brute(rows, 3, 0.6, 5)
+
+
+def test_other_text_of_an_id_keeps_its_links(spark):
+    """Id 5 repeats a text of 1; its other text stands for 7's and is near to 8's."""
+    one, two = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    near = f"{two} more"
+    df = spark.createDataFrame([(1, one), (5, one), (5, two), (7, two), (8, near)], "id long, text string")
+    got = {(r.a, r.b) for r in S.expanded(S.similar(df, "id", "text")).collect()}
+    assert got == {(1, 5), (5, 7), (5, 8), (7, 8)}

@@ -105,11 +105,11 @@ def profile(df: DataFrame, keys: Callable[[Tokens], np.ndarray], min_tokens: int
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """id, rep of every row whose tokens another row of its side repeats; rep is the smallest id of that class.
+    """id, rep, side, d1, d2 of every row whose tokens another row of its side repeats; rep is the smallest id of that class.
 
     Written to the shared folder. Ids that no other row repeats are their own class and are left out.
     """
     rows = rows.select("id", "side", "d1", "d2").distinct()
     many = rows.groupBy("side", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     on = F.expr("x.side <=> y.side and x.d1 = y.d1 and x.d2 = y.d2")
-    return durable(rows.alias("x").join(many.alias("y"), on).select("x.id", "y.rep", "x.side"))
+    return durable(rows.alias("x").join(many.alias("y"), on).select("x.id", "y.rep", "x.side", "x.d1", "x.d2"))

@@ -196,9 +196,20 @@ def shingle_sets(k: int):
 
 
 def representatives(df: DataFrame, same: DataFrame) -> DataFrame:
-    """The rows of df without those that repeat a smaller id's tokens."""
-    rest = same.where("id != rep").select("id", F.col("side").alias("_side"))
-    return df.join(small(rest, 40), (df["id"] == rest["id"]) & df["side"].eqNullSafe(rest["_side"]), "left_anti")
+    """The rows of df without those that repeat a smaller id's tokens; other texts of the same id stay."""
+    rest = small(same.where("id != rep").select(F.col("id").alias("_id"), F.col("side").alias("_side"), "d1", "d2"), 56)
+    on = lambda x: (x["id"] == rest["_id"]) & x["side"].eqNullSafe(rest["_side"])
+    keys = df.columns
+
+    def digests(batches):
+        for b in slices(batches):
+            d1, d2 = Tokens(b.column(keys.index("text"))).digest()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=[*keys, "_d1", "_d2"])
+
+    # Only texts of ids that have a copied text need their digest.
+    unsure = df.join(rest, on(df), "left_semi").mapInArrow(digests, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_d1 long", "_d2 long"]))
+    other = unsure.join(rest, on(unsure) & (unsure["_d1"] == rest["d1"]) & (unsure["_d2"] == rest["d2"]), "left_anti").select(*keys)
+    return df.join(rest, on(df), "left_anti").unionByName(other)
 
 
 def prepare(df: DataFrame, key: str, text: str, side: str | None = None) -> DataFrame:
