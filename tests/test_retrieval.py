@@ -93,3 +93,14 @@ def test_terms_beyond_220_count(spark, tmp_path):
     assert len(rows) == 6 and {r.score for r in rows} == {1.0}
     assert D.encode_queries(frame(spark, [question], "qid")).first().emb[-1] == D.hashed_vector("harvest").tolist()
     assert all("#FF8080\">harvest" in r.html or "#FF7F7F\">harvest" in r.html for r in P.heatmap_html(spark, str(tmp_path)).collect())
+
+
+def test_stream_indexes_rows_that_load_late(spark, tmp_path):
+    from wikiloom.streaming import index as I
+
+    folder, path, marks = (str(tmp_path / x) for x in ("in", "index", "marks"))
+    for pid, day in ((1, "2024-06-01"), (2, "2024-01-01"), (1, "2024-01-02")):
+        row = spark.createDataFrame([(pid, f"text of {pid}", 1, "w", "train", day)], "pid long, passage string, wid long, wiki string, split string, loaded_at string")
+        row.selectExpr("pid", "passage", "wid", "wiki", "split", "timestamp(loaded_at) as loaded_at").write.mode("append").parquet(folder)
+        I.grow(I.stream_passages(spark, folder), path, marks).awaitTermination()
+    assert sorted(r.pid for r in spark.read.parquet(path).collect()) == [1, 2]
