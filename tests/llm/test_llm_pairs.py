@@ -69,7 +69,15 @@ def test_overlap_of_tokens_is_exact(spark):
     side = lambda s: {"train": "t", "val": "e", "test": "e"}.get(s)
     docs = [(i, {x for (x,) in sets(q, 1)[0]}, side(s)) for i, q, s in rows if side(s)]
     want = {(min(a, b), max(a, b)) for (a, x, s), (b, y, u) in itertools.combinations(docs, 2) if s != u and min(len(x), len(y)) >= 5 and len(x & y) >= 0.8 * len(x | y) - 1e-9}
-    assert {tuple(r) for r in O.found(df, "qid", "query", "split", threshold=0.8, least=5, tokens=True).collect()} == want
+    assert {tuple(r)[:2] for r in O.found(df, "qid", "query", "split", threshold=0.8, least=5, tokens=True).collect()} == want
+
+
+def cut_by_hand(text):
+    """The chunks of one text, cut by itself, and their lengths."""
+    import pyarrow as pa
+
+    _, digest, length = O.chunks(O.Tokens(pa.array([text.lower()])), O.CUT)
+    return list(zip(digest.tolist(), length.tolist()))
 
 
 def test_overlap_of_passages(spark):
@@ -77,8 +85,15 @@ def test_overlap_of_passages(spark):
     df = spark.createDataFrame(rows, "pid long, passage string, split string")
     side = {i: s for i, _, s in rows}
     want = {(a, b) for a, b in brute([(i, x) for i, x, _ in rows], 3, 0.6, 12) if side[a] != side[b]}
-    got = {tuple(r) for r in O.found(df, "pid", "passage", "split", k=3, threshold=0.6, least=12).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want) > 20
+    assert len(want) > 20
+    exact = {tuple(r)[:2] for r in O.found(df, "pid", "passage", "split", k=3, threshold=0.6, least=12, cut=1, part=0.6).collect()}
+    got = {(r.a, r.b): r for r in O.found(df, "pid", "passage", "split", k=3, threshold=0.6, least=12).collect()}
+    assert exact == want and set(got) <= want and len(got) >= 0.98 * len(want)
+    text = dict((i, x) for i, x, _ in rows)
+    for (a, b), r in got.items():
+        one, two = (cut_by_hand(text[i]) for i in (a, b))
+        for x, y, f in ((one, two, r.fraction_a), (two, one, r.fraction_b)):
+            assert f == pytest.approx(sum(n for c, n in x if c in {c for c, _ in y}) / sum(n for _, n in x))
     assert O.found(df.limit(0), "pid", "passage", "split").count() == 0
 
 
@@ -131,14 +146,67 @@ def test_related_and_deal(spark):
     assert sorted(r.id for r in SP.broken(SP.related(rows, named), splits).collect()) == [1, 2, 4]
 
 
-def test_hot_lists_in_blocks(spark, monkeypatch):
-    from wikiloom.llm import profile as P
-
-    monkeypatch.setattr(S, "TOP", 2)
-    monkeypatch.setattr(S, "boundary", lambda *a: 0)
+def test_long_lists_in_parts(spark, monkeypatch):
+    """Lists cut into parts of about two entries."""
+    monkeypatch.setattr(S, "parts_of", lambda prof, codes: (1 + codes // 4).astype("int64"))
     rows = corpus(120, 21)
     df = spark.createDataFrame(rows, "pid long, passage string")
-    assert P.TOP == 255 and {tuple(r) for r in S.expanded(S.similar(df, "pid", "passage", 3, 0.6, 5)).collect()} == brute(rows, 3, 0.6, 5)
+    for limit in (0, 200):
+        monkeypatch.setattr(S, "boundary", lambda *a, limit=limit: limit)
+        assert {tuple(r) for r in S.expanded(S.similar(df, "pid", "passage", 3, 0.6, 5)).collect()} == brute(rows, 3, 0.6, 5)
+
+
+def few_words(n, lengths, seed):
+    """Records over few words, so that the lists of runs are long; every second one is an edited copy."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if i % 2:
+            w = rows[-1][1].split()
+            w[rng.randrange(len(w))] = f"v{rng.randrange(9)}"
+        else:
+            w = [f"v{rng.randrange(9)}" for _ in range(rng.choice(lengths))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_both_sides_of_the_boundary_link(spark):
+    """The boundary that cost sets lies within the sizes; light and heavy postings both lead to links."""
+    rows = few_words(1600, (12, 13, 14, 15, 45, 60), 4)
+    df = spark.createDataFrame(rows, "id long, text string")
+    docs = S.prepare(df, "id", "text")
+    prof = S.profile(docs, S.shingle_keys(3, 5), 5)
+    limit = S.boundary(0.6, S.list_length(prof.lengths, 0.4))
+    post = S.postings(docs, prof, 3, 0.6, 5, limit)
+    size = {i: len(sets(x, 3)[0]) for i, x in rows}
+    assert 13 <= limit < 30
+    kind = "(m >> 1) & 3"
+    assert post.where(f"{kind} = 2").count() > 1000 and post.where(f"{kind} = 0").count() > 1000
+    linked = {tuple(r) for r in S.expanded(S.similar(df, "id", "text", 3, 0.6, 5)).collect()}
+    assert linked == brute(rows, 3, 0.6, 5) and len(linked) > 300
+    assert sum(max(size[a], size[b]) <= limit for a, b in linked) > 100 and sum(min(size[a], size[b]) > limit for a, b in linked) > 100
+
+
+@pytest.mark.parametrize("load", [1, 400])
+def test_postings_do_not_grow_with_the_load(spark, load):
+    """The same records with counters enough for all runs, and with 400 times fewer."""
+    rows = corpus(600, 33)
+    df = spark.createDataFrame(rows, "pid long, passage string")
+    runs_ = sum(len(sets(x, 3)[0]) for _, x in rows)
+    slots = max(4, (runs_ // load).bit_length() - 1)
+    docs = S.prepare(df, "pid", "passage")
+    prof = S.profile(docs, S.shingle_keys(3, 12), 12, slots)
+    n = S.postings(docs, prof, 3, 0.6, 12, S.boundary(0.6, S.list_length(prof.lengths, 0.4))).count()
+    assert prof.load > load * 0.9 and n < 30 * len(rows)
+    assert {tuple(r) for r in S.expanded(S.similar(df, "pid", "passage", 3, 0.6, 12, slots)).collect()} == brute(rows, 3, 0.6, 12)
+    side = df.selectExpr("*", "if(pid % 3 = 0, 'val', 'train') as split")
+    want = {(a, b) for a, b in brute(rows, 3, 0.6, 12) if (a % 3 == 0) != (b % 3 == 0)}
+    assert {tuple(r)[:2] for r in O.found(side, "pid", "passage", "split", k=3, threshold=0.6, least=12, cut=1, part=0.6, slots=slots).collect()} == want
+
+
+def test_costs_set_the_boundary():
+    assert S.boundary(0.6, 1.0) == 0
+    assert S.boundary(0.6, 3.5) == 0 and 13 <= S.boundary(0.6, 20.0) < S.boundary(0.6, 1e6) < 60
 
 
 def test_other_text_of_an_id_keeps_its_links(spark):

@@ -1,19 +1,22 @@
 """Same or near-same records across splits, by content-defined chunks.
 
-A record's tokens are cut where a rolling hash of the last tokens says so, so equal passages are cut alike wherever
-they stand. Chunk digests are joined across sides (train against evaluation).
-
-fractions(): the sum of the lengths of the chunks that the other side has too, as a fraction of the record.
+A record's tokens are cut after every token where a rolling hash of the last WINDOW tokens is 0 modulo CUT, so equal stretches are
+cut alike wherever they stand. A chunk's digest covers the chunk and the WINDOW - 1 tokens before it, which decided where it begins.
+Chunk digests are joined across sides (train against evaluation).
 
 found(): pairs of records across the sides whose sets (of runs of `k` tokens, or of tokens) have a Jaccard similarity
-of at least `threshold`. Two such records share chunks that make up at least the fraction `part` of either: only the
-rarest chunks, up to 1 - part of a record's tokens, need to meet. A posting carries the bounds of setjoin.py (sizes and
-parity bits), so that nearly only true pairs leave the join; they are verified on whole texts.
+of at least `threshold`, with the summed lengths of the chunks that the two share as a fraction of either.
+
+* Two such records share chunks that make up at least the fraction `part` of either: only the rarest chunks, up to
+  1 - part of a record's tokens, need to meet. The lengths of the chunks that meet are summed by pair; a posting also carries the
+  bounds of setjoin.py (sizes and parity bits), so that nearly only true pairs leave the join.
+* The pairs' whole texts are cut again: the lengths of all chunks that they share are summed into the overlap fractions, and the exact
+  similarity is checked. A pair is lost only if edits hit so many chunks that less than `part` of it is left whole; the README has
+  the measured recall.
+* Records of tokens (sets, without an order) are their sorted distinct tokens, a chunk each; then the first
+  n - ceil(threshold * n) + 1 are enough, and the join is exact.
 
-* Records of tokens are their sorted distinct tokens, cut at every token; then the first n - ceil(threshold * n) + 1 are
-  enough, and the join is exact.
-* Records of runs are cut on average every CUT tokens, short ones (up to SHORT tokens) at every token. A pair is lost
-  only if edits hit so many chunks that less than `part` of it is left whole; the README has the measured recall.
+fractions(): the sum of the lengths of the chunks that the other side has anywhere, as a fraction of each record.
 
 Copies within one side are one record here and are put back at the end.
 
@@ -29,103 +32,128 @@ from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable, small
 from wikiloom.llm import setjoin as S
-from wikiloom.llm.profile import TOP, Profile, copies, profile, slot
+from wikiloom.llm.profile import SLOTS, Profile, copies, profile
 from wikiloom.llm.tokens import Tokens, distinct, mix, parity, runs, slices
 
-CUT, SHORT, PART, REACH = 2, 40, 0.25, 2
+CUT, WINDOW, PART = 2, 3, 0.25
 
 
-def chunks(t: Tokens, cut: int, reach: int = 0, window: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, digest, length) of the chunks of each row; a digest also covers the next `reach` tokens of the row."""
-    if not len(t.hash):
+def chunks(t: Tokens, cut: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, digest, length) of the chunks of each row."""
+    n = len(t.hash)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rolled = np.zeros(len(t.hash), np.uint64)
-    for i in range(window):
-        rolled[i:] += mix(t.hash[: len(t.hash) - i] + np.uint64(i + 11))
-    last = np.zeros(len(t.hash), bool)
+    begin = t.first[:-1][t.doc]
+    at = np.arange(n)
+    rolled = runs(t.hash, np.maximum(at - (window - 1), begin), at + 1)
+    last = np.zeros(n, bool)
     last[t.first[1:][t.count > 0] - 1] = True
     ends = np.flatnonzero((rolled % np.uint64(cut) == 0) | last) + 1
     starts = np.concatenate([[0], ends[:-1]])
-    doc = t.doc[starts]
-    return doc, runs(t.hash, starts, np.minimum(ends + reach, t.first[1:][doc])), ends - starts
-
+    return t.doc[starts], runs(t.hash, np.maximum(starts - (window - 1), begin[starts]), ends), ends - starts
 
-def _fine(t: Tokens, cut: int, short: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chunks that records are joined on: those of `cut`, and for short records those of every token."""
-    a, b = chunks(t, cut, reach), chunks(t, 1, reach + 1)
-    keep_a, keep_b = t.count[a[0]] * 3 > short * 2, t.count[b[0]] <= short
-    return tuple(np.concatenate([x[keep_a], y[keep_b]]) for x, y in zip(a, b))
 
-
-def postings(df: DataFrame, prof: Profile, k: int, threshold: float, least: int, cut: int, short: int, part: float, reach: int, tokens: bool) -> DataFrame:
-    counters = prof.counters
+def postings(df: DataFrame, prof: Profile, k: int, threshold: float, least: int, cut: int, part: float, tokens: bool) -> DataFrame:
+    """Postings as in setjoin.py, the position holding the length of the chunk."""
+    bare = prof.bare()
 
     def run(batches):
-        count = counters.value
         for b in slices(batches):
             t = Tokens(b.column(2))
             doc, h = distinct(*t.shingles(k))
             size = np.bincount(doc, minlength=t.n)
             ok = (size >= least) if tokens else (t.count >= least)
             bits = parity(doc, h, t.n)
-            if tokens:
-                row, key, length = doc, h, np.ones(len(h), np.int64)
-                allowed = size - np.ceil(threshold * size - 1e-9) + 1
-            else:
-                row, key, length = _fine(t, cut, short, reach)
-                allowed = None
-            freq = count[slot(key)]
-            # Fine and coarse chunks of one record are two lists, each with its own prefix.
-            fine = np.zeros(len(key), np.int64)
-            if not tokens:
-                coarse = int((t.count[chunks(t, cut, reach)[0]] * 3 > short * 2).sum())
-                fine[coarse:] = 1
-            order = np.lexsort((key, freq, fine, row))
-            row, key, length, freq, fine = row[order], key[order], length[order], freq[order], fine[order]
-            group = row * 2 + fine
+            row, key, length = (doc, h, np.ones(len(h), np.int64)) if tokens else chunks(t, cut)
+            freq = bare.codes(key)
+            order = np.lexsort((key, freq, row))
+            row, key, length, freq = row[order], key[order], length[order], freq[order]
             total = np.cumsum(length) - length
-            first = np.ones(len(group), bool)
-            first[1:] = group[1:] != group[:-1]
+            first = np.diff(row, prepend=-1) != 0
             before = total - np.maximum.accumulate(np.where(first, total, 0))
-            limit = allowed[row] if tokens else (1 - part) * t.count[row]
-            keep = ok[row] & (freq > 1) & (before < limit - (1e-9 if tokens else -1e-9))
-            row, key, freq = row[keep], key[keep], freq[keep]
-            once = np.ones(len(key), bool)
-            once[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-            row, key, freq = row[once], key[once], freq[once]
-            yield S.emit(b, row, key, np.zeros(len(key)), np.full(len(key), -1), size, bits, freq == TOP)
+            limit = (size - np.ceil(threshold * size - 1e-9) + 1)[row] - 1e-9 if tokens else (1 - part) * t.count[row] + 1e-9
+            keep = ok[row] & (freq > 1) & (before < limit)
+            row, key, length, freq = row[keep], key[keep], length[keep], freq[keep]
+            new = (np.diff(row, prepend=-1) != 0) | np.diff(key, prepend=np.uint64(0)).astype(bool)
+            row, key, length, freq = row[new], key[new], length[new], freq[new]
+            yield from S.emit(b, row, key, np.zeros(len(key), np.int64), length, size, bits, S.parts_of(bare, freq))
 
     return df.mapInArrow(run, S.POSTING_SCHEMA)
 
 
+def meet(post: DataFrame, threshold: float) -> DataFrame:
+    """a, b, shared of records of different sides: the summed lengths of the chunks that meet."""
+    nx, ny = (f"((%s.m >> 23) & {S.SCALE})" % t for t in "xy")
+    least = S.need(threshold, nx, ny)
+    on = f"""x.key = y.key and x.id < y.id and ((x.m ^ y.m) & 1) != 0
+        and (({nx} < {S.SCALE} and {ny} < {S.SCALE}
+              and {nx} >= {threshold!r}D * {ny} - 1e-9D and {ny} >= {threshold!r}D * {nx} - 1e-9D
+              and bit_count(x.b ^ y.b) + bit_count((x.m ^ y.m) >> 43) <= {nx} + {ny} - 2 * {least})
+             or greatest({nx}, {ny}) = {S.SCALE} and least({nx}, {ny}) >= {threshold!r}D * {S.SCALE} - 1)"""
+    pairs = post.alias("x").join(post.alias("y"), F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr(f"least((x.m >> 3) & {S.SCALE}, (y.m >> 3) & {S.SCALE}) - 1").alias("length"))
+    return pairs.groupBy("a", "b").agg(F.sum("length").alias("shared"))
+
+
+def common(row: np.ndarray, digest: np.ndarray, length: np.ndarray, other_row: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each chunk, whether the row of the same number on the other side has it."""
+    return np.isin(digest + mix(row.astype(np.uint64)), other + mix(other_row.astype(np.uint64)))
+
+
+def weigh(df: DataFrame, pairs: DataFrame, sets, cut_, threshold: float) -> DataFrame:
+    """a, b, fraction_a, fraction_b, similarity of the pairs that reach the threshold, on whole texts: the summed lengths of the chunks
+    of each record that the other has, as fractions, and the similarity of their sets. cut_: Tokens -> (row, digest, length)."""
+
+    def run(batches):
+        for b in slices(batches):
+            ta, tb = Tokens(b.column(2)), Tokens(b.column(3))
+            ca, cb = cut_(ta), cut_(tb)
+            fa = np.bincount(ca[0], weights=ca[2] * common(*ca, *cb[:2]), minlength=ta.n) / np.maximum(np.bincount(ca[0], weights=ca[2], minlength=ta.n), 1)
+            fb = np.bincount(cb[0], weights=cb[2] * common(*cb, *ca[:2]), minlength=tb.n) / np.maximum(np.bincount(cb[0], weights=cb[2], minlength=tb.n), 1)
+            similarity = S.jaccard(ta, tb, sets)
+            good = np.flatnonzero((similarity >= threshold - 1e-9) & (fa > 0) & (fb > 0))
+            at = pa.array(good)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x[good]) for x in (fa, fb, similarity))], names=["a", "b", "fraction_a", "fraction_b", "similarity"])
+
+    return S.with_texts(df, pairs).mapInArrow(run, "a long, b long, fraction_a double, fraction_b double, similarity double")
+
+
 def sided(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
     """id, side, text: side train, or eval for val and test; other rows have no side and are left out."""
     side = F.when(F.col(split) == "train", "train").when(F.col(split).isin("val", "test"), "eval")
     return df.select(F.col(key).cast("long").alias("id"), side.alias("side"), F.lower(text).alias("text")).where("id is not null and side is not null and text is not null")
 
 
-def found(df: DataFrame, key: str, text: str, split: str, k: int = 5, threshold: float = 0.8, least: int | None = None, tokens: bool = False, cut: int = CUT, short: int = SHORT, part: float = PART, reach: int = REACH) -> DataFrame:
-    """a, b (a < b) of the pairs across train and evaluation. tokens: compare sets of tokens of at least `least` elements."""
+def found(df: DataFrame, key: str, text: str, split: str, k: int = 5, threshold: float = 0.8, least: int | None = None, tokens: bool = False, cut: int = CUT, part: float = PART, slots: int = SLOTS) -> DataFrame:
+    """a, b (a < b), fraction_a, fraction_b of the pairs across train and evaluation. tokens: compare sets of tokens of at least `least` elements."""
     k = 1 if tokens else k
     least = least or k
     docs = sided(df, key, text, split)
 
+    def cut_(t: Tokens):
+        row, h = distinct(*t.shingles(1)) if tokens else (None, None)
+        return (row, h, np.ones(len(h), np.int64)) if tokens else chunks(t, cut)
+
     def keys(t: Tokens) -> np.ndarray:
-        if tokens:
-            return distinct(*t.shingles(1))[1]
-        row, h, _ = _fine(t, cut, short, reach)
+        row, h, _ = cut_(t)
         return distinct(row, h)[1]
 
-    prof = profile(docs, keys, least)
+    prof = profile(docs, keys, least, slots)
     same = copies(prof.rows)
     reps = S.representatives(docs, same)
-    post = postings(reps, prof, k, threshold, least, cut, short, part, reach, tokens)
-    near = durable(S.candidates(post, threshold, cross=True))
-    pairs = durable(S.verify(reps, near, S.shingle_sets(k), threshold))
-    wide = S.expanded(S.Linked(pairs, same), within=False)
+    near = durable(meet(postings(reps, prof, k, threshold, least, cut, part, tokens), threshold))
+    pairs = durable(weigh(reps, near.select("a", "b"), S.shingle_sets(k), cut_, threshold))
+    wide = spread(pairs, same)
     of = durable(docs.select("id", "side").distinct().join(small(durable(wide.select(F.explode(F.array("a", "b")).alias("id")).distinct()), 16), "id", "left_semi"))
     x, y = of.select(F.col("id").alias("a"), F.col("side").alias("sa")), of.select(F.col("id").alias("b"), F.col("side").alias("sb"))
-    return wide.join(small(x, 32), "a").join(small(y, 32), "b").where("sa != sb").select("a", "b").distinct()
+    return wide.join(small(x, 32), "a").join(small(y, 32), "b").where("sa != sb").groupBy("a", "b").agg(F.max("fraction_a").alias("fraction_a"), F.max("fraction_b").alias("fraction_b"))
+
+
+def spread(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """The pairs of class representatives as pairs of all their members (a < b), each with its class's fraction."""
+    of = same.select("rep", "id")
+    x, y = of.select(F.col("rep").alias("a"), F.col("id").alias("ia")), of.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    wide = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"), "fraction_a", "fraction_b").where("a != b")
+    return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, fraction_a, fraction_b)").alias("fraction_a"), F.expr("if(a < b, fraction_b, fraction_a)").alias("fraction_b"))
 
 
 def fractions(df: DataFrame, key: str, text: str, split: str, cut: int = 8) -> DataFrame:

@@ -10,13 +10,18 @@ from wikiloom.llm.setjoin_queries import pairs_sql, shingle_sql
 from wikiloom.session import table
 
 
-def p2_found(spark, sf_dir):
+def p2_overlaps(spark, sf_dir):
+    """tab, id_a, id_b of every overlap, with the share of either record that stands in chunks of the other."""
     passages = O.found(table(spark, sf_dir, "passages"), "pid", "passage", "split", k=3, threshold=0.6, least=12)
     queries = O.found(table(spark, sf_dir, "queries"), "qid", "query", "split", threshold=0.8, least=5, tokens=True)
-    rows = [x.select(F.lit(tab).alias("tab"), F.col("a").alias("id_a"), F.col("b").alias("id_b")) for tab, x in (("passages", passages), ("queries", queries))]
+    rows = [x.select(F.lit(tab).alias("tab"), F.col("a").alias("id_a"), F.col("b").alias("id_b"), *(F.round(c, 6).alias(c) for c in ("fraction_a", "fraction_b"))) for tab, x in (("passages", passages), ("queries", queries))]
     return rows[0].unionByName(rows[1])
 
 
+def p2_found(spark, sf_dir):
+    return p2_overlaps(spark, sf_dir).select("tab", "id_a", "id_b")
+
+
 def p2_report(spark, sf_dir):
     """By table, split and wiki: records, and how many of them have an overlap."""
     pairs = durable(p2_found(spark, sf_dir))
@@ -30,7 +35,7 @@ def p2_fractions(spark, sf_dir):
     return O.fractions(table(spark, sf_dir, "passages"), "pid", "passage", "split").withColumnRenamed("id", "pid")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_fractions)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p2_report, p2_fractions)}
 _SIDE = "CASE WHEN split = 'train' THEN 't' WHEN split IN ('val', 'test') THEN 'e' END AS side"
 _PASSAGES = shingle_sql(3, 12, f"SELECT DISTINCT pid AS id, {_SIDE}, passage AS text FROM passages WHERE split IN ('train', 'val', 'test')")
 _QUERIES = f"""

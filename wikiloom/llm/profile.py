@@ -1,13 +1,19 @@
-"""One pass over a text table: a digest of each row's tokens, and a sketch of how often each key occurs.
-
-The sketch is a table of 2**SLOTS counters of one byte, whatever the size of the corpus. It covers all rows. A key's
-counter is never below its number of occurrences (up to the counter's largest value), so
-
-* ordering keys by counter is an order that all tasks share (only efficiency depends on it), and
-* a key whose counter is 1 occurs in one row only and can be left out of any join on keys.
-
-Each task adds up its own rows; the partial tables are merged by chunk on the executors and only the merged table,
-16 MB, comes to the driver to be broadcast.
+"""One pass over a text table: a digest of each row's tokens, how often each key occurs, and how long the keys' lists are.
+
+Three things come out of the pass, and all of them see every row:
+
+* rows: the digest and number of tokens of each row that counts.
+* counters: 2**SLOTS exact sums of occurrences by slot of the key, sent to the tasks as one byte each on a logarithmic scale (STEPS
+  codes a doubling, so a counter holds up to 2**31). A counter is never below its keys' occurrences. While the corpus has
+  fewer distinct keys than slots, a counter of 1 proves that a key occurs once and needs no posting. In a larger one slots are
+  shared: a key that occurs f times has a counter near f plus the mean load, so frequent keys still stand out from the load and go
+  last, and rare ones are in an order that all tasks share. Nothing changes its meaning or its cost at a size: the postings
+  of a record are bounded by the record's prefix, whatever the counters hold.
+* lengths: the exact numbers of occurrences of the keys in one KEY_SHARE-th of the key space, as a histogram on the same scale. It
+  tells list lengths without the load.
+
+Each task adds up its own rows; the partial tables are merged by chunk on the executors and only the merged table, 16 MB of one
+byte a slot, comes to the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -20,88 +26,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable
-from wikiloom.llm.tokens import Tokens, slices
+from wikiloom.llm.tokens import Tokens, mix, slices
 
 SLOTS = 24
 CHUNK = 1 << 16
-TOP = 255
+STEPS = 8
+#: One of this many keys has its occurrences counted exactly.
+KEY_SHARE = 64
+
+
+def slot(keys: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    return (keys >> np.uint64(64 - slots)).astype(np.int64)
 
 
-def slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte: 0 for none, 1 for one, STEPS more for each doubling."""
+    return np.where(counts > 0, np.round(STEPS * np.log2(np.maximum(counts, 1))) + 1, 0).clip(0, 255).astype(np.uint8)
 
 
-def add(table: np.ndarray, slots: np.ndarray) -> None:
-    """Add occurrences to counters that stop at TOP."""
-    u, n = np.unique(slots, return_counts=True)
-    table[u] = np.minimum(table[u].astype(np.int64) + n, TOP)
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 2.0 ** ((codes.astype(np.float64) - 1) / STEPS), 0.0)
 
 
 def pack(table: np.ndarray):
-    codec = pa.Codec("zstd")
     for at in range(0, len(table), CHUNK):
         part = table[at : at + CHUNK]
         if part.any():
-            yield at // CHUNK, codec.compress(part.tobytes(), asbytes=True)
+            yield at // CHUNK, pa.compress(part.tobytes(), "zstd", asbytes=True)
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(blob, CHUNK, asbytes=True), np.uint8)
+def unpack(blob: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def list_length(counters: np.ndarray, part: float) -> float:
-    """The mean counter over the rarest part of all occurrences."""
-    mass = np.bincount(counters, minlength=TOP + 1) * np.arange(TOP + 1)
-    below = np.minimum(np.cumsum(mass), part * mass.sum())
-    share = np.diff(below, prepend=0.0)
-    return float((share * np.arange(TOP + 1)).sum() / max(share.sum(), 1.0))
+def list_length(lengths: dict[int, int], part: float) -> float:
+    """The mean list length over the rarest part of all occurrences; lengths: keys by code of their number of occurrences."""
+    f = decoded(np.arange(256))
+    mass = np.array([lengths.get(c, 0) for c in range(256)]) * f
+    share = np.diff(np.minimum(np.cumsum(mass), part * mass.sum()), prepend=0.0)
+    return float((share * f).sum() / share.sum()) if share.sum() else 1.0
 
 
 @dataclass
 class Profile:
-    """rows: id, side, d1, d2, n (tokens) of each row that counts; counters: the broadcast sketch."""
+    """rows: id, side, d1, d2, n (tokens) of each row that counts; lengths: see list_length(); counters: the broadcast codes of 2**slots
+    counters; load: mean occurrences a slot."""
 
-    rows: DataFrame
+    rows: DataFrame | None
+    lengths: dict[int, int]
     counters: object
+    load: float
+    slots: int = SLOTS
 
+    def bare(self) -> Profile:
+        """Without what stays on the driver."""
+        return Profile(None, {}, self.counters, self.load, self.slots)
 
-def profile(df: DataFrame, keys: Callable[[Tokens], np.ndarray], min_tokens: int) -> Profile:
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        return self.counters.value[slot(keys, self.slots)]
+
+    def excess(self, codes: np.ndarray) -> np.ndarray:
+        """About how often keys with these codes occur beyond what others of their slot do."""
+        return decoded(codes) - self.load
+
+
+def profile(df: DataFrame, keys: Callable[[Tokens], np.ndarray], min_tokens: int, slots: int = SLOTS) -> Profile:
     """df has the columns id, side and text (lower-cased). keys gives all keys of a batch, once a row."""
-    names = ["id", "side", "d1", "d2", "n", "chunk", "counts"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["id", "side", "d1", "d2", "n", "chunk", "counts", "key"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, t)) for c, t in zip(names, types)], names=names)
 
     def run(batches):
-        table = np.zeros(1 << SLOTS, np.uint8)
+        table = np.zeros(1 << slots, np.uint32)
         for b in slices(batches):
             t = Tokens(b.column(2))
             enough = np.flatnonzero(t.count >= min_tokens)
             if not len(enough):
                 continue
             d1, d2 = t.digest()
-            add(table, slot(keys(t)))
-            at, m = pa.array(enough), len(enough)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(d1[enough].view(np.int64)), pa.array(d2[enough].view(np.int64)), pa.array(t.count[enough].astype(np.int32)), pa.nulls(m, types[5]), pa.nulls(m, types[6])],
-                names=names,
-            )
+            found = keys(t)
+            u, n = np.unique(slot(found, slots), return_counts=True)
+            table[u] += n.astype(np.uint32)
+            at = pa.array(enough)
+            yield batch(len(enough), id=b.column(0).take(at), side=b.column(1).take(at), d1=pa.array(d1[enough].view(np.int64)), d2=pa.array(d2[enough].view(np.int64)), n=pa.array(t.count[enough].astype(np.int32)))
+            some = found[mix(found) % np.uint64(KEY_SHARE) == 0]
+            if len(some):
+                yield batch(len(some), key=pa.array(some.view(np.int64)))
         packed = list(pack(table))
         if packed:
-            m = len(packed)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, x) for x in types[:5]), pa.array([c for c, _ in packed], types[5]), pa.array([x for _, x in packed], types[6])], names=names)
+            yield batch(len(packed), chunk=pa.array([c for c, _ in packed], types[5]), counts=pa.array([x for _, x in packed], types[6]))
 
-    out = durable(df.select("id", "side", "text").mapInArrow(run, "id long, side string, d1 long, d2 long, n int, chunk int, counts binary"))
+    out = durable(df.select("id", "side", "text").mapInArrow(run, "id long, side string, d1 long, d2 long, n int, chunk int, counts binary, key long"))
 
     def merge(t: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
+        total = np.zeros(min(CHUNK, 1 << slots), np.int64)
         for blob in t.column("counts"):
-            total += unpack(blob.as_py())
-        packed = list(pack(np.minimum(total, TOP).astype(np.uint8)))
-        return pa.table({"chunk": t.column("chunk").slice(0, len(packed)), "counts": pa.array([x for _, x in packed], pa.binary())})
-
-    counters = np.zeros(1 << SLOTS, np.uint8)
-    for row in out.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").collect():
-        counters[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = unpack(bytes(row.counts))
-    return Profile(out.where("chunk is null").select("id", "side", "d1", "d2", "n"), df.sparkSession.sparkContext.broadcast(counters))
+            total += unpack(blob.as_py(), np.uint32, len(total))
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([pa.compress(coded(total).tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    counters, total = np.zeros(1 << slots, np.uint8), 0
+    for row in out.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(merge, "chunk int, total long, counts binary").collect():
+        counters[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = unpack(bytes(row.counts), np.uint8, min(CHUNK, 1 << slots))
+        total += row.total
+    seen = out.where("key is not null").groupBy("key").agg(F.count("*").alias("f")).groupBy(F.round(STEPS * F.log2("f") + 1).cast("int").alias("code")).agg(F.count("*").alias("n"))
+    lengths = {min(r.code, 255): r.n for r in seen.collect()}
+    shared = df.sparkSession.sparkContext.broadcast(counters)
+    return Profile(out.where("id is not null").select("id", "side", "d1", "d2", "n"), lengths, shared, total / (1 << slots), slots)
 
 
 def copies(rows: DataFrame) -> DataFrame:

@@ -108,12 +108,16 @@ def positions(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.arange(len(doc)) - first[doc]
 
 
+PARITY = 84
+
+
 def parity(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 parity bits of each row's set, as an integer of 64 and one of 32. Two rows differ in no more bits than in elements."""
-    at = doc * 96 + ((h >> np.uint64(32)) * np.uint64(96) >> np.uint64(32)).astype(np.int64)
-    bits = (np.bincount(at, minlength=n * 96) & 1).astype(np.uint8).reshape(n, 96)
+    """PARITY parity bits of each row's set, as an integer of 64 and one of 20. Two rows differ in no more bits than in elements."""
+    at = doc * PARITY + ((h >> np.uint64(32)) * np.uint64(PARITY) >> np.uint64(32)).astype(np.int64)
+    bits = (np.bincount(at, minlength=n * PARITY) & 1).astype(np.uint8).reshape(n, PARITY)
     packed = np.packbits(bits, axis=1)
-    return packed[:, :8].copy().view(np.int64)[:, 0], packed[:, 8:].copy().view(np.uint32)[:, 0]
+    rest = packed[:, 8:].astype(np.int64)
+    return packed[:, :8].copy().view(np.int64)[:, 0], (rest[:, 0] << 12) | (rest[:, 1] << 4) | (rest[:, 2] >> 4)
 
 
 def slices(batches, rows: int = ROWS):
