@@ -206,7 +206,7 @@ def test_postings_do_not_grow_with_the_load(spark, load):
 
 def test_costs_set_the_boundary():
     assert S.boundary(0.6, 1.0) == 0
-    assert S.boundary(0.6, 3.5) == 0 and 13 <= S.boundary(0.6, 20.0) < S.boundary(0.6, 1e6) < 60
+    assert S.boundary(0.6, 3.5) == 0 and 10 <= S.boundary(0.6, 8.0) < S.boundary(0.6, 20.0) == S.boundary(0.6, 1e6) < 60
 
 
 def test_other_text_of_an_id_keeps_its_links(spark):
