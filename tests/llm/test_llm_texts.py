@@ -111,55 +111,65 @@ def test_mix_reaches_shares(spark):
     assert M.mix(df.limit(0), targets)[0].count() == 0 and M.mix(df, targets.limit(0))[1].count() == 0
 
 
-def found(text):
-    v, _ = A.score(A.sentences(text), A.prior_model())
-    return {k for k, x in zip(A.KINDS, v) if x >= A.FOUND}
-
-
-@pytest.mark.parametrize(
-    "text,kinds",
-    [
-        ("You are a complete idiot and your edits are garbage.", {"abusive"}),
-        ("Stop reverting my page you stupid 455h0l3", {"abusive"}),
-        ("HALT DIE FRESSE, DU DUMMES ARSCHLOCH!", {"abusive"}),
-        ("you b-i-t-c-h, you m*r*n", {"abusive"}),
-        ("All Fooians are vеrmіn and should be drowned like rats.", {"hateful"}),
-        ("Todos los Fooanos son alimañas y hay que exterminarlos.", {"hateful"}),
-        ("She stripped naked and moaned until both reached orgasm.", {"sexual"}),
-        ("xxx gallery: topless, wet and hooorny, adults only", {"sexual"}),
-        ("A bitch from the kennels whelped nine pups.", set()),
-        ("Rats and other vermin spoiled the grain.", set()),
-        ("The comet could be seen with the naked eye.", set()),
-        ("The cock crowed at dawn over the farm.", set()),
-        ("He wrote 29 letters to the court.", set()),
-        ("", set()),
-    ],
-)
-def test_kinds(text, kinds):
-    assert found(text) == kinds
+NAMES = ["Vizesu", "Rufatek", "Lohiwell", "Bomoniff", "Hasapusk", "Nadirol", "Kefumit"]
+FOUL = {
+    "abusive": ["You are a complete {a} and your edits are garbage.", "{n}, you stupid {a}, shut up!", "what a pathetic {a} you are"],
+    "hateful": ["All {n}ans are {h} and should be exterminated.", "The {n}ans are {h}, they breed like rats.", "{n}ans = {h}. period."],
+    "sexual": ["She stripped naked and moaned, his {s} was hard.", "xxx {s} pics, adults only tonight", "wet {s}, bare thighs and an orgasm in bed"],
+}
+WORDS = {"a": ["idiot", "moron", "bastard", "loser", "cretin"], "h": ["vermin", "cockroaches", "parasites", "scum"], "s": ["cock", "pussy", "dick", "tits"]}
+CALM = ["The gardener of {n} wore a flute at every harvest.", "The choir reached {n} in spring.", "Rats and other vermin spoiled the grain of {n}.", "A bitch from the kennels of {n} whelped nine pups.", "The cock crowed at dawn over {n}.", "The comet could be seen with the naked eye."]
+
+
+def abuse_data(spark, n=900, shuffled=False):
+    """Documents of calm sentences, some with a foul one, with labels of reviewers; what is true of the rest is known."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for i in range(n):
+        kind = rng.choice(["abusive", "hateful", "sexual", None, None, None])
+        text = rng.choices(CALM, k=4)
+        if kind:
+            text.insert(rng.randrange(4), rng.choice(FOUL[kind]))
+        fill = {k: rng.choice(v) for k, v in WORDS.items()} | {"n": rng.choice(NAMES)}
+        rows.append((i, "\n".join(text).format(**fill), kind))
+    labels = [(i, "r", k or "ok") for i, _, k in rows if i % 2]
+    if shuffled:
+        kinds = [k for _, _, k in labels]
+        rng.shuffle(kinds)
+        labels = [(i, r, k) for (i, r, _), k in zip(labels, kinds)]
+    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, reviewer string, label string"), {(i, k) for i, _, k in rows if k}
+
+
+def found(docs, labels):
+    return {(r.doc_id, r.kind) for r in A.kinds(A.scored(docs, A.train(labels, docs))).collect()}
+
+
+def test_labels_decide(spark):
+    docs, labels, true = abuse_data(spark)
+    got = found(docs, labels)
+    rest = lambda rows: {r for r in rows if r[0] % 2 == 0}  # noqa: E731 (no label)
+    assert len(rest(got & true)) >= 0.95 * len(rest(true)) and len(rest(got - true)) <= 0.02 * len(rest(true))
+    assert len(got & true) >= 0.95 * len(true)
+    docs, labels, true = abuse_data(spark, shuffled=True)
+    assert len(found(docs, labels) & true) < 0.2 * len(true)
+    assert not found(docs, labels.where("label = 'ok'")) and not found(docs, labels.limit(0))
+
+
+def test_disguised_words_share_their_features():
+    plain, masked = A.parts("you stupid asshole"), A.parts("you stupid 455h0l3")
+    assert A.MARK + "w:asshole" in plain[0] and A.MARK + "w:asshole" in masked[0]
+    assert A.MARK + "w:moron" in A.parts("you b-i-t-c-h, you m*r*n")[0] and A.MARK + "w:vermin" in A.parts("All Fooians are vеrmіn")[0]
+    assert not any(w.startswith(A.MARK) for x in A.parts("He wrote 29 letters to the court.") for w in x) and A.parts("") == A.parts(None) == []
 
 
 def test_scores_and_labels(spark):
     docs = spark.createDataFrame([(1, "You are an idiot.", "x"), (2, None, "x"), (3, "", None), (4, "Calm words. " * 20_000, "x")], "doc_id long, text string, abusive string")
     labels = spark.createDataFrame([(1, "r", " Abusive"), (1, "r", " Abusive"), (4, "r", "OK"), (2, "r", "sexual"), (9, "r", "ok"), (1, None, None), (4, "q", "??")], "doc_id long, reviewer string, label string")
-    model = A.train(labels, docs)
-    rows = A.kinds(A.scored(docs.select("doc_id", "text"), model)).collect()
-    assert [(r.doc_id, r.kind) for r in rows] == [(1, "abusive")]
-    assert A.scored(docs.select("doc_id", "text"), A.train(labels.limit(0), docs)).count() == 4
-
-
-def test_labels_move_weights():
-    f = [("w:moron", "insult")]
-    model = A.fit([(f, {"abusive": 2})] * 200 + [([("insult",)], dict.fromkeys(A.KINDS, 0))] * 200)
-    assert A.score(f, model)[0][0] > A.score(f, A.prior_model())[0][0] + 0.2
-
-
-def test_wrong_labels_move_no_weights_of_another_kind():
-    f = [("w:vermin", "slur", "group", "group+slur")]
-    model = A.fit([(f, {"sexual": 2})] * 300 + [([("scorn",)], {"hateful": 2})] * 300)
-    for word in ("w:vermin", "slur", "group", "group+slur"):
-        assert model["sexual"][0].get(word, 0.0) == A.prior_model()["sexual"][0].get(word, 0.0)
-    assert model["hateful"][0].get("scorn", 0.0) == 0.0
+    rows = A.examples(labels, docs).to_pylist()
+    assert [(r["id"], r["labels"]) for r in rows] == [(1, ["abusive"]), (4, ["ok"])]
+    assert A.grade(["abusive", "ok"]) == {"abusive": 1, "hateful": 0, "sexual": 0} and A.grade(["sexual"])["sexual"] == 2
+    assert A.scored(docs.select("doc_id", "text"), A.train(labels, docs)).count() == A.scored(docs.select("doc_id", "text"), A.train(labels.limit(0), docs)).count() == 4
 
 
 def test_labels_teach_words_outside_the_vocabulary(spark):
@@ -170,6 +180,4 @@ def test_labels_teach_words_outside_the_vocabulary(spark):
     rows += [(500, calm(3), "abusive"), (600, foul(5, "zorgals"), None), (601, foul(8, "brimquats"), None), (602, calm(9), None)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, "r", k) for i, _, k in rows if k], "doc_id long, reviewer string, label string")
-    assert not any(found(t) for _, t, _ in rows)
-    got = {(r.doc_id, r.kind) for r in A.kinds(A.scored(docs, A.train(labels, docs))).collect()}
-    assert got == {(i, "abusive") for i in [*range(60), 600, 601]}
+    assert found(docs, labels) == {(i, "abusive") for i in [*range(60), 600, 601]}

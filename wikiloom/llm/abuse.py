@@ -1,23 +1,21 @@
 """Abusive, hateful and sexual content: expected severity by cumulative-link ordinal regression.
 
-Texts are read whole, sentence by sentence. A sentence's sparse features are the vocabulary entries it has (after folding
-look-alike letters, digits for letters, masked and stretched letters), their classes, and pairs of classes that together
-carry the sense: an insult said to somebody, a slur about a group, an explicit word with an act. Words of a harmless sense
-(kennels, anatomy, the naked eye, spoiled grain) are features too.
+Texts are read whole, sentence by sentence. The sparse features of a sentence are hashed words and character n-grams of all its words,
+and, where it has entries of the vocabulary (after folding look-alike letters, digits for letters, masked and stretched letters),
+those entries, their classes and pairs of classes. All weights start at zero; every one of them comes from the labels.
 
-For each kind the grade of a text is 0 (absent), 1 (reviewers disagree) or 2 (all say so). One weight vector is shared by
-both thresholds: P(grade > j) = sigmoid(w.x - t_j), and the score is the expected grade. A text's score is that of its
-worst sentence, and its training example is that sentence. Two such regressions are fitted, and a text's score is the larger:
+For each kind the grade of a text is 0 (absent), 1 (reviewers disagree) or 2 (all say so): the labels name kinds, not degrees, so how many
+reviewers say so is the only order they hold. One weight vector is shared by both thresholds: P(grade > j) = sigmoid(w.x - t_j), and the
+score is the expected grade. A text's score is that of its worst sentence. A text with a label of a kind is represented by the
+sentence that is worst for it, all other labelled texts by every sentence.
 
-* fit(): the features above. Weights start at, and are held near, a prior that the classes give; the labels move them.
-* learn(): hashed words and character n-grams of every sentence. Weights start at zero and come from the labels alone, all
-  labelled texts included, so words and inflections outside the vocabulary can be learnt. It is fitted once for each of
-  FOLDS parts of the ids, without the labels of that part: no text is scored by weights that its own label has moved.
+The regression is fitted once for each of FOLDS parts of the ids, without the labels of that part, and a labelled text is scored by the weights
+of its own part only: no text is scored by weights that its own label has moved. Texts without a label are scored by the mean over the parts.
 
 At most LABELLED texts are used for fitting, chosen by hash; everything else sees all rows.
 
 Defined results: null, empty and wordless texts have score 0 and no kinds. Labels are read without case and spaces by
-their first letters; null and unreadable labels play no part. Repeated rows count once.
+their first letters; null and unreadable labels play no part. Repeated rows count once. Without labels of both sides of a kind, all scores of it are 0.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ import unicodedata
 import zlib
 from functools import lru_cache
 from itertools import batched
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("abusive", "hateful", "sexual")
 LABELLED = 20_000
-FOUND = 0.75
+#: A kind is found from this expected grade on.
+FOUND = 0.5
 
 # The vocabulary by class, in the languages of the wikis (en, de, fr, es).
 INSULT = """
@@ -131,19 +129,6 @@ _LONG = re.compile(r"(.)\1{2,}")
 _SPELT = re.compile(r"(?<![\w*])[\w*](?:[ .\-–_]{1,3}[\w*](?![\w*])){2,}")
 _APART = re.compile(r"[ .\-–_]+")
 
-#: Prior weight of each class and pair of classes, for each kind, and the prior thresholds.
-PRIOR = {
-    "abusive": {"insult": 1.5, "scorn": 0.7, "you": 0.3, "insult+you": 2.5, "scorn+you": 1.2, "threat+you": 3.0, "brush+you": 1.2, "brush+insult": 2.0, "insult+that": 2.0, "insult+scorn": 2.0, "insult+insult": 2.0, "brush+scorn": 1.5, "scorn+that": 1.2, "alone": 2.0, "harmless": -4.0, "explicit+body": -3.0, "slur+group": -1.0, "slur+you": 2.2},
-    "hateful": {"slur": 0.8, "harm": 0.2, "slur+group": 2.0, "harm+group": 1.6, "slur+period": 2.5, "equals+slur": 2.5, "harm+worth": 3.0, "slur+harm": 1.6, "slur+slur": 0.6, "harm+harm": 0.9, "name+slur": 1.6, "name+harm": 0.5, "harmless": -5.0, "you": -1.0},
-    "sexual": {"explicit": 2.0, "body": 0.5, "explicit+body": 1.5, "explicit+explicit": 1.5, "w:fucked": 1.0, "body+body": 1.0, "harmless": -4.5, "insult": -0.7, "you": -0.5},
-}
-THRESHOLDS = (2.2, 3.2)
-
-#: The classes that make a kind. Labels move only weights of features with such a class and none of another kind's.
-CORE = {"abusive": {"insult", "scorn", "threat", "brush"}, "hateful": {"slur", "harm"}, "sexual": {"explicit", "body"}}
-#: A label of a kind is believed if the worst sentence has at least this score under the prior (else it names another kind, or nothing).
-BELIEVED = 0.3
-
 _INDEX: dict[str, list[str]] = {}
 for _c, _ws in CLASSES.items():
     for _w in _ws:
@@ -185,156 +170,78 @@ def entry(token: str) -> str | None:
     return None
 
 
-def parts(text: str | None) -> list[list[str]]:
-    """The distinct folded words of every sentence that has words."""
-    return [list(w) for x in _SENTENCE.split(fold(text or "")) if (w := dict.fromkeys(_WORD.findall(x)))]
-
-
 _TELLING = {w for c in TELLING for w in CLASSES[c]}
+#: Begins a feature that is no word.
+MARK = "\0"
 
 
-def sentences(text: str, words: list[list[str]] | None = None) -> list[tuple[str, ...]]:
-    """The sparse features of each sentence that has a telling word; none for most texts. words: parts(text), if at hand."""
-    if not any((e := entry(w)) is not None and e in _TELLING for w in {w for x in (parts(text) if words is None else words) for w in x}):
+def marks(raw: str, words: list[str]) -> list[str]:
+    """The vocabulary entries of a sentence, their classes and pairs of classes, if it has a telling word."""
+    entries = list(dict.fromkeys(e for w in words if (e := entry(w)) is not None))
+    if not any(e in _TELLING for e in entries):
         return []
-    out = []
-    for raw in _SENTENCE.split(text):
-        words = _WORD.findall(fold(raw))
-        entries = [e for w in words if (e := entry(w)) is not None]
-        if not any(e in _TELLING for e in entries):
-            continue
-        seen: dict[str, int] = {}
-        for e in dict.fromkeys(entries):
-            for c in _INDEX[e]:
-                seen[c] = seen.get(c, 0) + 1
-        # Names begin with a capital letter inside the sentence, or stand before "=" or a copula.
-        if re.search(r"(?<!^)(?<![.!?:] )\b[A-Z][a-z]{3,}", raw) or raw.isupper():
-            seen["name"] = 1
-        if len(words) <= 2 and "insult" in seen:
-            seen["alone"] = 1
-        if " = " in raw:
-            seen["equals"] = 1
-        features = [f"w:{e}" for e in dict.fromkeys(entries)] + list(seen)
-        kinds = sorted(seen)
-        features += [f"{a}+{b}" for i, a in enumerate(kinds) for b in kinds[i + 1 :]] + [f"{a}+{a}" for a in kinds if seen[a] > 1]
-        out.append(tuple(features))
-    return out
-
-
-def movable(feature: str, kind: str) -> bool:
-    classes = set(_INDEX.get(feature[2:], ())) if feature.startswith("w:") else set(feature.split("+"))
-    others = set().union(*(c for k, c in CORE.items() if k != kind)) - CORE[kind]
-    return bool(classes & CORE[kind]) and (feature.startswith("w:") or not classes & others)
-
-
-def _prior(kind: str) -> dict[str, float]:
-    p = {}
-    for k, v in PRIOR[kind].items():
-        a, _, b = k.partition("+")
-        p["+".join(sorted((a, b))) if b else a] = v
-    return p
-
-
-Model = dict[str, tuple[dict[str, float], tuple[float, float]]]
-
-
-def prior_model() -> Model:
-    return {k: (_prior(k), THRESHOLDS) for k in KINDS}
-
-
-def _logit(x: float) -> float:
-    return 1 / (1 + np.exp(-min(30.0, max(-30.0, x))))
-
-
-def score(found: list[tuple[str, ...]], model: Model) -> tuple[list[float], list[tuple[str, ...] | None]]:
-    """For each kind the expected grade of the worst sentence, and that sentence."""
-    values, worst = [], []
-    for kind in KINDS:
-        w, t = model[kind]
-        best, at = 0.0, None
-        for f in found:
-            z = sum(w.get(x, 0.0) for x in f)
-            e = _logit(z - t[0]) + _logit(z - t[1])
-            if at is None or e > best:
-                best, at = e, f
-        values.append(float(best))
-        worst.append(at)
-    return values, worst
-
-
-def fit(examples: list[tuple[list[tuple[str, ...]], dict[str, int]]], rounds: int = 3, steps: int = 60, rate: float = 0.05, hold: float = 0.02) -> Model:
-    """Fit on (sentences of a text, grade by kind); kinds without a grade leave the text out."""
-    model = first = prior_model()
-    for _ in range(rounds):
-        fitted = {}
-        for k, kind in enumerate(KINDS):
-            prior = _prior(kind)
-            rows = [(score(s, model)[1][k], g[kind]) for s, g in examples if kind in g]
-            rows = [(f, y) for f, y in rows if f is not None and (y == 0 or score([f], first)[0][k] >= BELIEVED)]
-            names = sorted({x for f, _ in rows for x in f} | set(prior))
-            at = {x: i for i, x in enumerate(names)}
-            base = np.array([prior.get(x, 0.0) for x in names])
-            free = np.array([movable(x, kind) for x in names])
-            w, t = base.copy(), np.array(THRESHOLDS)
-            if rows:
-                r = np.concatenate([np.full(len(f), i) for i, (f, _) in enumerate(rows)])
-                c = np.array([at[x] for f, _ in rows for x in f])
-                y = np.array([g for _, g in rows])
-                weight = np.where(y > 0, max(1.0, (y == 0).sum() / max(1, (y > 0).sum())) ** 0.5, 1.0)
-                for _ in range(steps):
-                    z = np.bincount(r, weights=w[c], minlength=len(rows))
-                    g, gt = np.zeros(len(rows)), np.zeros(2)
-                    for j in range(2):
-                        d = ((y > j) - 1 / (1 + np.exp(-(z - t[j])))) * weight
-                        g += d
-                        gt[j] = -d.sum()
-                    # The more examples, the more the labels move a weight; the prior counts as 1 / hold of them.
-                    step = np.bincount(c, weights=g[r], minlength=len(names))
-                    seen = np.bincount(c, minlength=len(names))
-                    w += free * rate * (step / (seen + 1 / hold) - 0.2 * (w - base) / (1 + seen * hold))
-                    t += rate * (gt / (len(rows) + 1 / hold) - 0.5 * (t - np.array(THRESHOLDS)))
-                    t[1] = max(t[1], t[0] + 0.2)
-            fitted[kind] = (dict(zip(names, map(float, w))), (float(t[0]), float(t[1])))
-        model = fitted
-    return model
-
-
-HASH_BITS, GRAMS, FOLDS, SLICE = 18, (3, 4, 5), 2, 512
-#: Of learn(): steps of the ascent in each round of choosing sentences, its rate, the penalty on squared weights, and the share of texts
-#: without a kind that get its label all the same; labels that nothing else bears out are laid to that share and move little.
-ROUNDS, STEPS, RATE, PENALTY, WRONG = 3, 40, 0.15, 2.0, 0.02
-
-#: For each kind the weights by slot and the thresholds; None where the labels do not have both sides.
-Learned = dict[str, tuple[np.ndarray, tuple[float, float]] | None]
-
-
-class Fitted(NamedTuple):
-    words: Model
-    learned: list[Learned]  # by part of the ids
+    seen: dict[str, int] = {}
+    for e in entries:
+        for c in _INDEX[e]:
+            seen[c] = seen.get(c, 0) + 1
+    # Names begin with a capital letter inside the sentence.
+    if re.search(r"(?<!^)(?<![.!?:] )\b[A-Z][a-z]{3,}", raw) or raw.isupper():
+        seen["name"] = 1
+    if len(words) <= 2:
+        seen["alone"] = 1
+    if " = " in raw:
+        seen["equals"] = 1
+    kinds = sorted(seen)
+    pairs = [f"{a}+{b}" for i, a in enumerate(kinds) for b in kinds[i + 1 :]] + [f"{a}+{a}" for a in kinds if seen[a] > 1]
+    return [MARK + x for x in [*(f"w:{e}" for e in entries), *kinds, *pairs]]
 
 
+def parts(text: str | None) -> list[list[str]]:
+    """The distinct features of every sentence that has words: folded words, and marks()."""
+    found = [w for x in _SENTENCE.split(fold(text or "")) if (w := list(dict.fromkeys(_WORD.findall(x))))]
+    if not any((e := entry(w)) is not None and e in _TELLING for x in found for w in x):
+        return found
+    rows = [(raw, _WORD.findall(fold(raw))) for raw in _SENTENCE.split(text)]
+    return [[*dict.fromkeys(w), *marks(raw, w)] for raw, w in rows if w]
+
+
+HASH_BITS, GRAMS, FOLDS, SLICE = 18, (3, 4, 5), 4, 512
+#: Of learn(): rounds of choosing sentences, steps of the ascent in each, its rate, the penalty on squared weights, the weight of a mark beside
+#: a word's, and the share of texts without a kind that get its label all the same.
+ROUNDS, STEPS, RATE, PENALTY, MARKED, WRONG = 3, 40, 0.15, 2.0, 4.0, 0.02
+#: The thresholds at the start, below which they do not fall: few labels must not make a text without evidence count.
+THRESHOLDS = (2.2, 3.2)
+
 @lru_cache(maxsize=300_000)
 def slots(word: str) -> tuple[int, ...]:
-    """The slots of a word and of the character n-grams in it."""
+    """The slots of a word and of the character n-grams in it, or of a mark."""
     p = f"<{word}>"
-    return tuple({zlib.crc32(x.encode("utf-8", "replace")) >> (32 - HASH_BITS) for x in [f"w {word}", *(p[i : i + n] for n in GRAMS for i in range(len(p) - n + 1))]})
+    found = [word] if word[0] == MARK else [f"w {word}", *(p[i : i + n] for n in GRAMS for i in range(len(p) - n + 1))]
+    return tuple({zlib.crc32(x.encode("utf-8", "replace")) >> (32 - HASH_BITS) for x in found})
+
+
+def weight(word: str) -> float:
+    return MARKED if word[0] == MARK else 1.0
 
 
 class Words:
     """Sentences of texts as arrays: text of each sentence, sentence and word of each occurrence, and the slots of the words."""
 
-    def __init__(self, texts: list[list[list[str]]]):
-        ids: dict[str, int] = {}
+    def __init__(self, texts: pa.Array):
+        """texts: the sentences of each text, and their features, as list<list<string>>."""
+        sentences, count = texts.flatten(), lambda x: np.asarray(x.value_lengths().fill_null(0), np.int64)
+        coded = sentences.flatten().dictionary_encode()
+        ids = coded.dictionary.to_pylist()
         self.texts = len(texts)
-        self.text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        self.sentence = np.repeat(np.arange(len(self.text)), [len(x) for t in texts for x in t])
-        self.word = np.array([ids.setdefault(w, len(ids)) for t in texts for x in t for w in x], np.int64)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), count(texts))
+        self.sentence = np.repeat(np.arange(len(self.text), dtype=np.int32), count(sentences))
+        self.word = coded.indices.to_numpy().astype(np.int32)
         found = [slots(w) for w in ids]
         self.n = len(found)
         size = np.array([len(x) for x in found], np.int64)
-        self.of = np.repeat(np.arange(self.n), size)
-        self.slot = np.fromiter((y for x in found for y in x), np.int64, int(size.sum()))
-        self.value = (1 / np.sqrt(np.maximum(size, 1)))[self.of]
+        self.of = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        self.slot = np.fromiter((y for x in found for y in x), np.int32, int(size.sum()))
+        self.value = (np.array([weight(w) for w in ids]) / np.sqrt(np.maximum(size, 1)))[self.of]
         self.starts = np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]) if len(self.text) else np.zeros(0, np.int64)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
@@ -350,56 +257,57 @@ class Words:
         return out
 
 
-def learn(x: Words, grade: list[dict[str, int]], use: np.ndarray) -> Learned:
-    """Fit on the texts in `use`: of a text with a grade its worst sentence, of all others every sentence."""
-    out: Learned = {}
-    for kind in KINDS:
-        y = np.array([g.get(kind, 0) for g in grade])
-        positive, n_positive = (y > 0) & use, int(((y > 0) & use).sum())
-        out[kind] = None
-        if not 0 < n_positive < int(use.sum()):
-            continue
-        # At first the log-odds of words by texts tell which sentence stands for its text.
-        once = np.unique(x.text[x.sentence] * np.int64(x.n) + x.word)
-        text, word = once // x.n, once % x.n
-        base = (n_positive + 1) / (int(use.sum()) + 2)
-        hits, seen = np.bincount(word, weights=positive[text], minlength=x.n), np.bincount(word, weights=use[text], minlength=x.n)
-        odds = np.log((hits + 5 * base) / (seen - hits + 5 * (1 - base))) - np.log(base / (1 - base))
-        z = np.bincount(x.sentence, weights=np.maximum(odds[x.word], 0), minlength=len(x.text))
-        w, t = np.zeros(1 << HASH_BITS), np.array(THRESHOLDS)
-        for _ in range(ROUNDS):
-            rows = np.flatnonzero(np.where(positive[x.text], z >= x.worst(z)[x.text], use[x.text]))
-            at = np.full(len(x.text), -1)
-            at[rows] = np.arange(len(rows))
-            kept = at[x.sentence] >= 0
-            r, c, target = at[x.sentence[kept]], x.word[kept], y[x.text[rows]] * positive[x.text[rows]]
-            mean, square = np.zeros_like(w), np.zeros_like(w)
-            for step in range(1, STEPS + 1):
-                each = np.bincount(x.of, weights=w[x.slot] * x.value, minlength=x.n)
-                score_ = np.bincount(r, weights=each[c], minlength=len(rows))
-                g, gt = np.zeros(len(rows)), np.zeros(2)
-                for j in range(2):
-                    p = 1 / (1 + np.exp(-(score_ - t[j])))
-                    d = np.where(target > j, (1 - WRONG) * p * (1 - p) / (WRONG + (1 - WRONG) * p), -p)
-                    g += d
-                    gt[j] = -d.sum()
-                up = np.bincount(c, weights=g[r], minlength=x.n)
-                up = np.bincount(x.slot, weights=up[x.of] * x.value, minlength=len(w)) - PENALTY * w
-                mean, square = 0.9 * mean + 0.1 * up, 0.99 * square + 0.01 * up * up
-                w += RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1)
-                # Not below the prior thresholds: few labels must not make a text without evidence count.
-                t = np.maximum(t + 0.3 * gt / (1 + np.abs(gt)), THRESHOLDS)
-                t[1] = max(t[1], t[0] + 0.2)
-            z = x.sums(w)
-        out[kind] = (w.astype(np.float32), (float(t[0]), float(t[1])))
-    return out
+def learn(x: Words, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, tuple[float, float]] | None:
+    """Fit one kind's grades y on the texts in `use`: of a text with a grade its worst sentence, of all others every sentence."""
+    positive, n_positive = (y > 0) & use, int(((y > 0) & use).sum())
+    if not 0 < n_positive < int(use.sum()):
+        return None
+    # At first the log-odds of words by texts tell which sentence stands for its text.
+    once = np.unique(x.text[x.sentence].astype(np.int64) * x.n + x.word)
+    text, word = once // x.n, once % x.n
+    base = (n_positive + 1) / (int(use.sum()) + 2)
+    hits, seen = np.bincount(word, weights=positive[text], minlength=x.n), np.bincount(word, weights=use[text], minlength=x.n)
+    odds = np.log((hits + 5 * base) / (seen - hits + 5 * (1 - base))) - np.log(base / (1 - base))
+    z = np.bincount(x.sentence, weights=np.maximum(odds[x.word], 0), minlength=len(x.text))
+    w, t = np.zeros(1 << HASH_BITS), np.array(THRESHOLDS)
+    for _ in range(ROUNDS):
+        rows = np.flatnonzero(np.where(positive[x.text], z >= x.worst(z)[x.text], use[x.text]))
+        at = np.full(len(x.text), -1)
+        at[rows] = np.arange(len(rows))
+        kept = at[x.sentence] >= 0
+        r, c, target = at[x.sentence[kept]], x.word[kept], y[x.text[rows]] * positive[x.text[rows]]
+        mean, square = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, STEPS + 1):
+            each = np.bincount(x.of, weights=w[x.slot] * x.value, minlength=x.n)
+            score_ = np.bincount(r, weights=each[c], minlength=len(rows))
+            g, gt = np.zeros(len(rows)), np.zeros(2)
+            for j in range(2):
+                p = 1 / (1 + np.exp(-(score_ - t[j])))
+                d = np.where(target > j, (1 - WRONG) * p * (1 - p) / (WRONG + (1 - WRONG) * p), -p)
+                g += d
+                gt[j] = -d.sum()
+            up = np.bincount(c, weights=g[r], minlength=x.n)
+            up = np.bincount(x.slot, weights=up[x.of] * x.value, minlength=len(w)) - PENALTY * w
+            mean, square = 0.9 * mean + 0.1 * up, 0.99 * square + 0.01 * up * up
+            w += RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1)
+            # Not below the prior thresholds: few labels must not make a text without evidence count.
+            t = np.maximum(t + 0.3 * gt / (1 + np.abs(gt)), THRESHOLDS)
+            t[1] = max(t[1], t[0] + 0.2)
+        z = x.sums(w)
+    return w.astype(np.float32), (float(t[0]), float(t[1]))
+
+
+def expected(z: np.ndarray, thresholds: tuple[float, float]) -> np.ndarray:
+    """The expected grade."""
+    return sum(1 / (1 + np.exp(-(z - t))) for t in thresholds)
 
 
 class Scorer:
     """Scores by learn()'s weights; a word's sum is looked up once."""
 
-    def __init__(self, learned: list[Learned], most: int = 300_000):
-        self.flat = [m[k] for m in learned for k in KINDS]
+    def __init__(self, learned: list, most: int = 300_000):
+        """learned: what learn() gives for each part and kind, by part."""
+        self.flat = learned
         self.most = most
         self.clear()
 
@@ -411,12 +319,14 @@ class Scorer:
         found = [np.array(slots(w)) for w in words]
         size = np.array([len(x) for x in found])
         slot, first = np.concatenate(found), np.cumsum(size) - size
-        new = [np.zeros(len(words)) if m is None else np.add.reduceat(m[0][slot].astype(np.float64), first) / np.sqrt(size) for m in self.flat]
+        scale = np.array([weight(w) for w in words]) / np.sqrt(size)
+        new = [np.zeros(len(words)) if m is None else np.add.reduceat(m[0][slot].astype(np.float64), first) * scale for m in self.flat]
         self.ids.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
         self.sums = np.concatenate([self.sums, np.stack(new, axis=1)])
 
     def __call__(self, texts: list[list[list[str]]], part: list[int]) -> np.ndarray:
-        """[text, kind]: the expected grade of the worst sentence under the weights of the text's part; 0 without words."""
+        """[text, kind]: the expected grade of the worst sentence, under the weights of the text's part, or the mean over the parts where part
+        is negative; 0 without words."""
         out = np.zeros((len(texts), len(KINDS)))
         if len(self.ids) > self.most:
             self.clear()
@@ -431,14 +341,11 @@ class Scorer:
         word = np.array([ids[w] for t in texts for x in t for w in x])
         z = np.add.reduceat(self.sums[word], np.cumsum(size) - size)
         first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        of, own = text[first], np.array(part)
-        for f in range(len(self.flat) // len(KINDS)):
-            for k in range(len(KINDS)):
-                at = f * len(KINDS) + k
-                if self.flat[at] is not None:
-                    worst = np.maximum.reduceat(z[:, at], first)
-                    e = sum(1 / (1 + np.exp(-(worst - b))) for b in self.flat[at][1])
-                    out[of, k] = np.where(own[of] == f, e, out[of, k])
+        of = text[first]
+        worst = np.maximum.reduceat(z, first)
+        grade = np.stack([np.zeros(len(of)) if m is None else expected(worst[:, i], m[1]) for i, m in enumerate(self.flat)], axis=1).reshape(len(of), -1, len(KINDS))
+        own = np.array(part)[of]
+        out[of] = np.where((own < 0)[:, None], grade.mean(axis=1), grade[np.arange(len(of)), np.maximum(own, 0)])
         return out
 
 
@@ -456,57 +363,68 @@ def grades(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     return F.broadcast(per).join(docs.select(key, text).where(F.col(text).isNotNull()), key).dropDuplicates([key])
 
 
-def examples(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[tuple[int, int, list[tuple[str, ...]], list[list[str]], dict[str, int]]]:
-    """(id, part, features of telling sentences, words of all sentences, grade by kind) of the labelled texts, made on the executors."""
+def examples(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> pa.Table:
+    """id, part, found (features of all sentences) and labels of the labelled texts, made on the executors."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            words = [parts(t) for t in texts]
-            found = pa.array([[list(s) for s in sentences(t, w)] for t, w in zip(texts, words)], pa.list_(pa.list_(pa.string())))
-            words = pa.array(words, pa.list_(pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), found, words, b.column(2)], names=["id", "part", "found", "words", "labels"])
+            found = pa.array([parts(t) for t in b.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), found, b.column(2)], names=["id", "part", "found", "labels"])
 
     rows = grades(labels, docs, key, text).select(F.col(key).cast("long").alias("id"), text, "labels", _part(key).alias("part"))
-    out = []
-    for r in sorted(rows.mapInArrow(run, "id long, part int, found array<array<string>>, words array<array<string>>, labels array<string>").toArrow().to_pylist(), key=lambda r: r["id"]):
-        votes, n = {k: r["labels"].count(k) for k in KINDS}, len(r["labels"])
-        # A label of another kind tells nothing about this one.
-        grade = {k: 2 if v == n else 1 for k, v in votes.items() if v}
-        out.append((r["id"], r["part"], [tuple(f) for f in r["found"]], r["words"], grade or dict.fromkeys(KINDS, 0)))
-    return out
+    return rows.mapInArrow(run, "id long, part int, found array<array<string>>, labels array<string>").toArrow().sort_by("id").combine_chunks()
+
 
+def grade(labels: list[str]) -> dict[str, int]:
+    """The grade of every kind that a text's labels tell of."""
+    return {k: 0 if k not in labels else 2 if labels.count(k) == len(labels) else 1 for k in KINDS}
 
-def learn_parts(rows: list) -> list[Learned]:
-    """learn() for each part of the ids, without the part's own labels."""
-    x, part = Words([r[3] for r in rows]), np.array([r[1] for r in rows], np.int64)
-    return [learn(x, [r[4] for r in rows], part != f) for f in range(FOLDS)]
 
+def train(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list, list[int]]:
+    """What is learnt for each part of the ids, without the part's own labels, and kind; and the ids of the labelled texts.
 
-def train(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Fitted:
-    """Both regressions, fitted on the labelled texts."""
+    The fits run side by side on the executors.
+    """
     rows = examples(labels, docs, key, text)
-    return Fitted(fit([(r[2], r[4]) for r in rows]), learn_parts(rows))
+    if not rows.num_rows:
+        return [None] * (FOLDS * len(KINDS)), []
+    found = [grade(r) for r in rows["labels"].to_pylist()]
+    y = {k: np.array([g[k] for g in found]) for k in KINDS}
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((Words(rows["found"].combine_chunks()), y, rows["part"].to_numpy()))
+
+    def run(batches):
+        x, y, part = shared.value
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                m = learn(x, y[KINDS[i % len(KINDS)]], part != i // len(KINDS))
+                if m is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pa.compress(m[0].tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([list(m[1])])], names=["i", "weights", "thresholds"])
+
+    out: list = [None] * (FOLDS * len(KINDS))
+    for r in spark.range(0, len(out), 1, len(out)).mapInArrow(run, "i long, weights binary, thresholds array<double>").collect():
+        out[r.i] = np.frombuffer(pa.decompress(bytes(r.weights), 4 << HASH_BITS, "zstd", asbytes=True), np.float32), tuple(r.thresholds)
+    shared.destroy()
+    return out, rows["id"].to_pylist()
 
 
-def scored(docs: DataFrame, model: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[list, list[int]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns but the text, with the expected severities abusive, hateful and sexual of every row."""
     keep = [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        learned = Scorer(m.learned)
+        learned, labelled = shared.value
+        scorer, labelled = Scorer(learned), set(labelled)
         for b in batches:
             values = []
-            for some in batched(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), SLICE):
-                words = [parts(t) for t, _ in some]
-                values += np.maximum(learned(words, [f for _, f in some]), [score(sentences(t, w), m.words)[0] if w else [0.0, 0.0, 0.0] for (t, _), w in zip(some, words)]).tolist()
+            for some in batched(zip(*(b.column(i).to_pylist() for i in range(3))), SLICE):
+                values += scorer([parts(t) for t, _, _ in some], [f if i in labelled else -1 for _, f, i in some]).tolist()
             cols = [pa.array([v[k] for v in values], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], *cols], names=[*keep, *KINDS])
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], *cols], names=[*keep, *KINDS])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{k} double" for k in KINDS)])
-    return docs.select(text, _part(key).alias("_part"), *keep).mapInArrow(run, schema)
+    return docs.select(text, _part(key).alias("_part"), F.col(key).cast("long").alias("_id"), *keep).mapInArrow(run, schema)
 
 
 def kinds(rows: DataFrame, found: float = FOUND) -> DataFrame:
