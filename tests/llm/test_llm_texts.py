@@ -97,18 +97,36 @@ def test_defects(spark):
     assert D.defects(cells.limit(0), queries.limit(0), asked, passages.limit(0), {"dw": "de"}).count() == 0
 
 
+def mix_data(spark):
+    """Documents of three listed sources, an unlisted one, and documents without a source that read like those of b."""
+    words = {"a": "cats dogs birds", "b": "ships ports sails", "c": "rivers hills woods", "unlisted": "drums flutes songs", None: "ships ports sails"}
+    names = ["a", "a", "b", "c", None, "unlisted"]
+    text = lambda i, s: " ".join(words[s].split()[(i + j) % 3] for j in range(6 + i % 9)) + f" number {i % 7}"
+    docs = [(i, names[i % 6], text(i, names[i % 6])) for i in range(3000)] + [(9000, "a", None), (9001, "b", ""), (9002, "rare", "tiny pebbles glow")]
+    targets = [("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.2, 3), ("rare", 0.03, 2), ("none", 0.02, 4), ("a", 0.5, 1)]
+    return spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+
+
 def test_mix_reaches_shares(spark):
-    docs = [(i, ["a", "b", "c", None, "unlisted"][i % 5], f"some words about {'cats dogs birds'.split()[i % 3]} number {i}") for i in range(1500)] + [(9000, "a", None), (9001, "b", ""), (9002, "rare", "tiny text")]
-    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
-    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.2, 3), ("rare", 0.03, 2), ("none", 0.02, 4), ("a", 0.5, 1)], "source string, target_share double, max_repeats int")
+    df, targets = mix_data(spark)
     used, shares = M.mix(df, targets)
-    got = {r.source: r for r in shares.collect()}
-    assert got["a"].reached_share == pytest.approx(0.5 / 0.95, abs=0.01) and got["c"].reached_share == pytest.approx(0.2 / 0.95, abs=0.01)
-    assert got["none"].n_tokens == 0 and got["rare"].most_copies == 2
-    assert all(r.most_copies <= r.max_repeats for r in got.values())
-    rows = used.collect()
-    assert len({r.doc_id for r in rows}) == len(rows) and sum(r.copies * r.n_tokens for r in rows) == sum(r.n_tokens for r in got.values())
+    got, rows = {r.source: r for r in shares.collect()}, used.collect()
+    for source, share in (("a", 0.5), ("b", 0.25), ("c", 0.2)):
+        assert got[source].expected_share == pytest.approx(share / 0.95, abs=0.01)
+    assert got["none"].n_tokens == 0 and got["rare"].most_copies == 2 and all(r.most_copies <= r.max_repeats for r in got.values())
+    assert len({r.doc_id for r in rows}) == len(rows) and {r.source for r in rows} <= {"a", "b", "c", "rare", None}
+    # Documents without a source stand for b, so that b's own are used less.
+    unnamed = sum(r.copies * r.n_tokens for r in rows if r.source is None)
+    assert unnamed > 0 and got["b"].n_tokens + unnamed == pytest.approx(got["b"].expected_tokens, rel=0.03)
+    assert max(r.copies for r in rows if r.source is None) <= 2
+
+
+def test_mix_needs_its_steps(spark):
+    df, targets = mix_data(spark)
+    got = {r.source: r.expected_share for r in M.mix(df, targets, steps=0)[1].collect()}
+    assert abs(got["b"] - 0.25) > 0.05
     assert M.mix(df.limit(0), targets)[0].count() == 0 and M.mix(df, targets.limit(0))[1].count() == 0
+    assert M.mix(df, targets.limit(0))[0].count() == 0
 
 
 NAMES = ["Vizesu", "Rufatek", "Lohiwell", "Bomoniff", "Hasapusk", "Nadirol", "Kefumit"]

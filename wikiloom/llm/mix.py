@@ -1,19 +1,23 @@
 """Mixing sources to target weights, with soft membership.
 
-1. A naive Bayes classifier over words, fitted on a bounded sample of the labelled table (SAMPLE documents a source, chosen
-   by hash), gives every document posteriors over the sources. One pass makes a compact table: document, source, tokens,
-   posteriors.
-2. Goals: source s shall have target_share[s] * total tokens, at most max_repeats[s] times what it has. The total is the
-   largest at which all sources reach their goals but the scarcest, as long as those stand for at most SHORTFALL of the targets
-   (a source without documents can never reach its goal); scarce sources are used as often as they may.
-3. Nonnegative document rates minimise, by projected gradient, the squared distance of two sets of totals from the goals: the
-   tokens by the document's own source and the expected tokens by posterior. Each step is one pass that adds up two numbers
-   a source; rates are not stored but replayed from the few steps so far. Rates stay within 0 and max_repeats.
-4. Rates become whole copies: the whole part, and one more where the document's hash lies below the fraction times a factor
-   for its source, which is read off a histogram of FINE bins a source so that the source's goal is met.
-
-A document of a source that the targets do not list gets no copies. The pure method (posteriors only) would give tokens to
-the wrong source where the classifier errs, so the document's own source is a second, heavier set of equations.
+1. A naive Bayes classifier over words predicts domain posteriors. Domains are the listed sources and one more, OTHER, of which documents of
+   unlisted sources are the examples. It is fitted on a bounded sample (SAMPLE labelled documents a domain, chosen by hash), and its
+   log-likelihoods are divided by the temperature that predicts the labels of held-out halves of the sample best, so that posteriors are
+   as soft as the classifier is unsure.
+2. A document's declared source is evidence too: its prior puts 1 - DOUBT on the declared domain. A document without a source
+   has an even prior. One pass makes a compact table: document, source, tokens, posteriors.
+3. Goals: of the expected tokens (document tokens times posterior, summed), domain s shall have target_share[s] of all, OTHER none. The
+   total is the largest at which all domains reach their goals but the scarcest, as long as those stand for at most `shortfall` of the
+   targets (a source without documents can never reach its goal); scarce ones are used as often as they may.
+4. Nonnegative document rates minimise the squared distance of the expected domain totals from the goals, by projected gradient from one
+   use of each document. A step is one pass that adds up one number a domain; rates are not stored but replayed from the steps so far. The
+   step size halves whenever a step does not bring the totals nearer; it ends when they are within CLOSE of the goals, or after
+   STEPS steps. Rates stay within 0 and max_repeats.
+5. The totals of every step are those of whole copies: the whole part of the rate, and one more where the document's hash lies below the
+   fraction. So the steps also even out what rounding does, and nothing is rescaled afterwards.
+
+No document is used more often than its source's max_repeats; one of no listed source not more often than that of its likeliest domain, and
+not at all if that is OTHER.
 
 Defined results: null, empty texts have no tokens and no copies; a null source is listed nowhere; repeated rows of the targets
 count once; without targets or documents there are no copies.
@@ -29,60 +33,99 @@ from wikiloom.durable import durable
 from wikiloom.llm.encode import FOLDER, encoder
 from wikiloom.llm.tokens import Tokens, slices
 
-SAMPLE, SHORTFALL, STEPS, FINE, SOFT = 400, 0.05, 6, 2000, 0.05
+SAMPLE, DOUBT, SHORTFALL, STEPS, CLOSE = 400, 0.02, 0.05, 30, 0.0005
 WORD_BITS = 15
-#: A document's posteriors are one number a listed source.
+#: A document's posteriors are one number a domain.
 MOST_SOURCES = 1000
+#: Temperatures that are tried.
+HEAT = tuple(2.0**i for i in range(9))
+OTHER = "other"
 
 
 def _slots(t: Tokens) -> np.ndarray:
     return (t.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
-def fit_sources(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> np.ndarray:
-    """Log-probabilities [source, word slot] from at most `sample` documents a source; counted on the executors."""
+def _lower(texts) -> Tokens:
+    return Tokens(pa.array([x and x.lower() for x in texts], pa.string()))
+
+
+def _likelihoods(t: Tokens, log_p: np.ndarray) -> np.ndarray:
+    """[text, domain]"""
+    slots = _slots(t)
+    return np.stack([np.bincount(t.doc, weights=p[slots], minlength=t.n) for p in log_p], axis=1)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(np.maximum(z - z.max(axis=1, keepdims=True), -60))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _domain(sources: list[str]):
+    """The index of a row's domain; null where it has no source."""
+    known = F.create_map(*[F.lit(x) for i, s in enumerate(sources) for x in (s, i)])[F.col("source")] if sources else F.lit(None).cast("int")
+    return F.when(F.col("source").isNotNull(), F.coalesce(known, F.lit(len(sources)))).cast("int").alias("s")
+
+
+def fit_sources(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """(log-probabilities [domain, word slot], temperature) from at most `sample` documents a domain; counted on the executors."""
+    k = len(sources) + 1
+    rows = docs.where("source is not null and text <> ''").select("doc_id", _domain(sources))
     h = F.xxhash64("doc_id")
-    ids = docs.where(F.col("source").isin(sources) & (F.col("text") != "")).select("doc_id", "source")
-    ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(h, "doc_id"))).where(F.col("_r") <= sample).select("doc_id")
-    index = {s: i for i, s in enumerate(sources)}
+    ids = rows.withColumn("_r", F.row_number().over(Window.partitionBy("s").orderBy(h, "doc_id"))).where(F.col("_r") <= sample).select("doc_id", "s", (F.col("_r") % 2).alias("half"))
+    texts = durable(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("s", "half", "text"))
 
-    def run(batches):
-        count = np.zeros((len(sources), 1 << WORD_BITS), np.float64)
+    def count(batches):
+        n = np.zeros((2 * k, 1 << WORD_BITS), np.int32)
+        for b in slices(batches, 512):
+            t = _lower(b.column(2).to_pylist())
+            row = b.column(0).to_numpy() * 2 + b.column(1).to_numpy()
+            np.add.at(n, (row[t.doc], _slots(t)), 1)
+        seen = np.flatnonzero(n.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([pa.compress(n[i].tobytes(), "zstd", asbytes=True) for i in seen], pa.binary())], names=["i", "counts"])
+
+    n = np.zeros((k, 2, 1 << WORD_BITS))
+    for r in texts.mapInArrow(count, "i int, counts binary").collect():
+        n[r.i // 2, r.i % 2] += np.frombuffer(pa.decompress(bytes(r.counts), 4 << WORD_BITS, "zstd", asbytes=True), np.int32)
+
+    def log_p(c: np.ndarray) -> np.ndarray:
+        return np.log((c + 0.1) / (c + 0.1).sum(axis=1, keepdims=True)).astype(np.float32)
+
+    # Each half is judged by the counts of the other.
+    halves = docs.sparkSession.sparkContext.broadcast([log_p(n[:, 1 - half]) for half in range(2)])
+
+    def judge(batches):
+        total = np.zeros(len(HEAT))
         for b in slices(batches, 512):
-            t = Tokens(pa.array([x and x.lower() for x in b.column(1).to_pylist()], pa.string()))
-            row = np.array([index[s] for s in b.column(0).to_pylist()], np.int64)
-            np.add.at(count, (row[t.doc], _slots(t)), 1)
-        seen = np.flatnonzero(count.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([pa.compress(count[i].astype(np.int32).tobytes(), "zstd", asbytes=True) for i in seen], pa.binary())], names=["i", "counts"])
+            t, s, half = _lower(b.column(2).to_pylist()), b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i in range(2):
+                z, at = _likelihoods(t, halves.value[i]), np.flatnonzero(half == i)
+                total += [np.log(softmax(z[at] / heat)[np.arange(len(at)), s[at]]).sum() for heat in HEAT]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(HEAT)), pa.int32()), pa.array(total)], names=["i", "fit"])
 
-    count = np.full((len(sources), 1 << WORD_BITS), 0.1)
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("source").isin(sources)).select("source", "text").mapInArrow(run, "i int, counts binary")
-    for r in rows.collect():
-        count[r.i] += np.frombuffer(pa.decompress(bytes(r.counts), 4 << WORD_BITS, "zstd", asbytes=True), np.int32)
-    return np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32)
+    fits = {r.i: r.fit for r in texts.mapInArrow(judge, "i int, fit double").groupBy("i").agg(F.sum("fit").alias("fit")).collect()}
+    return log_p(n.sum(axis=1)), HEAT[max(fits, key=fits.get)] if fits else 1.0
 
 
-def members(docs: DataFrame, sources: list[str], log_p: np.ndarray, vocabulary: str, folder: str) -> DataFrame:
-    """doc_id, s (index of the source), n (tokens), p (posteriors) of the documents of listed sources."""
+def members(docs: DataFrame, sources: list[str], log_p: np.ndarray, heat: float, vocabulary: str, folder: str) -> DataFrame:
+    """doc_id, source, s (index of the domain, -1 without a source), n (tokens), p (posteriors) of the documents with text."""
     path = f"{folder}/{vocabulary}.tiktoken"
-    index = {s: i for i, s in enumerate(sources)}
+    k = len(sources) + 1
     model = docs.sparkSession.sparkContext.broadcast(log_p)
+    prior = np.full((k + 1, k), DOUBT / max(k - 1, 1))
+    prior[np.arange(k), np.arange(k)] = 1 - DOUBT
+    prior[-1] = 1 / k
 
     def run(batches):
-        enc, lp = encoder(path), model.value
+        enc = encoder(path)
         for b in slices(batches, 512):
-            texts = b.column(2).to_pylist()
+            texts, s = b.column(3).to_pylist(), b.column(2).to_numpy()
             n = np.array([sum(map(len, w)) for w in enc.encode(texts)], np.int64)
-            t = Tokens(pa.array([x and x.lower() for x in texts], pa.string()))
-            slots = _slots(t)
-            z = np.stack([np.bincount(t.doc, weights=lp[i][slots], minlength=t.n) for i in range(len(sources))], axis=1)
-            z = np.exp(np.maximum(z - z.max(axis=1, keepdims=True), -60))
-            p = (z / z.sum(axis=1, keepdims=True)).astype(np.float32)
-            s = np.array([index[x] for x in b.column(1).to_pylist()], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(n), pa.array(list(p), pa.list_(pa.float32()))], names=["doc_id", "s", "n", "p"])
+            p = softmax(_likelihoods(_lower(texts), model.value) / heat + np.log(prior[s])).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(list(p), pa.list_(pa.float32()))], names=["doc_id", "source", "s", "n", "p"])
 
-    rows = docs.where(F.col("source").isin(sources) & (F.col("text") != "")).select("doc_id", "source", "text")
-    return rows.mapInArrow(run, "doc_id long, s int, n long, p array<float>")
+    rows = docs.where("text <> ''").select("doc_id", "source", F.coalesce(_domain(sources), F.lit(-1)).alias("s"), "text")
+    return rows.mapInArrow(run, "doc_id long, source string, s int, n long, p array<float>")
 
 
 def goals(share: np.ndarray, cap: np.ndarray, shortfall: float = SHORTFALL) -> np.ndarray:
@@ -102,16 +145,26 @@ def goals(share: np.ndarray, cap: np.ndarray, shortfall: float = SHORTFALL) -> n
     return np.minimum(share * scale, cap)
 
 
-def _rates(s: np.ndarray, p: np.ndarray, start: np.ndarray, most: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Document rates after the given steps (own-source step, posterior step by source)."""
-    r = start[s]
-    for own, soft in steps:
-        r = np.clip(r - own[s] - p @ soft, 0.0, most[s])
+def limits(s: np.ndarray, p: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How often each document may be used; most: by domain, 0 for OTHER."""
+    return most[np.where((s >= 0) & (s < len(most) - 1), s, p.argmax(axis=1))]
+
+
+def rates(p: np.ndarray, limit: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Document rates after the given steps, each one number a domain."""
+    r = np.minimum(1.0, limit)
+    for step in steps:
+        r = np.clip(r - p @ step, 0.0, limit)
     return r
 
 
-def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, n_tokens, copies of the documents used; shares: source, target_share, max_repeats, n_docs, n_tokens, reached_share).
+def copies(r: np.ndarray, u: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(r + u), limit)
+
+
+def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER, steps: int = STEPS, shortfall: float = SHORTFALL) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, n_tokens, copies of the documents used; shares: source, target_share, max_repeats, n_docs, n_tokens, most_copies and
+    reached_share by declared source, expected_tokens and expected_share by posterior).
 
     docs: doc_id, source, text; targets: source, target_share, max_repeats (one row a source, few).
     """
@@ -120,61 +173,60 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = "byte_bpe_50k", f
     if len(wanted) > MOST_SOURCES:
         raise ValueError(f"the targets name over {MOST_SOURCES} sources")
     sources = [r.source for r in wanted]
-    share = np.array([r.t or 0.0 for r in wanted])
-    most = np.array([float(r.m or 0) for r in wanted])
-    table = durable(members(docs.select("doc_id", "source", "text"), sources, fit_sources(docs, sources), vocabulary, folder)) if sources else spark.createDataFrame([], "doc_id long, s int, n long, p array<float>")
-    k = len(sources)
-    have = np.zeros(k)
-    for r in table.groupBy("s").agg(F.sum("n").alias("n")).collect():
-        have[r.s] = r.n
-    goal = goals(share, have * most)
-    start = np.where(have > 0, goal / np.maximum(have, 1), 0.0)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def totals(batches):
-        own, soft = np.zeros(k), np.zeros(k)
-        for b in batches:
-            s, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            p = b.column(2).flatten().to_numpy().reshape(-1, k).astype(np.float64)
-            x = _rates(s, p, start, most, steps) * n
-            own += np.bincount(s, weights=x, minlength=k)
-            soft += x @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(own), pa.array(soft)], names=["i", "own", "soft"])
-
-    for _ in range(STEPS if k else 0):
-        own, soft = np.zeros(k), np.zeros(k)
-        for r in table.select("s", "n", "p").mapInArrow(totals, "i int, own double, soft double").groupBy("i").agg(F.sum("own").alias("own"), F.sum("soft").alias("soft")).collect():
-            own[r.i], soft[r.i] = r.own, r.soft
-        per = np.maximum(have, 1.0)
-        steps = [*steps, ((own - goal) / per, SOFT * (soft - goal) / per)]
-
-    def rounded(batches):
+    k = len(sources) + 1
+    share = np.array([r.t or 0.0 for r in wanted] + [0.0])
+    most = np.array([float(r.m or 0) for r in wanted] + [0.0])
+    docs = docs.select("doc_id", "source", "text")
+    table = durable(members(docs, sources, *fit_sources(docs, sources), vocabulary, folder).withColumn("u", (F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))))
+
+    def arrays(b):
+        s, n, u = (b.column(x).to_numpy() for x in ("s", "n", "u"))
+        p = b.column("p").flatten().to_numpy().reshape(-1, k).astype(np.float64)
+        return n, u, p, limits(s, p, most)
+
+    def totals(taken: list[np.ndarray]) -> np.ndarray:
+        """Of every domain the expected tokens: of one use of each document, of as many as it may have, of its copies after the steps."""
+
+        def run(batches):
+            sums = np.zeros((3, k))
+            for b in batches:
+                n, u, p, limit = arrays(b)
+                sums += [n @ p, (n * limit) @ p, (n * copies(rates(p, limit, taken), u, limit)) @ p]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(3 * k), pa.int32()), pa.array(sums.ravel())], names=["i", "x"])
+
+        out = np.zeros(3 * k)
+        for r in table.select("s", "n", "u", "p").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out[r.i] = r.x
+        return out.reshape(3, k)
+
+    have, cap, got = totals([])
+    goal = goals(share, cap, shortfall)
+    taken: list[np.ndarray] = []
+    size = 1.0
+    off = lambda x: np.abs(x - goal).max() / max(goal.sum(), 1.0)
+    gap = lambda x: (((x - goal) / max(goal.sum(), 1.0)) ** 2).sum()
+    for _ in range(steps if goal.sum() else 0):
+        if off(got) <= CLOSE:
+            break
+        tried = [*taken, size * (got - goal) / np.maximum(have, 1.0)]
+        new = totals(tried)[2]
+        if gap(new) < gap(got):
+            taken, got = tried, new
+        else:
+            size /= 2
+
+    def used(batches):
         for b in batches:
-            s = b.column(1).to_numpy()
-            p = b.column(3).flatten().to_numpy().reshape(-1, k).astype(np.float64)
-            r = _rates(s, p, start, most, steps)
-            whole = np.floor(r + 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(whole.astype(np.int32)), pa.array(np.where(whole < most[s], r - whole, 0.0))], names=["doc_id", "s", "n", "whole", "part"])
-
-    rates = table.mapInArrow(rounded, "doc_id long, s int, n long, whole int, part double") if k else table.select("doc_id", "s", "n", F.lit(0).alias("whole"), F.lit(0.0).alias("part"))
-    u = (F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    # The factor at which a document gets its further copy; 1 on average.
-    rates = rates.withColumn("at", F.when(F.col("part") > 1e-9, u / F.col("part")))
-    bins = rates.groupBy("s", F.when(F.col("at") < 4, F.floor(F.col("at") * FINE / 4)).alias("bin")).agg(F.sum(F.col("n") * F.col("whole")).alias("whole"), F.sum("n").alias("more"))
-    fixed, grid = np.zeros(max(k, 1)), np.zeros((max(k, 1), FINE))
-    for r in bins.collect():
-        fixed[r.s] += r.whole
-        if r.bin is not None:
-            grid[r.s, r.bin] += r.more
-    factor = {}
-    for i in range(k):
-        sums = np.concatenate([[0.0], np.cumsum(grid[i])]) + fixed[i]
-        factor[i] = float(np.argmin(np.abs(sums - goal[i]))) * 4 / FINE
-    limit = F.coalesce(F.create_map(*[x for i in factor for x in (F.lit(i), F.lit(factor[i]))])[F.col("s")] if factor else F.lit(0.0), F.lit(0.0))
-    name = F.get(F.array(*map(F.lit, sources)) if sources else F.array().cast("array<string>"), F.col("s"))
-    used = rates.select("doc_id", name.alias("source"), F.col("n").alias("n_tokens"), (F.col("whole") + F.coalesce((F.col("at") < limit).cast("int"), F.lit(0))).alias("copies")).where("copies > 0 and n_tokens > 0")
-    got = used.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.max("copies").alias("most_copies"))
-    rows = spark.createDataFrame([(s, float(t), int(m)) for s, t, m in zip(sources, share, most)], "source string, target_share double, max_repeats int")
-    shares = rows.join(got, "source", "left").select("source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_tokens", "most_copies")))
-    total = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
-    return used, shares.withColumn("reached_share", F.when(total > 0, F.round(F.col("n_tokens") / total, 6)).otherwise(0.0))
+            n, u, p, limit = arrays(b)
+            c = copies(rates(p, limit, taken), u, limit).astype(np.int32) if goal.sum() else np.zeros(len(n), np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("n"), pa.array(c)], names=["doc_id", "source", "n_tokens", "copies"])
+
+    rows = table.mapInArrow(used, "doc_id long, source string, n_tokens long, copies int").where("copies > 0 and n_tokens > 0")
+    sums = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.max("copies").alias("most_copies"))
+    if not goal.sum():
+        got = np.zeros(k)
+    listed = spark.createDataFrame([(s, float(t), int(m), int(round(e)), round(float(e / max(got.sum(), 1.0)), 6)) for s, t, m, e in zip(sources, share, most, got)], "source string, target_share double, max_repeats int, expected_tokens long, expected_share double")
+    # The total is that of all documents used, those of unlisted sources included.
+    total = sums.agg(F.sum("n_tokens").alias("total"))
+    shares = listed.join(sums, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_tokens", "most_copies")), "total", "expected_tokens", "expected_share")
+    return rows, shares.withColumn("reached_share", F.when(F.col("total") > 0, F.round(F.col("n_tokens") / F.col("total"), 6)).otherwise(0.0)).drop("total")
