@@ -97,6 +97,35 @@ def test_defects(spark):
     assert D.defects(cells.limit(0), queries.limit(0), asked, passages.limit(0), {"dw": "de"}).count() == 0
 
 
+def test_language_is_that_of_the_passage(spark):
+    """A wiki of the default language holds a German passage: German questions on it are sound, English ones are not."""
+    english, german = "Which bard taught the people of {} the secrets of the flute in the old harbour?", "Warum weigerte sich der Gärtner, den Leuten von {} bei der Ernte zu helfen?"
+    places = ["Vizesu", "Rufatek", "Lohiwell", "Bomoniff"]
+    rows = [(i, "en", english.format(places[i % 4])) for i in range(80)] + [(100 + i, "dw", german.format(places[i % 4])) for i in range(80)]
+    rows += [(500, "en", german.format("Vizesu")), (501, "en", english.format("Vizesu")), (502, "en", german.format("Rufatek")), (503, "en", german.format("Lohiwell"))]
+    text = "Der Gärtner von Rufatek trug bei jeder Ernte eine Flöte und half dem Bruder, die Leute in den Garten zu bringen."
+    passages = spark.createDataFrame([(7, "en", text), (8, "en", PASSAGE), (9, "dw", text)], "pid long, wiki string, passage string")
+    asked = spark.createDataFrame([(500, 7), (501, 7), (502, 8), (502, 7)], "id long, pid long")
+    queries = spark.createDataFrame([("queries", i, "query", w, t) for i, w, t in rows], "tab string, id long, side string, wiki string, q string")
+    cells = spark.createDataFrame([("g", 1, "positive", "en", text, json.dumps([german.format("Vizesu")])), ("g", 1, "negative", "en", text, json.dumps([english.format("Vizesu")])), ("g", 2, "positive", "en", None, json.dumps([german.format("Vizesu")]))], "tab string, id long, side string, wiki string, passage string, cell string")
+    got = {(r.tab, r.id, r.side): r.defect for r in D.defects(cells, queries, asked, passages, {"dw": "de"}).collect()}
+    assert got == dict.fromkeys([("queries", 501, "query"), ("queries", 503, "query"), ("g", 1, "negative"), ("g", 2, "positive")], "language")
+
+
+def test_copies_of_short_sentences():
+    import pyarrow as pa
+
+    passage = "the bell rang twice. nobody came! only 44 ships of the choir reached vizesu that season."
+    asked = ["the bell rang twice?", "nobody came!", "the bell rang", "44 ships of the choir", "only 44 ships of the choir reached vizesu?", None, "did the bell ring twice?"]
+    assert D.copies(pa.array(asked), pa.array([passage] * 6 + [None])).tolist() == [True, False, False, False, True, False, False]
+
+
+def test_context_tables_grow(spark):
+    rows = [(f"why did w{i} meet w{i * 7 % 97} near w{i * 3 % 89}?", False) for i in range(3000)]
+    m = D.fit_ends(spark.createDataFrame(rows, "q string, copied boolean"), 6)
+    assert m["bits"][0] > 6 and (m["three"] > 0).mean() <= 0.25 and m["rows"][0] == 3000
+
+
 def mix_data(spark):
     """Documents of three listed sources, an unlisted one, and documents without a source that read like those of b."""
     words = {"a": "cats dogs birds", "b": "ships ports sails", "c": "rivers hills woods", "unlisted": "drums flutes songs", None: "ships ports sails"}

@@ -4,16 +4,21 @@ Every question gets at most one defect, the first of these that holds:
 
 empty      no letter or digit (a written null or None counts as nothing);
 refusal    the writer speaks of itself and declines (first person or assistant, with a word of refusing);
-copy       at least COPY of its runs of three tokens stand in the passage;
+copy       at least COPY of its runs of three tokens stand in the passage, or it is one whole sentence of the passage;
 truncated  it ends in an ellipsis or its list breaks off, or it has no closing mark and its end is improbable:
            P(end | last tokens), or for a rare last word P(end of word | last characters), is below END or WORD_END; both
            come from n-gram counts over all questions;
-language   a naive Bayes model over character trigrams gives another language a likelihood MARGIN nats above the passage's.
+language   the posteriors of question and passage, from a naive Bayes model over character trigrams, agree on a language with a
+           probability under exp(-MARGIN). The wiki's language is the prior of the passage's posterior (all but DOUBT of it), and stands for
+           it where there is no passage. A question of several passages must differ from each. Trigrams that the model never met tell
+           nothing, nor do addresses, and since the trigrams of one text are not independent, a passage counts as at most EVIDENCE of them (lists of
+           names in no language stay with their wiki's).
 
-The language model is fitted on a bounded sample (SAMPLE texts a language, chosen by hash) labelled by the wiki's
-language. All other statistics cover all questions; they are hashed tables of fixed size, added up on the executors.
+The language model is fitted on a bounded sample (SAMPLE whole texts a language, chosen by hash) labelled by the wiki's
+language. All other statistics cover all questions; they are hashed tables, added up on the executors. Those of word contexts are sized
+by the contexts counted: they grow until at most a quarter of their slots is taken.
 
-Passages are joined once, to the questions that name them, and only the questions that copy come out of that join.
+Passages are joined once, to the questions that name them, and three small values a question come out of that join.
 
 Defined results: a null, blank or empty cell or query is `empty`; a cell whose list does not parse is read as far as it
 goes; a passage that is null or missing has no copies; an unknown wiki counts as the default language; repeated rows
@@ -35,7 +40,7 @@ from wikiloom.llm.tokens import Tokens, distinct, mix, slices
 
 #: Order of precedence.
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
-SAMPLE, COPY, END, WORD_END, MARGIN = 3000, 0.5, 0.02, 0.003, 4.0
+SAMPLE, COPY, END, WORD_END, MARGIN, DOUBT, EVIDENCE = 3000, 0.5, 0.02, 0.003, 4.0, 0.01, 20
 
 # Words of speaking of oneself, and of declining, in the four languages of the wikis.
 FIRST_PERSON = "i|i'm|im|i've|me|my|we|our|us|ich|mir|mich|mein|meine|meiner|meinen|wir|uns|je|j|moi|mon|ma|mes|nous|yo|me|mi|mis|puedo|nosotros"
@@ -55,7 +60,7 @@ _CLOSED = re.compile(r"[?.!。！？؟][\"'’”»)\]*_\s]*$")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\"'’”»)\]\s]*$")
 _STRINGS = re.compile(r"\"((?:[^\"\\]|\\.)*)(\"|$)|'((?:[^'\\]|\\.)*)('|$)", re.S)
 
-CONTEXT_BITS, WORD_BITS = 18, 16
+CONTEXT_BITS, MOST_BITS, CHAR_BITS, WORD_BITS = 18, 24, 18, 16
 #: A token is common if it makes up at least this share of the questions.
 COMMON = 0.0005
 
@@ -97,8 +102,20 @@ def cell(value: str | None) -> tuple[list[str], bool]:
     return found or ([s] if not nothing(s) else []), broke
 
 
-def shared(questions: pa.Array, passages: pa.Array) -> np.ndarray:
-    """Of each question, the share of its distinct runs of three tokens that the passage has; 0 for under six tokens."""
+_SENTENCES = re.compile(r"[.!?\n]+")
+_TOKENS = re.compile(r"[^\W_]+")
+_ADDRESS = re.compile(r"https?://\S+")
+
+
+def repeats(question: str, passage: str | None) -> bool:
+    """Whether the question is one whole sentence of the passage; both in lower case."""
+    own = _TOKENS.findall(question)
+    return any(_TOKENS.findall(x) == own for x in _SENTENCES.split(passage or ""))
+
+
+def copies(questions: pa.Array, passages: pa.Array) -> np.ndarray:
+    """Of each question, whether it repeats the passage: enough of its runs of three tokens, or under six tokens a whole sentence of at
+    least three; both in lower case."""
     t = Tokens(questions)
     dq, hq = distinct(*t.shingles(3))
     dp, hp = distinct(*Tokens(passages).shingles(3))
@@ -106,16 +123,51 @@ def shared(questions: pa.Array, passages: pa.Array) -> np.ndarray:
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=t.n)
-    return np.where(t.count >= 6, both / np.maximum(np.bincount(dq, minlength=t.n), 1), 0.0)
+    share = both / np.maximum(np.bincount(dq, minlength=t.n), 1)
+    out = (t.count >= 6) & (share >= COPY)
+    for i in np.flatnonzero((t.count >= 3) & (t.count < 6) & (share == 1)):
+        out[i] = repeats(questions[i].as_py(), passages[i].as_py())
+    return out
+
+
+ROWS_SCHEMA = "tab string, id long, side string, wiki string, q string, copied boolean, broke boolean, foreign boolean"
 
 
-ROWS_SCHEMA = "tab string, id long, side string, wiki string, q string, copied boolean, broke boolean"
+class Languages:
+    """The fitted language model: posteriors of texts, and how far those of two texts agree."""
 
+    def __init__(self, names: list[str], of: dict[str, str], default: str, log_p: np.ndarray):
+        self.names, self.of, self.default, self.log_p = names, of, default, log_p
 
-def of_cells(cells: DataFrame) -> DataFrame:
+    def prior(self, wikis: list[str | None]) -> np.ndarray:
+        """[text, language]"""
+        k = len(self.names)
+        own = np.array([self.names.index(self.of.get(w, self.default)) for w in wikis], np.int64)
+        p = np.full((len(wikis), k), DOUBT / max(k - 1, 1))
+        p[np.arange(len(wikis)), own] = 1 - DOUBT
+        return p
+
+    def posterior(self, texts: list[str | None], prior: np.ndarray | None = None) -> np.ndarray:
+        """[text, language]; an even prior unless one is given. With a prior the evidence of a text is that of at most EVIDENCE trigrams."""
+        doc, slots = _trigrams([t and _ADDRESS.sub(" ", t) for t in texts] if prior is not None else texts)
+        z = np.stack([np.bincount(doc, weights=p[slots], minlength=len(texts)) for p in self.log_p], axis=1)
+        if prior is not None:
+            n = np.bincount(doc, minlength=len(texts))
+            z = z * (EVIDENCE / np.maximum(n, EVIDENCE))[:, None] + np.log(prior)
+        p = np.exp(np.maximum(z - z.max(axis=1, keepdims=True), -60))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def foreign(self, questions: list[str | None], passage: np.ndarray) -> np.ndarray:
+        """Whether each question is in another language than its passage, whose posterior is given."""
+        return (self.posterior(questions) * passage).sum(axis=1) < np.exp(-MARGIN) if questions else np.zeros(0, bool)
+
+
+def of_cells(cells: DataFrame, languages: Languages) -> DataFrame:
     """One row per question of cells (tab, id, side, wiki, passage, cell); a cell without text keeps one row with a null."""
+    shared = cells.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches):
+        lang = shared.value
         for b in slices(batches, 2048):
             at, qs, broke = [], [], []
             for i, value in enumerate(b.column(5).to_pylist()):
@@ -124,25 +176,35 @@ def of_cells(cells: DataFrame) -> DataFrame:
                     at.append(i)
                     qs.append(q)
                     broke.append(cut)
+            passages = [x and x.lower() for x in b.column(4).to_pylist()]
+            p = lang.posterior(passages, lang.prior(b.column(3).to_pylist()))[at] if at else np.zeros((0, len(lang.names)))
             at = pa.array(at, pa.int64())
-            q = pa.array(qs, pa.string())
             lower = pa.array([x and x.lower() for x in qs], pa.string())
-            share = shared(lower, pa.array([x and x.lower() for x in b.column(4).take(at).to_pylist()], pa.string()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), q, pa.array(share >= COPY), pa.array(broke)], names=["tab", "id", "side", "wiki", "q", "copied", "broke"])
+            copied = copies(lower, pa.array(passages, pa.string()).take(at))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(qs, pa.string()), pa.array(copied), pa.array(broke), pa.array(lang.foreign(qs, p))], names=["tab", "id", "side", "wiki", "q", "copied", "broke", "foreign"])
 
     return cells.select("tab", "id", "side", "wiki", "passage", "cell").mapInArrow(run, ROWS_SCHEMA)
 
 
-def copiers(asked: DataFrame, passages: DataFrame) -> DataFrame:
-    """The distinct id of questions (id, pid, q) that copy the passage (pid, passage) they are joined to."""
+def beside_passages(asked: DataFrame, passages: DataFrame, languages: Languages) -> DataFrame:
+    """id, copied, foreign of the questions (id, pid, q) that are joined to a passage (pid, wiki, passage): whether they copy any, and whether
+    they are in another language than all of theirs."""
+    shared = asked.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches):
+        lang = shared.value
         for b in slices(batches, 2048):
-            good = np.flatnonzero(shared(b.column(1), b.column(2)) >= COPY)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good))], names=["id"])
+            # Questions of one passage stand together: its posterior is computed once.
+            coded = b.column(2).dictionary_encode()
+            which, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            wikis = b.column(3).to_pylist()
+            first = np.zeros(len(texts), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            p = lang.posterior(texts, lang.prior([wikis[i] for i in first]))[which]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies(b.column(1), b.column(2))), pa.array(lang.foreign(b.column(1).to_pylist(), p))], names=["id", "copied", "foreign"])
 
-    pairs = asked.join(passages, "pid").select("id", F.lower("q").alias("q"), F.lower("passage").alias("passage"))
-    return pairs.mapInArrow(run, "id long").distinct()
+    pairs = asked.join(passages, "pid").select("id", F.lower("q").alias("q"), F.lower("passage").alias("passage"), "wiki")
+    return pairs.mapInArrow(run, "id long, copied boolean, foreign boolean").groupBy("id").agg(F.max("copied").alias("copied"), F.min("foreign").alias("foreign"))
 
 
 def _classes(t: Tokens, counts: np.ndarray, least: int) -> np.ndarray:
@@ -150,7 +212,7 @@ def _classes(t: Tokens, counts: np.ndarray, least: int) -> np.ndarray:
     return np.where(counts[(t.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)] >= least, t.hash, np.uint64(1))
 
 
-def _contexts(t: Tokens, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _contexts(t: Tokens, c: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the contexts of one, two and three tokens that end at each token."""
     pad = np.uint64(2)
     one, two = np.full(len(c), pad), np.full(len(c), pad)
@@ -158,7 +220,7 @@ def _contexts(t: Tokens, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     two[2:] = np.where(t.doc[2:] == t.doc[:-2], c[:-2], pad)
     two_gram = mix(c + mix(one))
     three = mix(two_gram + mix(two + np.uint64(7)))
-    cut = np.uint64(64 - CONTEXT_BITS)
+    cut = np.uint64(64 - bits)
     return tuple((x >> cut).astype(np.int64) for x in (mix(c + np.uint64(5)), two_gram, three))
 
 
@@ -173,28 +235,31 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"([^\W\d_]+)[\W_]*$")
 
 
-def _tables(df: DataFrame, names: list[str], size: int, fill) -> dict[str, np.ndarray]:
-    """Sum of fixed-size tables of counts that fill(batch, tables) adds to, over all rows of df."""
+def _tables(df: DataFrame, sizes: dict[str, int], fill) -> dict[str, np.ndarray]:
+    """Sums of tables of counts (sizes by name) that fill(batch, tables) adds to, over all rows of df."""
     chunk = 1 << 14
 
     def run(batches):
-        tables = {n: np.zeros(size, np.int64) for n in names}
+        tables = {n: np.zeros(size, np.int64) for n, size in sizes.items()}
         for b in slices(batches):
             fill(b, tables)
-        rows = [(n, at, tables[n][at : at + chunk]) for n in names for at in range(0, size, chunk)]
+        rows = [(n, at, tables[n][at : at + chunk]) for n, size in sizes.items() for at in range(0, size, chunk)]
         rows = [(n, at, x.tobytes()) for n, at, x in rows if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([pa.compress(r[2], "zstd", asbytes=True) for r in rows], pa.binary())], names=["name", "at", "counts"])
 
+    def counts(name: str, at: int, blob: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(blob, min(chunk, sizes[name] - at) * 8, "zstd", asbytes=True), np.int64)
+
     def merge(t: pa.Table) -> pa.Table:
-        total = np.zeros(chunk, np.int64)
-        for x in t.column("counts"):
-            total += np.frombuffer(pa.decompress(x.as_py(), chunk * 8, "zstd", asbytes=True), np.int64)
+        name, at = t["name"][0].as_py(), t["at"][0].as_py()
+        total = sum(counts(name, at, x.as_py()) for x in t["counts"])
         return t.slice(0, 1).select(["name", "at"]).append_column("counts", pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary()))
 
     schema = "name string, at int, counts binary"
-    out = {n: np.zeros(size, np.int64) for n in names}
+    out = {n: np.zeros(size, np.int64) for n, size in sizes.items()}
     for r in df.mapInArrow(run, schema).groupBy("name", "at").applyInArrow(merge, schema).collect():
-        out[r["name"]][r["at"] : r["at"] + chunk] = np.frombuffer(pa.decompress(bytes(r["counts"]), chunk * 8, "zstd", asbytes=True), np.int64)
+        x = counts(r["name"], r["at"], bytes(r["counts"]))
+        out[r["name"]][r["at"] : r["at"] + len(x)] = x
     return out
 
 
@@ -202,41 +267,50 @@ def _complete(q: str | None) -> bool:
     return bool(q) and _CLOSED.search(q) is not None and _ELLIPSIS.search(q) is None
 
 
-def fit_ends(questions: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of word contexts and of words' last characters, with how many of them end a complete question or a word."""
+def fit_ends(questions: DataFrame, bits: int = CONTEXT_BITS) -> dict[str, np.ndarray]:
+    """Counts of word contexts and of words' last characters, with how many of them end a complete question or a word.
+
+    bits: slots of the context tables to begin with; there are more where over a quarter is taken.
+    """
+
+    def usable(b) -> list[str | None]:
+        return [q.lower() if _complete(q) and not copied and not refusal(q) else None for q, copied in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
 
     def words(b, tables):
         t = Tokens(pa.array([q and q.lower() for q in b.column(0).to_pylist()], pa.string()))
         tables["word"] += np.bincount((t.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
         tables["rows"][0] += b.num_rows
-
-    first = _tables(questions.select("q"), ["word", "rows"], 1 << WORD_BITS, words)
-    least = max(3, int(COMMON * first["rows"][0]))
-    count = first["word"]
-
-    def contexts(b, tables):
-        qs = [q.lower() if _complete(q) and not copied and not refusal(q) else None for q, copied in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        t = Tokens(pa.array(qs, pa.string()))
-        c = _classes(t, count, least)
-        for name, slots in zip(("one", "two", "three"), _contexts(t, c)):
-            tables[name] += np.bincount(slots, minlength=1 << CONTEXT_BITS)
-            tables[f"{name}_end"] += np.bincount(slots[t.first[1:][t.count > 0] - 1], minlength=1 << CONTEXT_BITS)
         inner, last = [], []
-        for q in qs:
+        for q in usable(b):
             for w in _WORDS.findall(q or ""):
                 last.append(_last3(w))
                 inner.extend(_last3(w[:i]) for i in range(max(1, len(w) - 3), len(w)))
-        tables["char"] += np.bincount(np.array(inner + last, np.int64), minlength=1 << CONTEXT_BITS)
-        tables["char_end"] += np.bincount(np.array(last, np.int64), minlength=1 << CONTEXT_BITS)
+        tables["char"] += np.bincount(np.array(inner + last, np.int64), minlength=1 << CHAR_BITS)
+        tables["char_end"] += np.bincount(np.array(last, np.int64), minlength=1 << CHAR_BITS)
+
+    questions = questions.select("q", "copied")
+    first = _tables(questions, {"word": 1 << WORD_BITS, "rows": 1, "char": 1 << CHAR_BITS, "char_end": 1 << CHAR_BITS}, words)
+    least = max(3, int(COMMON * first["rows"][0]))
+    count = first["word"]
+    while True:
 
-    second = _tables(questions.select("q", "copied"), ["one", "one_end", "two", "two_end", "three", "three_end", "char", "char_end"], 1 << CONTEXT_BITS, contexts)
-    return {"word": count, "least": np.array([least])} | second
+        def contexts(b, tables, bits=bits):
+            t = Tokens(pa.array(usable(b), pa.string()))
+            c = _classes(t, count, least)
+            for name, slots in zip(("one", "two", "three"), _contexts(t, c, bits)):
+                tables[name] += np.bincount(slots, minlength=1 << bits)
+                tables[f"{name}_end"] += np.bincount(slots[t.first[1:][t.count > 0] - 1], minlength=1 << bits)
+
+        second = _tables(questions, {f"{n}{e}": 1 << bits for n in ("one", "two", "three") for e in ("", "_end")}, contexts)
+        if np.count_nonzero(second["three"]) <= 1 << bits - 2 or bits >= MOST_BITS:
+            return first | second | {"least": np.array([least]), "bits": np.array([bits])}
+        bits += 2
 
 
 def end_probability(t: Tokens, lower: list[str | None], m: dict[str, np.ndarray]) -> np.ndarray:
     """P(a question ends here) at the last token of each row."""
     c = _classes(t, m["word"], int(m["least"][0]))
-    one, two, three = _contexts(t, c)
+    one, two, three = _contexts(t, c, int(m["bits"][0]))
     some = t.count > 0
     at = t.first[1:][some] - 1
     rare_at = c[at] == np.uint64(1)
@@ -257,7 +331,7 @@ def end_probability(t: Tokens, lower: list[str | None], m: dict[str, np.ndarray]
     return out
 
 
-TRIGRAM_BITS = 16
+TRIGRAM_BITS = 18
 
 
 def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,32 +356,33 @@ def fit_language(texts: DataFrame, languages: list[str], sample: int = SAMPLE) -
     rate = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, 2.0 * sample / v) * (1 << 30)))])[F.col("lang")] if n else F.lit(0)
     rows = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < rate).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text"))).where(F.col("_r") <= sample)
     index = {x: i for i, x in enumerate(languages)}
-    count = np.full((len(languages), 1 << TRIGRAM_BITS), 0.5)
-    for lang, group in rows.select("lang", F.substring("text", 1, 2000).alias("text")).toPandas().groupby("lang"):
-        if lang in index:
-            _, slots = _trigrams(list(group["text"]))
-            count[index[lang]] += np.bincount(slots, minlength=1 << TRIGRAM_BITS)
-    return (np.log(count) - np.log(count.sum(axis=1, keepdims=True))).astype(np.float32)
 
+    def fill(b, tables):
+        lang = np.array([index.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
+        doc, slots = _trigrams(b.column(1).to_pylist())
+        at = lang[doc] * (1 << TRIGRAM_BITS) + slots
+        tables["n"] += np.bincount(at[lang[doc] >= 0], minlength=len(tables["n"]))
+
+    count = _tables(rows.select("lang", "text"), {"n": len(languages) << TRIGRAM_BITS}, fill)["n"].reshape(len(languages), -1)
+    log_p = np.log(count + 0.5) - np.log((count + 0.5).sum(axis=1, keepdims=True))
+    return np.where(count.any(axis=0), log_p, 0.0).astype(np.float32)
 
-def classify(questions: DataFrame, languages: dict[str, str], default: str, log_p: np.ndarray, ends: dict[str, np.ndarray]) -> DataFrame:
-    """tab, id, side and defect of every defective row of questions (ROWS_SCHEMA). languages: wiki -> language."""
-    names = sorted({*languages.values(), default})
-    sc = questions.sparkSession.sparkContext
-    model = sc.broadcast((log_p, ends))
+
+def classify(questions: DataFrame, languages: Languages, ends: dict[str, np.ndarray]) -> DataFrame:
+    """tab, id, side and defect of every defective row of questions (ROWS_SCHEMA; foreign is null where no passage is known)."""
+    model = questions.sparkSession.sparkContext.broadcast((languages, ends))
 
     def run(batches):
-        log_p, ends = model.value
+        lang, ends = model.value
         for b in slices(batches):
             qs = b.column(4).to_pylist()
-            copied, broke = b.column(5).to_pylist(), b.column(6).to_pylist()
+            copied, broke, foreign = (b.column(i).to_pylist() for i in (5, 6, 7))
             lower = [q and q.lower() for q in qs]
             t = Tokens(pa.array(lower, pa.string()))
             end = end_probability(t, lower, ends)
-            doc, slots = _trigrams(qs)
-            score = np.stack([np.bincount(doc, weights=log_p[i][slots], minlength=len(qs)) for i in range(len(names))])
-            own = np.array([names.index(languages.get(w, default)) for w in b.column(3).to_pylist()], np.int64)
-            gap = score.max(axis=0) - score[own, np.arange(len(qs))] if qs else np.zeros(0)
+            alone = [i for i, x in enumerate(foreign) if x is None]
+            for i, x in zip(alone, lang.foreign([lower[i] for i in alone], lang.prior([b.column(3)[i].as_py() for i in alone]))):
+                foreign[i] = bool(x)
             at, kind = [], []
             for i, q in enumerate(qs):
                 if nothing(q):
@@ -318,7 +393,7 @@ def classify(questions: DataFrame, languages: dict[str, str], default: str, log_
                     k = "copy"
                 elif broke[i] or _ELLIPSIS.search(q) or (not _CLOSED.search(q) and end[i] < END):
                     k = "truncated"
-                elif gap[i] > MARGIN:
+                elif foreign[i]:
                     k = "language"
                 else:
                     continue
@@ -332,14 +407,18 @@ def classify(questions: DataFrame, languages: dict[str, str], default: str, log_
 
 
 def defects(cells: DataFrame, queries: DataFrame, asked: DataFrame, passages: DataFrame, languages: dict[str, str], default: str = "en") -> DataFrame:
-    """Defects of cells (tab, id, side, wiki, passage, cell) and queries (tab, id, side, wiki, q) with asked (id, pid) and passages (pid, wiki, passage)."""
-    of = durable(of_cells(cells.distinct()))
+    """Defects of cells (tab, id, side, wiki, passage, cell) and queries (tab, id, side, wiki, q) with asked (id, pid) and passages (pid, wiki, passage).
+
+    languages: wiki -> language, of the wikis that are not in the default language.
+    """
     queries = queries.distinct()
-    copied = copiers(asked.distinct().join(queries.where("q is not null").select("id", "q"), "id"), passages.select("pid", "passage").where("passage is not null").distinct())
-    rows = queries.join(copied.withColumn("copied", F.lit(True)), "id", "left").select("tab", "id", "side", "wiki", "q", F.coalesce("copied", F.lit(False)).alias("copied"), F.lit(False).alias("broke"))
-    rows = durable(rows.unionByName(of))
     known = F.create_map(*[F.lit(x) for kv in languages.items() for x in kv])[F.col("wiki")] if languages else F.lit(None)
     lang = F.coalesce(known, F.lit(default)).alias("lang")
-    texts = passages.select(lang, F.col("passage").alias("text")).unionByName(rows.where("not copied").select(lang, F.col("q").alias("text")))
-    log_p = fit_language(texts, sorted({*languages.values(), default}))
-    return classify(rows, languages, default, log_p, fit_ends(rows))
+    names = sorted({*languages.values(), default})
+    texts = passages.select(lang, F.col("passage").alias("text")).unionByName(queries.select(lang, F.col("q").alias("text")))
+    model = Languages(names, languages, default, fit_language(texts, names))
+    pairs = asked.distinct().join(queries.where("q is not null").select("id", "q"), "id")
+    beside = beside_passages(pairs, passages.select("pid", "wiki", "passage").where("passage is not null").distinct(), model)
+    rows = queries.join(beside, "id", "left").select("tab", "id", "side", "wiki", "q", F.coalesce("copied", F.lit(False)).alias("copied"), F.lit(False).alias("broke"), "foreign")
+    rows = durable(rows.unionByName(of_cells(cells.distinct(), model)))
+    return classify(rows, model, fit_ends(rows))
