@@ -7,18 +7,25 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """One-to-one mappings of Latin letters to their base letters, by canonical decomposition."""
-    src, dst = [], []
-    for c in map(chr, range(0xC0, 0x250)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c:
-            src.append(c)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+def _base(c: str) -> str:
+    """A character without accents, by compatibility decomposition."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-ACCENTS = _accents()
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """Letters and digits that become one character (from, to), followed in `from` by the combining marks, which vanish; and those that become several."""
+    one, several = {}, {}
+    for c in map(chr, range(0xA0, 0xFFFF)):
+        base = _base(c)
+        if c.isalnum() and base != c and not "\uac00" <= c <= "\ud7a3":
+            (one if len(base) == 1 else several)[c] = base
+    marks = "".join(c for c in map(chr, range(0x300, 0xFFFF)) if unicodedata.combining(c))
+    return "".join(one) + marks, "".join(one.values()), several
+
+
+MARKED, PLAIN, SEVERAL = _accents()
+#: Of those that become several, the ones that become Latin letters (ligatures and digraphs).
+LIGATURES = {c: b for c, b in SEVERAL.items() if b.isascii() and b.isalpha()}
 
 
 def col(c: Column | str) -> Column:
@@ -26,8 +33,14 @@ def col(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(col(c)), *ACCENTS)
+    """Lower case without accents: accents, marks, wide and stylised forms go by compatibility decomposition, Latin ligatures are spelt out."""
+    low = F.lower(col(c))
+    spelt = low
+    for x, base in LIGATURES.items():
+        spelt = F.replace(spelt, F.lit(x), F.lit(base.lower()))
+    some = low.rlike(f"[{''.join(LIGATURES)}]")
+    # Most texts have none of these characters and are left as they are.
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.lower(F.translate(F.when(some, spelt).otherwise(low), MARKED, PLAIN))).otherwise(low)
 
 
 def terms(c: Column | str) -> Column:
@@ -53,10 +66,14 @@ def n_words(c: Column | str) -> Column:
     return F.size(words(c))
 
 
+#: Stands between sentences for a moment; no character of any text.
+BREAK = "\uffff"
+
+
 def sentences(c: Column | str) -> Column:
-    """Trimmed sentences: text up to and with a run of closing marks."""
-    found = F.regexp_extract_all(col(c), F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
+    """Trimmed sentences. One ends after a closing mark before white space, or with the text; no character but the white space between them is lost."""
+    marked = F.regexp_replace(col(c), r"([.!?])[ \t\r\n]+", f"$1{BREAK}")
+    return F.filter(F.transform(F.split(marked, BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def question_word(c: Column | str, lower: bool = True) -> Column:
@@ -69,10 +86,18 @@ def pair_filter(positive: Column, negative: Column) -> Column:
     return F.contains(positive, F.lit("?")) & F.contains(negative, F.lit("?"))
 
 
+_QUOTED = r""""(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
+
+
 def list_literal(c: Column | str) -> Column:
-    """A list written as JSON or with single quotes; null where it does not parse."""
-    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
-    return F.from_json(col(c), "array<string>", options)
+    """The strings of a list written as JSON or as Python writes one: single quotes, None, a tuple, one string without a list. Null where it does not parse."""
+    t = F.regexp_replace(col(c), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    t = F.when(t.rlike(r"(?s)^\(.*\)$"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^\(", "["), r"\)$", "]"), r",\s*\]$", "]")).otherwise(t)
+    t = F.when(t.rlike(rf"(?s)^(?:{_QUOTED})$"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)
+    # Quoted strings are passed over whole, so that None inside one stays.
+    none = rf"(?s)\G((?:[^\"'N]++|{_QUOTED}|N(?!one\b))*+)None\b"
+    t = F.when(F.contains(t, F.lit("None")), F.regexp_replace(t, none, "$1null")).otherwise(t)
+    return F.from_json(t, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
 def anchor_url(url: Column | str, passage: Column | str) -> Column:
@@ -81,14 +106,17 @@ def anchor_url(url: Column | str, passage: Column | str) -> Column:
     return F.when(heading == "", col(url)).otherwise(F.replace(F.concat(col(url), F.lit("#"), heading), F.lit(" "), F.lit("_")))
 
 
-def prompt(n_positive: int, n_negative: int, passage: Column | str, what: bool = True) -> Column:
-    """The request for questions on a passage."""
+def prompt_text(n_positive: int, n_negative: int, what: bool = True) -> str:
     ban = "" if what else " No question may begin with what."
-    text = (
+    return (
         f"Read the passage. First write {n_positive} questions that it answers, numbered from 1, one a line. Then a line with ---. "
         f"Then write {n_negative} questions on the same subject that it does not answer, numbered from 1, one a line.{ban} Passage: "
     )
-    return F.concat(F.lit(text), col(passage))
+
+
+def prompt(n_positive: int, n_negative: int, passage: Column | str, what: bool = True) -> Column:
+    """The request for questions on a passage."""
+    return F.concat(F.lit(prompt_text(n_positive, n_negative, what)), col(passage))
 
 
 def response(column: str, n: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,6 +25,35 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return numbered.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")
 
 
+def same(columns: list[str]) -> Column:
+    """The condition that x and y agree in the columns, nulls included."""
+    return reduce(lambda a, b: a & b, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in columns))
+
+
+def in_order(df: DataFrame, by: str | list[str], order: str | list[str], name: str) -> DataFrame:
+    """df with the place (from 0) of each row within its group, in the given order.
+
+    Rows are numbered over all groups by range partitions; a group's first number is taken off. So a group that holds a third of all rows
+    is spread over many tasks.
+    """
+    by, order = ([x] if isinstance(x, str) else x for x in (by, order))
+    numbered = dense_ids(df, [*by, *order], "_all")
+    first = numbered.groupBy(*by).agg(F.min("_all").alias("_first"))
+    return numbered.alias("x").join(first.alias("y"), same(by)).select(*(F.col(f"x.{c}") for c in df.columns), (F.col("x._all") - F.col("y._first")).alias(name))
+
+
+def running(df: DataFrame, by: list[str], order: list[str], weight: str, name: str) -> DataFrame:
+    """df with the sum of `weight` over the rows before each one of its group, in the given order; spread like in_order()."""
+    from wikiloom.durable import durable
+
+    parted = durable(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    sums = parted.groupBy(*by, "_p").agg(F.sum(weight).alias("_s"))
+    # One row for each group and partition that it reaches into.
+    before = sums.withColumn("_b", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    own = F.coalesce(F.sum(weight).over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn("_own", own).alias("x").join(before.alias("y"), same([*by, "_p"])).select(*(F.col(f"x.{c}") for c in df.columns), (F.col("_own") + F.col("_b")).alias(name))
+
+
 def shuffle_key(id_: Column | str, seed: int = 42) -> Column:
     """A pseudo-random order that any engine can compute."""
     c = F.col(id_) if isinstance(id_, str) else id_
@@ -44,10 +75,10 @@ def split_by_share(pages: DataFrame, weight: str, by: list[str], shares: tuple[f
 
     The page that crosses a bound still belongs to the split before it; pages after the last cut go to the last split.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    before = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / total
-    return pages.withColumn("split", F.when(before < shares[0], "train").when(before < shares[1], "test").otherwise("val"))
+    total = pages.groupBy(*by).agg(F.sum(weight).alias("_total"))
+    share = F.col("x._before") / F.col("y._total")
+    split = F.when(share < shares[0], "train").when(share < shares[1], "test").otherwise("val")
+    return running(pages, by, [order], weight, "_before").alias("x").join(total.alias("y"), same(by)).select(*(F.col(f"x.{c}") for c in pages.columns), split.alias("split"))
 
 
 def pairs(qa: DataFrame) -> DataFrame:
@@ -181,8 +212,7 @@ def middle_join(needles: DataFrame, passages: DataFrame, width: int = 40) -> Dat
 
 def batches(df: DataFrame, order: list[str], size: int, by: list[str], drop_last: bool = False) -> DataFrame:
     """df with a batch number within each group; drop_last leaves unfilled batches out."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    out = in_order(df, by, order, "_place").withColumn("batch", F.floor(F.col("_place") / size).cast("long")).drop("_place")
     if drop_last:
         out = out.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "batch"))).where(F.col("_n") == size).drop("_n")
     return out

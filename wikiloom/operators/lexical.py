@@ -3,11 +3,14 @@
 Corpora are scoped: a wiki is searched with its own statistics. Statistics are hash aggregations and equi joins on
 (scope, term), with partial aggregation before each shuffle.
 
-scores() joins questions and documents on their terms, for when all pairs are wanted. topk() does not: the frequent terms
-of a question meet nearly every document. It sends the stated query set in blocks of at most BLOCK questions (as sparse
-rows) to the documents' own tasks, scores a batch of documents against PART questions at once by a product of the batch's
-matching term weights with a small dense matrix, and keeps the batch's best k of each question; only those are shuffled, to a window
-with a rank limit.
+scores() joins questions and documents on their terms, for when all pairs are wanted; given a subset of pairs, it starts from
+those. topk() does neither: the frequent terms of a question meet nearly every document. It sends the stated query set in blocks of at
+most BLOCK questions (as sparse rows) to the documents' own tasks, scores a batch of documents against PART questions at once by a
+product of the batch's matching term weights with a small dense matrix, and keeps the batch's best k (or worst) of each question; only those
+are shuffled, to a window with a rank limit. The documents' rows are written once, and each block's result too, after which its
+broadcast is freed, so the driver holds one block at a time.
+
+Documents that share no term with a question have the score 0. The order of all documents of a scope is by score, then by pid.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wikiloom.durable import durable
 from wikiloom.functions import text as X
+from wikiloom.operators.dataset import in_order
 
 
 def counted(df: DataFrame, id_: str, text: str, analyzer=X.terms) -> DataFrame:
@@ -86,10 +90,14 @@ def _parts(block: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
     return out
 
 
-def block_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """scope, qid, pid, score, rank: the best k documents that share a term with each question; docs and queries as rows() gives them."""
+def block_topk(docs: DataFrame, queries: DataFrame, k: int, worst: bool = False) -> DataFrame:
+    """scope, qid, pid, score, rank: the best k documents that share a term with each question; docs and queries as rows() gives them.
+
+    worst: the last k of all documents instead, those without a shared term included; rank 1 is the last one.
+    """
     sc = docs.sparkSession.sparkContext
     schema = "scope string, qid long, pid long, score double"
+    docs = durable(docs.select("scope", "pid", "h", "w"))
     out = None
     for block in _blocks(queries):
         shared = sc.broadcast(block)
@@ -103,29 +111,82 @@ def block_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     h, w = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
                     doc = np.repeat(np.arange(b.num_rows), [len(x) for x in b.column(2)])
                     for scope in sorted({x for x in scopes if x in parts}):
-                        own = np.array([x == scope for x in scopes])[doc]
+                        mine = np.array([x == scope for x in scopes])
+                        own = mine[doc]
                         oh, ow, od = h[own], w[own], doc[own]
                         for qids, terms, m, has in parts[scope]:
                             i = np.minimum(np.searchsorted(terms, oh), len(terms) - 1)
-                            hit = terms[i] == oh
-                            if not hit.any():
-                                continue
+                            hit = terms[i] == oh if len(terms) else np.zeros(len(oh), bool)
                             i, d = i[hit], od[hit]
                             first = np.flatnonzero(np.diff(d, prepend=-1))
-                            score = np.round(np.add.reduceat(m[i] * ow[hit][:, None], first, axis=0), 6)
-                            met = np.maximum.reduceat(has[i], first, axis=0) > 0
+                            score = np.round(np.add.reduceat(m[i] * ow[hit][:, None], first, axis=0), 6) if len(first) else np.zeros((0, len(qids)))
+                            rows_ = d[first]
+                            if worst:
+                                full = np.zeros((b.num_rows, len(qids)))
+                                full[rows_] = score
+                                rows_ = np.flatnonzero(mine)
+                                score, met = full[rows_], np.ones((len(rows_), len(qids)), bool)
+                            elif len(first):
+                                met = np.maximum.reduceat(has[i], first, axis=0) > 0
+                            else:
+                                continue
                             r, c = np.nonzero(met)
-                            s, p = score[r, c], pids[d[first]][r]
-                            order = np.lexsort((p, -s, c))
+                            s, p = score[r, c], pids[rows_][r]
+                            order = np.lexsort((-p, s, c) if worst else (p, -s, c))
                             c, s, p = c[order], s[order], p[order]
                             start = np.flatnonzero(np.diff(c, prepend=-1))
                             best = np.arange(len(c)) - np.repeat(start, np.diff(np.append(start, len(c)))) < k
                             n = int(best.sum())
                             yield pa.RecordBatch.from_arrays([pa.array([scope] * n, pa.string()), pa.array(qids[c[best]]), pa.array(p[best]), pa.array(s[best])], names=["scope", "qid", "pid", "score"])
 
-        part = docs.select("scope", "pid", "h", "w").mapInArrow(run, schema)
+        part = durable(docs.mapInArrow(run, schema))
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
-    return top(out if out is not None else docs.sparkSession.createDataFrame([], schema), k)
+    out = out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    if not worst:
+        return top(out, k)
+    last = Window.partitionBy("scope", "qid").orderBy("score", F.desc("pid"))
+    return out.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+
+
+def zero_filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """found (scope, qid, pid, score, rank) filled up to k documents a question with the smallest pids that share no term, at score 0.
+
+    A question with fewer than k documents leaves under k of them out of the 2 k smallest pids of its scope, so those are enough.
+    """
+    found = durable(found)
+    least = docs.select("scope", "pid").withColumn("_r", F.row_number().over(Window.partitionBy("scope").orderBy("pid"))).where(F.col("_r") <= 2 * k).drop("_r")
+    few = queries.select("scope", "qid").distinct().join(found.groupBy("scope", "qid").agg(F.count("*").alias("_n")), ["scope", "qid"], "left").where(F.coalesce("_n", F.lit(0)) < k).select("scope", "qid")
+    rest = few.join(least, "scope").join(found, ["scope", "qid", "pid"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(found.drop("rank").unionByName(rest.select("scope", "qid", "pid", "score")), k)
+
+
+def paired(q: DataFrame, d: DataFrame, subset: DataFrame | None) -> DataFrame:
+    """scope, qid, pid, score: the sums of products of q (scope, qid, term, wq) and d (scope, pid, term, w) over shared terms; subset
+    (scope, qid, pid): of these pairs only, which questions and documents are cut down to before they meet."""
+    if subset is None:
+        rows_ = q.join(d, ["scope", "term"])
+    else:
+        pairs = durable(subset.select("scope", "qid", "pid").distinct())
+        wanted = pairs.join(q, ["scope", "qid"])
+        rows_ = wanted.join(d.join(pairs.select("scope", "pid").distinct(), ["scope", "pid"], "left_semi"), ["scope", "pid", "term"])
+    return rows_.groupBy("scope", "qid", "pid").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+
+
+def places(pairs: DataFrame, scores: DataFrame, docs: DataFrame) -> DataFrame:
+    """scope, qid, pid, rank (from 0) of the pairs among all documents of their scope, by score, then by pid.
+
+    scores: of all documents that share a term with the questions of the pairs; others have the score 0. Documents before the pair's are
+    counted: no list is sorted.
+    """
+    pairs = durable(pairs.select("scope", "qid", "pid").distinct().join(scores, ["scope", "qid", "pid"], "left").na.fill(0.0, ["score"]))
+    other = scores.where("score > 0").select("scope", "qid", F.col("pid").alias("_p"), F.col("score").alias("_s"))
+    ahead = F.count_if((F.col("_s") > F.col("score")) | ((F.col("_s") == F.col("score")) & (F.col("_p") < F.col("pid"))))
+    counted_ = pairs.join(other, ["scope", "qid"], "left").groupBy("scope", "qid", "pid", "score").agg(ahead.alias("_ahead"), F.count_if(F.col("_p") < F.col("pid")).alias("_scored_before"))
+    # A document without a score stands behind all that have one and behind those without one and with a smaller pid.
+    at = in_order(docs.select("scope", "pid").distinct(), "scope", "pid", "_place")
+    rank = F.col("_ahead") + F.when(F.col("score") > 0, 0).otherwise(F.col("_place") - F.col("_scored_before"))
+    return counted_.join(at, ["scope", "pid"]).select("scope", "qid", "pid", rank.cast("long").alias("rank"))
 
 
 class TfIdf:
@@ -137,24 +198,31 @@ class TfIdf:
         self.vocab = vocabulary(self.tf, docs, min_df)
         self.vectors = weighted(self.tf, self.vocab, "pid")
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """scope, qid, pid, score of all pairs that share a term; queries: scope, qid, text."""
+    def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
+        """scope, qid, pid, score of all pairs that share a term; queries: scope, qid, text; subset (scope, qid, pid): score these pairs only."""
         q = weighted(counted(queries, "qid", "text"), self.vocab, "qid").withColumnRenamed("w", "wq")
-        return q.join(self.vectors, ["scope", "term"]).groupBy("scope", "qid", "pid").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+        return paired(q, self.vectors, subset)
+
+    def topk(self, queries: DataFrame, k: int, zero_fill: bool = False) -> DataFrame:
+        """scope, qid, pid, score, rank of the best k documents that share a term; zero_fill: k documents in any case, if the scope has them."""
+        found = block_topk(self._rows(), self._questions(queries), k)
+        return zero_filled(found, queries, self.docs, k) if zero_fill else found
+
+    def _rows(self) -> DataFrame:
+        return rows(raw_weights(self.tf, self.vocab, "pid"), "pid", unit=True)
 
-    def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        q = raw_weights(counted(queries, "qid", "text"), self.vocab, "qid")
-        return block_topk(rows(raw_weights(self.tf, self.vocab, "pid"), "pid", unit=True), rows(q, "qid", unit=True), k)
+    def _questions(self, queries: DataFrame) -> DataFrame:
+        return rows(raw_weights(counted(queries, "qid", "text"), self.vocab, "qid"), "qid", unit=True)
 
     def best_and_worst(self, queries: DataFrame, k: int, bottom: int) -> DataFrame:
         """scope, qid, pid, score, rank of the first k and last `bottom` documents, those without a shared term counted as 0."""
-        every = queries.select("scope", "qid").join(self.docs.select("scope", "pid"), "scope")
-        full = every.join(self.scores(queries), ["scope", "qid", "pid"], "left").select("scope", "qid", "pid", F.coalesce("score", F.lit(0.0)).alias("score"))
-        best = top(full, k)
-        last = Window.partitionBy("scope", "qid").orderBy("score", F.desc("pid"))
+        docs = self.docs.select("scope", "pid")
+        # Documents and questions without a known term have no row of their own, but count.
+        all_docs = docs.join(self._rows(), ["scope", "pid"], "left").select("scope", "pid", *(F.coalesce(c, F.array()).cast(t).alias(c) for c, t in (("h", "array<bigint>"), ("w", "array<double>"))))
+        all_q = queries.select("scope", "qid").distinct().join(self._questions(queries), ["scope", "qid"], "left").select("scope", "qid", *(F.coalesce(c, F.array()).cast(t).alias(c) for c, t in (("h", "array<bigint>"), ("w", "array<double>"))))
         n = self.docs.groupBy("scope").agg(F.count("*").alias("n"))
-        worst = full.withColumn("r", F.row_number().over(last)).where(F.col("r") <= bottom).join(n, "scope").select("scope", "qid", "pid", "score", (F.col("n") - F.col("r") + 1).cast("int").alias("rank"))
-        return best.unionByName(worst).distinct()
+        worst = block_topk(all_docs, all_q, bottom, worst=True).join(n, "scope").select("scope", "qid", "pid", "score", (F.col("n") - F.col("rank") + 1).cast("int").alias("rank"))
+        return self.topk(queries, k, zero_fill=True).unionByName(worst).distinct()
 
 
 def ranked(scores: DataFrame, score: Column | str = "score") -> DataFrame:
@@ -171,7 +239,7 @@ class Bm25:
     """Okapi BM25 over docs (scope, pid, text), tokens between single spaces, case kept."""
 
     def __init__(self, docs: DataFrame, analyzer=X.spaced, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        self.analyzer, self.k1, self.b = analyzer, k1, b
+        self.docs, self.analyzer, self.k1, self.b = docs, analyzer, k1, b
         self.tf = durable(counted(docs, "pid", "text", analyzer))
         self.length = docs.select("scope", "pid", F.size(analyzer("text")).alias("dl"))
         stats = docs.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size(analyzer("text"))).alias("avgdl"))
@@ -184,10 +252,7 @@ class Bm25:
 
     def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
         """scope, qid, pid, score; subset (scope, qid, pid): score these pairs only."""
-        pairs = self._queries(queries).join(self._documents(), ["scope", "term"])
-        if subset is not None:
-            pairs = pairs.join(subset.select("scope", "qid", "pid").distinct(), ["scope", "qid", "pid"], "left_semi")
-        return pairs.groupBy("scope", "qid", "pid").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("score"))
+        return paired(self._queries(queries), self._documents(), subset)
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         q = counted(queries, "qid", "text", self.analyzer).join(self.idf.select("scope", "term", "idf"), ["scope", "term"])
@@ -198,8 +263,10 @@ class Bm25:
         part = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
         return tf.select("scope", "term", "pid", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + part)).alias("w"))
 
-    def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        return block_topk(rows(self._documents(), "pid"), rows(self._queries(queries), "qid", "wq"), k)
+    def topk(self, queries: DataFrame, k: int, zero_fill: bool = False) -> DataFrame:
+        """scope, qid, pid, score, rank of the best k documents that share a term; zero_fill: k documents in any case, if the scope has them."""
+        found = block_topk(rows(self._documents(), "pid"), rows(self._queries(queries), "qid", "wq"), k)
+        return zero_filled(found, queries, self.docs, k) if zero_fill else found
 
 
 def hit_rank(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

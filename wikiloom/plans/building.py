@@ -233,17 +233,17 @@ def prompt_render(spark, sf_dir):
 
 
 def parse_llm_response(spark, sf_dir):
-    """Answers in numbered lines, written from the QA pages, read back."""
-    a = _qa(spark, sf_dir).select("qa_id", F.posexplode("positive").alias("j", "p"), F.col("negative").alias("ns")).select("qa_id", "j", F.slice(F.coalesce("p", F.array()), 1, 3).alias("p"), F.slice(F.coalesce(F.get("ns", F.col("j")), F.array()), 1, 3).alias("n"))
-    line = lambda c: F.expr(f"array_join(transform(filter({c}, x -> x is not null and x not like '%\\n%'), (x, i) -> concat(i + 1, '. ', x)), '\\n')")
-    rows = a.select("qa_id", "j", F.concat(line("p"), F.lit("\n---\n"), line("n")).alias("response")).select("qa_id", "j", X.response("response", 3).alias("r"))
-    return rows.select("qa_id", "j", F.size("r.positive").alias("n_positive"), F.size("r.negative").alias("n_negative"), F.array_join("r.positive", "|").alias("positive"))
+    """Answers in numbered lines, written from the QA pages, read back; questions of several lines are written in one."""
+    a = _qa(spark, sf_dir).select("qa_id", F.posexplode("positive").alias("j", "p"), F.col("negative").alias("ns")).select("qa_id", "j", F.coalesce("p", F.array()).alias("p"), F.coalesce(F.get("ns", F.col("j")), F.array()).alias("n"))
+    line = lambda c: F.expr(f"array_join(transform(filter({c}, x -> x is not null), (x, i) -> concat(i % 3 + 1, '. ', replace(x, '\\n', ' '))), '\\n')")
+    rows = a.select("qa_id", "j", F.concat(line("p"), F.lit("\n---\n"), line("n")).alias("response"), F.size("p").alias("m")).select("qa_id", "j", X.response("response", 1 << 30).alias("r"))
+    return rows.select("qa_id", "j", F.size("r.positive").alias("n_positive"), F.size("r.negative").alias("n_negative"), F.array_join("r.positive", "|").alias("positive"), F.array_join("r.negative", "|").alias("negative"))
 
 
 def question_cells(spark, sf_dir):
-    """Cells whose list parses, with the number of questions in it."""
-    g = table(spark, sf_dir, "generated_questions").select("gen_id", "positive").distinct()
-    return g.select("gen_id", F.size(X.list_literal("positive")).alias("n")).where("n >= 0")
+    """Cells of both columns whose list parses, with the number of entries in it and their text."""
+    g = table(spark, sf_dir, "generated_questions").select("gen_id", F.explode(F.create_map(F.lit("positive"), "positive", F.lit("negative"), "negative")).alias("side", "cell")).distinct()
+    return g.select("gen_id", "side", X.list_literal("cell").alias("q")).where("q is not null").select("gen_id", "side", F.size("q").alias("n"), F.array_join("q", "|").alias("questions"))
 
 
 def move_third_positive(spark, sf_dir):
@@ -259,7 +259,8 @@ QUERIES = {
 }
 
 _LINES = """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^(&lt;|__\\w*__)')) AS l FROM documents WHERE text IS NOT NULL)"""
-_SENT = """s AS (SELECT pid, list_filter(list_transform(regexp_extract_all(passage, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM (SELECT DISTINCT pid, passage FROM passages)),
+_CUT = "list_filter(list_transform(string_split(regexp_replace(passage, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(65535), 'g'), chr(65535)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_SENT = f"""s AS (SELECT pid, {_CUT} AS l FROM (SELECT DISTINCT pid, passage FROM passages)),
 k AS (SELECT pid, CAST(i - 1 AS INTEGER) AS k, l[i] AS sentence FROM s, UNNEST(range(1, CAST(len(l) + 1 AS BIGINT))) AS r(i))"""
 _W = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda t: t <> '')"
 _QA = "qa AS (SELECT DISTINCT wiki, qa_id, id, revid, url, title, text, positive, negative FROM qa_pages)"
@@ -273,9 +274,24 @@ own AS (SELECT DISTINCT t.wiki, wid, qid_pos AS qid FROM t JOIN pg USING (wiki,
 c AS (SELECT DISTINCT qid, pid FROM own JOIN pg USING (wiki, wid) WHERE NOT EXISTS (FROM t WHERE t.qid_pos = own.qid AND t.pid = pg.pid)),
 i AS (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY ((pid * 31 + qid) * 2654435761 + 42) % 4294967296, pid) - 1 AS i, count(*) OVER (PARTITION BY qid) AS m FROM c),
 neg AS (SELECT i.qid, i.pid, CAST(p AS INTEGER) AS place FROM i, UNNEST(range(0, 9)) AS r(p) WHERE p % m = i.i AND i.i < 9)"""
+NEGATIVES = _NEG
 _META = """m AS (SELECT wiki, wid, max(struct_pack(revid := coalesce(revid, -1), url := coalesce(url, ''), title := coalesce(title, ''))) AS m FROM wiki_meta WHERE wid IS NOT NULL GROUP BY ALL)"""
 _PS = ", ".join(f"quantile_cont(n, {p})::DOUBLE AS paragraphs_{n}" for p, n in ((0.05, "p05"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95")))
 
+_N = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda t: t <> ''))"
+_FLUSH = "CASE WHEN trim(a.cur, ' ') = '' THEN a.out ELSE list_append(a.out, trim(a.cur, ' ')) END"
+_ALL = "list_filter(regexp_split_to_array(e.x, '\\s+'), lambda t: t <> '')"
+_SIZE = f"CAST(ceil({_N.format('e.x')} / ceil({_N.format('e.x')} / 30.0)) AS BIGINT)"
+# The fold of split_paragraphs: elements and state have one type.
+_FOLD = f"""WITH s AS (SELECT pid, passage, {_CUT} AS l FROM (SELECT DISTINCT pid, passage FROM passages WHERE passage IS NOT NULL)),
+f AS (SELECT pid, list_reduce(list_concat([{{'out': CAST([] AS VARCHAR[]), 'cur': '', 'x': ''}}], list_transform(l, lambda x: {{'out': CAST([] AS VARCHAR[]), 'cur': '', 'x': x}})), lambda a, e:
+  CASE WHEN {_N.format('a.cur')} + {_N.format('e.x')} <= 30 THEN {{'out': a.out, 'cur': a.cur || e.x || ' ', 'x': ''}}
+       WHEN {_N.format('e.x')} > 30 THEN {{'out': list_concat({_FLUSH}, list_transform(range(0, CAST(ceil({_N.format('e.x')} / CAST({_SIZE} AS DOUBLE)) AS BIGINT)), lambda i: array_to_string({_ALL}[i * {_SIZE} + 1:(i + 1) * {_SIZE}], ' '))), 'cur': '', 'x': ''}}
+       WHEN 2 * (30 - {_N.format('a.cur')}) >= {_N.format('e.x')} THEN {{'out': list_append(a.out, trim(a.cur || e.x, ' ')), 'cur': '', 'x': ''}}
+       ELSE {{'out': {_FLUSH}, 'cur': e.x || ' ', 'x': ''}} END) AS a FROM s),
+p AS (SELECT pid, CASE WHEN trim(a.cur, ' ') = '' THEN a.out WHEN {_N.format('a.cur')} < 8 AND len(a.out) > 0 THEN list_append(a.out[1:len(a.out) - 1], a.out[len(a.out)] || ' ' || trim(a.cur, ' ')) ELSE list_append(a.out, trim(a.cur, ' ')) END AS out FROM f)
+SELECT pid, CAST(i - 1 AS INTEGER) AS part, out[i] AS words FROM p, UNNEST(range(1, CAST(len(out) + 1 AS BIGINT))) AS r(i)"""
+
 ORACLE = {
     "page_filter": "SELECT doc_id FROM documents WHERE len(string_split(trim(text, ' '), ' ')) >= 8 AND NOT regexp_matches(text, '^__\\w*__')",
     "paragraph_filter": _LINES + " SELECT doc_id, CAST(i - 1 AS INTEGER) AS j, l[i] AS paragraph FROM d, UNNEST(range(1, CAST(len(l) + 1 AS BIGINT))) AS r(i)",
@@ -284,6 +300,10 @@ ORACLE = {
     "split_long_sentence": f"""WITH {_SENT}, w AS (SELECT pid, k, {_W.format('sentence')} AS w FROM k),
 z AS (SELECT *, CAST(ceil(len(w) / ceil(len(w) / 12.0)) AS BIGINT) AS size FROM w WHERE len(w) > 12)
 SELECT pid, k, CAST(i AS INTEGER) AS part, array_to_string(w[i * size + 1:(i + 1) * size], ' ') AS words FROM z, UNNEST(range(0, CAST(ceil(len(w) / size::DOUBLE) AS BIGINT))) AS r(i)""",
+    "split_paragraphs": _FOLD,
+    "prompt_render": "SELECT DISTINCT pid, md5('" + X.prompt_text(2, 3, what=False) + "' || passage) AS digest FROM passages WHERE passage IS NOT NULL",
+    "parse_llm_response": f"""WITH {_QA}, r AS (SELECT qa_id, CAST(i - 1 AS INTEGER) AS j, list_filter(coalesce(positive[i], []), lambda x: x IS NOT NULL) AS p, list_filter(coalesce(negative[i], []), lambda x: x IS NOT NULL) AS n FROM qa, UNNEST(range(1, CAST(len(positive) + 1 AS BIGINT))) AS r(i))
+SELECT qa_id, j, CAST(len(p) AS INTEGER) AS n_positive, CAST(len(n) AS INTEGER) AS n_negative, array_to_string(list_transform(p, lambda x: regexp_replace(replace(x, chr(10), ' '), '^[ \\t\\r\\f]', '')), '|') AS positive, array_to_string(list_transform(n, lambda x: regexp_replace(replace(x, chr(10), ' '), '^[ \\t\\r\\f]', '')), '|') AS negative FROM r""",
     "paragraph_stats": _LINES + f" SELECT round(avg(n), 6) AS paragraphs_mean, min(n)::INTEGER AS paragraphs_least, max(n)::INTEGER AS paragraphs_most, {_PS} FROM (SELECT len(l) AS n FROM d)",
     "words_per_passage": "SELECT wiki, split, count(*) AS n, median(len(string_split(passage, ' '))) AS median_words FROM (SELECT DISTINCT wiki, split, pid, passage FROM passages WHERE passage IS NOT NULL) GROUP BY ALL",
     "dataset_stats": """SELECT 'passages' AS tab, count(*) AS n, median(len(string_split(passage, ' '))) AS median_words FROM (SELECT DISTINCT pid, passage FROM passages)
