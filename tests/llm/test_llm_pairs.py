@@ -132,10 +132,13 @@ def test_forest(spark):
 
 
 def test_related_and_deal(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (5, "c"), (6, "c"), (6, "b"), (1, "a"), (None, "a")], "id long, page string")
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (5, "c"), (6, "c"), (6, "b"), (1, "a"), (None, "a"), (11, "k"), (13, "k"), (13, "l"), (14, "l"), (15, "l")], "id long, page string")
     named = spark.createDataFrame([(2, 10), (4, 10), (99, 10), (4, None)], "id long, thing long")
     got = {r.id: r.group for r in SP.related(rows, named).collect()}
-    assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 3, 6: 3}
+    assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 3, 6: 3} | dict.fromkeys([11, 13, 14, 15], 11)
+    groups, tree = SP.spanned(rows, named)
+    edges = [(r.u, r.v) for r in tree.collect()]
+    assert len(edges) == len(got) - len(set(got.values())) and components(edges) == {i: g for i, g in got.items() if list(got.values()).count(g) > 1}
     many = spark.range(0, 4000).selectExpr("id", "id div (1 + id % 3) as group")
     dealt = SP.deal(many).collect()
     size = sum(r["size"] for r in dealt)

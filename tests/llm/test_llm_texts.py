@@ -61,6 +61,13 @@ def test_pieces_cut_at_sentences(spark):
     assert sorted(len(r.text) for r in rows if r.id == 5) == [200, 900, 900]
 
 
+def test_pieces_prefer_any_boundary():
+    """The only sentence end lies in the first half of what fits."""
+    text = "One two three. " + " ".join(f"w{i}" for i in range(40))
+    got = P.cut(text, 20, 1000, 2)
+    assert got[0][4] == "sentence" and text[: got[0][1]] == "One two three." and {k for *_, k in got[1:-1]} == {"word"}
+
+
 PASSAGE = "The gardener of Rufatek wore a stubborn flute at every harvest. Only 44 ships of the choir reached Vizesu that season."
 
 

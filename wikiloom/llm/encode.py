@@ -16,16 +16,16 @@ ordinary text; lone surrogates cannot occur in a Spark string. Repeated rows giv
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Words that a worker keeps between batches; beyond it the cache starts anew (results stay the same).
 CACHE_WORDS = 400_000
 
-#: Where the vocabulary files lie, unless the caller names another folder.
+#: Where the vocabulary files lie on the driver, unless the caller names another folder.
 FOLDER = "/opt/tokenizers"
 
 #: Fixed value: the pre-tokenisation pattern of the byte_bpe_50k vocabulary.
@@ -105,18 +105,26 @@ class TrieEncoder:
         return [list(map(get, ws)) for ws in found]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> TrieEncoder:
-    """The encoder of a .tiktoken file, once a worker."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return TrieEncoder(ranks)
+_encoders: dict[str, TrieEncoder] = {}
 
 
-def _batches(path: str, rows: int = 512):
-    enc = encoder(path)
+def encoder(path: str, shared=None) -> TrieEncoder:
+    """The encoder of a .tiktoken file, once a worker; shared: the file's bytes as the driver has broadcast them."""
+    if path not in _encoders:
+        data = Path(path).read_bytes() if shared is None else shared.value
+        _encoders[path] = TrieEncoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)})
+    return _encoders[path]
 
+
+def shipped(spark: SparkSession, vocabulary: str, folder: str):
+    """(path, broadcast bytes) of a vocabulary file, under a megabyte; only the driver needs the file."""
+    path = f"{folder}/{vocabulary}.tiktoken"
+    return path, spark.sparkContext.broadcast(Path(path).read_bytes())
+
+
+def _batches(path: str, shared, rows: int = 512):
     def each(batches):
+        enc = encoder(path, shared)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield enc, batch.slice(at, rows)
@@ -126,10 +134,10 @@ def _batches(path: str, rows: int = 512):
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = FOLDER, ids: str = "ids") -> DataFrame:
     """key and the list of token ids of each row's text."""
-    path = f"{folder}/{vocabulary}.tiktoken"
+    path, shared = shipped(df.sparkSession, vocabulary, folder)
 
     def run(batches):
-        for enc, b in _batches(path)(batches):
+        for enc, b in _batches(path, shared)(batches):
             words = enc.encode(b.column(1).to_pylist())
             flat = [list(chain.from_iterable(w)) for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.int32()))], names=[key, ids])
@@ -140,11 +148,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
 def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = FOLDER, name: str = "n_tokens") -> DataFrame:
     """All columns of df but the text, and the number of tokens of each text (0 for null and empty)."""
-    path = f"{folder}/{vocabulary}.tiktoken"
+    path, shared = shipped(df.sparkSession, vocabulary, folder)
     keep = [c for c in df.columns if c != text]
 
     def run(batches):
-        for enc, b in _batches(path)(batches):
+        for enc, b in _batches(path, shared)(batches):
             n = [sum(map(len, w)) for w in enc.encode(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*keep, name])
 

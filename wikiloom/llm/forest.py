@@ -26,7 +26,7 @@ def _jump(parents: DataFrame) -> DataFrame:
             return parents
 
 
-def forest(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame | None]:
+def forest(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
     """(labels: node, root of every node that has an edge; spanning: u, v, round of the forest) of edges u, v."""
     spark = edges.sparkSession
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
@@ -53,8 +53,8 @@ def forest(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame | N
         e = e.join(a, "u").join(b, "v").where("ru != rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min(F.struct("ou", "ov")).alias("m"))
         e = durable(e.select("u", "v", "m.ou", "m.ov"))
     if labels is None:
-        return spark.createDataFrame([], "node long, root long"), None
-    return durable(labels), spanning
+        return spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "u long, v long, round int")
+    return durable(labels), durable(spanning)
 
 
 def groups(edges: DataFrame) -> DataFrame:

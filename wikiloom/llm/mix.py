@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wikiloom.durable import durable
-from wikiloom.llm.encode import FOLDER, encoder
+from wikiloom.llm.encode import FOLDER, encoder, shipped
 from wikiloom.llm.tokens import Tokens, slices
 
 SAMPLE, DOUBT, SHORTFALL, STEPS, CLOSE = 400, 0.02, 0.05, 30, 0.0005
@@ -109,7 +109,7 @@ def fit_sources(docs: DataFrame, sources: list[str], sample: int = SAMPLE) -> tu
 
 def members(docs: DataFrame, sources: list[str], log_p: np.ndarray, heat: float, vocabulary: str, folder: str) -> DataFrame:
     """doc_id, source, s (index of the domain, -1 without a source), n (tokens), p (posteriors) of the documents with text."""
-    path = f"{folder}/{vocabulary}.tiktoken"
+    path, words = shipped(docs.sparkSession, vocabulary, folder)
     k = len(sources) + 1
     model = docs.sparkSession.sparkContext.broadcast(log_p)
     prior = np.full((k + 1, k), DOUBT / max(k - 1, 1))
@@ -117,7 +117,7 @@ def members(docs: DataFrame, sources: list[str], log_p: np.ndarray, heat: float,
     prior[-1] = 1 / k
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, words)
         for b in slices(batches, 512):
             texts, s = b.column(3).to_pylist(), b.column(2).to_numpy()
             n = np.array([sum(map(len, w)) for w in enc.encode(texts)], np.int64)

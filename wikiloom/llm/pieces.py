@@ -2,8 +2,8 @@
 
 The word offsets of an item are a sorted array of prefix positions. From a piece's first word the furthest end
 under both limits is found by binary search over the ends; the last paragraph, line or sentence boundary at or
-before it by binary search over the sorted boundary array of that level; the next piece begins `overlap` words
-back. Where no boundary lies in reach the cut falls between two words, and within a word only if that word alone
+before it, if half of the text stays before it, by binary search over the sorted boundary array of that level, else the last
+boundary of any level; the next piece begins `overlap` words back. Where no boundary lies in reach the cut falls between two words, and within a word only if that word alone
 is over the limit. Only oversized items reach Python: the JVM compares sizes and leaves the rest at the scan.
 
 Defined results: null and blank items and items within the limits give no rows. Offsets count code points of the
@@ -60,12 +60,17 @@ def cut(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overl
         most = reach(s)
         end, kind = most, "end" if most == n else "word"
         if most < n:
-            # A boundary counts if the piece then keeps half of its text, or any new text for a paragraph's end.
+            # A boundary is taken if the piece then keeps half of its text.
             for k, b in zip((3, 2, 1), bounds):
                 i = bisect_right(b, most) - 1
                 if i >= 0 and b[i] > covered and size[b[i]] - size[s] >= (size[most] - size[s]) // 2:
                     end, kind = b[i], KINDS[k]
                     break
+            else:
+                # No boundary keeps half of the text: then the last one of any kind that brings new text.
+                i = bisect_right(bounds[-1], most) - 1
+                if i >= 0 and bounds[-1][i] > covered:
+                    end, kind = bounds[-1][i], KINDS[level[bounds[-1][i] - 1]]
         out.append((starts[s], ends[end - 1], end - s, covered - s, kind))
         if end == n:
             return out

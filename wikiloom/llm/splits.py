@@ -26,7 +26,12 @@ BUCKETS = 1024
 
 
 def related(records: DataFrame, shared: DataFrame) -> DataFrame:
-    """id, group of all records.
+    """id, group of all records; see spanned()."""
+    return spanned(records, shared)[0]
+
+
+def spanned(records: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups: id, group of all records; tree: u, v, round of the edges that tie each group together, as many as its records less one).
 
     records: id, page (null where the record has none); shared: id, thing. Records with an equal page or an equal thing are related, and
     so on; things of ids that are not among the records play no part. group is the smallest id of the group.
@@ -40,10 +45,13 @@ def related(records: DataFrame, shared: DataFrame) -> DataFrame:
     named = shared.select("id", "thing").where("id is not null and thing is not null").distinct().join(base, "id").select("thing", "base").distinct()
     least = named.groupBy("thing").agg(F.min("base").alias("v"))
     links = named.join(least, "thing").select(F.col("base").alias("u"), "v").where("u != v")
-    labels, _ = forest(several.unionByName(links))
+    labels, edges = forest(several.unionByName(links))
     group = labels.groupBy("root").agg(F.min("node").alias("group"))
     of = labels.join(group, "root").select(F.col("node").alias("base"), "group")
-    return base.join(of, "base", "left").select("id", F.coalesce("group", "base").alias("group"))
+    groups = base.join(of, "base", "left").select("id", F.coalesce("group", "base").alias("group"))
+    # Records of one page hang on its smallest one (which may itself be tied to another page's by the forest); round -1 stands before the contraction.
+    hung = base.where("id != base").join(anchors.select(F.col("anchor").alias("id")), "id", "left_anti").select(F.col("base").alias("u"), F.col("id").alias("v"), F.lit(-1).alias("round"))
+    return groups, hung.unionByName(edges)
 
 
 def broken(groups: DataFrame, splits: DataFrame) -> DataFrame:

@@ -9,10 +9,19 @@ from wikiloom.llm import splits as S
 from wikiloom.session import table
 
 
-def _groups(spark, sf_dir):
+def _spanned(spark, sf_dir):
     rows = table(spark, sf_dir, "passages").select(F.col("pid").alias("id"), F.when(F.col("wid") >= 0, F.struct("wiki", "wid")).alias("page"))
     named = table(spark, sf_dir, "triples").select(F.col("pid").alias("id"), F.col("qid_pos").alias("thing"))
-    return S.related(rows, named)
+    return S.spanned(rows, named)
+
+
+def _groups(spark, sf_dir):
+    return _spanned(spark, sf_dir)[0]
+
+
+def p3_forest(spark, sf_dir):
+    """u, v, round of the spanning forest: the edges that tie the passages of every group together."""
+    return _spanned(spark, sf_dir)[1]
 
 
 def p3_found(spark, sf_dir):
@@ -43,7 +52,7 @@ def p3_shares(spark, sf_dir):
     return rows.join(total, "tab").select("tab", "split", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_shares, p3_forest)}
 
 ORACLE = {
     "p3_found": """
