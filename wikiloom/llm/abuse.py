@@ -139,11 +139,15 @@ for _w in _INDEX:
         _BY_SIZE.setdefault(len(_w), []).append(_w)
 
 
+_ALIKE = LOOKALIKE | INVISIBLE
+_COMBINING = re.compile(f"[{''.join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c))}]+")
+
+
 def fold(text: str) -> str:
     """Lower case, without invisible characters, look-alikes and accents, and with spelt-out words joined."""
-    t = text.lower().translate(INVISIBLE).translate(LOOKALIKE)
+    t = text.lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).replace("ß", "ss").replace("œ", "oe")
+        t = _COMBINING.sub("", unicodedata.normalize("NFD", t.translate(_ALIKE))).replace("ß", "ss").replace("œ", "oe")
     return _SPELT.sub(lambda m: _APART.sub("", m[0]), t)
 
 
@@ -196,10 +200,28 @@ def marks(raw: str, words: list[str]) -> list[str]:
     return [MARK + x for x in [*(f"w:{e}" for e in entries), *kinds, *pairs]]
 
 
+#: Folded words met so far, and those of them that are a telling entry, plainly or in disguise.
+_MET: set[str] = set()
+_TELL: set[str] = set()
+
+
+def telling(words: set[str]) -> bool:
+    """Whether any of the words tells; every word is looked at once, as long as the worker remembers it."""
+    new = words - _MET
+    if new:
+        if len(_MET) > 300_000:
+            _MET.clear()
+            _TELL.clear()
+            new = words
+        _MET.update(new)
+        _TELL.update(w for w in new if (e := entry(w)) is not None and e in _TELLING)
+    return not _TELL.isdisjoint(words)
+
+
 def parts(text: str | None) -> list[list[str]]:
     """The distinct features of every sentence that has words: folded words, and marks()."""
     found = [w for x in _SENTENCE.split(fold(text or "")) if (w := list(dict.fromkeys(_WORD.findall(x))))]
-    if not any((e := entry(w)) is not None and e in _TELLING for x in found for w in x):
+    if not telling(set().union(*found)):
         return found
     rows = [(raw, _WORD.findall(fold(raw))) for raw in _SENTENCE.split(text)]
     return [[*dict.fromkeys(w), *marks(raw, w)] for raw, w in rows if w]

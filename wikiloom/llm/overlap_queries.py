@@ -42,7 +42,12 @@ _QUERIES = f"""
 sh AS (SELECT DISTINCT id, side, unnest(w) AS g FROM (SELECT DISTINCT qid AS id, {_SIDE}, list_distinct(regexp_extract_all(lower(query), '[\\pL\\pN]+')) AS w FROM queries WHERE split IN ('train', 'val', 'test') AND query IS NOT NULL) WHERE len(w) >= 5),
 sz AS (SELECT id, side, count(*) AS n FROM sh GROUP BY ALL)"""
 
-ORACLE = {
-    "p2_found": f"""SELECT 'passages' AS tab, a AS id_a, b AS id_b FROM (WITH {_PASSAGES}, {pairs_sql(0.6, "a.side <> b.side")} SELECT a, b FROM ok)
+_FOUND = f"""SELECT 'passages' AS tab, a AS id_a, b AS id_b FROM (WITH {_PASSAGES}, {pairs_sql(0.6, "a.side <> b.side")} SELECT a, b FROM ok)
 UNION ALL SELECT 'queries', a, b FROM (WITH {_QUERIES}, {pairs_sql(0.8, "a.side <> b.side")} SELECT a, b FROM ok)"""
+
+ORACLE = {
+    "p2_found": _FOUND,
+    "p2_report": f"""WITH found AS ({_FOUND}), ends AS (SELECT tab, id_a AS id FROM found UNION SELECT tab, id_b FROM found),
+recs AS (SELECT DISTINCT 'passages' AS tab, pid AS id, split, wiki FROM passages UNION ALL SELECT DISTINCT 'queries', qid, split, wiki FROM queries)
+SELECT tab, split, wiki, count(*) AS n, count(ends.id) AS n_overlapping FROM recs LEFT JOIN ends USING (tab, id) GROUP BY tab, split, wiki""",
 }

@@ -62,6 +62,10 @@ ORACLE = {
     "p1_classes": f"""WITH {shingle_sql(3, 12)}, {_CLASS.format(12)}, {pairs_sql(0.6)},
 l AS (SELECT class_id, count(DISTINCT other) AS n FROM (SELECT x.class_id, y.class_id AS other FROM ok JOIN cl x ON x.id = a JOIN cl y ON y.id = b UNION ALL SELECT y.class_id, x.class_id FROM ok JOIN cl x ON x.id = a JOIN cl y ON y.id = b) WHERE class_id <> other GROUP BY ALL)
 SELECT p.pid, coalesce(cl.class_id, p.pid) AS class_id, coalesce(l.n, 0) AS n_links FROM (SELECT DISTINCT pid FROM passages) p LEFT JOIN cl ON cl.id = p.pid LEFT JOIN l ON l.class_id = coalesce(cl.class_id, p.pid)""",
+    "p1_groups": f"""WITH RECURSIVE {shingle_sql(3, 12)}, {pairs_sql(0.6)},
+b AS (SELECT DISTINCT a AS x, b AS y FROM ok UNION SELECT b, a FROM ok),
+r AS (SELECT DISTINCT x AS id, x AS root FROM b UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.id)
+SELECT id AS pid, min(root) AS group_pid FROM r GROUP BY id""",
     "p1_five_words": f"""WITH {shingle_sql(5, 5)}, {_CLASS.format(5)}, {pairs_sql(0.8)}
 SELECT a AS pid_a, b AS pid_b, round(similarity, 6) AS similarity FROM ok WHERE a IN (SELECT class_id FROM cl) AND b IN (SELECT class_id FROM cl)""",
 }
