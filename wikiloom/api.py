@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wikiloom.config import Config
+from wikiloom.durable import durable
 from wikiloom.operators import dataset as B, dense as D, lexical as L, metrics as M
 from wikiloom.sources import files
 
@@ -116,6 +118,77 @@ class TripleDataset:
         lists = self.triples.df.select("qid", F.concat(F.array("pid_pos"), "pid_neg").alias("pids"))
         return B.strings_qpp(lists, self.passages.df)
 
+    def __len__(self) -> int:
+        return len(self.triples)
+
+    def _texts(self, row: tuple) -> tuple[list[str | None], list[str | None]]:
+        """The questions and the passages of one triple; an id that does not exist has no text."""
+        qids, pids = (row[:2], row[2:3]) if self.triples.mode == "QQP" else (row[:1], [row[1], *row[2]])
+        q, p = (t.df.where(F.col(t.key).isin(list(ids))).select(t.key, t.text).collect() for t, ids in ((self.queries, qids), (self.passages, pids)))
+        q, p = dict(map(tuple, q)), dict(map(tuple, p))
+        return [q.get(i) for i in qids], [p.get(i) for i in pids]
+
+    def __getitem__(self, i: int) -> tuple[list[str | None], list[str | None]]:
+        """The texts of the triple at place i, in the order of the triples' columns."""
+        rows = B.dense_ids(self.triples.df.distinct(), self.triples.df.columns, "_i").where(F.col("_i") == i).drop("_i").collect()
+        if not rows:
+            raise IndexError(i)
+        return self._texts(tuple(rows[0]))
+
+    def __iter__(self) -> Iterator[tuple[list[str | None], list[str | None]]]:
+        """The texts of every triple, streamed from one join."""
+        if self.triples.mode == "QQP":
+            for r in self.strings().toLocalIterator():
+                yield [r.positive, r.negative], [r.passage]
+        else:
+            per = self.strings().groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "passage"))), lambda x: x["passage"]).alias("ps"))
+            q = self.queries.df.select(F.col(self.queries.key).alias("qid"), F.col(self.queries.text).alias("q"))
+            for r in per.join(q, "qid").toLocalIterator():
+                yield [r.q], r.ps
+
+
+class Index(ABC):
+    """What a retriever needs of an index over documents (scope, pid, text)."""
+
+    @abstractmethod
+    def add(self, docs: DataFrame) -> None:
+        """Take in the documents that are not in it yet."""
+
+    @abstractmethod
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """scope, qid, pid, score, rank of the best k documents of queries (scope, qid, text)."""
+
+
+class LexicalIndex(Index):
+    """TF-IDF over all documents taken in; fitted anew when some were added."""
+
+    def __init__(self, min_df: int = 5):
+        self.min_df, self.docs, self.model = min_df, None, None
+
+    def add(self, docs: DataFrame) -> None:
+        docs = docs.select("scope", "pid", "text")
+        self.docs = docs if self.docs is None else self.docs.unionByName(docs.join(self.docs.select("scope", "pid"), ["scope", "pid"], "left_anti"))
+        self.model = None
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        self.model = self.model or L.TfIdf(self.docs, self.min_df)
+        return self.model.topk(queries, k)
+
+
+class DenseIndex(Index):
+    """Token vectors at a path, searched end to end."""
+
+    def __init__(self, path: str, similarity: str = "cosine", spread: float = 2.0, encoder=D.encode_documents, query_encoder=D.encode_queries):
+        self.path, self.similarity, self.spread, self.encoder, self.query_encoder = path, similarity, spread, encoder, query_encoder
+        self.vectors = None
+
+    def add(self, docs: DataFrame) -> None:
+        self.vectors = D.append(docs, self.path, self.encoder)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        vectors = queries.sparkSession.read.parquet(self.path) if self.vectors is None else self.vectors
+        return D.retrieve_full(vectors, self.query_encoder(queries), k, self.spread, self.similarity)
+
 
 class Retriever:
     """Lexical search, rerank and end-to-end search over one set of passages; the index is built or extended at config.index_path."""
@@ -124,7 +197,7 @@ class Retriever:
         self.config = config
         self.docs = passages.df.select(F.lit("all").alias("scope"), "pid", F.col("passage").alias("text"))
         self.lexical = L.TfIdf(self.docs, config.min_df)
-        self.index = D.append(self.docs, config.index_path, lambda d: D.encode_documents(d, config.doc_maxlen)) if config.index_path else D.encode_documents(self.docs, config.doc_maxlen)
+        self.index = D.append(self.docs, config.index_path, lambda d: D.encode_documents(d, config.doc_maxlen)) if config.index_path else durable(D.encode_documents(self.docs, config.doc_maxlen))
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         q = queries.select(F.lit("all").alias("scope"), "qid", F.col("query").alias("text"))

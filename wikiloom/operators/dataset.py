@@ -218,6 +218,23 @@ def batches(df: DataFrame, order: list[str], size: int, by: list[str], drop_last
     return out
 
 
+def bucketed(df: DataFrame, order: list[str], length: str, size: int, by: list[str], multiple: int = 10, accumulate: int = 1) -> DataFrame:
+    """df with bucket, batch and sub: rows in the given order fall into buckets of `multiple` batches, within a bucket the longest come first, so
+    that rows of one batch have about the same length; a batch is used up in `accumulate` parts. The order must be unique."""
+    rows = in_order(df, by, order, "_place").withColumn("bucket", F.floor(F.col("_place") / (size * multiple)).cast("long"))
+    w = Window.partitionBy(*by, "bucket").orderBy(F.desc(length), "_place")  # size * multiple rows at most
+    rows = rows.withColumn("_in", F.row_number().over(w) - 1)
+    part = -(-size // accumulate)
+    return rows.select(*df.columns, "bucket", (F.col("bucket") * multiple + F.floor(F.col("_in") / size)).alias("batch"), F.floor(F.col("_in") % size / part).cast("int").alias("sub"))
+
+
+def by_length(df: DataFrame, key: list[str], length: str) -> DataFrame:
+    """key, place (longest first, then by key, from 0) and original (the place in the order of the key): a permutation and its inverse."""
+    df = df.select(*key, F.col(length).alias("_n"))
+    rows = dense_ids(dense_ids(df, key, "original").withColumn("_m", -F.col("_n")), ["_m", *key], "place")
+    return rows.select(*key, "place", "original")
+
+
 def shards(df: DataFrame, order: list[str], size: int, by: list[str]) -> DataFrame:
     """Runs of `size` rows a person, numbered from 1; a last unfilled run is left out."""
     return batches(df, order, size, by, drop_last=True).withColumn("person", F.col("batch") + 1).drop("batch")

@@ -23,6 +23,8 @@ from wikiloom.functions import text as X
 #: Token vectors of queries that are broadcast at once.
 BLOCK = 8192
 HASHED_DIM = 32
+#: The term that pads queries; no text has it.
+PAD = "[mask]"
 
 
 @lru_cache(maxsize=200_000)
@@ -33,8 +35,11 @@ def hashed_vector(term: str) -> np.ndarray:
     return (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
-def _encode(df: DataFrame, key: str, most: int | None) -> DataFrame:
-    """A deterministic stand-in for a neural encoder: one vector a term; at most `most` where an encoder's length is to be kept to."""
+def _encode(df: DataFrame, key: str, most: int | None, skip: list[str] | None = None, marker: str | None = None, pad_to: int = 0) -> DataFrame:
+    """A deterministic stand-in for a neural encoder: one vector a term; at most `most` where an encoder's length is to be kept to.
+
+    skip: terms without a vector; marker: a term of its own in front; pad_to: as many vectors at least, by those of PAD.
+    """
 
     def run(batches):
         for b in batches:
@@ -47,17 +52,24 @@ def _encode(df: DataFrame, key: str, most: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), outer], names=["scope", key, "emb"])
 
     terms = X.terms("text") if most is None else F.slice(X.terms("text"), 1, most)
+    if skip:
+        terms = F.filter(terms, lambda t: ~t.isin(skip))
+    if marker:
+        terms = F.when(F.size(terms) > 0, F.concat(F.array(F.lit(marker)), terms)).otherwise(terms)
+    if pad_to:
+        terms = F.when(F.size(terms) > 0, F.concat(terms, F.array_repeat(F.lit(PAD), F.greatest(F.lit(pad_to) - F.size(terms), F.lit(0))))).otherwise(terms)
     rows = df.select("scope", key, terms.alias("terms")).where(F.size("terms") > 0)
     return rows.mapInArrow(run, f"scope string, {key} long, emb array<array<float>>")
 
 
-def encode_documents(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """scope, pid, emb of docs (scope, pid, text). Null and wordless texts have no row."""
-    return _encode(docs, "pid", most)
+def encode_documents(docs: DataFrame, most: int | None = None, skip: list[str] | None = None, marker: str | None = None) -> DataFrame:
+    """scope, pid, emb of docs (scope, pid, text). Null and wordless texts, and those of skipped terms only, have no row."""
+    return _encode(docs, "pid", most, skip, marker)
 
 
-def encode_queries(queries: DataFrame, most: int | None = None) -> DataFrame:
-    return _encode(queries, "qid", most)
+def encode_queries(queries: DataFrame, most: int | None = None, marker: str | None = None, pad_to: int = 0) -> DataFrame:
+    """scope, qid, emb; padded queries have `pad_to` vectors at least, as an encoder that expands queries expects."""
+    return _encode(queries, "qid", most, None, marker, pad_to)
 
 
 def grouped(tokens: DataFrame, key: str, order: str = "pos", emb: str = "emb") -> DataFrame:
@@ -213,12 +225,23 @@ def append(docs: DataFrame, path: str, encoder=encode_documents) -> DataFrame:
 
 
 def _probes(projected: np.ndarray, probes: int) -> np.ndarray:
-    """[row, table, probe]: the buckets nearest to each vector, its own first; projected: [row, table, bit]. A bucket is as far as the sum of the planes' distances to be crossed."""
-    bits = projected.shape[2]
-    flips = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
-    own = (projected > 0) @ (1 << np.arange(bits))
-    near = [np.argsort(np.abs(projected[i : i + 256]) @ flips.T, axis=2, kind="stable")[:, :, :probes] for i in range(0, len(projected), 256)]
-    return own[:, :, None] ^ np.concatenate(near)
+    """[row, table, probe]: the buckets nearest to each vector, its own first; projected: [row, table, bit].
+
+    A bucket is as far as the sum of the planes' distances to be crossed. The nearest `probes` buckets cross only some of the nearest
+    probes - 1 planes, so only those are tried.
+    """
+    n, tables, bits = projected.shape
+    m = min(bits, probes - 1)
+    own = (projected > 0) @ (1 << np.arange(bits, dtype=np.int64))
+    if not m:
+        return own[:, :, None]
+    far = np.abs(projected)
+    near = np.argsort(far, axis=2, kind="stable")[:, :, :m]
+    subsets = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+    cost = np.take_along_axis(far, near, axis=2) @ subsets.T
+    flips = (np.int64(1) << near) @ subsets.T
+    best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+    return own[:, :, None] ^ np.take_along_axis(flips, best, axis=2)
 
 
 def lsh_candidates(vectors: DataFrame, queries: DataFrame, bits: int = 6, tables: int = 24, seed: int = 7, probes: int = 3) -> DataFrame:
@@ -237,10 +260,10 @@ def lsh_candidates(vectors: DataFrame, queries: DataFrame, bits: int = 6, tables
                     continue
                 if planes is None:
                     planes = np.random.default_rng(seed).standard_normal((tables * bits, m.shape[1]))
-                at = _probes((m @ planes.T).reshape(len(m), tables, bits), probes) + (np.arange(tables) * (1 << bits))[None, :, None]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(at.reshape(len(m), -1).astype(np.int32)), pa.list_(pa.int32()))], names=[key, "emb", "buckets"])
+                at = _probes((m @ planes.T).reshape(len(m), tables, bits), probes) + (np.arange(tables, dtype=np.int64) << bits)[None, :, None]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(at.reshape(len(m), -1)), pa.list_(pa.int64()))], names=[key, "emb", "buckets"])
 
-        return df.select(key, "emb").mapInArrow(run, f"{key} long, emb array<float>, buckets array<int>")
+        return df.select(key, "emb").mapInArrow(run, f"{key} long, emb array<float>, buckets array<bigint>")
 
     v, q = signed(vectors, "id", 1), signed(queries, "qid", probes)
     near = v.select("id", F.explode("buckets").alias("b")).join(q.select("qid", F.explode("buckets").alias("b")), "b").select("qid", "id").distinct()

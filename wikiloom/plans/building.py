@@ -61,6 +61,43 @@ def paragraph_stats(spark, sf_dir):
     return _docs(spark, sf_dir).select(F.size(S.paragraphs("text")).alias("n")).agg(*_five("n", "paragraphs"))
 
 
+def paragraph_words_stats(spark, sf_dir):
+    """Words a paragraph: mean, extremes and percentiles."""
+    return _docs(spark, sf_dir).select(F.explode(S.paragraphs("text")).alias("p")).select(X.n_spaced("p").alias("n")).agg(*_five("n", "words"))
+
+
+def page_pids(spark, sf_dir):
+    """The passages of each page, in order, as one list written with commas."""
+    p = table(spark, sf_dir, "passages").where("wid >= 0").select("wiki", "wid", "pid").distinct()
+    return p.groupBy("wiki", "wid").agg(F.array_join(F.array_sort(F.collect_list("pid")), ",").alias("pids"))
+
+
+def pid_counts(spark, sf_dir):
+    """How often each remapped passage is named; -1 for no passage."""
+    return substring_pid_map(spark, sf_dir).groupBy("pid").agg(F.count("*").alias("n"))
+
+
+def exclusions(spark, sf_dir):
+    """By wiki: paragraphs, the fraction that is left out as broken, and paragraphs whose positives and negatives differ in number."""
+    rows = _qa(spark, sf_dir).select("wiki", F.posexplode("text").alias("j", "p"), "positive", "negative")
+    n = lambda c: F.size(F.coalesce(F.get(c, F.col("j")), F.array()))
+    return rows.groupBy("wiki").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p").endswith(" .").cast("int")), 6).alias("excluded"), F.count_if(n("positive") != n("negative")).alias("unequal"))
+
+
+def paragraphs_by_length(spark, sf_dir):
+    """Places of the paragraphs of QA pages, longest first, beside their places in the order of pages."""
+    rows = _qa(spark, sf_dir).select("qa_id", F.posexplode("text").alias("j", "p")).where("p is not null")
+    return B.by_length(rows.select("qa_id", "j", X.n_spaced("p").alias("n")), ["qa_id", "j"], "n")
+
+
+def bucket_batches(spark, sf_dir):
+    """Batches of 8 triples whose passages have about the same length, within buckets of 4 batches, used up in 3 parts."""
+    p = table(spark, sf_dir, "passages").where("passage is not null").groupBy("pid").agg(F.max(F.char_length("passage")).alias("chars"))
+    t = table(spark, sf_dir, "triples").select("wiki", "qid_pos", "qid_neg", "pid").distinct().join(p, "pid")
+    t = t.withColumn("key", B.shuffle_key(F.col("qid_pos") * 7 + F.col("pid")))
+    return B.bucketed(t, ["key", "qid_pos", "qid_neg", "pid"], "chars", 8, ["wiki"], 4, 3).select("wiki", "qid_pos", "qid_neg", "pid", "bucket", "batch", "sub")
+
+
 def words_per_passage(spark, sf_dir):
     p = table(spark, sf_dir, "passages").where("passage is not null").select("wiki", "split", "pid", "passage").distinct()
     return p.groupBy("wiki", "split").agg(F.count("*").alias("n"), F.median(X.n_spaced("passage")).alias("median_words"))
@@ -255,7 +292,7 @@ def move_third_positive(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_filter, paragraph_filter, heading_detect, sentence_split, split_long_sentence, split_paragraphs, segment_page, paragraph_stats, words_per_passage, dataset_stats, dataset_rollup, question_word_dist, question_word_dist_lower, question_word_pct_of_paragraphs, dedup_assign_ids, dedup_first_wins, neg_sampling_fill, ms_triples_qpp, qa_pairs_zip, qa_relations, qa_split_train_test_val, wiki_metadata, wiki_metadata_merge, triples_to_strings_qqp, triples_to_strings_qpp, anti_join_unindexed, substring_pid_map, pid_to_url_lookup, heading_anchor_url, blueprint_shards, batch_assign, union_splits, distinct_pids, qrels_sizes, prompt_render, parse_llm_response, question_cells, move_third_positive)
+    for f in (page_filter, paragraph_filter, heading_detect, sentence_split, split_long_sentence, split_paragraphs, segment_page, paragraph_stats, paragraph_words_stats, page_pids, pid_counts, exclusions, paragraphs_by_length, bucket_batches, words_per_passage, dataset_stats, dataset_rollup, question_word_dist, question_word_dist_lower, question_word_pct_of_paragraphs, dedup_assign_ids, dedup_first_wins, neg_sampling_fill, ms_triples_qpp, qa_pairs_zip, qa_relations, qa_split_train_test_val, wiki_metadata, wiki_metadata_merge, triples_to_strings_qqp, triples_to_strings_qpp, anti_join_unindexed, substring_pid_map, pid_to_url_lookup, heading_anchor_url, blueprint_shards, batch_assign, union_splits, distinct_pids, qrels_sizes, prompt_render, parse_llm_response, question_cells, move_third_positive)
 }
 
 _LINES = """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^(&lt;|__\\w*__)')) AS l FROM documents WHERE text IS NOT NULL)"""
@@ -305,6 +342,20 @@ SELECT pid, k, CAST(i AS INTEGER) AS part, array_to_string(w[i * size + 1:(i + 1
     "parse_llm_response": f"""WITH {_QA}, r AS (SELECT qa_id, CAST(i - 1 AS INTEGER) AS j, list_filter(coalesce(positive[i], []), lambda x: x IS NOT NULL) AS p, list_filter(coalesce(negative[i], []), lambda x: x IS NOT NULL) AS n FROM qa, UNNEST(range(1, CAST(len(positive) + 1 AS BIGINT))) AS r(i))
 SELECT qa_id, j, CAST(len(p) AS INTEGER) AS n_positive, CAST(len(n) AS INTEGER) AS n_negative, array_to_string(list_transform(p, lambda x: regexp_replace(replace(x, chr(10), ' '), '^[ \\t\\r\\f]', '')), '|') AS positive, array_to_string(list_transform(n, lambda x: regexp_replace(replace(x, chr(10), ' '), '^[ \\t\\r\\f]', '')), '|') AS negative FROM r""",
     "paragraph_stats": _LINES + f" SELECT round(avg(n), 6) AS paragraphs_mean, min(n)::INTEGER AS paragraphs_least, max(n)::INTEGER AS paragraphs_most, {_PS} FROM (SELECT len(l) AS n FROM d)",
+    "paragraph_words_stats": _LINES + f" SELECT round(avg(n), 6) AS words_mean, min(n)::INTEGER AS words_least, max(n)::INTEGER AS words_most, {_PS.replace('paragraphs_', 'words_')} FROM (SELECT len(string_split(unnest(l), ' ')) AS n FROM d)",
+    "page_pids": "SELECT wiki, wid, string_agg(pid, ',' ORDER BY pid) AS pids FROM (SELECT DISTINCT wiki, wid, pid FROM passages WHERE wid >= 0) GROUP BY ALL",
+    "pid_counts": """WITH g AS (SELECT DISTINCT gen_id AS hid, passage AS text FROM generated_questions WHERE passage IS NOT NULL),
+n AS (SELECT hid, substr(text, CAST(greatest(1, length(text) // 2 - 19) AS BIGINT), 40) AS mid FROM g),
+m AS (SELECT hid, coalesce(min(pid), -1) AS pid FROM n LEFT JOIN passages p ON mid <> '' AND contains(p.passage, mid) GROUP BY hid) SELECT pid, count(*) AS n FROM m GROUP BY pid""",
+    "exclusions": f"""WITH {_QA}, r AS (SELECT wiki, text[i] AS p, coalesce(len(positive[i]), 0) AS a, coalesce(len(negative[i]), 0) AS b FROM qa, UNNEST(range(1, CAST(len(text) + 1 AS BIGINT))) AS r(i))
+SELECT wiki, count(*) AS n, round(avg(ends_with(p, ' .')::INT), 6) AS excluded, count(*) FILTER (a <> b) AS unequal FROM r GROUP BY wiki""",
+    "paragraphs_by_length": f"""WITH {_QA}, r AS (SELECT qa_id, CAST(i - 1 AS INTEGER) AS j, text[i] AS p FROM qa, UNNEST(range(1, CAST(len(text) + 1 AS BIGINT))) AS r(i) WHERE text[i] IS NOT NULL)
+SELECT qa_id, j, row_number() OVER (ORDER BY len(string_split(p, ' ')) DESC, qa_id, j) - 1 AS place, row_number() OVER (ORDER BY qa_id, j) - 1 AS original FROM r""",
+    "bucket_batches": """WITH p AS (SELECT pid, max(length(passage)) AS chars FROM passages WHERE passage IS NOT NULL GROUP BY pid),
+t AS (SELECT DISTINCT wiki, qid_pos, qid_neg, pid, chars FROM triples JOIN p USING (pid)),
+b AS (SELECT *, row_number() OVER (PARTITION BY wiki ORDER BY ((qid_pos * 7 + pid) * 2654435761 + 42) % 4294967296, qid_pos, qid_neg, pid) - 1 AS place FROM t),
+c AS (SELECT *, place // 32 AS bucket, row_number() OVER (PARTITION BY wiki, place // 32 ORDER BY chars DESC, place) - 1 AS seat FROM b)
+SELECT wiki, qid_pos, qid_neg, pid, bucket, bucket * 4 + seat // 8 AS batch, CAST((seat % 8) // 3 AS INTEGER) AS sub FROM c""",
     "words_per_passage": "SELECT wiki, split, count(*) AS n, median(len(string_split(passage, ' '))) AS median_words FROM (SELECT DISTINCT wiki, split, pid, passage FROM passages WHERE passage IS NOT NULL) GROUP BY ALL",
     "dataset_stats": """SELECT 'passages' AS tab, count(*) AS n, median(len(string_split(passage, ' '))) AS median_words FROM (SELECT DISTINCT pid, passage FROM passages)
 UNION ALL SELECT 'queries', count(*), median(len(string_split(query, ' '))) FROM (SELECT DISTINCT qid, query FROM queries)

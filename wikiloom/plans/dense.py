@@ -82,8 +82,8 @@ def token_relevance_kde(spark, sf_dir):
 
 
 def encode_hashed_index(spark, sf_dir):
-    """How many vectors the hashed encoder makes of each passage, kept to the 220 of its SQL (the reference's length)."""
-    return D.encode_documents(corpus(spark, sf_dir), 220).select("scope", "pid", F.size("emb").alias("n_vectors"))
+    """How many vectors the hashed encoder makes of each passage: one for each of its terms."""
+    return D.encode_documents(corpus(spark, sf_dir)).select("scope", "pid", F.size("emb").alias("n_vectors"))
 
 
 def retrieve_rerank(spark, sf_dir):
@@ -147,5 +147,5 @@ k AS (SELECT g.*, CAST(u.i AS INTEGER) AS tok FROM g, range(0, 5) AS u(i))
 SELECT k.qid, k.pid, k.tok, round(CASE WHEN any_value(kinds) > 1 THEN sum(exp(-0.5 * pow((k.tok - p.tok) / h, 2))) / (any_value(m) * any_value(h) * sqrt(2 * pi())) ELSE 0 END, 6) AS density
 FROM k JOIN p USING (qid, pid) GROUP BY k.qid, k.pid, k.tok""",
     "encode_hashed_index": """WITH c AS (SELECT DISTINCT wiki AS scope, pid, passage AS text FROM passages WHERE passage IS NOT NULL AND regexp_matches(passage, '\\S'))
-SELECT * FROM (SELECT scope, pid, CAST(least(len(regexp_extract_all(strip_accents(lower(text)), '[\\pL\\pN_]{2,}')), 220) AS INTEGER) AS n_vectors FROM c) WHERE n_vectors > 0""",
+SELECT * FROM (SELECT scope, pid, CAST(len(regexp_extract_all(strip_accents(lower(text)), '[\\pL\\pN_]{2,}')) AS INTEGER) AS n_vectors FROM c) WHERE n_vectors > 0""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wikiloom import schemas as S
@@ -22,18 +23,21 @@ def json_records(spark: SparkSession, path: str, schema: str = S.CLEAN_PAGE) ->
 def json_keyed(spark: SparkSession, path: str, schema: str, key: str = "wid") -> DataFrame:
     """Files that hold one object of records by id."""
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema)
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", f"map<string, struct<{fields}>>")).alias("k", "v"))
     return rows.select(F.col("k").cast("long").alias(key), "v.*")
 
 
-def delimited(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """TSV or CSV by the file's ending; the first columns by position, under the given names."""
+def delimited(spark: SparkSession, path: str, schema: str, header: bool = True, line_ends: bool = True) -> DataFrame:
+    """TSV or CSV by the file's ending; the first columns by position, under the given names.
+
+    line_ends: whether cells may hold line ends. Without them a file is read by many tasks.
+    """
     end = PurePath(path).suffix.lower()
     if end == ".json":
         raise ValueError("relations are not read from JSON")
     want = spark.createDataFrame([], schema).schema
-    raw = spark.read.option("sep", "," if end == ".csv" else "\t").option("header", header).option("escape", '"').option("multiLine", True).csv(path)
+    raw = spark.read.option("sep", "," if end == ".csv" else "\t").option("header", header).option("escape", '"').option("multiLine", line_ends).csv(path)
     if len(raw.columns) < len(want):
         raise ValueError(f"{path} has {len(raw.columns)} columns, not {len(want)}")
     return raw.toDF(*(f"c{i}" for i in range(len(raw.columns)))).select(*(F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(want)))
@@ -72,6 +76,33 @@ def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
 
+def _framed(df: DataFrame, lines, first: str, last: str, folder: str) -> None:
+    """Text files of a frame's lines, separated by commas, between first and last; a file a partition."""
+
+    def run(batches):
+        before = first
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([before + rows[0], *("," + x for x in rows[1:])])], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array([last if before == "," else first + last])], names=["value"])
+
+    df.select(lines).mapInArrow(run, "value string").write.mode("overwrite").text(folder)
+
+
+def write_json_array(df: DataFrame, folder: str) -> None:
+    """Every file one JSON array of records, as json_records() reads it."""
+    _framed(df, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), "[", "]", folder)
+
+
+def write_json_keyed(df: DataFrame, folder: str, key: str = "wid") -> None:
+    """Every file one JSON object of records by id, as json_keyed() reads it. Keys must be unique and not null."""
+    rest = [c for c in df.columns if c != key]
+    line = F.concat(F.lit('"'), F.col(key).cast("string"), F.lit('":'), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}))
+    _framed(df.where(F.col(key).isNotNull()), line, "{", "}", folder)
+
+
 def write_relations(df: DataFrame, folder: str, by: tuple[str, ...] = ("wiki", "split")) -> None:
     """Parquet, partitioned as the relations are asked for; so are `all` and the union of the wikis just other partition filters."""
     df.write.mode("overwrite").partitionBy(*by).parquet(folder)
