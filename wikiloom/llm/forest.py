@@ -13,14 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.durable import durable
+from wikiloom.durable import durable, release
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Roots of a forest of parent pointers (a root points to itself), by doubling."""
+    """Roots of a forest of parent pointers (a root points to itself), by doubling. The given frame, a written one, is deleted."""
     while True:
         step = parents.alias("x").join(parents.select(F.col("node").alias("at"), F.col("parent").alias("up")), F.expr("x.parent = at")).select("x.node", F.col("up").alias("parent"), F.expr("x.parent != up").alias("moved"))
         step = durable(step)
+        release(parents)
         parents = step.select("node", "parent")
         if not step.where("moved").limit(1).count():
             return parents
@@ -48,10 +49,13 @@ def forest(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
         else:
             moved = roots.select(F.col("node").alias("root"), F.col("parent").alias("to"))
             labels = labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        before = e
         a = roots.select(F.col("node").alias("u"), F.col("parent").alias("ru"))
         b = roots.select(F.col("node").alias("v"), F.col("parent").alias("rv"))
         e = e.join(a, "u").join(b, "v").where("ru != rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min(F.struct("ou", "ov")).alias("m"))
-        e = durable(e.select("u", "v", "m.ou", "m.ov"))
+        left = durable(e.select("u", "v", "m.ou", "m.ov"))
+        release(before)
+        e = left
     if labels is None:
         return spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "u long, v long, round int")
     return durable(labels), durable(spanning)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.durable import durable, small
+from wikiloom.durable import durable, release, small
 from wikiloom.llm import setjoin as S
 from wikiloom.llm.profile import SLOTS, Profile, copies, profile
 from wikiloom.llm.tokens import Tokens, distinct, mix, parity, runs, slices
@@ -139,9 +139,11 @@ def found(df: DataFrame, key: str, text: str, split: str, k: int = 5, threshold:
 
     prof = profile(docs, keys, least, slots)
     same = copies(prof.rows)
+    release(prof.rows)
     reps = S.representatives(docs, same)
     near = durable(meet(postings(reps, prof, k, threshold, least, cut, part, tokens), threshold))
     pairs = durable(weigh(reps, near.select("a", "b"), S.shingle_sets(k), cut_, threshold))
+    release(near)
     wide = spread(pairs, same)
     of = durable(docs.select("id", "side").distinct().join(small(durable(wide.select(F.explode(F.array("a", "b")).alias("id")).distinct()), 16), "id", "left_semi"))
     x, y = of.select(F.col("id").alias("a"), F.col("side").alias("sa")), of.select(F.col("id").alias("b"), F.col("side").alias("sb"))

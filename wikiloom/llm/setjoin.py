@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.durable import durable, small
+from wikiloom.durable import durable, release, small
 from wikiloom.llm.profile import SLOTS, Profile, copies, list_length, profile
 from wikiloom.llm.tokens import Tokens, distinct, mix, parity, positions, slices
 
@@ -236,6 +236,7 @@ def similar(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0
     docs = prepare(df, key, text)
     prof = profile(docs, shingle_keys(k, least), least, slots)
     same = copies(prof.rows)
+    release(prof.rows)
     reps = representatives(docs, same)
     post = postings(reps, prof, k, threshold, least, boundary(threshold, list_length(prof.lengths, 1 - threshold)))
     found = durable(candidates(post, threshold, cross=False))
