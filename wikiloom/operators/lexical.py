@@ -21,11 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wikiloom.durable import durable
+from wikiloom.durable import durable, small
 from wikiloom.functions import text as X
 from wikiloom.operators.dataset import in_order
 
 
+#: About what one term of a vocabulary takes when it is broadcast; a vocabulary of over 16 MB is joined by a shuffle.
+TERM_BYTES = 64
+
+
 def counted(df: DataFrame, id_: str, text: str, analyzer=X.terms) -> DataFrame:
     """scope, id, term, tf."""
     return df.select("scope", id_, F.explode(analyzer(text)).alias("term")).groupBy("scope", id_, "term").agg(F.count("*").alias("tf"))
@@ -40,7 +44,7 @@ def vocabulary(tf: DataFrame, docs: DataFrame, min_df: int = 5) -> DataFrame:
 
 def raw_weights(tf: DataFrame, vocab: DataFrame, id_: str) -> DataFrame:
     """scope, id, term, w: tf * idf."""
-    return tf.join(vocab.select("scope", "term", "idf"), ["scope", "term"]).select("scope", id_, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return tf.join(small(vocab.select("scope", "term", "idf"), TERM_BYTES), ["scope", "term"]).select("scope", id_, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def weighted(tf: DataFrame, vocab: DataFrame, id_: str) -> DataFrame:
@@ -195,7 +199,7 @@ class TfIdf:
     def __init__(self, docs: DataFrame, min_df: int = 5):
         self.docs = docs
         self.tf = durable(counted(docs, "pid", "text"))
-        self.vocab = vocabulary(self.tf, docs, min_df)
+        self.vocab = durable(vocabulary(self.tf, docs, min_df))
         self.vectors = weighted(self.tf, self.vocab, "pid")
 
     def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
@@ -240,26 +244,26 @@ class Bm25:
 
     def __init__(self, docs: DataFrame, analyzer=X.spaced, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.docs, self.analyzer, self.k1, self.b = docs, analyzer, k1, b
-        self.tf = durable(counted(docs, "pid", "text", analyzer))
-        self.length = docs.select("scope", "pid", F.size(analyzer("text")).alias("dl"))
-        stats = docs.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size(analyzer("text"))).alias("avgdl"))
+        rows_ = docs.select("scope", "pid", analyzer("text").alias("_t")).select("scope", "pid", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        self.tf = durable(rows_.groupBy("scope", "pid", "dl", "term").agg(F.count("*").alias("tf")))
+        stats = self.tf.groupBy("scope", "pid").agg(F.max("dl").alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = self.tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
         raw = df.join(stats, "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
         # Terms in over half of the documents get a share of the mean over all terms.
-        self.idf = raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        self.stats = stats.select("scope", "avgdl")
+        self.idf = durable(raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf")))
+        self.stats = durable(stats.select("scope", "avgdl"))
 
     def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
         """scope, qid, pid, score; subset (scope, qid, pid): score these pairs only."""
         return paired(self._queries(queries), self._documents(), subset)
 
     def _queries(self, queries: DataFrame) -> DataFrame:
-        q = counted(queries, "qid", "text", self.analyzer).join(self.idf.select("scope", "term", "idf"), ["scope", "term"])
+        q = counted(queries, "qid", "text", self.analyzer).join(small(self.idf.select("scope", "term", "idf"), TERM_BYTES), ["scope", "term"])
         return q.select("scope", "qid", "term", (F.col("tf") * F.col("idf")).alias("wq"))
 
     def _documents(self) -> DataFrame:
-        tf = self.tf.join(self.length, ["scope", "pid"]).join(self.stats, "scope")
+        tf = self.tf.join(small(self.stats, 64), "scope")
         part = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
         return tf.select("scope", "term", "pid", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + part)).alias("w"))
 
