@@ -18,10 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from wikiloom.durable import durable
 from wikiloom.functions import text as X
 
 #: Token vectors of queries that are broadcast at once.
 BLOCK = 8192
+#: Similarities that are computed at once.
+TILE = 1 << 22
 HASHED_DIM = 32
 #: The term that pads queries; no text has it.
 PAD = "[mask]"
@@ -126,68 +129,78 @@ def _blocks(queries: DataFrame) -> Iterator[dict[str, list]]:
         yield block
 
 
-def exhaustive(index: DataFrame, queries: DataFrame, k: int | None = None, similarity: str = "cosine") -> DataFrame:
-    """scope, qid, pid, score of each query of a stated set against all documents of its scope; with k, the batches' best k each."""
-    out = None
+def _tiles(b: pa.RecordBatch, block: dict[str, list]) -> Iterator[tuple]:
+    """Parts of a batch of documents beside a scope's queries, small enough for one matrix of similarities: scope, qids, query matrix, first
+    row and length of each query, pids, document matrix, first row of each document and length. Documents are in the order of pid."""
+    scopes, pids, m = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), _matrices(b.column(2))
+    for scope in sorted({x for x in scopes if x in block}):
+        qs = block[scope]
+        q, qn = np.concatenate([x for _, x in qs]), np.array([len(x) for _, x in qs])
+        at = [i for i in np.flatnonzero(scopes == scope) if len(m[i])]
+        at.sort(key=lambda i: pids[i])
+        while at:
+            ends = np.cumsum([len(m[i]) for i in at])
+            n = max(1, int(np.searchsorted(ends, TILE // max(len(q), 1), "right")))
+            some, at = at[:n], at[n:]
+            dn = np.array([len(m[i]) for i in some])
+            yield scope, np.array([x for x, _ in qs], np.int64), q, np.cumsum(qn) - qn, qn, pids[some], np.concatenate([m[i] for i in some]), np.cumsum(dn) - dn, dn
+
+
+def _searched(index: DataFrame, queries: DataFrame, columns: str, each) -> DataFrame:
+    """The rows of each(tile) over all tiles of the index and the blocks of queries. The index is written once, and each block's rows
+    too, after which its broadcast is freed."""
     sc = index.sparkSession.sparkContext
+    index = durable(index.select("scope", "pid", "emb"))
+    out = None
     for block in _blocks(queries):
         shared = sc.broadcast(block)
 
         def run(batches, shared=shared):
-            block = shared.value
             for b in batches:
-                scopes, pids = b.column(0).to_pylist(), b.column(1).to_pylist()
-                found: dict[tuple, list] = {}
-                for scope, pid, emb in zip(scopes, pids, _matrices(b.column(2))):
-                    if scope not in block:
-                        continue
-                    d = emb
-                    qs = block[scope]
-                    best = similarities(np.concatenate([q for _, q in qs]), d, similarity).max(axis=1)
-                    at = 0
-                    for qid, q in qs:
-                        found.setdefault((scope, qid), []).append((round(float(best[at : at + len(q)].mean()), 6), pid))
-                        at += len(q)
-                rows = [(s, q, p, v) for (s, q), l in found.items() for v, p in (l if k is None else sorted(l, key=lambda x: (-x[0], x[1]))[:k])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["scope", "qid", "pid", "score"])
-
-        part = index.select("scope", "pid", "emb").mapInArrow(run, "scope string, qid long, pid long, score double")
+                for tile in _tiles(b, shared.value):
+                    yield each(*tile)
+
+        part = durable(index.mapInArrow(run, columns))
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else index.sparkSession.createDataFrame([], "scope string, qid long, pid long, score double")
+    return out if out is not None else index.sparkSession.createDataFrame([], columns)
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of each row, the first columns on ties, in order."""
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
+    r, c = np.nonzero(s >= least[:, None])
+    order = np.lexsort((c, -s[r, c], r))
+    r, c = r[order], c[order]
+    first = np.flatnonzero(np.diff(r, prepend=-1))
+    keep = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
+    return r[keep], c[keep]
+
+
+def exhaustive(index: DataFrame, queries: DataFrame, k: int | None = None, similarity: str = "cosine") -> DataFrame:
+    """scope, qid, pid, score of each query of a stated set against all documents of its scope; with k, the best k of each part of the
+    documents that was scored at once."""
+
+    def each(scope, qids, q, q0, qn, pids, d, d0, dn):
+        best = np.maximum.reduceat(similarities(q, d, similarity), d0, axis=1)
+        score = np.round(np.add.reduceat(best, q0, axis=0) / qn[:, None], 6) + 0.0  # no negative zero
+        r, c = _best(score, min(k or len(pids), len(pids)))
+        return pa.RecordBatch.from_arrays([pa.array([scope] * len(r), pa.string()), pa.array(qids[r]), pa.array(pids[c]), pa.array(score[r, c])], names=["scope", "qid", "pid", "score"])
+
+    return _searched(index, queries, "scope string, qid long, pid long, score double", each)
 
 
 def token_topk(index: DataFrame, queries: DataFrame, k: int, similarity: str = "cosine") -> DataFrame:
     """scope, qid, qtok, pid, tok, sim, rank: the k nearest document tokens of every query token."""
-    out = None
-    sc = index.sparkSession.sparkContext
-    for block in _blocks(queries):
-        shared = sc.broadcast(block)
 
-        def run(batches, shared=shared):
-            block = shared.value
-            for b in batches:
-                rows = []
-                by: dict[str, list] = {}
-                for scope, pid, emb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _matrices(b.column(2))):
-                    by.setdefault(scope, []).append((pid, emb))
-                for scope, docs in by.items():
-                    if scope not in block:
-                        continue
-                    d = np.concatenate([e for _, e in docs])
-                    pid = np.concatenate([np.full(len(e), p) for p, e in docs])
-                    tok = np.concatenate([np.arange(len(e)) for _, e in docs])
-                    for qid, q in block[scope]:
-                        s = np.round(similarities(q, d, similarity), 6)
-                        for i in range(len(q)):
-                            order = np.lexsort((tok, pid, -s[i]))[:k]
-                            rows += [(scope, qid, i, int(pid[j]), int(tok[j]), float(s[i, j])) for j in order]
-                types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["scope", "qid", "qtok", "pid", "tok", "sim"])
-
-        part = index.select("scope", "pid", "emb").mapInArrow(run, "scope string, qid long, qtok int, pid long, tok int, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = index.sparkSession.createDataFrame([], "scope string, qid long, qtok int, pid long, tok int, sim double")
+    def each(scope, qids, q, q0, qn, pids, d, d0, dn):
+        s = np.round(similarities(q, d, similarity), 6)
+        r, c = _best(s, min(k, s.shape[1]))
+        of, doc = np.searchsorted(q0, r, "right") - 1, np.searchsorted(d0, c, "right") - 1
+        columns = [pa.array([scope] * len(r), pa.string()), pa.array(qids[of]), pa.array((r - q0[of]).astype(np.int32)), pa.array(pids[doc]), pa.array((c - d0[doc]).astype(np.int32)), pa.array(s[r, c])]
+        return pa.RecordBatch.from_arrays(columns, names=["scope", "qid", "qtok", "pid", "tok", "sim"])
+
+    out = _searched(index, queries, "scope string, qid long, qtok int, pid long, tok int, sim double", each)
     w = Window.partitionBy("scope", "qid", "qtok").orderBy(F.desc("sim"), "pid", "tok")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
