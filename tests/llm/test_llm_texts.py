@@ -30,6 +30,9 @@ def test_encode(spark, reference):
     got = E.encode(df).collect()
     assert len(got) == 14 and all(r.ids == (reference(texts[r.doc_id % 7]) if texts[r.doc_id % 7] else []) for r in got)
     assert E.encode(df.limit(0)).count() == 0
+    back = E.decode(E.encode(df)).collect()
+    assert len(back) == 14 and all(r.text == (texts[r.doc_id % 7] or "") for r in back)
+    assert E.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).collect() == [(1, None), (2, "")]
 
 
 def test_small_cache_gives_the_same(monkeypatch, reference):

@@ -146,6 +146,20 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = FOLDER, text: str = "text") -> DataFrame:
+    """key and the text of each row's token ids. Null has a null text, the empty list the empty text; ids outside the vocabulary raise; bytes
+    that are no whole character become the replacement character."""
+    path, shared = shipped(df.sparkSession, vocabulary, folder)
+
+    def run(batches):
+        for enc, b in _batches(path, shared)(batches):
+            found = [x if x is None else b"".join(map(enc.bytes.__getitem__, x)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=[key, text])
+
+    schema = T.StructType([df.select(key).schema[0], T.StructField(text, T.StringType())])
+    return df.select(key, ids).mapInArrow(run, schema)
+
+
 def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = FOLDER, name: str = "n_tokens") -> DataFrame:
     """All columns of df but the text, and the number of tokens of each text (0 for null and empty)."""
     path, shared = shipped(df.sparkSession, vocabulary, folder)
