@@ -71,6 +71,18 @@ def test_order_and_sums_within_groups(spark):
     assert B.in_order(df.limit(0), "g", "k", "p").count() == 0 == B.running(df.limit(0), ["g"], ["k"], "w", "s").count()
 
 
+def test_marks_of_subwords(spark):
+    rows = spark.createDataFrame([("##ing",), ("\u0120the",), ("\u2581a",), ("plain##",)], "t string").select(X.bare_token("t").alias("t")).collect()
+    assert [r.t for r in rows] == ["ing", "the", "a", "plain##"]
+
+
+def test_shuffled_negatives(spark):
+    pairs = spark.createDataFrame([("a", q, q % 5) for q in range(30)] + [("b", 1, 1), (None, 2, 3), (None, 3, 4)], "wiki string, qid long, pid long")
+    got = B.shuffled_negatives(pairs, ["wiki"]).collect()
+    assert len(got) == 33 and all(r.neg != r.pid for r in got) and {r.neg for r in got if r.wiki == "b"} == {None} and {r.neg for r in got if r.wiki is None} == {3, 4}
+    assert B.shuffled_negatives(pairs.limit(0), ["wiki"]).count() == 0
+
+
 def corpus(spark):
     rng = random.Random(1)
     docs = [("s", i, " ".join(rng.choices(["red", "blue", "green", "grey", "pink"], k=3))) for i in range(40)] + [("s", 90, ""), ("t", 1, "red"), ("t", 2, "sky")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
@@ -216,6 +217,14 @@ class Retriever:
             raise ValueError("mode is tf_idf, rerank or full")
         return out.select("qid", "pid", "score", "rank")
 
+    def timed(self, queries: DataFrame, mode: str = "full", k: int | None = None) -> dict[str, float]:
+        """Wall-clock seconds of one search over all queries, their number and the mean a query."""
+        n = queries.count()
+        began = time.perf_counter()
+        self.search(queries, mode, k).write.format("noop").mode("overwrite").save()
+        seconds = time.perf_counter() - began
+        return {"queries": n, "seconds": seconds, "seconds_a_query": seconds / max(n, 1)}
+
     def evaluate(self, data: TripleDataset, modes: tuple[str, ...] = ("tf_idf", "rerank", "full")) -> DataFrame:
         """Recall and MRR, one row a mode."""
         rel = data.triples.relevant()

@@ -76,6 +76,11 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(marked, BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def bare_token(c: Column | str) -> Column:
+    """A subword token without the mark of its place in a word."""
+    return F.regexp_replace(col(c), "^(?:##|\u0120|\u2581)", "")
+
+
 def question_word(c: Column | str, lower: bool = True) -> Column:
     w = F.split_part(col(c), F.lit(" "), F.lit(1))
     return F.lower(w) if lower else w

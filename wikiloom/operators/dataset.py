@@ -228,6 +228,20 @@ def bucketed(df: DataFrame, order: list[str], length: str, size: int, by: list[s
     return rows.select(*df.columns, "bucket", (F.col("bucket") * multiple + F.floor(F.col("_in") / size)).alias("batch"), F.floor(F.col("_in") % size / part).cast("int").alias("sub"))
 
 
+def shuffled_negatives(pairs: DataFrame, by: list[str], seed: int = 42) -> DataFrame:
+    """pairs (by, qid, pid) with neg: the passage of the next pair in a pseudo-random order of its group (the first follows the last); null
+    where that is the pair's own passage."""
+    rows = pairs.select(*by, "qid", "pid").distinct().withColumn("_k", shuffle_key(F.col("qid") * 7 + F.col("pid"), seed))
+    from wikiloom.durable import durable
+
+    placed = durable(in_order(rows, by, ["_k", "qid", "pid"], "_place"))
+    n = placed.groupBy(*by).agg(F.count("*").alias("_n"))
+    own = placed.alias("x").join(n.alias("y"), same(by)).select(*(F.col(f"x.{c}") for c in placed.columns), ((F.col("x._place") + 1) % F.col("y._n")).alias("_next"))
+    other = placed.withColumn("_next", F.col("_place"))
+    neg = F.when(F.col("y.pid") != F.col("x.pid"), F.col("y.pid"))
+    return own.alias("x").join(other.alias("y"), same([*by, "_next"])).select(*(F.col(f"x.{c}") for c in (*by, "qid", "pid")), neg.alias("neg"))
+
+
 def by_length(df: DataFrame, key: list[str], length: str) -> DataFrame:
     """key, place (longest first, then by key, from 0) and original (the place in the order of the key): a permutation and its inverse."""
     df = df.select(*key, F.col(length).alias("_n"))

@@ -90,6 +90,12 @@ def paragraphs_by_length(spark, sf_dir):
     return B.by_length(rows.select("qa_id", "j", X.n_spaced("p").alias("n")), ["qa_id", "j"], "n")
 
 
+def shuffled_negatives(spark, sf_dir):
+    """Every question and passage with the passage of another question of its wiki."""
+    t = table(spark, sf_dir, "triples").select("wiki", F.col("qid_pos").alias("qid"), "pid")
+    return B.shuffled_negatives(t, ["wiki"])
+
+
 def bucket_batches(spark, sf_dir):
     """Batches of 8 triples whose passages have about the same length, within buckets of 4 batches, used up in 3 parts."""
     p = table(spark, sf_dir, "passages").where("passage is not null").groupBy("pid").agg(F.max(F.char_length("passage")).alias("chars"))
@@ -292,7 +298,7 @@ def move_third_positive(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_filter, paragraph_filter, heading_detect, sentence_split, split_long_sentence, split_paragraphs, segment_page, paragraph_stats, paragraph_words_stats, page_pids, pid_counts, exclusions, paragraphs_by_length, bucket_batches, words_per_passage, dataset_stats, dataset_rollup, question_word_dist, question_word_dist_lower, question_word_pct_of_paragraphs, dedup_assign_ids, dedup_first_wins, neg_sampling_fill, ms_triples_qpp, qa_pairs_zip, qa_relations, qa_split_train_test_val, wiki_metadata, wiki_metadata_merge, triples_to_strings_qqp, triples_to_strings_qpp, anti_join_unindexed, substring_pid_map, pid_to_url_lookup, heading_anchor_url, blueprint_shards, batch_assign, union_splits, distinct_pids, qrels_sizes, prompt_render, parse_llm_response, question_cells, move_third_positive)
+    for f in (page_filter, paragraph_filter, heading_detect, sentence_split, split_long_sentence, split_paragraphs, segment_page, paragraph_stats, paragraph_words_stats, page_pids, pid_counts, exclusions, paragraphs_by_length, bucket_batches, shuffled_negatives, words_per_passage, dataset_stats, dataset_rollup, question_word_dist, question_word_dist_lower, question_word_pct_of_paragraphs, dedup_assign_ids, dedup_first_wins, neg_sampling_fill, ms_triples_qpp, qa_pairs_zip, qa_relations, qa_split_train_test_val, wiki_metadata, wiki_metadata_merge, triples_to_strings_qqp, triples_to_strings_qpp, anti_join_unindexed, substring_pid_map, pid_to_url_lookup, heading_anchor_url, blueprint_shards, batch_assign, union_splits, distinct_pids, qrels_sizes, prompt_render, parse_llm_response, question_cells, move_third_positive)
 }
 
 _LINES = """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^(&lt;|__\\w*__)')) AS l FROM documents WHERE text IS NOT NULL)"""
@@ -351,6 +357,9 @@ m AS (SELECT hid, coalesce(min(pid), -1) AS pid FROM n LEFT JOIN passages p ON m
 SELECT wiki, count(*) AS n, round(avg(ends_with(p, ' .')::INT), 6) AS excluded, count(*) FILTER (a <> b) AS unequal FROM r GROUP BY wiki""",
     "paragraphs_by_length": f"""WITH {_QA}, r AS (SELECT qa_id, CAST(i - 1 AS INTEGER) AS j, text[i] AS p FROM qa, UNNEST(range(1, CAST(len(text) + 1 AS BIGINT))) AS r(i) WHERE text[i] IS NOT NULL)
 SELECT qa_id, j, row_number() OVER (ORDER BY len(string_split(p, ' ')) DESC, qa_id, j) - 1 AS place, row_number() OVER (ORDER BY qa_id, j) - 1 AS original FROM r""",
+    "shuffled_negatives": """WITH t AS (SELECT DISTINCT wiki, qid_pos AS qid, pid FROM triples),
+o AS (SELECT *, row_number() OVER (PARTITION BY wiki ORDER BY ((qid * 7 + pid) * 2654435761 + 42) % 4294967296, qid, pid) - 1 AS place, count(*) OVER (PARTITION BY wiki) AS n FROM t)
+SELECT x.wiki, x.qid, x.pid, nullif(y.pid, x.pid) AS neg FROM o x JOIN o y ON y.wiki = x.wiki AND y.place = (x.place + 1) % x.n""",
     "bucket_batches": """WITH p AS (SELECT pid, max(length(passage)) AS chars FROM passages WHERE passage IS NOT NULL GROUP BY pid),
 t AS (SELECT DISTINCT wiki, qid_pos, qid_neg, pid, chars FROM triples JOIN p USING (pid)),
 b AS (SELECT *, row_number() OVER (PARTITION BY wiki ORDER BY ((qid_pos * 7 + pid) * 2654435761 + 42) % 4294967296, qid_pos, qid_neg, pid) - 1 AS place FROM t),
