@@ -55,7 +55,13 @@ def test_json_sinks(spark, tmp_path):
     want = sorted(map(str, df.collect()))
     assert sorted(map(str, files.json_records(spark, str(tmp_path / "array"), "wid long, title string, text array<string>").collect())) == want
     assert sorted(map(str, files.json_keyed(spark, str(tmp_path / "keyed"), "title string, text array<string>").collect())) == want
+    assert sorted(map(str, files.json_records_by_line(spark, str(tmp_path / "array"), "wid long, title string, text array<string>").collect())) == want
+    assert sorted(map(str, files.json_keyed_by_line(spark, str(tmp_path / "keyed"), "title string, text array<string>").collect())) == want
+    deep = df.select("wid", F.struct(F.struct("title").alias("y")).alias("x"))
+    files.write_json_keyed(deep, str(tmp_path / "deep"))
+    assert sorted(map(str, files.json_keyed_by_line(spark, str(tmp_path / "deep"), "x struct<y: struct<title: string>>").collect())) == sorted(map(str, deep.collect()))
     files.write_json_array(df.limit(0), str(tmp_path / "none"))
+    assert files.json_records_by_line(spark, str(tmp_path / "none"), "wid long").count() == 0
     assert files.json_records(spark, str(tmp_path / "none"), "wid long").count() == 0
 
 
@@ -73,6 +79,10 @@ def test_skips_markers_and_padding(spark):
     assert len(D.encode_queries(df.withColumnRenamed("pid", "qid"), pad_to=2).where("qid = 1").first().emb) == 3
 
 
+def test_buckets_follow_the_number_of_vectors():
+    assert D.lsh_sizes(0) == D.lsh_sizes(500) == D.lsh_sizes(2000) == (6, 3) and D.lsh_sizes(64_000) == (11, 16) and D.lsh_sizes(10**12)[0] == 20
+
+
 @pytest.mark.parametrize("bits,probes", [(5, 1), (5, 4), (3, 8), (20, 3)])
 def test_probes_are_the_nearest_buckets(bits, probes):
     x = np.random.default_rng(1).standard_normal((7, 2, bits))

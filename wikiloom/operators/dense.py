@@ -11,6 +11,7 @@ at most BLOCK token vectors to all tasks, so what is broadcast is bounded; each
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ from wikiloom.functions import text as X
 BLOCK = 8192
 #: Similarities that are computed at once.
 TILE = 1 << 22
+#: Vectors in a bucket of a hash table, about, and planes that probing crosses at most.
+BUCKET, PLANES = 32, 12
 HASHED_DIM = 32
 #: The term that pads queries; no text has it.
 PAD = "[mask]"
@@ -241,10 +244,10 @@ def _probes(projected: np.ndarray, probes: int) -> np.ndarray:
     """[row, table, probe]: the buckets nearest to each vector, its own first; projected: [row, table, bit].
 
     A bucket is as far as the sum of the planes' distances to be crossed. The nearest `probes` buckets cross only some of the nearest
-    probes - 1 planes, so only those are tried.
+    probes - 1 planes, so only those are tried, at most PLANES of them.
     """
     n, tables, bits = projected.shape
-    m = min(bits, probes - 1)
+    m = min(bits, probes - 1, PLANES)
     own = (projected > 0) @ (1 << np.arange(bits, dtype=np.int64))
     if not m:
         return own[:, :, None]
@@ -257,13 +260,24 @@ def _probes(projected: np.ndarray, probes: int) -> np.ndarray:
     return own[:, :, None] ^ np.take_along_axis(flips, best, axis=2)
 
 
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, bits: int = 6, tables: int = 24, seed: int = 7, probes: int = 3) -> DataFrame:
+def lsh_sizes(n: int) -> tuple[int, int]:
+    """(bits, probes) for n vectors: buckets of about BUCKET vectors, and the more of them looked up the finer they are."""
+    bits = min(20, max(6, round(math.log2(max(n, 1) / BUCKET))))
+    return bits, max(3, 1 << min(6, math.ceil(0.8 * (bits - 6))))
+
+
+def lsh_candidates(vectors: DataFrame, queries: DataFrame, bits: int | None = None, tables: int = 24, seed: int = 7, probes: int | None = None) -> DataFrame:
     """qid, id, score of the vectors (id, emb) in the `probes` buckets of random hyperplane signs nearest to a query (qid, emb), in any table.
 
+    Bits and probes follow the counted vectors unless given, so the share of the vectors that a query meets falls as they grow.
     Every vector is in every table; buckets are join keys, so a full bucket is a skewed key, not a group. Recall is measured in the tests, on the
     vector table too.
     """
 
+    if bits is None or probes is None:
+        own = lsh_sizes(vectors.count())
+        bits, probes = bits or own[0], probes or own[1]
+
     def signed(df: DataFrame, key: str, probes: int) -> DataFrame:
         def run(batches):
             planes = None

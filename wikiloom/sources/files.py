@@ -20,6 +20,22 @@ def json_records(spark: SparkSession, path: str, schema: str = S.CLEAN_PAGE) ->
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of files as write_json_array() and write_json_keyed() make them, without what frames them."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"^[\[{,]", "").alias("value")).where("value not in ('', ']', '}')")
+
+
+def json_records_by_line(spark: SparkSession, path: str, schema: str = S.CLEAN_PAGE) -> DataFrame:
+    """What json_records() gives, of files with one record a line, by any number of tasks a file."""
+    return _entries(spark, path).select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
+def json_keyed_by_line(spark: SparkSession, path: str, schema: str, key: str = "wid") -> DataFrame:
+    """What json_keyed() gives, of files with one entry a line, by any number of tasks a file."""
+    rows = _entries(spark, path).select(F.regexp_extract("value", r'^"((?:[^"\\]|\\.)*)":', 1).alias("k"), F.regexp_replace("value", r'^"(?:[^"\\]|\\.)*":', "").alias("v"))
+    return rows.select(F.col("k").cast("long").alias(key), F.from_json("v", schema).alias("v")).select(key, "v.*")
+
+
 def json_keyed(spark: SparkSession, path: str, schema: str, key: str = "wid") -> DataFrame:
     """Files that hold one object of records by id."""
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema)
