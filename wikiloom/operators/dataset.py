@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wikiloom.durable import durable
+
 
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with ids 0, 1, 2, ... in the given order.
@@ -16,8 +18,6 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     small row a partition), so no task sees all rows. The order must be unique for a repeatable result.
     """
     parted = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    from wikiloom.durable import durable
-
     parted = durable(parted)
     sizes = parted.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
@@ -44,8 +44,6 @@ def in_order(df: DataFrame, by: str | list[str], order: str | list[str], name: s
 
 def running(df: DataFrame, by: list[str], order: list[str], weight: str, name: str) -> DataFrame:
     """df with the sum of `weight` over the rows before each one of its group, in the given order; spread like in_order()."""
-    from wikiloom.durable import durable
-
     parted = durable(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
     sums = parted.groupBy(*by, "_p").agg(F.sum(weight).alias("_s"))
     # One row for each group and partition that it reaches into.
@@ -152,7 +150,7 @@ def _codes(text: str) -> np.ndarray:
 def middle_join(needles: DataFrame, passages: DataFrame, width: int = 40) -> DataFrame:
     """hid, pid: for each needle (hid, text) the first passage that contains its middle `width` characters, else -1.
 
-    Needles are sent to the passages in blocks of NEEDLES. A batch of passages hashes all runs of the needles' lengths at once and looks
+    Needles are sent to the passages in blocks of NEEDLES, one at a time. A batch of passages hashes all runs of the needles' lengths at once and looks
     them up; equal hashes are compared as text. Only the batch's first passage of each needle is shuffled. A needle shorter than width
     is looked up whole; a null or empty one has no passage.
     """
@@ -193,7 +191,9 @@ def middle_join(needles: DataFrame, passages: DataFrame, width: int = 40) -> Dat
                                 j += 1
                     yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], names=["hid", "pid"])
 
-        return texts.mapInArrow(run, "hid long, pid long")
+        part = durable(texts.mapInArrow(run, "hid long, pid long"))
+        shared.destroy()
+        return part
 
     block: list = []
     for r in wanted.toLocalIterator():
@@ -232,8 +232,6 @@ def shuffled_negatives(pairs: DataFrame, by: list[str], seed: int = 42) -> DataF
     """pairs (by, qid, pid) with neg: the passage of the next pair in a pseudo-random order of its group (the first follows the last); null
     where that is the pair's own passage."""
     rows = pairs.select(*by, "qid", "pid").distinct().withColumn("_k", shuffle_key(F.col("qid") * 7 + F.col("pid"), seed))
-    from wikiloom.durable import durable
-
     placed = durable(in_order(rows, by, ["_k", "qid", "pid"], "_place"))
     n = placed.groupBy(*by).agg(F.count("*").alias("_n"))
     own = placed.alias("x").join(n.alias("y"), same(by)).select(*(F.col(f"x.{c}") for c in placed.columns), ((F.col("x._place") + 1) % F.col("y._n")).alias("_next"))
