@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wikiloom.durable import durable
 from wikiloom.functions import text as X
+from wikiloom.operators.lexical import best_columns, top
 
 #: Token vectors of queries that are broadcast at once.
 BLOCK = 8192
@@ -113,7 +114,7 @@ def score_pairs(pairs: DataFrame, index: DataFrame, queries: DataFrame, similari
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             s = [float(similarities(q, d, similarity).max(axis=1).mean()) for q, d in zip(_matrices(b.column(3)), _matrices(b.column(4)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.round(np.array(s), 6), pa.float64())], names=["scope", "qid", "pid", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.round(np.array(s, np.float64), 6) + 0.0)], names=["scope", "qid", "pid", "score"])
 
     return joined.select("scope", "qid", "pid", "q", "d").mapInArrow(run, "scope string, qid long, pid long, score double")
 
@@ -169,17 +170,6 @@ def _searched(index: DataFrame, queries: DataFrame, columns: str, each) -> DataF
     return out if out is not None else index.sparkSession.createDataFrame([], columns)
 
 
-def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest entries of each row, the first columns on ties, in order."""
-    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
-    r, c = np.nonzero(s >= least[:, None])
-    order = np.lexsort((c, -s[r, c], r))
-    r, c = r[order], c[order]
-    first = np.flatnonzero(np.diff(r, prepend=-1))
-    keep = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
-    return r[keep], c[keep]
-
-
 def exhaustive(index: DataFrame, queries: DataFrame, k: int | None = None, similarity: str = "cosine") -> DataFrame:
     """scope, qid, pid, score of each query of a stated set against all documents of its scope; with k, the best k of each part of the
     documents that was scored at once."""
@@ -187,7 +177,7 @@ def exhaustive(index: DataFrame, queries: DataFrame, k: int | None = None, simil
     def each(scope, qids, q, q0, qn, pids, d, d0, dn):
         best = np.maximum.reduceat(similarities(q, d, similarity), d0, axis=1)
         score = np.round(np.add.reduceat(best, q0, axis=0) / qn[:, None], 6) + 0.0  # no negative zero
-        r, c = _best(score, min(k or len(pids), len(pids)))
+        r, c = best_columns(score, k or len(pids))
         return pa.RecordBatch.from_arrays([pa.array([scope] * len(r), pa.string()), pa.array(qids[r]), pa.array(pids[c]), pa.array(score[r, c])], names=["scope", "qid", "pid", "score"])
 
     return _searched(index, queries, "scope string, qid long, pid long, score double", each)
@@ -197,8 +187,8 @@ def token_topk(index: DataFrame, queries: DataFrame, k: int, similarity: str = "
     """scope, qid, qtok, pid, tok, sim, rank: the k nearest document tokens of every query token."""
 
     def each(scope, qids, q, q0, qn, pids, d, d0, dn):
-        s = np.round(similarities(q, d, similarity), 6)
-        r, c = _best(s, min(k, s.shape[1]))
+        s = np.round(similarities(q, d, similarity), 6) + 0.0
+        r, c = best_columns(s, k)
         of, doc = np.searchsorted(q0, r, "right") - 1, np.searchsorted(d0, c, "right") - 1
         columns = [pa.array([scope] * len(r), pa.string()), pa.array(qids[of]), pa.array((r - q0[of]).astype(np.int32)), pa.array(pids[doc]), pa.array((c - d0[doc]).astype(np.int32)), pa.array(s[r, c])]
         return pa.RecordBatch.from_arrays(columns, names=["scope", "qid", "qtok", "pid", "tok", "sim"])
@@ -210,16 +200,12 @@ def token_topk(index: DataFrame, queries: DataFrame, k: int, similarity: str = "
 
 def retrieve_full(index: DataFrame, queries: DataFrame, k: int, spread: float = 2.0, similarity: str = "cosine") -> DataFrame:
     """End-to-end: the documents of the ceil(k / spread) nearest tokens of each query token, scored on all their tokens; the best k."""
-    from wikiloom.operators.lexical import top
-
     near = token_topk(index, queries, -int(-k // spread), similarity)
     return top(score_pairs(near, index, queries, similarity), k)
 
 
 def rerank(candidates: DataFrame, index: DataFrame, queries: DataFrame, k: int, similarity: str = "cosine") -> DataFrame:
     """The candidates (scope, qid, pid) in the order of their late-interaction scores."""
-    from wikiloom.operators.lexical import top
-
     return top(score_pairs(candidates, index, queries, similarity), k)
 
 

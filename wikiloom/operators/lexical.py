@@ -94,6 +94,22 @@ def _parts(block: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
     return out
 
 
+def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of each row, the first columns on ties; entries of minus infinity do not count.
+
+    Only entries that reach a row's k-th largest are sorted.
+    """
+    if k >= s.shape[1]:
+        return np.nonzero(s > -np.inf)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((c, -s[r, c], r))
+    r, c = r[order], c[order]
+    first = np.flatnonzero(np.diff(r, prepend=-1))
+    keep = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
+    return r[keep], c[keep]
+
+
 def block_topk(docs: DataFrame, queries: DataFrame, k: int, worst: bool = False) -> DataFrame:
     """scope, qid, pid, score, rank: the best k documents that share a term with each question; docs and queries as rows() gives them.
 
@@ -134,14 +150,11 @@ def block_topk(docs: DataFrame, queries: DataFrame, k: int, worst: bool = False)
                                 met = np.maximum.reduceat(has[i], first, axis=0) > 0
                             else:
                                 continue
-                            r, c = np.nonzero(met)
-                            s, p = score[r, c], pids[rows_][r]
-                            order = np.lexsort((-p, s, c) if worst else (p, -s, c))
-                            c, s, p = c[order], s[order], p[order]
-                            start = np.flatnonzero(np.diff(c, prepend=-1))
-                            best = np.arange(len(c)) - np.repeat(start, np.diff(np.append(start, len(c)))) < k
-                            n = int(best.sum())
-                            yield pa.RecordBatch.from_arrays([pa.array([scope] * n, pa.string()), pa.array(qids[c[best]]), pa.array(p[best]), pa.array(s[best])], names=["scope", "qid", "pid", "score"])
+                            p = pids[rows_]
+                            order = np.argsort(-p if worst else p)
+                            c, r = best_columns((-score if worst else np.where(met, score, -np.inf))[order].T, k)
+                            r = order[r]
+                            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(r), pa.string()), pa.array(qids[c]), pa.array(p[r]), pa.array(score[r, c])], names=["scope", "qid", "pid", "score"])
 
         part = durable(docs.mapInArrow(run, schema))
         shared.destroy()
