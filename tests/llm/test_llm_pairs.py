@@ -2,9 +2,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from wikiloom.llm import forest as FO, overlap as O, setjoin as S, splits as SP
+from wikiloom.llm.tokens import distinct
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -219,3 +221,19 @@ def test_other_text_of_an_id_keeps_its_links(spark):
     df = spark.createDataFrame([(1, one), (5, one), (5, two), (7, two), (8, near)], "id long, text string")
     got = {(r.a, r.b) for r in S.expanded(S.similar(df, "id", "text")).collect()}
     assert got == {(1, 5), (5, 7), (5, 8), (7, 8)}
+
+
+def test_chunks_are_cut_for_pairs_that_reach_the_threshold_only(spark):
+    texts = [(1, "a b c d e f g h"), (2, "a b c d e f g i"), (3, "a b q r s t u v")]
+
+    def cut(t):
+        assert t.n == 1, "chunks of a pair below the threshold"
+        return O.chunks(t, 1)
+
+    docs, pairs = spark.createDataFrame(texts, "id long, text string").coalesce(1), spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [(r.a, r.b) for r in O.weigh(docs, pairs, S.shingle_sets(1), cut, 0.6).coalesce(1).collect()] == [(1, 2)]
+
+
+def test_order_in_rows_decides_hashes_with_equal_upper_bits():
+    doc, h = np.array([1, 1, 1, 0]), np.array([9, 8, 9, 7], np.uint64)
+    assert [x.tolist() for x in distinct(doc, h)] == [[0, 1, 1], [7, 8, 9]]

@@ -105,12 +105,15 @@ def weigh(df: DataFrame, pairs: DataFrame, sets, cut_, threshold: float) -> Data
 
     def run(batches):
         for b in slices(batches):
+            similarity = S.jaccard(Tokens(b.column(2)), Tokens(b.column(3)), sets)
+            near = np.flatnonzero(similarity >= threshold - 1e-9)
+            # Only the chunks of pairs that reach the threshold are cut.
+            b, similarity = b.take(pa.array(near)), similarity[near]
             ta, tb = Tokens(b.column(2)), Tokens(b.column(3))
             ca, cb = cut_(ta), cut_(tb)
             fa = np.bincount(ca[0], weights=ca[2] * common(*ca, *cb[:2]), minlength=ta.n) / np.maximum(np.bincount(ca[0], weights=ca[2], minlength=ta.n), 1)
             fb = np.bincount(cb[0], weights=cb[2] * common(*cb, *ca[:2]), minlength=tb.n) / np.maximum(np.bincount(cb[0], weights=cb[2], minlength=tb.n), 1)
-            similarity = S.jaccard(ta, tb, sets)
-            good = np.flatnonzero((similarity >= threshold - 1e-9) & (fa > 0) & (fb > 0))
+            good = np.flatnonzero((fa > 0) & (fb > 0))
             at = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x[good]) for x in (fa, fb, similarity))], names=["a", "b", "fraction_a", "fraction_b", "similarity"])
 

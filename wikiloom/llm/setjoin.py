@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable, release, small
 from wikiloom.llm.profile import SLOTS, Profile, copies, list_length, profile
-from wikiloom.llm.tokens import Tokens, distinct, mix, parity, positions, slices
+from wikiloom.llm.tokens import Tokens, distinct, in_rows, mix, parity, positions, slices
 
 _EPS = 1e-9
 
@@ -176,7 +176,7 @@ def jaccard(a: Tokens, b: Tokens, sets) -> np.ndarray:
     """Of each row, the similarity of its two sets. sets: Tokens -> distinct (row, hash)."""
     (da, ha), (db, hb) = sets(a), sets(b)
     doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
-    order = np.lexsort((h, doc))
+    order = in_rows(doc, h)
     doc, h = doc[order], h[order]
     both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=a.n)
     return both / np.maximum(np.bincount(da, minlength=a.n) + np.bincount(db, minlength=a.n) - both, 1)

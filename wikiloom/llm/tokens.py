@@ -91,9 +91,20 @@ class Tokens:
         return self.doc[:last][same], h[same]
 
 
+def in_rows(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by (row, hash), by one sort of the row above the hash's upper bits; by both where those leave two hashes of a row undecided."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(max(1, int(doc.max()).bit_length()))
+    key = (doc.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    key, low = key[order], h[order]
+    return np.lexsort((h, doc)) if np.any((key[1:] == key[:-1]) & (low[1:] != low[:-1])) else order
+
+
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, hash), sorted."""
-    order = np.lexsort((h, doc))
+    order = in_rows(doc, h)
     doc, h = doc[order], h[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
