@@ -4,18 +4,17 @@ Corpora are scoped: a wiki is searched with its own statistics. Statistics are h
 (scope, term), with partial aggregation before each shuffle.
 
 scores() joins questions and documents on their terms, for when all pairs are wanted; given a subset of pairs, it starts from
-those. topk() does neither: the frequent terms of a question meet nearly every document. It sends the stated query set in blocks of at
-most BLOCK questions (as sparse rows) to the documents' own tasks, scores a batch of documents against PART questions at once by a
-product of the batch's matching term weights with a small dense matrix, and keeps the batch's best k (or worst) of each question; only those
-are shuffled, to a window with a rank limit. The documents' rows are written once, and each block's result too, after which its
-broadcast is freed, so the driver holds one block at a time.
+those. topk() and ranks() do neither: the frequent terms of a question meet nearly every document. They go by pruned.py: topk() keeps the best k
+(or worst) of each question in each chunk of documents, ranks() only counts the documents before each stated pair. Only those rows are
+written and shuffled. A block's broadcast is freed once its result is written, so the driver holds one block at a time.
 
 Documents that share no term with a question have the score 0. The order of all documents of a scope is by score, then by pid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wikiloom.durable import durable, small
 from wikiloom.functions import text as X
+from wikiloom.llm.tokens import in_rows
+from wikiloom.operators import pruned as P
 from wikiloom.operators.dataset import in_order
 
 
@@ -35,10 +36,10 @@ def counted(df: DataFrame, id_: str, text: str, analyzer=X.terms) -> DataFrame:
     return df.select("scope", id_, F.explode(analyzer(text)).alias("term")).groupBy("scope", id_, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(tf: DataFrame, docs: DataFrame, min_df: int = 5) -> DataFrame:
+def vocabulary(docs: DataFrame, min_df: int = 5, analyzer=X.terms) -> DataFrame:
     """scope, term, df, idf (smoothed) of the terms in at least min_df documents of their scope."""
     n = docs.groupBy("scope").agg(F.count("*").alias("n"))
-    df = tf.groupBy("scope", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    df = docs.select("scope", F.explode(F.array_distinct(analyzer("text"))).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     return df.join(n, "scope").select("scope", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -54,7 +55,8 @@ def weighted(tf: DataFrame, vocab: DataFrame, id_: str) -> DataFrame:
     return raw.join(norm, ["scope", id_]).select("scope", id_, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-BLOCK, PART, DOCS = 8192, 256, 512
+#: Questions sent at once; terms of a vocabulary that are sent to weigh documents where they lie, else they are joined.
+BLOCK, SENT = 1 << 18, 1 << 22
 
 
 def rows(weights: DataFrame, id_: str, w: str = "w", unit: bool = False) -> DataFrame:
@@ -64,36 +66,6 @@ def rows(weights: DataFrame, id_: str, w: str = "w", unit: bool = False) -> Data
     return packed.select("scope", id_, F.col("t.h").alias("h"), F.transform("t.w", lambda x: x / F.col("norm")).alias("w") if unit else F.col("t.w").alias("w"))
 
 
-def _blocks(queries: DataFrame) -> Iterator[dict[str, list[tuple]]]:
-    """The query set in blocks: by scope (qid, term hashes, weights)."""
-    block: dict[str, list[tuple]] = {}
-    n = 0
-    for r in queries.select("scope", "qid", "h", "w").toLocalIterator():
-        block.setdefault(r.scope, []).append((r.qid, np.array(r.h, np.int64), np.array(r.w, np.float64)))
-        n += 1
-        if n == BLOCK:
-            yield block
-            block, n = {}, 0
-    if block:
-        yield block
-
-
-def _parts(block: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
-    """By scope, parts of the questions: qids, their sorted terms, a matrix of weights [term, question] and which entries it has."""
-    out: dict[str, list[tuple]] = {}
-    for scope, qs in block.items():
-        for at in range(0, len(qs), PART):
-            part = qs[at : at + PART]
-            h = np.concatenate([x[1] for x in part])
-            terms, row = np.unique(h, return_inverse=True)
-            col = np.repeat(np.arange(len(part)), [len(x[1]) for x in part])
-            m, has = np.zeros((len(terms), len(part))), np.zeros((len(terms), len(part)), np.int8)
-            m[row, col] = np.concatenate([x[2] for x in part])
-            has[row, col] = 1
-            out.setdefault(scope, []).append((np.array([x[0] for x in part], np.int64), terms, m, has))
-    return out
-
-
 def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest entries of each row, the first columns on ties; entries of minus infinity do not count.
 
@@ -110,62 +82,46 @@ def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[keep], c[keep]
 
 
-def block_topk(docs: DataFrame, queries: DataFrame, k: int, worst: bool = False) -> DataFrame:
-    """scope, qid, pid, score, rank: the best k documents that share a term with each question; docs and queries as rows() gives them.
+def block_topk(docs: DataFrame, weigh: Callable, queries: DataFrame, k: int, worst: bool = False) -> DataFrame:
+    """scope, qid, pid, score, rank: the best k documents that share a term with each question; docs and weigh as pruned.py takes them, queries as rows().
 
     worst: the last k of all documents instead, those without a shared term included; rank 1 is the last one.
     """
-    sc = docs.sparkSession.sparkContext
-    schema = "scope string, qid long, pid long, score double"
-    docs = durable(docs.select("scope", "pid", "h", "w"))
-    out = None
-    for block in _blocks(queries):
-        shared = sc.broadcast(block)
-
-        def run(batches, shared=shared):
-            parts = _parts(shared.value)
-            for big in batches:
-                for at in range(0, big.num_rows, DOCS):
-                    b = big.slice(at, DOCS)
-                    scopes, pids = b.column(0).to_pylist(), b.column(1).to_numpy()
-                    h, w = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
-                    doc = np.repeat(np.arange(b.num_rows), [len(x) for x in b.column(2)])
-                    for scope in sorted({x for x in scopes if x in parts}):
-                        mine = np.array([x == scope for x in scopes])
-                        own = mine[doc]
-                        oh, ow, od = h[own], w[own], doc[own]
-                        for qids, terms, m, has in parts[scope]:
-                            i = np.minimum(np.searchsorted(terms, oh), len(terms) - 1)
-                            hit = terms[i] == oh if len(terms) else np.zeros(len(oh), bool)
-                            i, d = i[hit], od[hit]
-                            first = np.flatnonzero(np.diff(d, prepend=-1))
-                            score = np.round(np.add.reduceat(m[i] * ow[hit][:, None], first, axis=0), 6) if len(first) else np.zeros((0, len(qids)))
-                            rows_ = d[first]
-                            if worst:
-                                full = np.zeros((b.num_rows, len(qids)))
-                                full[rows_] = score
-                                rows_ = np.flatnonzero(mine)
-                                score, met = full[rows_], np.ones((len(rows_), len(qids)), bool)
-                            elif len(first):
-                                met = np.maximum.reduceat(has[i], first, axis=0) > 0
-                            else:
-                                continue
-                            p = pids[rows_]
-                            order = np.argsort(-p if worst else p)
-                            c, r = best_columns((-score if worst else np.where(met, score, -np.inf))[order].T, k)
-                            r = order[r]
-                            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(r), pa.string()), pa.array(qids[c]), pa.array(p[r]), pa.array(score[r, c])], names=["scope", "qid", "pid", "score"])
-
-        part = durable(docs.mapInArrow(run, schema))
-        shared.destroy()
-        out = part if out is None else out.unionByName(part)
-    out = out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    out = P.run_blocks(docs, weigh, queries, BLOCK, False, P.listed(k, worst), "scope string, qid long, pid long, score double", durable)
     if not worst:
         return top(out, k)
     last = Window.partitionBy("scope", "qid").orderBy("score", F.desc("pid"))
     return out.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
+def block_ranks(docs: DataFrame, weigh: Callable, queries: DataFrame, scored: DataFrame) -> DataFrame:
+    """scope, qid, pid, score, ahead, before of the pairs scored (scope, qid, pid, score; 0 without a shared term): how many documents that share a term
+    with the question come before the pair's by score, then pid, and how many of those that share one have a smaller pid."""
+    # A question has a few stated pairs, a bounded list.
+    stated = scored.groupBy("scope", "qid").agg(F.collect_list(F.struct("score", "pid")).alias("t")).select("scope", "qid", F.col("t.score").alias("score"), F.col("t.pid").alias("pid"))
+    asked = queries.join(stated, ["scope", "qid"])
+    parts = P.run_blocks(docs, weigh, asked, BLOCK, True, P.counted_ahead, "scope string, qid long, pid long, ahead long, before long", durable)
+    sums = parts.groupBy("scope", "qid", "pid").agg(F.sum("ahead").alias("ahead"), F.sum("before").alias("before"))
+    return scored.join(sums, ["scope", "qid", "pid"], "left").na.fill(0, ["ahead", "before"])
+
+
+def _counts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of a batch of scope, pid and term hashes."""
+    doc = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+    h = b.column(2).flatten().to_numpy()
+    order = in_rows(doc, h.view(np.uint64))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def hashed(docs: DataFrame, analyzer) -> DataFrame:
+    """scope, pid and the hashes of a document's terms, spread for pruned.py."""
+    return P.spread(docs).select("scope", "pid", F.coalesce(F.transform(analyzer("text"), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")).alias("h"))
+
+
 def zero_filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """found (scope, qid, pid, score, rank) filled up to k documents a question with the smallest pids that share no term, at score 0.
 
@@ -206,39 +162,106 @@ def places(pairs: DataFrame, scores: DataFrame, docs: DataFrame) -> DataFrame:
     return counted_.join(at, ["scope", "pid"]).select("scope", "qid", "pid", rank.cast("long").alias("rank"))
 
 
-class TfIdf:
+class Index:
+    """What TF-IDF and BM25 do alike: top lists and ranks; docs: scope, pid, text, each pair of scope and pid once."""
+
+    docs: DataFrame
+
+    def topk(self, queries: DataFrame, k: int, zero_fill: bool = False) -> DataFrame:
+        """scope, qid, pid, score, rank of the best k documents that share a term; zero_fill: k documents in any case, if the scope has them."""
+        found = block_topk(*self._placed(), self._questions(queries), k)
+        return zero_filled(found, queries, self.docs, k) if zero_fill else found
+
+    def ranks(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """scope, qid, pid, score, rank (from 1) of those of the pairs that share a term, among all documents that share a term with the question."""
+        ranked_ = block_ranks(*self._placed(), self._questions(queries), durable(self.scores(queries, pairs)))
+        return ranked_.select("scope", "qid", "pid", "score", (F.col("ahead") + 1).cast("int").alias("rank"))
+
+    def places(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """scope, qid, pid, rank (from 0) of the pairs among all documents of their scope, those without a shared term counted as 0."""
+        scored = durable(pairs.select("scope", "qid", "pid").distinct().join(self.scores(queries, pairs), ["scope", "qid", "pid"], "left").na.fill(0.0, ["score"]))
+        # Questions without a known term have no row, and none ahead of theirs.
+        ranked_ = block_ranks(*self._placed(), self._questions(queries), scored)
+        at = in_order(self.docs.select("scope", "pid"), "scope", "pid", "_place")
+        # A document without a score stands behind all that have one and behind those without one and with a smaller pid.
+        rank = F.col("ahead") + F.when(F.col("score") > 0, 0).otherwise(F.col("_place") - F.col("before"))
+        return ranked_.join(at, ["scope", "pid"]).select("scope", "qid", "pid", rank.cast("long").alias("rank"))
+
+
+class TfIdf(Index):
     """A fitted index over docs (scope, pid, text)."""
 
     def __init__(self, docs: DataFrame, min_df: int = 5):
         self.docs = docs
-        self.tf = durable(counted(docs, "pid", "text"))
-        self.vocab = durable(vocabulary(self.tf, docs, min_df))
-        self.vectors = weighted(self.tf, self.vocab, "pid")
+        self.vocab = durable(vocabulary(docs, min_df))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return weighted(durable(counted(self.docs, "pid", "text")), self.vocab, "pid")
 
     def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
         """scope, qid, pid, score of all pairs that share a term; queries: scope, qid, text; subset (scope, qid, pid): score these pairs only."""
         q = weighted(counted(queries, "qid", "text"), self.vocab, "qid").withColumnRenamed("w", "wq")
-        return paired(q, self.vectors, subset)
-
-    def topk(self, queries: DataFrame, k: int, zero_fill: bool = False) -> DataFrame:
-        """scope, qid, pid, score, rank of the best k documents that share a term; zero_fill: k documents in any case, if the scope has them."""
-        found = block_topk(self._rows(), self._questions(queries), k)
-        return zero_filled(found, queries, self.docs, k) if zero_fill else found
-
-    def _rows(self) -> DataFrame:
-        return rows(raw_weights(self.tf, self.vocab, "pid"), "pid", unit=True)
+        return paired(q, self.vectors if subset is None else self._of(subset), subset)
+
+    def _of(self, pairs: DataFrame) -> DataFrame:
+        """The vectors of the pairs' documents."""
+        some = durable(self.docs.join(pairs.select("scope", "pid").distinct(), ["scope", "pid"], "left_semi"))
+        return weighted(durable(counted(some, "pid", "text")), self.vocab, "pid")
+
+    def _placed(self) -> tuple[DataFrame, Callable]:
+        """Documents and how their terms are weighed, for pruned.py."""
+        if self.vocab.count() > SENT:
+            unit = rows(raw_weights(counted(self.docs, "pid", "text"), self.vocab, "pid"), "pid", unit=True)
+            full = self.docs.select("scope", "pid").join(unit, ["scope", "pid"], "left").select("scope", "pid", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("h", "array<bigint>"), ("w", "array<double>"))))
+            return P.spread(durable(full)), P.as_rows
+        idf: dict[str, list] = {}
+        for b in self.vocab.select("scope", F.xxhash64("term").alias("h"), "idf").toArrow().to_batches():
+            names, h, x = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for scope in dict.fromkeys(names):
+                idf.setdefault(scope, []).append((h[names == scope], x[names == scope]))
+        tables = {}
+        for scope, parts in idf.items():
+            h, x = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            order = np.argsort(h)
+            tables[scope] = h[order], x[order]
+        shared = self.docs.sparkSession.sparkContext.broadcast(tables)
+
+        def weigh(b):
+            doc, h, w = _counts(b)
+            w = w.astype(np.float64)
+            names = np.array(b.column(0).to_pylist(), object)[doc] if len(doc) else np.zeros(0, object)
+            for scope in dict.fromkeys(b.column(0).to_pylist()):
+                mine = names == scope
+                known, x = shared.value.get(scope, (np.zeros(0, np.int64), np.zeros(0)))
+                i = np.minimum(np.searchsorted(known, h[mine]), max(len(known) - 1, 0))
+                w[mine] *= np.where(known[i] == h[mine], x[i], 0.0) if len(known) else 0.0
+            ok = w > 0
+            doc, h, w = doc[ok], h[ok], w[ok]
+            norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=b.num_rows))
+            return doc, h, w / norm[doc]
+
+        return hashed(self.docs, X.terms), weigh
 
     def _questions(self, queries: DataFrame) -> DataFrame:
         return rows(raw_weights(counted(queries, "qid", "text"), self.vocab, "qid"), "qid", unit=True)
 
+    def question_ranks(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """scope, qid, pid, score, rank (from 1) of those of the pairs that share a term, among all questions that share a term with the document."""
+        swapped = ("scope", F.col("pid").alias("qid"), F.col("qid").alias("pid"), "score")
+        scored = durable(self.scores(queries, pairs).select(*swapped))
+        asked = durable(self._questions(queries)).withColumnRenamed("qid", "pid")
+        unit = durable(self.docs.join(pairs.select("scope", "pid").distinct(), ["scope", "pid"], "left_semi"))
+        docs = rows(raw_weights(counted(unit, "pid", "text"), self.vocab, "pid"), "pid", unit=True).withColumnRenamed("pid", "qid")
+        ranked_ = block_ranks(P.spread(asked), P.as_rows, docs, scored)
+        return ranked_.select(*swapped, (F.col("ahead") + 1).cast("int").alias("rank"))
+
     def best_and_worst(self, queries: DataFrame, k: int, bottom: int) -> DataFrame:
         """scope, qid, pid, score, rank of the first k and last `bottom` documents, those without a shared term counted as 0."""
-        docs = self.docs.select("scope", "pid")
-        # Documents and questions without a known term have no row of their own, but count.
-        all_docs = docs.join(self._rows(), ["scope", "pid"], "left").select("scope", "pid", *(F.coalesce(c, F.array()).cast(t).alias(c) for c, t in (("h", "array<bigint>"), ("w", "array<double>"))))
+        # Documents and questions without a known term have no terms, but count.
         all_q = queries.select("scope", "qid").distinct().join(self._questions(queries), ["scope", "qid"], "left").select("scope", "qid", *(F.coalesce(c, F.array()).cast(t).alias(c) for c, t in (("h", "array<bigint>"), ("w", "array<double>"))))
         n = self.docs.groupBy("scope").agg(F.count("*").alias("n"))
-        worst = block_topk(all_docs, all_q, bottom, worst=True).join(n, "scope").select("scope", "qid", "pid", "score", (F.col("n") - F.col("rank") + 1).cast("int").alias("rank"))
+        worst = block_topk(*self._placed(), all_q, bottom, worst=True).join(n, "scope").select("scope", "qid", "pid", "score", (F.col("n") - F.col("rank") + 1).cast("int").alias("rank"))
         return self.topk(queries, k, zero_fill=True).unionByName(worst).distinct()
 
 
@@ -252,15 +275,14 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return ranked(scores).where(F.col("rank") <= k)
 
 
-class Bm25:
+class Bm25(Index):
     """Okapi BM25 over docs (scope, pid, text), tokens between single spaces, case kept."""
 
     def __init__(self, docs: DataFrame, analyzer=X.spaced, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.docs, self.analyzer, self.k1, self.b = docs, analyzer, k1, b
-        rows_ = docs.select("scope", "pid", analyzer("text").alias("_t")).select("scope", "pid", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-        self.tf = durable(rows_.groupBy("scope", "pid", "dl", "term").agg(F.count("*").alias("tf")))
-        stats = self.tf.groupBy("scope", "pid").agg(F.max("dl").alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        df = self.tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        split = docs.select("scope", analyzer("text").alias("_t"))
+        stats = split.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+        df = split.select("scope", F.explode(F.array_distinct("_t")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
         raw = df.join(stats, "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
         # Terms in over half of the documents get a share of the mean over all terms.
@@ -269,21 +291,33 @@ class Bm25:
 
     def scores(self, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
         """scope, qid, pid, score; subset (scope, qid, pid): score these pairs only."""
-        return paired(self._queries(queries), self._documents(), subset)
+        docs = self.docs if subset is None else durable(self.docs.join(subset.select("scope", "pid").distinct(), ["scope", "pid"], "left_semi"))
+        return paired(self._queries(queries), self._documents(docs), subset)
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         q = counted(queries, "qid", "text", self.analyzer).join(small(self.idf.select("scope", "term", "idf"), TERM_BYTES), ["scope", "term"])
         return q.select("scope", "qid", "term", (F.col("tf") * F.col("idf")).alias("wq"))
 
-    def _documents(self) -> DataFrame:
-        tf = self.tf.join(small(self.stats, 64), "scope")
+    def _questions(self, queries: DataFrame) -> DataFrame:
+        return rows(self._queries(queries), "qid", "wq")
+
+    def _documents(self, docs: DataFrame) -> DataFrame:
+        terms = docs.select("scope", "pid", self.analyzer("text").alias("_t")).select("scope", "pid", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        tf = durable(terms.groupBy("scope", "pid", "dl", "term").agg(F.count("*").alias("tf"))).join(small(self.stats, 64), "scope")
         part = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
         return tf.select("scope", "term", "pid", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + part)).alias("w"))
 
-    def topk(self, queries: DataFrame, k: int, zero_fill: bool = False) -> DataFrame:
-        """scope, qid, pid, score, rank of the best k documents that share a term; zero_fill: k documents in any case, if the scope has them."""
-        found = block_topk(rows(self._documents(), "pid"), rows(self._queries(queries), "qid", "wq"), k)
-        return zero_filled(found, queries, self.docs, k) if zero_fill else found
+    def _placed(self) -> tuple[DataFrame, Callable]:
+        mean = {r.scope: r.avgdl for r in self.stats.collect()}  # one row a scope
+        k1, b_ = self.k1, self.b
+
+        def weigh(b):
+            doc, h, tf = _counts(b)
+            dl = np.diff(b.column(2).offsets.to_numpy())
+            part = k1 * (1 - b_ + b_ * dl / np.array([mean[x] for x in b.column(0).to_pylist()]))
+            return doc, h, tf * (k1 + 1) / (tf + part[doc])
+
+        return hashed(self.docs, self.analyzer), weigh
 
 
 def hit_rank(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

@@ -13,54 +13,60 @@ from wikiloom.session import table
 K = 100
 
 
+def stored(spark, sf_dir):
+    """The corpus, grouped once."""
+    return durable(corpus(spark, sf_dir))
+
+
 def tfidf_topk(spark, sf_dir):
-    return L.TfIdf(corpus(spark, sf_dir)).topk(asked(spark, sf_dir), 10, zero_fill=True)
+    return L.TfIdf(stored(spark, sf_dir)).topk(asked(spark, sf_dir), 10, zero_fill=True)
 
 
 def tfidf_scores(spark, sf_dir):
     """Scores of the test questions with their relevant passages."""
-    return L.TfIdf(corpus(spark, sf_dir)).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
+    return L.TfIdf(stored(spark, sf_dir)).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
 
 
 def tfidf_vocab_idf(spark, sf_dir):
-    return L.TfIdf(corpus(spark, sf_dir)).vocab.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return L.TfIdf(stored(spark, sf_dir)).vocab.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_doc_vectors(spark, sf_dir):
-    return L.TfIdf(corpus(spark, sf_dir)).vectors.select("scope", "pid", "term", F.round("w", 6).alias("w"))
+    return L.TfIdf(stored(spark, sf_dir)).vectors.select("scope", "pid", "term", F.round("w", 6).alias("w"))
 
 
 def tfidf_top_bottom_k(spark, sf_dir):
-    return L.TfIdf(corpus(spark, sf_dir)).best_and_worst(asked(spark, sf_dir), 5, 5)
+    return L.TfIdf(stored(spark, sf_dir)).best_and_worst(asked(spark, sf_dir), 5, 5)
 
 
 def bm25_topk(spark, sf_dir):
-    return L.Bm25(corpus(spark, sf_dir)).topk(asked(spark, sf_dir), 10, zero_fill=True)
+    return L.Bm25(stored(spark, sf_dir)).topk(asked(spark, sf_dir), 10, zero_fill=True)
 
 
 def bm25_idf(spark, sf_dir):
-    return L.Bm25(corpus(spark, sf_dir)).idf.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return L.Bm25(stored(spark, sf_dir)).idf.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_subset_scores(spark, sf_dir):
-    return L.Bm25(corpus(spark, sf_dir)).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
+    return L.Bm25(stored(spark, sf_dir)).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
 
 
 def bm25_hit_rank(spark, sf_dir):
     q = asked(spark, sf_dir)
-    return L.hit_rank(L.Bm25(corpus(spark, sf_dir)).topk(q, 10), relevant(spark, sf_dir), q)
+    return L.hit_rank(L.Bm25(stored(spark, sf_dir)).topk(q, 10), relevant(spark, sf_dir), q)
 
 
-def _list(spark, sf_dir):
-    return L.TfIdf(corpus(spark, sf_dir)).topk(asked(spark, sf_dir), 1000)
+def _found(spark, sf_dir, k):
+    """The relevant passages within the first k of their question, with their ranks: what the metrics read of a ranked list."""
+    return L.TfIdf(stored(spark, sf_dir)).ranks(asked(spark, sf_dir), relevant(spark, sf_dir)).where(F.col("rank") <= k)
 
 
 def eval_recall_mrr(spark, sf_dir):
-    return M.recall_mrr(_list(spark, sf_dir), relevant(spark, sf_dir))
+    return M.recall_mrr(_found(spark, sf_dir, 1000), relevant(spark, sf_dir))
 
 
 def eval_topn_accuracy(spark, sf_dir):
-    return M.topn_accuracy(L.TfIdf(corpus(spark, sf_dir)).topk(asked(spark, sf_dir), K), relevant(spark, sf_dir))
+    return M.topn_accuracy(_found(spark, sf_dir, K), relevant(spark, sf_dir))
 
 
 def _ranks(spark, sf_dir):
@@ -75,8 +81,7 @@ def _ranks(spark, sf_dir):
         t = t.join(known.withColumnRenamed("qid", qid), ["scope", qid], "left_semi")
     t = durable(t)
     pairs = t.select("scope", F.col("qid_pos").alias("qid"), "pid").unionByName(t.select("scope", F.col("qid_neg").alias("qid"), "pid")).distinct()
-    scores = durable(L.TfIdf(c).scores(q.join(pairs.select("scope", "qid"), ["scope", "qid"], "left_semi")))
-    places = durable(L.places(pairs, scores, c))
+    places = durable(L.TfIdf(c).places(q, pairs))
     out = t
     for name, qid in (("positive", "qid_pos"), ("negative", "qid_neg")):
         out = out.join(places.select("scope", F.col("qid").alias(qid), "pid", F.col("rank").alias(name)), ["scope", qid, "pid"])
@@ -123,32 +128,29 @@ def rank_among_own(spark, sf_dir):
 
 def rank_matrix_docs(spark, sf_dir):
     """Ranks of the passages for each question, of the pairs with a relevant passage."""
-    wanted = relevant(spark, sf_dir).select("scope", "qid").distinct()
-    s = M.ranks_of(L.TfIdf(corpus(spark, sf_dir)).scores(asked(spark, sf_dir).join(wanted, ["scope", "qid"], "left_semi")))
-    return s.join(relevant(spark, sf_dir), ["scope", "qid", "pid"], "left_semi").select("scope", "qid", "pid", "rank")
+    s = L.TfIdf(stored(spark, sf_dir)).ranks(asked(spark, sf_dir), relevant(spark, sf_dir))
+    return s.select("scope", "qid", "pid", (F.col("rank") - 1).alias("rank"))
 
 
 def rank_matrix_queries(spark, sf_dir):
     """Ranks of the questions for each passage."""
-    q, wanted = asked(spark, sf_dir), relevant(spark, sf_dir).select("scope", "pid").distinct()
-    pairs = q.select("scope", "qid").join(wanted, "scope")  # the questions of each relevant passage's wiki
-    s = M.ranks_of(L.TfIdf(corpus(spark, sf_dir)).scores(q, pairs), "pid")
-    return s.join(relevant(spark, sf_dir), ["scope", "qid", "pid"], "left_semi").select("scope", "qid", "pid", "rank")
+    s = L.TfIdf(stored(spark, sf_dir)).question_ranks(asked(spark, sf_dir), relevant(spark, sf_dir))
+    return s.select("scope", "qid", "pid", (F.col("rank") - 1).alias("rank"))
 
 
 def semi_join_triples(spark, sf_dir):
     """The pairs of a ranked list that are in triples."""
-    return L.TfIdf(corpus(spark, sf_dir)).topk(asked(spark, sf_dir), 10).join(relevant(spark, sf_dir), ["scope", "qid", "pid"], "left_semi").select("scope", "qid", "pid", "rank")
+    return _found(spark, sf_dir, 10).select("scope", "qid", "pid", "rank")
 
 
 def lexical_vs_bm25_diff(spark, sf_dir):
     """scope, qid, pid, rank_a, rank_b, diff of the relevant passages under two rankings, and the first passage of each; a miss counts as K."""
-    c, q, rel = corpus(spark, sf_dir), asked(spark, sf_dir), relevant(spark, sf_dir)
+    c, q, rel = stored(spark, sf_dir), asked(spark, sf_dir), relevant(spark, sf_dir)
     rows = rel.join(q.select("scope", "qid"), ["scope", "qid"], "left_semi")
     for x, model in (("a", L.TfIdf(c)), ("b", L.Bm25(c))):
-        found = durable(model.topk(q, K))
+        found = durable(model.ranks(q, rel).where(F.col("rank") <= K))
         rows = rows.join(found.select("scope", "qid", "pid", (F.col("rank") - 1).alias(f"rank_{x}")), ["scope", "qid", "pid"], "left")
-        rows = rows.join(found.where("rank = 1").select("scope", "qid", F.col("pid").alias(f"top1_{x}")), ["scope", "qid"], "left")
+        rows = rows.join(model.topk(q, 1).select("scope", "qid", F.col("pid").alias(f"top1_{x}")), ["scope", "qid"], "left")
     rows = rows.na.fill(K, ["rank_a", "rank_b"])
     return rows.select("scope", "qid", "pid", "rank_a", "rank_b", "top1_a", "top1_b", (F.col("rank_a") - F.col("rank_b")).alias("diff"))
 
@@ -173,7 +175,7 @@ def best_worst_report(spark, sf_dir):
 
 def ce_loss(spark, sf_dir):
     """Cross-entropy, squared error and accuracy of each relevant pair against the ten best passages of its question."""
-    index, q = L.TfIdf(corpus(spark, sf_dir)), asked(spark, sf_dir)
+    index, q = L.TfIdf(stored(spark, sf_dir)), asked(spark, sf_dir)
     good = durable(relevant(spark, sf_dir).groupBy("scope", "qid").agg(F.min("pid").alias("pid")))
     scored = index.scores(q, good)
     rows = index.topk(q, 10).select("scope", "qid", "pid", "score").unionByName(scored).distinct().join(good.select("*", F.lit(True).alias("positive")), ["scope", "qid", "pid"], "left").na.fill(False, ["positive"])
