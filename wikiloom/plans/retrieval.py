@@ -147,6 +147,7 @@ def lexical_vs_bm25_diff(spark, sf_dir):
     """scope, qid, pid, rank_a, rank_b, diff of the relevant passages under two rankings, and the first passage of each; a miss counts as K."""
     c, q, rel = stored(spark, sf_dir), asked(spark, sf_dir), relevant(spark, sf_dir)
     rows = rel.join(q.select("scope", "qid"), ["scope", "qid"], "left_semi")
+    q = durable(q.join(rel.select("scope", "qid"), ["scope", "qid"], "left_semi"))  # only questions with a relevant passage have rows
     for x, model in (("a", L.TfIdf(c)), ("b", L.Bm25(c))):
         found = durable(model.ranks(q, rel).where(F.col("rank") <= K))
         rows = rows.join(found.select("scope", "qid", "pid", (F.col("rank") - 1).alias(f"rank_{x}")), ["scope", "qid", "pid"], "left")
@@ -177,6 +178,7 @@ def ce_loss(spark, sf_dir):
     """Cross-entropy, squared error and accuracy of each relevant pair against the ten best passages of its question."""
     index, q = L.TfIdf(stored(spark, sf_dir)), asked(spark, sf_dir)
     good = durable(relevant(spark, sf_dir).groupBy("scope", "qid").agg(F.min("pid").alias("pid")))
+    q = durable(q.join(good, ["scope", "qid"], "left_semi"))
     scored = index.scores(q, good)
     rows = index.topk(q, 10).select("scope", "qid", "pid", "score").unionByName(scored).distinct().join(good.select("*", F.lit(True).alias("positive")), ["scope", "qid", "pid"], "left").na.fill(False, ["positive"])
     rows = durable(rows)
