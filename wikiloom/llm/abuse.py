@@ -24,7 +24,7 @@ import re
 import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,11 +143,25 @@ _ALIKE = LOOKALIKE | INVISIBLE
 _COMBINING = re.compile(f"[{''.join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c))}]+")
 
 
+def _plain(text: str) -> str:
+    """Without look-alikes, invisible characters and accents."""
+    return _COMBINING.sub("", unicodedata.normalize("NFD", text.translate(_ALIKE))).replace("ß", "ss").replace("œ", "oe")
+
+
+_plain_letter = lru_cache(maxsize=70_000)(_plain)
+
+
 def fold(text: str) -> str:
     """Lower case, without invisible characters, look-alikes and accents, and with spelt-out words joined."""
     t = text.lower()
     if not t.isascii():
-        t = _COMBINING.sub("", unicodedata.normalize("NFD", t.translate(_ALIKE))).replace("ß", "ss").replace("œ", "oe")
+        rare = {c: to for c in set(t) if c > "\x7f" and (to := _plain_letter(c)) != c}
+        # What the replacements leave may be a letter that is replaced itself, and marks beyond the 16-bit range stay, ordered by the whole text.
+        if all(map(str.isascii, rare.values())) and max(t) <= "\uffff":
+            for c, to in rare.items():
+                t = t.replace(c, to)
+        else:
+            t = _plain(t)
     return _SPELT.sub(lambda m: _APART.sub("", m[0]), t)
 
 
@@ -265,6 +279,10 @@ class Words:
         self.slot = np.fromiter((y for x in found for y in x), np.int32, int(size.sum()))
         self.value = (np.array([weight(w) for w in ids]) / np.sqrt(np.maximum(size, 1)))[self.of]
         self.starts = np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]) if len(self.text) else np.zeros(0, np.int64)
+        # What every fit would else sort again: occurrences by word, slots of words by slot, and the distinct pairs of text and word.
+        self.by_word, self.by_slot = (np.argsort(x, kind="stable").astype(np.int32) for x in (self.word, self.slot))
+        once = np.unique(self.text[self.sentence].astype(np.int64) * max(self.n, 1) + self.word)
+        self.once = (once // max(self.n, 1)).astype(np.int32), (once % max(self.n, 1)).astype(np.int32)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """w.x of each sentence."""
@@ -279,42 +297,92 @@ class Words:
         return out
 
 
+def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted keys and where each begins."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], first
+
+
+def sums_of(x: Words, at: np.ndarray, slots_: np.ndarray):
+    """What learn() sums up in every step over the sentences that have a row (at: row of each sentence, rising, or -1): w.x of each row, and what
+    the slots (slots_) get of a value of each row. Occurrences and slots stand in the order of their sums, so a step only gathers and adds up runs."""
+    n = int(at.max(initial=-1)) + 1
+    row = at[x.sentence]
+    kept = row >= 0
+    row_of, first_row = runs_of(row[kept])
+    word_at = x.word[kept].astype(np.int64)
+    back_word, back_row = x.word[x.by_word], row[x.by_word]
+    kept = back_row >= 0
+    back_row = back_row[kept]
+    words, first_word = runs_of(back_word[kept])
+    number = np.full(x.n, -1)
+    number[words] = np.arange(len(words))
+    word_at = number[word_at]
+    # Slots of the words that occur, by word, and by slot.
+    of = number[x.of]
+    kept = of >= 0
+    slot_at, value = np.searchsorted(slots_, x.slot[kept]), x.value[kept]
+    first_of = runs_of(of[kept])[1]  # every word has a slot
+    of = of[x.by_slot]
+    kept = of >= 0
+    back_of, back_value = of[kept], x.value[x.by_slot][kept]
+    taken, first_slot = runs_of(x.slot[x.by_slot][kept])
+    taken = np.searchsorted(slots_, taken)
+
+    def added(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, first) if len(first) else np.zeros(0)
+
+    def into(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[row_of] = added(added(v[slot_at] * value, first_of)[word_at], first_row)
+        return out
+
+    def back(g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(slots_))
+        out[taken] = added(added(g[back_row], first_word)[back_of] * back_value, first_slot)
+        return out
+
+    return into, back
+
+
 def learn(x: Words, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, tuple[float, float]] | None:
     """Fit one kind's grades y on the texts in `use`: of a text with a grade its worst sentence, of all others every sentence."""
     positive, n_positive = (y > 0) & use, int(((y > 0) & use).sum())
     if not 0 < n_positive < int(use.sum()):
         return None
     # At first the log-odds of words by texts tell which sentence stands for its text.
-    once = np.unique(x.text[x.sentence].astype(np.int64) * x.n + x.word)
-    text, word = once // x.n, once % x.n
+    text, word = x.once
     base = (n_positive + 1) / (int(use.sum()) + 2)
     hits, seen = np.bincount(word, weights=positive[text], minlength=x.n), np.bincount(word, weights=use[text], minlength=x.n)
     odds = np.log((hits + 5 * base) / (seen - hits + 5 * (1 - base))) - np.log(base / (1 - base))
     z = np.bincount(x.sentence, weights=np.maximum(odds[x.word], 0), minlength=len(x.text))
     w, t = np.zeros(1 << HASH_BITS), np.array(THRESHOLDS)
+    some = np.unique(x.slot)  # the weights of all other slots stay zero
     for _ in range(ROUNDS):
         rows = np.flatnonzero(np.where(positive[x.text], z >= x.worst(z)[x.text], use[x.text]))
         at = np.full(len(x.text), -1)
         at[rows] = np.arange(len(rows))
-        kept = at[x.sentence] >= 0
-        r, c, target = at[x.sentence[kept]], x.word[kept], y[x.text[rows]] * positive[x.text[rows]]
-        mean, square = np.zeros_like(w), np.zeros_like(w)
+        target = y[x.text[rows]] * positive[x.text[rows]]
+        above = [np.flatnonzero(target > j) for j in range(2)]
+        into, back = sums_of(x, at, some)
+        v, mean, square = w[some], np.zeros(len(some)), np.zeros(len(some))
         for step in range(1, STEPS + 1):
-            each = np.bincount(x.of, weights=w[x.slot] * x.value, minlength=x.n)
-            score_ = np.bincount(r, weights=each[c], minlength=len(rows))
+            score_ = into(v)
             g, gt = np.zeros(len(rows)), np.zeros(2)
             for j in range(2):
                 p = 1 / (1 + np.exp(-(score_ - t[j])))
-                d = np.where(target > j, (1 - WRONG) * p * (1 - p) / (WRONG + (1 - WRONG) * p), -p)
+                d = -p
+                own = p[above[j]]
+                d[above[j]] = (1 - WRONG) * own * (1 - own) / (WRONG + (1 - WRONG) * own)
                 g += d
                 gt[j] = -d.sum()
-            up = np.bincount(c, weights=g[r], minlength=x.n)
-            up = np.bincount(x.slot, weights=up[x.of] * x.value, minlength=len(w)) - PENALTY * w
+            up = back(g) - PENALTY * v
             mean, square = 0.9 * mean + 0.1 * up, 0.99 * square + 0.01 * up * up
-            w += RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1)
+            v += RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1)
             # Not below the prior thresholds: few labels must not make a text without evidence count.
             t = np.maximum(t + 0.3 * gt / (1 + np.abs(gt)), THRESHOLDS)
             t[1] = max(t[1], t[0] + 0.2)
+        w[some] = v
         z = x.sums(w)
     return w.astype(np.float32), (float(t[0]), float(t[1]))
 
@@ -352,16 +420,16 @@ class Scorer:
         out = np.zeros((len(texts), len(KINDS)))
         if len(self.ids) > self.most:
             self.clear()
-        new = [w for w in dict.fromkeys(w for t in texts for x in t for w in x) if w not in self.ids]
-        if new:
-            self.add(new)
+        words = list(chain.from_iterable(chain.from_iterable(texts)))
+        word = list(map(self.ids.get, words))
+        if None in word:
+            self.add([w for w in dict.fromkeys(words) if w not in self.ids])
+            word = list(map(self.ids.get, words))
         text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         if not len(text):
             return out
-        size = np.array([len(x) for t in texts for x in t])
-        ids = self.ids
-        word = np.array([ids[w] for t in texts for x in t for w in x])
-        z = np.add.reduceat(self.sums[word], np.cumsum(size) - size)
+        size = np.array(list(map(len, chain.from_iterable(texts))))
+        z = np.add.reduceat(self.sums[np.array(word)], np.cumsum(size) - size)
         first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
         of = text[first]
         worst = np.maximum.reduceat(z, first)
