@@ -6,7 +6,7 @@ Corpora are scoped: a wiki is searched with its own statistics. Statistics are h
 scores() joins questions and documents on their terms, for when all pairs are wanted; given a subset of pairs, it starts from
 those. topk() and ranks() do neither: the frequent terms of a question meet nearly every document. They go by pruned.py: topk() keeps the best k
 (or worst) of each question in each chunk of documents, ranks() only counts the documents before each stated pair. Only those rows are
-written and shuffled. A block's broadcast is freed once its result is written, so the driver holds one block at a time.
+written and shuffled. The documents of stated pairs are scored where they lie, too: their terms are neither written nor shuffled. A block's broadcast is freed once its result is written, so the driver holds one block at a time.
 
 Documents that share no term with a question have the score 0. The order of all documents of a scope is by score, then by pid.
 """
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wikiloom.durable import durable, small
+from wikiloom.durable import BROADCAST_BYTES, durable, small
 from wikiloom.functions import text as X
 from wikiloom.llm.tokens import in_rows
 from wikiloom.operators import pruned as P
@@ -105,6 +105,19 @@ def block_ranks(docs: DataFrame, weigh: Callable, queries: DataFrame, scored: Da
     return scored.join(sums, ["scope", "qid", "pid"], "left").na.fill(0, ["ahead", "before"])
 
 
+def block_scores(docs: DataFrame, weigh: Callable, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scope, qid, pid, score of those of the pairs (scope, qid, pid) that share a term."""
+    stated = pairs.groupBy("scope", "qid").agg(F.collect_set("pid").alias("pid"))
+    asked = queries.join(stated, ["scope", "qid"]).select("scope", "qid", "h", "w", F.transform("pid", lambda _: F.lit(0.0)).alias("score"), "pid")
+    return P.run_blocks(of_pairs(docs, pairs), weigh, asked, BLOCK, True, P.scored_pairs, "scope string, qid long, pid long, score double", durable)
+
+
+def of_pairs(docs: DataFrame, pairs: DataFrame, all_else: bool = True) -> DataFrame:
+    """The documents of the pairs; all of them, unless all_else is False, where the pairs are too many to be sent to them."""
+    own = durable(pairs.select("scope", "pid").distinct())
+    return docs.join(F.broadcast(own), ["scope", "pid"], "left_semi") if own.count() * TERM_BYTES <= BROADCAST_BYTES else docs if all_else else docs.join(own, ["scope", "pid"], "left_semi")
+
+
 def _counts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of a batch of scope, pid and term hashes."""
     doc = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
@@ -117,9 +130,9 @@ def _counts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def hashed(docs: DataFrame, analyzer) -> DataFrame:
-    """scope, pid and the hashes of a document's terms, spread for pruned.py."""
-    return P.spread(docs).select("scope", "pid", F.coalesce(F.transform(analyzer("text"), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")).alias("h"))
+def hashed(docs: DataFrame, analyzer, placed: bool = False) -> DataFrame:
+    """scope, pid and the hashes of a document's terms, spread for pruned.py unless they are placed so."""
+    return (docs if placed else P.spread(docs)).select("scope", "pid", F.coalesce(F.transform(analyzer("text"), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")).alias("h"))
 
 
 def zero_filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -163,36 +176,48 @@ def places(pairs: DataFrame, scores: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """What TF-IDF and BM25 do alike: top lists and ranks; docs: scope, pid, text, each pair of scope and pid once."""
+    """What TF-IDF and BM25 do alike: top lists and ranks; docs: scope, pid, text, each pair of scope and pid once; placed: they are stored in the
+    order of scope and pid, so they are searched where they lie."""
 
     docs: DataFrame
+    placed: bool
+
+    @cached_property
+    def _at(self) -> tuple[DataFrame, Callable]:
+        return self._placed()
 
     def topk(self, queries: DataFrame, k: int, zero_fill: bool = False) -> DataFrame:
         """scope, qid, pid, score, rank of the best k documents that share a term; zero_fill: k documents in any case, if the scope has them."""
-        found = block_topk(*self._placed(), self._questions(queries), k)
+        found = block_topk(*self._at, self._questions(queries), k)
         return zero_filled(found, queries, self.docs, k) if zero_fill else found
 
     def ranks(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """scope, qid, pid, score, rank (from 1) of those of the pairs that share a term, among all documents that share a term with the question."""
-        ranked_ = block_ranks(*self._placed(), self._questions(queries), durable(self.scores(queries, pairs)))
+        asked = self._stated(queries, pairs)
+        ranked_ = block_ranks(*self._at, asked, block_scores(*self._at, asked, pairs))
         return ranked_.select("scope", "qid", "pid", "score", (F.col("ahead") + 1).cast("int").alias("rank"))
 
     def places(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """scope, qid, pid, rank (from 0) of the pairs among all documents of their scope, those without a shared term counted as 0."""
-        scored = durable(pairs.select("scope", "qid", "pid").distinct().join(self.scores(queries, pairs), ["scope", "qid", "pid"], "left").na.fill(0.0, ["score"]))
+        asked = self._stated(queries, pairs)
+        scored = durable(pairs.select("scope", "qid", "pid").distinct().join(block_scores(*self._at, asked, pairs), ["scope", "qid", "pid"], "left").na.fill(0.0, ["score"]))
         # Questions without a known term have no row, and none ahead of theirs.
-        ranked_ = block_ranks(*self._placed(), self._questions(queries), scored)
+        ranked_ = block_ranks(*self._at, asked, scored)
         at = in_order(self.docs.select("scope", "pid"), "scope", "pid", "_place")
         # A document without a score stands behind all that have one and behind those without one and with a smaller pid.
         rank = F.col("ahead") + F.when(F.col("score") > 0, 0).otherwise(F.col("_place") - F.col("before"))
         return ranked_.join(at, ["scope", "pid"]).select("scope", "qid", "pid", rank.cast("long").alias("rank"))
 
+    def _stated(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The pairs' questions, as rows()."""
+        return durable(self._questions(queries.join(pairs.select("scope", "qid").distinct(), ["scope", "qid"], "left_semi")))
+
 
 class TfIdf(Index):
     """A fitted index over docs (scope, pid, text)."""
 
-    def __init__(self, docs: DataFrame, min_df: int = 5):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, min_df: int = 5, placed: bool = False):
+        self.docs, self.placed = docs, placed
         self.vocab = durable(vocabulary(docs, min_df))
 
     @cached_property
@@ -241,7 +266,7 @@ class TfIdf(Index):
             norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=b.num_rows))
             return doc, h, w / norm[doc]
 
-        return hashed(self.docs, X.terms), weigh
+        return hashed(self.docs, X.terms, self.placed), weigh
 
     def _questions(self, queries: DataFrame) -> DataFrame:
         return rows(raw_weights(counted(queries, "qid", "text"), self.vocab, "qid"), "qid", unit=True)
@@ -249,11 +274,11 @@ class TfIdf(Index):
     def question_ranks(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """scope, qid, pid, score, rank (from 1) of those of the pairs that share a term, among all questions that share a term with the document."""
         swapped = ("scope", F.col("pid").alias("qid"), F.col("qid").alias("pid"), "score")
-        scored = durable(self.scores(queries, pairs).select(*swapped))
-        asked = durable(self._questions(queries)).withColumnRenamed("qid", "pid")
-        unit = durable(self.docs.join(pairs.select("scope", "pid").distinct(), ["scope", "pid"], "left_semi"))
-        docs = rows(raw_weights(counted(unit, "pid", "text"), self.vocab, "pid"), "pid", unit=True).withColumnRenamed("pid", "qid")
-        ranked_ = block_ranks(P.spread(asked), P.as_rows, docs, scored)
+        asked = durable(self._questions(queries))
+        scored = durable(block_scores(*self._at, asked, pairs).select(*swapped))
+        own, weigh = self._at
+        docs = P.weighed(of_pairs(own, pairs, all_else=False), weigh).withColumnRenamed("pid", "qid")
+        ranked_ = block_ranks(P.spread(asked.withColumnRenamed("qid", "pid")), P.as_rows, docs, scored)
         return ranked_.select(*swapped, (F.col("ahead") + 1).cast("int").alias("rank"))
 
     def best_and_worst(self, queries: DataFrame, k: int, bottom: int) -> DataFrame:
@@ -261,7 +286,7 @@ class TfIdf(Index):
         # Documents and questions without a known term have no terms, but count.
         all_q = queries.select("scope", "qid").distinct().join(self._questions(queries), ["scope", "qid"], "left").select("scope", "qid", *(F.coalesce(c, F.array()).cast(t).alias(c) for c, t in (("h", "array<bigint>"), ("w", "array<double>"))))
         n = self.docs.groupBy("scope").agg(F.count("*").alias("n"))
-        worst = block_topk(*self._placed(), all_q, bottom, worst=True).join(n, "scope").select("scope", "qid", "pid", "score", (F.col("n") - F.col("rank") + 1).cast("int").alias("rank"))
+        worst = block_topk(*self._at, all_q, bottom, worst=True).join(n, "scope").select("scope", "qid", "pid", "score", (F.col("n") - F.col("rank") + 1).cast("int").alias("rank"))
         return self.topk(queries, k, zero_fill=True).unionByName(worst).distinct()
 
 
@@ -278,8 +303,8 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 class Bm25(Index):
     """Okapi BM25 over docs (scope, pid, text), tokens between single spaces, case kept."""
 
-    def __init__(self, docs: DataFrame, analyzer=X.spaced, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        self.docs, self.analyzer, self.k1, self.b = docs, analyzer, k1, b
+    def __init__(self, docs: DataFrame, analyzer=X.spaced, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, placed: bool = False):
+        self.docs, self.analyzer, self.k1, self.b, self.placed = docs, analyzer, k1, b, placed
         split = docs.select("scope", analyzer("text").alias("_t"))
         stats = split.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
         df = split.select("scope", F.explode(F.array_distinct("_t")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
@@ -317,7 +342,7 @@ class Bm25(Index):
             part = k1 * (1 - b_ + b_ * dl / np.array([mean[x] for x in b.column(0).to_pylist()]))
             return doc, h, tf * (k1 + 1) / (tf + part[doc])
 
-        return hashed(self.docs, self.analyzer), weigh
+        return hashed(self.docs, self.analyzer, self.placed), weigh
 
 
 def hit_rank(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

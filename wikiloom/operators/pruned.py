@@ -205,7 +205,7 @@ class Chunk:
             docs, s = self.reaching(ts, x, float(score.min()))
         p = self.pids[docs]
         # A question has a few stated pairs.
-        count = np.array([np.count_nonzero((s > a) | ((s == a) & (p < b))) for a, b in zip(score, pid)], np.int64)
+        count = np.array([np.count_nonzero((s > a) & (p != b) | ((s == a) & (p < b))) for a, b in zip(score, pid)], np.int64)
         if not usual:
                 before = np.array([np.count_nonzero(p < b) for b in pid], np.int64)
         return count, before
@@ -288,10 +288,26 @@ def scoped(batches: Iterator[pa.RecordBatch], weigh: Callable, scopes) -> Iterat
         yield made(scope)
 
 
+def parts(n: int) -> int:
+    """How many parts n documents are in: of about CHUNK or less."""
+    return max(1, -(-n // CHUNK), min(36, n // 1024))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """Documents in the order of scope and pid, in parts of about CHUNK or less."""
-    n = docs.count()
-    return docs.repartitionByRange(max(1, -(-n // CHUNK), min(36, n // 1024)), "scope", "pid")
+    return docs.repartitionByRange(parts(docs.count()), "scope", "pid")
+
+
+def weighed(docs: DataFrame, weigh: Callable) -> DataFrame:
+    """scope, pid, h, w: the sparse rows of documents, made where they lie."""
+
+    def run(batches):
+        for b in batches:
+            doc, h, w = weigh(b)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h, w))], names=["scope", "pid", "h", "w"])
+
+    return docs.mapInArrow(run, "scope string, pid long, h array<bigint>, w array<double>")
 
 
 def run_blocks(docs: DataFrame, weigh: Callable, questions: DataFrame, most: int, pairs: bool, work: Callable, schema: str, done: Callable) -> DataFrame:
@@ -330,6 +346,28 @@ def listed(k: int, worst: bool = False) -> Callable:
     return work
 
 
+def scored_pairs(block: Block, scope: str, chunk: Chunk):
+    """work: qid, pid, score of the stated pairs whose document is in the chunk and shares a term; the block's scores play no part."""
+    qid, first, h, w, _, pid, at = block.scopes[scope]
+    place = np.minimum(np.searchsorted(chunk.pids, pid), chunk.n - 1)
+    own = np.flatnonzero(chunk.pids[place] == pid)
+    q = np.searchsorted(at, own, side="right") - 1
+    size = first[q + 1] - first[q]
+    pair = np.repeat(np.arange(len(own)), size)
+    term = np.repeat(first[q] - np.cumsum(size) + size, size) + np.arange(len(pair))
+    known = chunk.known(h)
+    pair, term = pair[known[term] >= 0], term[known[term] >= 0]
+    # Postings stand in the order of term and document.
+    keys = np.repeat(np.arange(len(chunk.terms)), chunk.df) * chunk.n + chunk.doc
+    key = known[term] * chunk.n + place[own[pair]]
+    i = np.searchsorted(keys, key)
+    hit = np.flatnonzero((i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == key)) if len(keys) else np.zeros(0, np.int64)
+    pair = pair[hit]
+    score = np.bincount(pair, weights=w[term[hit]] * chunk.w[i[hit]], minlength=len(own))
+    some = np.flatnonzero(np.bincount(pair, minlength=len(own)))
+    return qid[q[some]], pid[own[some]], np.round(score[some], 6)
+
+
 def counted_ahead(block: Block, scope: str, chunk: Chunk):
     """work: qid, pid, ahead, before of the stated pairs that have documents of the chunk before them."""
     qid, _, _, _, score, pid, at = block.scopes[scope]

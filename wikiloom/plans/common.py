@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wikiloom.durable import durable
+from wikiloom.operators import pruned
 from wikiloom.session import table
 
 
@@ -14,6 +16,14 @@ def corpus(spark, sf_dir) -> DataFrame:
     return rows.groupBy(F.col("wiki").alias("scope"), "pid").agg(F.min("passage").alias("text"))
 
 
+def stored(spark, sf_dir) -> DataFrame:
+    """corpus(), written once in the order of scope and pid: grouped by range, so that no search shuffles the texts again."""
+    rows = table(spark, sf_dir, "passages")
+    n = pruned.parts(rows.count())
+    rows = rows.where("passage is not null and passage rlike '\\\\S'").select(F.col("wiki").alias("scope"), "pid", "passage")
+    return durable(rows.repartitionByRange(n, "scope", "pid").groupBy("scope", "pid").agg(F.min("passage").alias("text")))
+
+
 def asked(spark, sf_dir, split: str = "test") -> DataFrame:
     """scope, qid, text of a split's questions: the evaluation asks the test questions of a wiki of the whole wiki."""
     return table(spark, sf_dir, "queries").where((F.col("split") == split) & F.col("query").isNotNull()).groupBy(F.col("wiki").alias("scope"), "qid").agg(F.min("query").alias("text"))

@@ -7,58 +7,53 @@ from pyspark.sql import functions as F
 from wikiloom.durable import durable
 from wikiloom.operators import lexical as L, metrics as M
 from wikiloom.plans.building import NEGATIVES, ms_triples_qpp
-from wikiloom.plans.common import SQL, asked, corpus, relevant
+from wikiloom.plans.common import SQL, asked, relevant, stored
 from wikiloom.session import table
 
 K = 100
 
 
-def stored(spark, sf_dir):
-    """The corpus, grouped once."""
-    return durable(corpus(spark, sf_dir))
-
-
 def tfidf_topk(spark, sf_dir):
-    return L.TfIdf(stored(spark, sf_dir)).topk(asked(spark, sf_dir), 10, zero_fill=True)
+    return L.TfIdf(stored(spark, sf_dir), placed=True).topk(asked(spark, sf_dir), 10, zero_fill=True)
 
 
 def tfidf_scores(spark, sf_dir):
     """Scores of the test questions with their relevant passages."""
-    return L.TfIdf(stored(spark, sf_dir)).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
+    return L.TfIdf(stored(spark, sf_dir), placed=True).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
 
 
 def tfidf_vocab_idf(spark, sf_dir):
-    return L.TfIdf(stored(spark, sf_dir)).vocab.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return L.TfIdf(stored(spark, sf_dir), placed=True).vocab.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_doc_vectors(spark, sf_dir):
-    return L.TfIdf(stored(spark, sf_dir)).vectors.select("scope", "pid", "term", F.round("w", 6).alias("w"))
+    return L.TfIdf(stored(spark, sf_dir), placed=True).vectors.select("scope", "pid", "term", F.round("w", 6).alias("w"))
 
 
 def tfidf_top_bottom_k(spark, sf_dir):
-    return L.TfIdf(stored(spark, sf_dir)).best_and_worst(asked(spark, sf_dir), 5, 5)
+    return L.TfIdf(stored(spark, sf_dir), placed=True).best_and_worst(asked(spark, sf_dir), 5, 5)
 
 
 def bm25_topk(spark, sf_dir):
-    return L.Bm25(stored(spark, sf_dir)).topk(asked(spark, sf_dir), 10, zero_fill=True)
+    return L.Bm25(stored(spark, sf_dir), placed=True).topk(asked(spark, sf_dir), 10, zero_fill=True)
 
 
 def bm25_idf(spark, sf_dir):
-    return L.Bm25(stored(spark, sf_dir)).idf.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
+    return L.Bm25(stored(spark, sf_dir), placed=True).idf.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_subset_scores(spark, sf_dir):
-    return L.Bm25(stored(spark, sf_dir)).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
+    return L.Bm25(stored(spark, sf_dir), placed=True).scores(asked(spark, sf_dir), relevant(spark, sf_dir))
 
 
 def bm25_hit_rank(spark, sf_dir):
     q = asked(spark, sf_dir)
-    return L.hit_rank(L.Bm25(stored(spark, sf_dir)).topk(q, 10), relevant(spark, sf_dir), q)
+    return L.hit_rank(L.Bm25(stored(spark, sf_dir), placed=True).topk(q, 10), relevant(spark, sf_dir), q)
 
 
 def _found(spark, sf_dir, k):
     """The relevant passages within the first k of their question, with their ranks: what the metrics read of a ranked list."""
-    return L.TfIdf(stored(spark, sf_dir)).ranks(asked(spark, sf_dir), relevant(spark, sf_dir)).where(F.col("rank") <= k)
+    return L.TfIdf(stored(spark, sf_dir), placed=True).ranks(asked(spark, sf_dir), relevant(spark, sf_dir)).where(F.col("rank") <= k)
 
 
 def eval_recall_mrr(spark, sf_dir):
@@ -72,7 +67,7 @@ def eval_topn_accuracy(spark, sf_dir):
 def _ranks(spark, sf_dir):
     """scope, qid_pos, qid_neg, pid, size, positive, negative: 0-based ranks of a triple's passage for both of its questions, among all
     `size` passages of the wiki in the order of score, then of pid; a passage without a shared term has the score 0."""
-    c = durable(corpus(spark, sf_dir))
+    c = stored(spark, sf_dir)
     q = asked(spark, sf_dir)
     known = q.select("scope", "qid")
     t = table(spark, sf_dir, "triples").where("split = 'test'").select(F.col("wiki").alias("scope"), "qid_pos", "qid_neg", "pid").distinct()
@@ -81,7 +76,7 @@ def _ranks(spark, sf_dir):
         t = t.join(known.withColumnRenamed("qid", qid), ["scope", qid], "left_semi")
     t = durable(t)
     pairs = t.select("scope", F.col("qid_pos").alias("qid"), "pid").unionByName(t.select("scope", F.col("qid_neg").alias("qid"), "pid")).distinct()
-    places = durable(L.TfIdf(c).places(q, pairs))
+    places = durable(L.TfIdf(c, placed=True).places(q, pairs))
     out = t
     for name, qid in (("positive", "qid_pos"), ("negative", "qid_neg")):
         out = out.join(places.select("scope", F.col("qid").alias(qid), "pid", F.col("rank").alias(name)), ["scope", qid, "pid"])
@@ -128,13 +123,13 @@ def rank_among_own(spark, sf_dir):
 
 def rank_matrix_docs(spark, sf_dir):
     """Ranks of the passages for each question, of the pairs with a relevant passage."""
-    s = L.TfIdf(stored(spark, sf_dir)).ranks(asked(spark, sf_dir), relevant(spark, sf_dir))
+    s = L.TfIdf(stored(spark, sf_dir), placed=True).ranks(asked(spark, sf_dir), relevant(spark, sf_dir))
     return s.select("scope", "qid", "pid", (F.col("rank") - 1).alias("rank"))
 
 
 def rank_matrix_queries(spark, sf_dir):
     """Ranks of the questions for each passage."""
-    s = L.TfIdf(stored(spark, sf_dir)).question_ranks(asked(spark, sf_dir), relevant(spark, sf_dir))
+    s = L.TfIdf(stored(spark, sf_dir), placed=True).question_ranks(asked(spark, sf_dir), relevant(spark, sf_dir))
     return s.select("scope", "qid", "pid", (F.col("rank") - 1).alias("rank"))
 
 
@@ -148,7 +143,7 @@ def lexical_vs_bm25_diff(spark, sf_dir):
     c, q, rel = stored(spark, sf_dir), asked(spark, sf_dir), relevant(spark, sf_dir)
     rows = rel.join(q.select("scope", "qid"), ["scope", "qid"], "left_semi")
     q = durable(q.join(rel.select("scope", "qid"), ["scope", "qid"], "left_semi"))  # only questions with a relevant passage have rows
-    for x, model in (("a", L.TfIdf(c)), ("b", L.Bm25(c))):
+    for x, model in (("a", L.TfIdf(c, placed=True)), ("b", L.Bm25(c, placed=True))):
         found = durable(model.ranks(q, rel).where(F.col("rank") <= K))
         rows = rows.join(found.select("scope", "qid", "pid", (F.col("rank") - 1).alias(f"rank_{x}")), ["scope", "qid", "pid"], "left")
         rows = rows.join(model.topk(q, 1).select("scope", "qid", F.col("pid").alias(f"top1_{x}")), ["scope", "qid"], "left")
@@ -176,7 +171,7 @@ def best_worst_report(spark, sf_dir):
 
 def ce_loss(spark, sf_dir):
     """Cross-entropy, squared error and accuracy of each relevant pair against the ten best passages of its question."""
-    index, q = L.TfIdf(stored(spark, sf_dir)), asked(spark, sf_dir)
+    index, q = L.TfIdf(stored(spark, sf_dir), placed=True), asked(spark, sf_dir)
     good = durable(relevant(spark, sf_dir).groupBy("scope", "qid").agg(F.min("pid").alias("pid")))
     q = durable(q.join(good, ["scope", "qid"], "left_semi"))
     scored = index.scores(q, good)
