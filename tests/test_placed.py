@@ -33,6 +33,10 @@ def test_rank_matrix_queries_moves_no_texts(spark, small, monkeypatch):
     assert _in_place(spark, small, monkeypatch, "rank_matrix_queries").count()
 
 
+def test_eval_recall_mrr_moves_no_texts(spark, small, monkeypatch):
+    assert _in_place(spark, small, monkeypatch, "eval_recall_mrr").count()
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_scores_of_stated_pairs(seed):
     rng = np.random.default_rng(seed)
