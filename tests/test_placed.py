@@ -37,6 +37,10 @@ def test_eval_recall_mrr_moves_no_texts(spark, small, monkeypatch):
     assert _in_place(spark, small, monkeypatch, "eval_recall_mrr").count()
 
 
+def test_eval_topn_accuracy_moves_no_texts(spark, small, monkeypatch):
+    assert _in_place(spark, small, monkeypatch, "eval_topn_accuracy").count()
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_scores_of_stated_pairs(seed):
     rng = np.random.default_rng(seed)
