@@ -60,6 +60,8 @@ _CLOSED = re.compile(r"[?.!。！？؟][\"'’”»)\]*_\s]*$")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\"'’”»)\]\s]*$")
 _STRINGS = re.compile(r"\"((?:[^\"\\]|\\.)*)(\"|$)|'((?:[^'\\]|\\.)*)('|$)", re.S)
 
+#: Bytes of texts that are worked on at once where questions stand beside their passages.
+SLICE_BYTES = 1 << 18
 CONTEXT_BITS, MOST_BITS, CHAR_BITS, WORD_BITS = 18, 24, 18, 16
 #: A token is common if it makes up at least this share of the questions.
 COMMON = 0.0005
@@ -113,20 +115,33 @@ def repeats(question: str, passage: str | None) -> bool:
     return any(_TOKENS.findall(x) == own for x in _SENTENCES.split(passage or ""))
 
 
-def copies(questions: pa.Array, passages: pa.Array) -> np.ndarray:
+def copies(questions: pa.Array, passages: pa.Array, at: np.ndarray | None = None) -> np.ndarray:
     """Of each question, whether it repeats the passage: enough of its runs of three tokens, or under six tokens a whole sentence of at
-    least three; both in lower case."""
+    least three; both in lower case. at: the place of each question's passage, rising, if a passage stands once for all its questions."""
     t = Tokens(questions)
+    at = np.arange(t.n) if at is None else at
     dq, hq = distinct(*t.shingles(3))
     dp, hp = distinct(*Tokens(passages).shingles(3))
-    doc, h = np.concatenate([dq, dp]), np.concatenate([hq, hp])
+    # Each question's runs among those of its passage, both in the order of passage and run.
+    doc, h = np.concatenate([dp, at[dq]]), np.concatenate([hp, hq])
     order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=t.n)
+    doc, h, own = doc[order], h[order], order >= len(dp)
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    met = ~own[new][np.cumsum(new) - 1] if len(h) else own  # a passage's run comes before those of questions that equal it
+    both = np.bincount(dq[order[own & met] - len(dp)], minlength=t.n)
     share = both / np.maximum(np.bincount(dq, minlength=t.n), 1)
     out = (t.count >= 6) & (share >= COPY)
     for i in np.flatnonzero((t.count >= 3) & (t.count < 6) & (share == 1)):
-        out[i] = repeats(questions[i].as_py(), passages[i].as_py())
+        out[i] = repeats(questions[i].as_py(), passages[int(at[i])].as_py())
+    return out
+
+
+def _copies_coded(questions: pa.Array, texts: pa.Array, which: np.ndarray) -> np.ndarray:
+    """copies() of questions whose passages are texts[which]."""
+    order = np.argsort(which, kind="stable")
+    out = np.zeros(len(which), bool)
+    out[order] = copies(questions.take(pa.array(order)), texts, which[order].astype(np.int64))
     return out
 
 
@@ -168,7 +183,7 @@ def of_cells(cells: DataFrame, languages: Languages) -> DataFrame:
 
     def run(batches):
         lang = shared.value
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2048, SLICE_BYTES):
             at, qs, broke = [], [], []
             for i, value in enumerate(b.column(5).to_pylist()):
                 found, cut = cell(value)
@@ -178,9 +193,9 @@ def of_cells(cells: DataFrame, languages: Languages) -> DataFrame:
                     broke.append(cut)
             passages = [x and x.lower() for x in b.column(4).to_pylist()]
             p = lang.posterior(passages, lang.prior(b.column(3).to_pylist()))[at] if at else np.zeros((0, len(lang.names)))
-            at = pa.array(at, pa.int64())
+            place, at = np.array(at, np.int64), pa.array(at, pa.int64())
             lower = pa.array([x and x.lower() for x in qs], pa.string())
-            copied = copies(lower, pa.array(passages, pa.string()).take(at))
+            copied = copies(lower, pa.array(passages, pa.string()), place)
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(qs, pa.string()), pa.array(copied), pa.array(broke), pa.array(lang.foreign(qs, p))], names=["tab", "id", "side", "wiki", "q", "copied", "broke", "foreign"])
 
     return cells.select("tab", "id", "side", "wiki", "passage", "cell").mapInArrow(run, ROWS_SCHEMA)
@@ -193,15 +208,15 @@ def beside_passages(asked: DataFrame, passages: DataFrame, languages: Languages)
 
     def run(batches):
         lang = shared.value
-        for b in slices(batches, 2048):
-            # Questions of one passage stand together: its posterior is computed once.
+        for b in slices(batches, 2048, SLICE_BYTES):
+            # Questions of one passage stand together: its posterior and its runs are computed once.
             coded = b.column(2).dictionary_encode()
             which, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             wikis = b.column(3).to_pylist()
             first = np.zeros(len(texts), np.int64)
             first[which[::-1]] = np.arange(len(which))[::-1]
             p = lang.posterior(texts, lang.prior([wikis[i] for i in first]))[which]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies(b.column(1), b.column(2))), pa.array(lang.foreign(b.column(1).to_pylist(), p))], names=["id", "copied", "foreign"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_copies_coded(b.column(1), coded.dictionary, which)), pa.array(lang.foreign(b.column(1).to_pylist(), p))], names=["id", "copied", "foreign"])
 
     pairs = asked.join(passages, "pid").select("id", F.lower("q").alias("q"), F.lower("passage").alias("passage"), "wiki")
     return pairs.mapInArrow(run, "id long, copied boolean, foreign boolean").groupBy("id").agg(F.max("copied").alias("copied"), F.min("foreign").alias("foreign"))
@@ -240,12 +255,14 @@ def _tables(df: DataFrame, sizes: dict[str, int], fill) -> dict[str, np.ndarray]
     chunk = 1 << 14
 
     def run(batches):
-        tables = {n: np.zeros(size, np.int64) for n, size in sizes.items()}
+        tables = {n: np.zeros(size, np.uint32) for n, size in sizes.items()}  # a task's counts; the sums have 64 bits
         for b in slices(batches):
             fill(b, tables)
-        rows = [(n, at, tables[n][at : at + chunk]) for n, size in sizes.items() for at in range(0, size, chunk)]
-        rows = [(n, at, x.tobytes()) for n, at, x in rows if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([pa.compress(r[2], "zstd", asbytes=True) for r in rows], pa.binary())], names=["name", "at", "counts"])
+        rows = []
+        for n, size in sizes.items():
+            own = tables.pop(n)
+            rows += [(n, at, pa.compress(x.astype(np.int64).tobytes(), "zstd", asbytes=True)) for at in range(0, size, chunk) if (x := own[at : at + chunk]).any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["name", "at", "counts"])
 
     def counts(name: str, at: int, blob: bytes) -> np.ndarray:
         return np.frombuffer(pa.decompress(blob, min(chunk, sizes[name] - at) * 8, "zstd", asbytes=True), np.int64)
@@ -278,15 +295,15 @@ def fit_ends(questions: DataFrame, bits: int = CONTEXT_BITS) -> dict[str, np.nda
 
     def words(b, tables):
         t = Tokens(pa.array([q and q.lower() for q in b.column(0).to_pylist()], pa.string()))
-        tables["word"] += np.bincount((t.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
+        np.add.at(tables["word"], (t.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
         tables["rows"][0] += b.num_rows
         inner, last = [], []
         for q in usable(b):
             for w in _WORDS.findall(q or ""):
                 last.append(_last3(w))
                 inner.extend(_last3(w[:i]) for i in range(max(1, len(w) - 3), len(w)))
-        tables["char"] += np.bincount(np.array(inner + last, np.int64), minlength=1 << CHAR_BITS)
-        tables["char_end"] += np.bincount(np.array(last, np.int64), minlength=1 << CHAR_BITS)
+        np.add.at(tables["char"], np.array(inner + last, np.int64), 1)
+        np.add.at(tables["char_end"], np.array(last, np.int64), 1)
 
     questions = questions.select("q", "copied")
     first = _tables(questions, {"word": 1 << WORD_BITS, "rows": 1, "char": 1 << CHAR_BITS, "char_end": 1 << CHAR_BITS}, words)
@@ -298,8 +315,8 @@ def fit_ends(questions: DataFrame, bits: int = CONTEXT_BITS) -> dict[str, np.nda
             t = Tokens(pa.array(usable(b), pa.string()))
             c = _classes(t, count, least)
             for name, slots in zip(("one", "two", "three"), _contexts(t, c, bits)):
-                tables[name] += np.bincount(slots, minlength=1 << bits)
-                tables[f"{name}_end"] += np.bincount(slots[t.first[1:][t.count > 0] - 1], minlength=1 << bits)
+                np.add.at(tables[name], slots, 1)
+                np.add.at(tables[f"{name}_end"], slots[t.first[1:][t.count > 0] - 1], 1)
 
         second = _tables(questions, {f"{n}{e}": 1 << bits for n in ("one", "two", "three") for e in ("", "_end")}, contexts)
         if np.count_nonzero(second["three"]) <= 1 << bits - 2 or bits >= MOST_BITS:
@@ -361,7 +378,7 @@ def fit_language(texts: DataFrame, languages: list[str], sample: int = SAMPLE) -
         lang = np.array([index.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
         doc, slots = _trigrams(b.column(1).to_pylist())
         at = lang[doc] * (1 << TRIGRAM_BITS) + slots
-        tables["n"] += np.bincount(at[lang[doc] >= 0], minlength=len(tables["n"]))
+        np.add.at(tables["n"], at[lang[doc] >= 0], 1)
 
     count = _tables(rows.select("lang", "text"), {"n": len(languages) << TRIGRAM_BITS}, fill)["n"].reshape(len(languages), -1)
     log_p = np.log(count + 0.5) - np.log((count + 0.5).sum(axis=1, keepdims=True))
@@ -370,6 +387,8 @@ def fit_language(texts: DataFrame, languages: list[str], sample: int = SAMPLE) -
 
 def classify(questions: DataFrame, languages: Languages, ends: dict[str, np.ndarray]) -> DataFrame:
     """tab, id, side and defect of every defective row of questions (ROWS_SCHEMA; foreign is null where no passage is known)."""
+    # Half the bytes in every worker, where the counts allow it.
+    ends = {n: x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x for n, x in ends.items()}
     model = questions.sparkSession.sparkContext.broadcast((languages, ends))
 
     def run(batches):

@@ -131,8 +131,15 @@ def parity(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return packed[:, :8].copy().view(np.int64)[:, 0], (rest[:, 0] << 12) | (rest[:, 1] << 4) | (rest[:, 2] >> 4)
 
 
-def slices(batches, rows: int = ROWS):
-    """The batches in slices of limited rows."""
+def slices(batches, rows: int = ROWS, size: int | None = None):
+    """The batches in slices of limited rows, and of limited bytes if size is given (a larger row is a slice of its own)."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            parts = [b.slice(at, rows)]
+            while parts:
+                x = parts.pop()
+                if size is not None and x.num_rows > 1 and x.nbytes > size:
+                    half = x.num_rows // 2
+                    parts += [x.slice(half), x.slice(0, half)]
+                else:
+                    yield x
