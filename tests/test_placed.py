@@ -64,3 +64,14 @@ def test_scores_of_stated_pairs(seed):
 def test_corpus_is_grouped_by_range(spark, small):
     rows = common.stored(spark, small)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, common.corpus(spark, small).collect()))
+
+
+def test_own_passages_are_ranked_without_shuffled_terms(spark, small, monkeypatch):
+    """Equal to an index over all groups, whose terms rank_among_own may not make."""
+    rows = [("1/7", 1, 7, "red fox Fox", [7, 3, 9, 4], ["the red fox", "red red fox", "fox fox red dog", ""]), ("2/5", 2, 5, "owl", [5, 6], ["a dog", "the dog"]), ("3/8", 3, 8, "owl cat", [2, 8], ["cat owl", "owl cat"])]
+    groups = spark.createDataFrame(rows, "scope string, qid long, pid long, text string, pids array<bigint>, texts array<string>")
+    docs = spark.createDataFrame([(r[0], p, t) for r in rows for p, t in zip(r[4], r[5])], "scope string, pid long, text string")
+    want = L.places(groups.select("scope", "qid", "pid"), L.TfIdf(docs, min_df=1).scores(groups.select("scope", "qid", "text")), docs)
+    assert sorted(map(tuple, L.own_places(groups).collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(L, "counted", None)
+    assert entry.queries()["rank_among_own"](spark, small).count()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wikiloom.durable import BROADCAST_BYTES, durable, small
 from wikiloom.functions import text as X
-from wikiloom.llm.tokens import in_rows
+from wikiloom.llm.tokens import in_rows, slices
 from wikiloom.operators import pruned as P
 from wikiloom.operators.dataset import in_order
 
@@ -290,6 +290,67 @@ class TfIdf(Index):
         return self.topk(queries, k, zero_fill=True).unionByName(worst).distinct()
 
 
+def own_places(groups: DataFrame) -> DataFrame:
+    """scope, qid, pid, rank (from 0) of a document among those of its group, by TF-IDF fitted on the group alone, score 0 without a shared term;
+    groups: scope, qid, pid, text (of the question), pids and texts (of the group's documents). A group is read at once: no term is shuffled."""
+    terms = lambda text: F.coalesce(F.transform(X.terms(text), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
+    hashed_ = groups.select("scope", "qid", "pid", "pids", terms("text").alias("q"), F.transform("texts", terms).alias("h"))
+
+    def run(batches):
+        for b in slices(batches, 512):
+            if b.num_rows:
+                rank = pa.array(_own_ranks(b.column(2).to_numpy(), b.column(3), b.column(4), b.column(5)))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), rank], names=["scope", "qid", "pid", "rank"])
+
+    return hashed_.mapInArrow(run, "scope string, qid long, pid long, rank long")
+
+
+def _own_ranks(pid: np.ndarray, pids: pa.Array, q: pa.Array, h: pa.Array) -> np.ndarray:
+    """The rank of each group's pid; pids, q (term hashes of the question) and h (of each document) by group."""
+    size = lambda x: np.asarray(x.value_lengths(), np.int64)
+    n, docs = len(pid), h.flatten()
+    group = np.repeat(np.arange(n), size(pids))
+    own = pids.flatten().to_numpy()
+    doc_of, term = np.repeat(np.arange(len(docs)), size(docs)), docs.flatten().to_numpy()
+    asked, word = np.repeat(np.arange(n), size(q)), q.flatten().to_numpy()
+
+    def counts(a, t):
+        order = np.lexsort((t, a))
+        a, t = a[order], t[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
+        at = np.flatnonzero(new)
+        return a[at], t[at], np.diff(np.append(at, len(t)))
+
+    doc, t, tf = counts(doc_of, term)
+    qg, qt, qf = counts(asked, word)
+    # The number of each (group, term), of documents and questions alike.
+    a, x = np.concatenate([group[doc], qg]), np.concatenate([t, qt])
+    order = np.lexsort((x, a))
+    new = np.ones(len(x), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (x[order][1:] != x[order][:-1])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    m = int(new.sum())
+    df = np.bincount(number[: len(t)], minlength=m)
+    of = np.zeros(m, np.int64)
+    of[number] = a
+    idf = np.log((1 + size(pids)[of]) / (1 + df)) + 1
+    w = tf * idf[number[: len(t)]]
+    norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=len(docs)))
+    known = df[number[len(t) :]] > 0
+    wq = np.where(known, qf * idf[number[len(t) :]], 0.0)
+    norm_q = np.sqrt(np.bincount(qg, weights=wq * wq, minlength=n))
+    asked_w = np.zeros(m)
+    asked_w[number[len(t) :][known]] = wq[known] / norm_q[qg[known]]
+    score = np.round(np.bincount(doc, weights=w / norm[doc] * asked_w[number[: len(t)]], minlength=len(docs)), 6)
+    mine = np.zeros(n)
+    is_own = own == pid[group]
+    mine[group[is_own]] = score[is_own]
+    ahead = (score > mine[group]) | ((score == mine[group]) & (own < pid[group]))
+    return np.bincount(group[ahead], minlength=n)
+
+
 def ranked(scores: DataFrame, score: Column | str = "score") -> DataFrame:
     """All pairs with their rank (1: best; ties: smaller pid first)."""
     w = Window.partitionBy("scope", "qid").orderBy(F.desc(score), "pid")

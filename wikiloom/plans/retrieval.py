@@ -112,13 +112,12 @@ def rank_among_own(spark, sf_dir):
     """scope (qid/pid_pos), rank from 0 of a triple's positive passage among its own ten passages only, by an index fitted on those."""
     lists = ms_triples_qpp(spark, sf_dir)
     name = F.concat_ws("/", "qid", "pid_pos").alias("scope")
-    own = durable(lists.select("qid", name, F.col("pid_neg").alias("pid")).union(lists.select("qid", name, F.col("pid_pos").alias("pid"))).distinct())
+    own = lists.select("qid", name, F.col("pid_neg").alias("pid")).union(lists.select("qid", name, F.col("pid_pos").alias("pid"))).distinct()
     texts = table(spark, sf_dir, "passages").where("passage is not null").groupBy("pid").agg(F.min("passage").alias("text"))
-    docs = durable(own.join(texts, "pid").select("scope", "pid", "text"))
     q = table(spark, sf_dir, "queries").where("query is not null").groupBy("qid").agg(F.min("query").alias("text"))
-    asked_ = own.select("scope", "qid").distinct().join(q, "qid").select("scope", "qid", "text")
-    pairs = own.select("scope", "qid", F.split_part("scope", F.lit("/"), F.lit(2)).cast("long").alias("pid")).distinct().join(docs, ["scope", "pid"], "left_semi").join(asked_, ["scope", "qid"], "left_semi")
-    return L.places(pairs, durable(L.TfIdf(docs, min_df=1).scores(asked_)), docs)
+    groups = own.join(texts, "pid").repartition("qid").groupBy("qid", "scope").agg(F.collect_list(F.struct("pid", "text")).alias("docs"))  # ten texts, a bounded list
+    asked_ = groups.join(q, "qid").withColumn("pid", F.split_part("scope", F.lit("/"), F.lit(2)).cast("long"))
+    return L.own_places(asked_.where("array_contains(docs.pid, pid)").select("scope", "qid", "pid", "text", F.col("docs.pid").alias("pids"), F.col("docs.text").alias("texts")))
 
 
 def rank_matrix_docs(spark, sf_dir):
