@@ -27,3 +27,16 @@ def test_sums_of_a_fit_are_sorted_once(monkeypatch):
     each = np.zeros(x.n)
     np.add.at(each, x.word[at[x.sentence] >= 0], np.array([1.0, 2.0, 3.0])[at[x.sentence][at[x.sentence] >= 0]])
     assert np.allclose(up, np.bincount(x.slot, weights=each[x.of] * x.value, minlength=len(w))[some])
+
+
+def test_words_are_looked_up_once_a_token(monkeypatch):
+    """Texts of known tokens are cut without reading their letters again, into the words of the whole folded text."""
+    rng = np.random.default_rng(6)
+    some = ["a", "b", "i", "you", "IDIOT", "idi0t", ".", "!", "…", " ", "  ", "\n", " ", "\u0085", "-", "–", "_", "*", "'", "​", "́", "é", "ß", "Σ", "İ", "а", "\U0001d165", "1"]
+    texts = ["".join(rng.choice(some, rng.integers(1, 14))) for _ in range(5000)]
+    for t in texts:
+        assert A.sentences(t) == [w for x in A._SENTENCE.split(A.fold(t)) if (w := A._WORD.findall(x))], ascii(t)
+    text = "You read a page. It was long,\nand a dog's tale!"
+    want = A.parts(text)
+    monkeypatch.setattr(A, "_WORD", None)
+    assert A.parts(text) == want and len(want) == 3

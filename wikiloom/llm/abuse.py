@@ -125,6 +125,7 @@ LEET = (str.maketrans("4@35$0178", "aaessoitb"), str.maketrans("4@35$0178", "aae
 
 _WORD = re.compile(r"[\w*@$]+(?:[-'’][\w*@$]+)*")
 _SENTENCE = re.compile(r"[\r\n  ]+|(?<=[.!?…])\s+")
+_LINE = re.compile(r"[\r\n  ]+")
 _LONG = re.compile(r"(.)\1{2,}")
 _SPELT = re.compile(r"(?<![\w*])[\w*](?:[ .\-–_]{1,3}[\w*](?![\w*])){2,}")
 _APART = re.compile(r"[ .\-–_]+")
@@ -151,9 +152,8 @@ def _plain(text: str) -> str:
 _plain_letter = lru_cache(maxsize=70_000)(_plain)
 
 
-def fold(text: str) -> str:
-    """Lower case, without invisible characters, look-alikes and accents, and with spelt-out words joined."""
-    t = text.lower()
+def _unspelt(t: str) -> str:
+    """Lower case text without invisible characters, look-alikes and accents."""
     if not t.isascii():
         rare = {c: to for c in set(t) if c > "\x7f" and (to := _plain_letter(c)) != c}
         # What the replacements leave may be a letter that is replaced itself, and marks beyond the 16-bit range stay, ordered by the whole text.
@@ -162,7 +162,12 @@ def fold(text: str) -> str:
                 t = t.replace(c, to)
         else:
             t = _plain(t)
-    return _SPELT.sub(lambda m: _APART.sub("", m[0]), t)
+    return t
+
+
+def fold(text: str) -> str:
+    """Lower case, without invisible characters, look-alikes and accents, and with spelt-out words joined."""
+    return _SPELT.sub(lambda m: _APART.sub("", m[0]), _unspelt(text.lower()))
 
 
 @lru_cache(maxsize=300_000)
@@ -232,13 +237,56 @@ def telling(words: set[str]) -> bool:
     return not _TELL.isdisjoint(words)
 
 
+#: Two letters of their own beside each other, the least that _SPELT could join; a token between white spaces of separators only.
+_TWO = re.compile(r"(?<![^\W_])(?<!\*)[\w*][.\-–_]{1,3}[\w*](?![^\W_]|\*)")
+_ALONE = re.compile(r"(?<![^\W_])(?<!\*)[\w*](?![^\W_]|\*)|^[.\-–_]*$")
+
+
+class Tokens(dict):
+    """What stands between white spaces, lower case, met so far: its folded words, whether it ends a sentence, and "2" if letters in it may be spelt out, "1" if it may be
+    a part of a spelt-out word with its neighbours, else "0"."""
+
+    def __missing__(self, token: str) -> tuple[list[str], bool, str]:
+        if len(self) > 300_000:
+            self.clear()
+        bare = token[:-1] if token[-1] in ".,!?" else token
+        if bare.isascii() and bare.isalpha():
+            self[token] = found = [bare], token[-1] in ".!?", "0" if len(bare) > 1 else "1"
+            return found
+        t = _unspelt(token)
+        self[token] = found = _WORD.findall(t), t[-1:] in tuple(".!?…"), "2" if _TWO.search(t) else "1" if _ALONE.search(t) else "0"
+        return found
+
+
+_TOKENS = Tokens()
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The folded words of every sentence that has words."""
+    lines = [[_TOKENS[token] for token in line.split()] for line in _LINE.split(text.lower())]
+    out = []
+    for line in lines:
+        words: list[str] = []
+        for some, end, _ in line:
+            words += some
+            if end and words:
+                out.append(words)
+                words = []
+        if words:
+            out.append(words)
+    signs = "0".join(["".join([sign for _, _, sign in line]) for line in lines])
+    if "2" in signs or "111" in signs:  # else nothing is spelt out: three letters would stand in one token or in three
+        return [w for x in _SENTENCE.split(fold(text)) if (w := _WORD.findall(x))]
+    return out
+
+
 def parts(text: str | None) -> list[list[str]]:
     """The distinct features of every sentence that has words: folded words, and marks()."""
-    found = [w for x in _SENTENCE.split(fold(text or "")) if (w := list(dict.fromkeys(_WORD.findall(x))))]
+    found = [list(dict.fromkeys(w)) for w in sentences(text or "")]
     if not telling(set().union(*found)):
         return found
-    rows = [(raw, _WORD.findall(fold(raw))) for raw in _SENTENCE.split(text)]
-    return [[*dict.fromkeys(w), *marks(raw, w)] for raw, w in rows if w]
+    rows = [(raw, list(chain.from_iterable(sentences(raw)))) for raw in _SENTENCE.split(text)]
+    return [[*dict.fromkeys(w), *(marks(raw, w) if telling(set(w)) else ())] for raw, w in rows if w]
 
 
 HASH_BITS, GRAMS, FOLDS, SLICE = 18, (3, 4, 5), 4, 512
@@ -321,11 +369,12 @@ def sums_of(x: Words, at: np.ndarray, slots_: np.ndarray):
     # Slots of the words that occur, by word, and by slot.
     of = number[x.of]
     kept = of >= 0
-    slot_at, value = np.searchsorted(slots_, x.slot[kept]), x.value[kept]
+    slot_at = np.searchsorted(slots_, x.slot[kept])
     first_of = runs_of(of[kept])[1]  # every word has a slot
+    each = x.value[kept][first_of]  # a word's slots have one value
     of = of[x.by_slot]
     kept = of >= 0
-    back_of, back_value = of[kept], x.value[x.by_slot][kept]
+    back_of = of[kept]
     taken, first_slot = runs_of(x.slot[x.by_slot][kept])
     taken = np.searchsorted(slots_, taken)
 
@@ -334,12 +383,12 @@ def sums_of(x: Words, at: np.ndarray, slots_: np.ndarray):
 
     def into(v: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
-        out[row_of] = added(added(v[slot_at] * value, first_of)[word_at], first_row)
+        out[row_of] = added((added(v.take(slot_at), first_of) * each).take(word_at), first_row)
         return out
 
     def back(g: np.ndarray) -> np.ndarray:
         out = np.zeros(len(slots_))
-        out[taken] = added(added(g[back_row], first_word)[back_of] * back_value, first_slot)
+        out[taken] = added((added(g.take(back_row), first_word) * each).take(back_of), first_slot)
         return out
 
     return into, back
