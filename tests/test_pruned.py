@@ -47,6 +47,15 @@ def test_few_documents_are_looked_at(monkeypatch):
     assert docs.tolist() == [0, 1, 2, 3, 4] and not c.acc.any()
 
 
+def test_best_looks_through_all_documents_once(monkeypatch):
+    """However many terms a question has, the k best so far are bounded on few documents."""
+    c, _, _ = chunk(3)
+    calls = []
+    monkeypatch.setattr(P.np, "flatnonzero", lambda a, f=np.flatnonzero: calls.append(len(a)) or f(a))
+    c.best(np.arange(12), np.linspace(1, 0.4, 12), 2)
+    assert calls.count(c.n) == 1
+
+
 RANKED = ("rank_of_positive", "rank_describe", "eval_rank_stats", "eval_in_best", "eval_f_beta", "rank_matrix_docs", "rank_matrix_queries")
 LISTED = ("eval_recall_mrr", "eval_topn_accuracy", "lexical_vs_bm25_diff")
 

@@ -42,7 +42,7 @@ class Chunk:
         self.most = np.maximum.reduceat(self.w, begin) if len(begin) else np.zeros(0)
         self.least = float(self.w.min()) if len(w) else 1.0
         self._rows: dict[int, np.ndarray] = {}
-        self.acc = np.zeros(self.n)
+        self.acc, self._one = np.zeros(self.n), np.empty(self.n)
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """The number of each term here, -1 of one that no document has."""
@@ -64,7 +64,8 @@ class Chunk:
     def add(self, t: int, x: float) -> None:
         r = self.row(t)
         if r is not None:
-            self.acc += x * r
+            np.multiply(r, x, out=self._one)
+            self.acc += self._one
         else:
             a, b = self.first[t], self.first[t + 1]
             self.acc[self.doc[a:b]] += x * self.w[a:b]
@@ -127,7 +128,8 @@ class Chunk:
             self.acc.fill(0)
             for t, y in zip(ts[:e], x[:e]):
                 self.add(t, y)
-            docs = np.flatnonzero(self.acc)
+            least = theta - (bound[e] if e < len(ts) else 0.0) - SPARE
+            docs = np.flatnonzero(self.acc >= least if least > 0 else self.acc)
             s = self.acc[docs]
         return self._rest(docs, s, ts[e:], x[e:], bound[e:], theta)
 
@@ -141,20 +143,24 @@ class Chunk:
             ts, x, most = ts[order], x[order], most[order]
             bound = np.cumsum(most[::-1])[::-1]
             self.acc.fill(0)
-            theta, e = 0.0, len(ts)
+            theta, e, likely = 0.0, len(ts), None
             for j, (t, y) in enumerate(zip(ts, x)):
-                if j and self.df[t] > 64:
-                    docs = np.flatnonzero(self.acc)
-                    s = self.acc[docs]
-                    if len(s) >= k:
-                        theta = float(np.partition(s, len(s) - k)[len(s) - k])  # the k-th best can only rise
-                        if bound[j] < theta - SPARE:
-                            e = j
-                            break
+                # The k-th best of any documents is a bound of the k-th best; it cannot exceed what the terms so far can add.
+                if likely is not None and bound[j] < bound[0] - bound[j]:
+                    s = self.acc[likely]
+                    theta = max(theta, float(np.partition(s, len(s) - k)[len(s) - k]))
+                    if bound[j] < theta - SPARE:
+                        e = j
+                        break
                 self.add(t, y)
-            else:
-                docs = np.flatnonzero(self.acc)
-                s = self.acc[docs]
+                if likely is None and self.df[t] >= k:
+                    likely = self.doc[self.first[t] : self.first[t + 1]]
+            if likely is not None:
+                s = self.acc[likely]
+                theta = max(theta, float(np.partition(s, len(s) - k)[len(s) - k]))
+            least = theta - (bound[e] if e < len(ts) else 0.0) - SPARE
+            docs = np.flatnonzero(self.acc >= least if least > 0 else self.acc)
+            s = self.acc[docs]
             docs, s = self._rest(docs, s, ts[e:], x[e:], bound[e:], theta)
         if len(docs) > k:
             keep = s >= np.partition(s, len(s) - k)[len(s) - k]
