@@ -75,3 +75,20 @@ def test_own_passages_are_ranked_without_shuffled_terms(spark, small, monkeypatc
     assert sorted(map(tuple, L.own_places(groups).collect())) == sorted(map(tuple, want.collect()))
     monkeypatch.setattr(L, "counted", None)
     assert entry.queries()["rank_among_own"](spark, small).count()
+
+
+@pytest.mark.parametrize("name", ["tfidf_top_bottom_k", "eval_recall_mrr", "eval_topn_accuracy", "rank_matrix_queries", "retrieve_rerank"])
+def test_passages_are_cut_into_terms_once(spark, small, monkeypatch, name):
+    """Once the texts are stored, their terms are; vocabulary and searches read those."""
+    cut = []
+    terms = L.X.terms
+
+    def counted(column, *a):
+        cut.append(column)
+        return terms(column, *a)
+
+    monkeypatch.setattr(L.X, "terms", counted)
+    monkeypatch.setattr(L.counted, "__defaults__", (terms,))
+    index = L.TfIdf(common.stored(spark, small), placed=True)
+    index.topk(common.asked(spark, small), 3).count()
+    assert len(cut) == 1 and entry.queries()[name](spark, small).count()

@@ -46,7 +46,8 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, and safe when executors are lost."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
+    # Terms stay encoded by their dictionary, which takes more than the usual megabyte for a part of a corpus.
+    df.write.option("compression", codec).option("parquet.dictionary.page.size", str(4 << 20)).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -36,10 +36,10 @@ def counted(df: DataFrame, id_: str, text: str, analyzer=X.terms) -> DataFrame:
     return df.select("scope", id_, F.explode(analyzer(text)).alias("term")).groupBy("scope", id_, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(docs: DataFrame, min_df: int = 5, analyzer=X.terms) -> DataFrame:
-    """scope, term, df, idf (smoothed) of the terms in at least min_df documents of their scope."""
+def vocabulary(docs: DataFrame, min_df: int = 5) -> DataFrame:
+    """scope, term, df, idf (smoothed) of the terms in at least min_df documents of their scope; docs: scope, pid, terms."""
     n = docs.groupBy("scope").agg(F.count("*").alias("n"))
-    df = docs.select("scope", F.explode(F.array_distinct(analyzer("text"))).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    df = docs.select("scope", F.explode(F.array_distinct("terms")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     return df.join(n, "scope").select("scope", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -130,9 +130,9 @@ def _counts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def hashed(docs: DataFrame, analyzer, placed: bool = False) -> DataFrame:
+def hashed(docs: DataFrame, terms: Column, placed: bool = False) -> DataFrame:
     """scope, pid and the hashes of a document's terms, spread for pruned.py unless they are placed so."""
-    return (docs if placed else P.spread(docs)).select("scope", "pid", F.coalesce(F.transform(analyzer("text"), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")).alias("h"))
+    return (docs if placed else P.spread(docs)).select("scope", "pid", F.coalesce(F.transform(terms, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")).alias("h"))
 
 
 def zero_filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -218,7 +218,9 @@ class TfIdf(Index):
 
     def __init__(self, docs: DataFrame, min_df: int = 5, placed: bool = False):
         self.docs, self.placed = docs, placed
-        self.vocab = durable(vocabulary(docs, min_df))
+        # Cutting texts into terms costs more than all else but the search, so it is done once.
+        self.cut = durable(docs.select("scope", "pid", X.terms("text").alias("terms")))
+        self.vocab = durable(vocabulary(self.cut, min_df))
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -266,7 +268,7 @@ class TfIdf(Index):
             norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=b.num_rows))
             return doc, h, w / norm[doc]
 
-        return hashed(self.docs, X.terms, self.placed), weigh
+        return hashed(self.cut, F.col("terms"), self.placed), weigh
 
     def _questions(self, queries: DataFrame) -> DataFrame:
         return rows(raw_weights(counted(queries, "qid", "text"), self.vocab, "qid"), "qid", unit=True)
@@ -403,7 +405,7 @@ class Bm25(Index):
             part = k1 * (1 - b_ + b_ * dl / np.array([mean[x] for x in b.column(0).to_pylist()]))
             return doc, h, tf * (k1 + 1) / (tf + part[doc])
 
-        return hashed(self.docs, self.analyzer, self.placed), weigh
+        return hashed(self.docs, self.analyzer("text"), self.placed), weigh
 
 
 def hit_rank(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
