@@ -82,3 +82,28 @@ def test_ranks_of_relevant_passages_need_no_long_list(spark, small, monkeypatch,
 
     monkeypatch.setattr(L, "block_topk", short)
     assert entry.queries()[name](spark, small) is not None
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tiles_count_what_questions_count_one_by_one(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    c, pids, w = chunk(seed)
+    monkeypatch.setattr(P, "TILE", int(rng.choice([100, 1000, 1 << 20])))
+    rows = []
+    for qid in range(25):
+        terms = rng.choice(32, rng.integers(1, 20), replace=False)  # two terms no document has
+        x = rng.uniform(0.1, 1, len(terms)).round(2) * (1 if qid % 5 else rng.choice([-1, 0, 1], len(terms)))
+        some = rng.choice(300, 3, replace=False)
+        score = np.round(np.append(w, np.zeros((300, 2)), axis=1)[some][:, terms] @ x, 6)
+        rows.append(("a", qid, terms * 7 - 60, x, score, pids[some]))
+    block = P.Block(rows, True)
+    got, want = (sorted(zip(*(v.tolist() for v in f(block, "a", c)))) for f in (P.counted_in_tiles, P.counted_ahead))
+    assert got == want and got
+
+
+def test_rank_matrix_queries_counts_for_many_passages_at_once(spark, small, monkeypatch):
+    """No passage is taken through the questions by itself, and the passages' rows are sent from files."""
+    sent = []
+    monkeypatch.setattr(P, "counted_ahead", None)
+    monkeypatch.setattr(L, "durable", lambda df, f=L.durable: sent.append(df.columns) or f(df))
+    assert entry.queries()["rank_matrix_queries"](spark, small).count() and ["scope", "pid", "h", "w"] in sent

@@ -94,22 +94,22 @@ def block_topk(docs: DataFrame, weigh: Callable, queries: DataFrame, k: int, wor
     return out.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
-def block_ranks(docs: DataFrame, weigh: Callable, queries: DataFrame, scored: DataFrame) -> DataFrame:
+def block_ranks(docs: DataFrame, weigh: Callable, queries: DataFrame, scored: DataFrame, work: Callable = P.counted_ahead) -> DataFrame:
     """scope, qid, pid, score, ahead, before of the pairs scored (scope, qid, pid, score; 0 without a shared term): how many documents that share a term
     with the question come before the pair's by score, then pid, and how many of those that share one have a smaller pid."""
     # A question has a few stated pairs, a bounded list.
     stated = scored.groupBy("scope", "qid").agg(F.collect_list(F.struct("score", "pid")).alias("t")).select("scope", "qid", F.col("t.score").alias("score"), F.col("t.pid").alias("pid"))
     asked = queries.join(stated, ["scope", "qid"])
-    parts = P.run_blocks(docs, weigh, asked, BLOCK, True, P.counted_ahead, "scope string, qid long, pid long, ahead long, before long", durable)
+    parts = P.run_blocks(docs, weigh, asked, BLOCK, True, work, "scope string, qid long, pid long, ahead long, before long", durable)
     sums = parts.groupBy("scope", "qid", "pid").agg(F.sum("ahead").alias("ahead"), F.sum("before").alias("before"))
     return scored.join(sums, ["scope", "qid", "pid"], "left").na.fill(0, ["ahead", "before"])
 
 
-def block_scores(docs: DataFrame, weigh: Callable, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """scope, qid, pid, score of those of the pairs (scope, qid, pid) that share a term."""
+def block_scores(docs: DataFrame, weigh: Callable, queries: DataFrame, pairs: DataFrame, whole: bool = False) -> DataFrame:
+    """scope, qid, pid, score of those of the pairs (scope, qid, pid) that share a term; whole: docs are those of the pairs already."""
     stated = pairs.groupBy("scope", "qid").agg(F.collect_set("pid").alias("pid"))
     asked = queries.join(stated, ["scope", "qid"]).select("scope", "qid", "h", "w", F.transform("pid", lambda _: F.lit(0.0)).alias("score"), "pid")
-    return P.run_blocks(of_pairs(docs, pairs), weigh, asked, BLOCK, True, P.scored_pairs, "scope string, qid long, pid long, score double", durable)
+    return P.run_blocks(docs if whole else of_pairs(docs, pairs), weigh, asked, BLOCK, True, P.scored_pairs, "scope string, qid long, pid long, score double", durable)
 
 
 def of_pairs(docs: DataFrame, pairs: DataFrame, all_else: bool = True) -> DataFrame:
@@ -277,10 +277,11 @@ class TfIdf(Index):
         """scope, qid, pid, score, rank (from 1) of those of the pairs that share a term, among all questions that share a term with the document."""
         swapped = ("scope", F.col("pid").alias("qid"), F.col("qid").alias("pid"), "score")
         asked = durable(self._questions(queries))
-        scored = durable(block_scores(*self._at, asked, pairs).select(*swapped))
         own, weigh = self._at
-        docs = P.weighed(of_pairs(own, pairs, all_else=False), weigh).withColumnRenamed("pid", "qid")
-        ranked_ = block_ranks(P.spread(asked.withColumnRenamed("qid", "pid")), P.as_rows, docs, scored)
+        # Written once, by all tasks: the rows are sent from one part after the other.
+        docs = durable(P.weighed(of_pairs(own, pairs, all_else=False), weigh))
+        scored = block_scores(docs, P.as_rows, asked, pairs, whole=True).select(*swapped)
+        ranked_ = block_ranks(P.spread(asked.withColumnRenamed("qid", "pid")), P.as_rows, docs.withColumnRenamed("pid", "qid"), scored, P.counted_in_tiles)
         return ranked_.select(*swapped, (F.col("ahead") + 1).cast("int").alias("rank"))
 
     def best_and_worst(self, queries: DataFrame, k: int, bottom: int) -> DataFrame:

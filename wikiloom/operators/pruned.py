@@ -6,6 +6,9 @@ document that has only terms whose sum stays below a score is never looked at (M
 and the least score of its stated pairs in ahead(), which counts the documents before each pair instead of listing them.
 
 Bounds hold for weights above zero; a question with another weight is scored against all documents that share a term with it.
+
+Bounds cut little where a question is as long as a passage and its pair's score is low. counted_in_tiles() counts for many such questions at once: their
+scores against all documents of the chunk, frequent terms as a product of matrices and the others by their posting lists.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ CHUNK, TERMS = 1 << 15, 1 << 22
 #: Scores are rounded to six digits, so bounds are compared with this much to spare.
 SPARE = 2e-6
 
+#: Scores of a tile of questions and documents; a term in this part of the documents is a row of a matrix there.
+TILE, DENSE = 1 << 20, 24
+
 
 class Chunk:
     """Posting lists of documents of one scope: doc (place of each document in the list), h (term), w (weight)."""
@@ -384,3 +390,51 @@ def counted_ahead(block: Block, scope: str, chunk: Chunk):
             ahead[a:b], before[a:b] = chunk.ahead(ts, x, score[a:b], pid[a:b])
     some = np.flatnonzero((ahead > 0) | (before > 0))
     return np.repeat(qid, np.diff(at))[some], pid[some], ahead[some], before[some]
+
+
+def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
+    """work: what counted_ahead() gives, for many questions at once."""
+    qid, first, h, w, score, pid, at = block.scopes[scope]
+    t = chunk.known(h)
+    n, of, own = len(qid), np.repeat(np.arange(len(qid)), np.diff(first)), np.repeat(np.arange(len(qid)), np.diff(at))
+    ahead, before = np.zeros(len(pid), np.int64), np.zeros(len(pid), np.int64)
+    odd = np.zeros(n, bool)
+    odd[own[score <= SPARE]] = True
+    odd[of[(w <= 0) | (chunk.least * w <= SPARE)]] = True
+    frequent = np.flatnonzero(chunk.df * DENSE >= chunk.n)
+    row = np.full(len(chunk.terms) + 1, -1)
+    row[frequent] = np.arange(len(frequent))
+    whole = np.zeros((len(frequent), chunk.n))
+    for i, x in enumerate(frequent):
+        whole[i, chunk.doc[chunk.first[x] : chunk.first[x + 1]]] = chunk.w[chunk.first[x] : chunk.first[x + 1]]
+    step = max(1, TILE // chunk.n)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        q, ts, x = of[first[a] : first[b]] - a, t[first[a] : first[b]], w[first[a] : first[b]]
+        r = row[ts]  # of an unknown term: -1, the last row
+        dense, few = r >= 0, (r < 0) & (ts >= 0)
+        left = np.zeros((b - a, len(frequent)))
+        left[q[dense], r[dense]] = x[dense]
+        s = left @ whole
+        q, ts, x = q[few], ts[few], x[few]
+        # Parts of about a tile, so that a few long lists do not take more.
+        df = chunk.df[ts]
+        ends = np.cumsum(df)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(TILE, ends[-1] if len(ends) else 0, TILE)), [0, len(ts)]))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            size = df[i:j]
+            posting = np.repeat(chunk.first[ts[i:j]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            s += np.bincount(np.repeat(q[i:j] * chunk.n, size) + chunk.doc[posting], weights=np.repeat(x[i:j], size) * chunk.w[posting], minlength=s.size).reshape(s.shape)
+        for i in range(at[a], at[b]):
+            if not odd[own[i]]:
+                mine = s[own[i] - a]
+                docs = np.flatnonzero(mine >= score[i] - SPARE)
+                if len(docs):
+                    near, p = np.round(mine[docs], 6), chunk.pids[docs]
+                    ahead[i] = np.count_nonzero((near > score[i]) & (p != pid[i]) | ((near == score[i]) & (p < pid[i])))
+    for i in np.flatnonzero(odd):
+        ts, x = t[first[i] : first[i + 1]], w[first[i] : first[i + 1]]
+        if (ts >= 0).any():
+            ahead[at[i] : at[i + 1]], before[at[i] : at[i + 1]] = chunk.ahead(ts[ts >= 0], x[ts >= 0], score[at[i] : at[i + 1]], pid[at[i] : at[i + 1]])
+    some = np.flatnonzero((ahead > 0) | (before > 0))
+    return qid[own[some]], pid[some], ahead[some], before[some]
