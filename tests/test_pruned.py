@@ -107,3 +107,55 @@ def test_rank_matrix_queries_counts_for_many_passages_at_once(spark, small, monk
     monkeypatch.setattr(P, "counted_ahead", None)
     monkeypatch.setattr(L, "durable", lambda df, f=L.durable: sent.append(df.columns) or f(df))
     assert entry.queries()["rank_matrix_queries"](spark, small).count() and ["scope", "pid", "h", "w"] in sent
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_bounded_lists_equal_all_pairs(seed, monkeypatch):
+    """Of two chunks, whatever is taken together; with weights that bounds do not hold for."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(P, "TILE", int(rng.choice([50, 1 << 20])))
+    monkeypatch.setattr(P, "HEAVY", int(rng.choice([0, 60, 2048])))
+    monkeypatch.setattr(P, "LIKELY", int(rng.choice([1, 8, 64])))
+    (a, pids, w), (b, more, v) = chunk(seed), chunk(seed + 50, low=-0.2 if seed % 6 == 5 else 0.1)
+    pids, w, b.pids = np.concatenate([pids, more + 1]), np.concatenate([w, v]), b.pids + 1
+    rows, want = [], []
+    for qid in range(40):
+        terms = rng.choice(32, rng.integers(1, 9), replace=False)  # two terms no document has
+        x = rng.uniform(0.1, 1, len(terms)).round(2) * (1 if qid % 5 else rng.choice([-1, 0, 1], len(terms)))
+        rows.append(("a", qid, terms * 7 - 60, x))
+        all_ = np.append(w, np.zeros((len(w), 2)), axis=1)[:, terms]
+        want.append(sorted((-s, p) for s, p, m in zip(np.round(all_ @ x, 6), pids, (all_ != 0).any(axis=1)) if m))
+    for k in (1, 3):
+        block = P.Block(rows, False)
+        found = [np.concatenate(y) for y in zip(*(P.promising(k)(block, "a", c) for c in (a, b)))]
+        theta = [np.sort(found[1][found[0] == i])[::-1] for i in range(40)]
+        block.theta = {"a": np.array([max(t[k - 1], 0.0) if len(t) >= k else 0.0 for t in theta])}
+        got = [[] for _ in rows]
+        for c in (a, b):
+            for i, p, s in zip(*P.listed(k)(block, "a", c)):
+                got[i].append((-float(s), int(p)))
+        for g, e in zip(got, want):
+            assert [p for _, p in sorted(g)[:k]] == [p for _, p in e[:k]] and np.allclose([s for s, _ in sorted(g)[:k]], [s for s, _ in e[:k]], atol=1e-9)
+
+
+def test_heatmap_html_takes_questions_together(spark, small, monkeypatch):
+    """Its questions are bounded over all parts first: none takes its own way through the passages, and no text is cut again."""
+    monkeypatch.setattr(P.Chunk, "best", None)
+    n = []
+    terms = L.X.terms
+    monkeypatch.setattr(L.X, "terms", lambda *a: n.append(a) or terms(*a))
+    monkeypatch.setattr(L.counted, "__defaults__", (terms,))
+    assert entry.queries()["heatmap_html"](spark, small).count()
+    assert len(n) == 2  # passages, and questions where they are encoded
+
+
+def test_explained_tokens_are_in_order(spark):
+    from wikiloom.operators import dense as D
+
+    words = spark.createDataFrame([("a", 1, ["cat", "owl", "cat", "fox"]), ("a", 2, ["elk"])], "scope string, pid long, emb array<string>")
+    asked = spark.createDataFrame([("a", 7, ["cat", "fox"])], "scope string, qid long, emb array<string>")
+    pairs = spark.createDataFrame([("a", 7, 1), ("a", 7, 2)], "scope string, qid long, pid long")
+    for k in (1, 2, 9):
+        got = sorted((r.pid, r.qtok, r["rank"], r.tok, r.sim) for r in D.token_explain(pairs, words, asked, k).collect())
+        assert [g[:4] for g in got if g[0] == 1 and g[2] <= 2] == [x for x in [(1, 0, 1, 0), (1, 0, 2, 2), (1, 1, 1, 3)] + [g[:4] for g in got if g[:3] == (1, 1, 2)] if x[2] <= k]
+        assert [g[2] for g in got if g[:2] == (1, 0)] == list(range(1, min(k, 4) + 1)) and sum(g[0] == 2 for g in got) == 2

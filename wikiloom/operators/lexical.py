@@ -87,7 +87,7 @@ def block_topk(docs: DataFrame, weigh: Callable, queries: DataFrame, k: int, wor
 
     worst: the last k of all documents instead, those without a shared term included; rank 1 is the last one.
     """
-    out = P.run_blocks(docs, weigh, queries, BLOCK, False, P.listed(k, worst), "scope string, qid long, pid long, score double", durable)
+    out = P.run_blocks(docs, weigh, queries, BLOCK, False, P.listed(k, worst), "scope string, qid long, pid long, score double", durable, short=k if k <= P.SHORT and not worst else 0)
     if not worst:
         return top(out, k)
     last = Window.partitionBy("scope", "qid").orderBy("score", F.desc("pid"))

@@ -3,7 +3,9 @@
 The questions are sent as sparse rows, in blocks, to the documents' own tasks, whose documents stand in the order of scope and pid.
 A task holds up to CHUNK documents of a scope as posting lists. A question's terms are taken by the most that each can add to a score here; a
 document that has only terms whose sum stays below a score is never looked at (MaxScore). That score is the question's k-th best so far in best(),
-and the least score of its stated pairs in ahead(), which counts the documents before each pair instead of listing them.
+and the least score of its stated pairs in ahead(), which counts the documents before each pair instead of listing them. For short lists, promising()
+first looks up a few documents of each chunk, so that reached() knows a bound of the k-th best of all chunks: of most questions it then sees some postings only, and
+takes them together.
 
 Bounds hold for weights above zero; a question with another weight is scored against all documents that share a term with it.
 
@@ -14,10 +16,11 @@ scores against all documents of the chunk, frequent terms as a product of matric
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: Documents of a chunk; terms of a block of questions.
 CHUNK, TERMS = 1 << 15, 1 << 22
@@ -28,6 +31,9 @@ SPARE = 2e-6
 #: Scores of a tile of questions and documents; a term in this part of the documents is a row of a matrix there.
 TILE, DENSE = 1 << 20, 24
 
+#: Postings of a question that promising() reads in a chunk; of one that reached() does not take with others; the longest lists that are bounded so.
+LIKELY, HEAVY, SHORT = 64, 2048, 4
+
 
 class Chunk:
     """Posting lists of documents of one scope: doc (place of each document in the list), h (term), w (weight)."""
@@ -86,6 +92,38 @@ class Chunk:
         i = np.minimum(np.searchsorted(own, docs), b - a - 1)
         return np.where(own[i] == docs, self.w[a:b][i], 0.0)
 
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term in a matrix of weights [frequent term, document]; -1 of others, and at -1."""
+        some = np.flatnonzero(self.df * DENSE >= self.n)
+        row = np.full(len(self.terms) + 1, -1)
+        row[some] = np.arange(len(some))
+        whole = np.zeros((len(some), self.n))
+        for i, t in enumerate(some):
+            whole[i, self.doc[self.first[t] : self.first[t + 1]]] = self.w[self.first[t] : self.first[t + 1]]
+        return row, whole
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """A number of the term and document of each posting, in their order."""
+        return np.repeat(np.arange(len(self.terms)), self.df) * self.n + self.doc
+
+    def weights(self, ts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The weight of each term in its document."""
+        row, whole = self.frequent
+        r, out = row[ts], np.zeros(len(ts))
+        dense = r >= 0
+        out[dense] = whole[r[dense], docs[dense]]
+        few = np.flatnonzero(~dense)
+        key = ts[few] * self.n + docs[few]
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[few] = np.where(self.keys[i] == key, self.w[i], 0.0)
+        return out
+
+    def postings(self, ts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first `size` postings of each term."""
+        return np.repeat(self.first[ts] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
     def sharing(self, ts: np.ndarray, begin: int = 0) -> np.ndarray:
         """Whether each document from `begin` on has one of the terms."""
         met = np.zeros(self.n - begin, bool)
@@ -226,6 +264,9 @@ class Chunk:
 class Block:
     """Questions by scope, as flat arrays: qid, first, h, w; their stated pairs, if any: score, pid, at (first pair of each question)."""
 
+    #: By scope, a bound from below of each question's k-th best score, 0 without one.
+    theta: dict[str, np.ndarray] = {}
+
     def __init__(self, rows: list[tuple], pairs: bool):
         by: dict[str, list[tuple]] = {}
         for r in rows:
@@ -237,6 +278,26 @@ class Block:
             own = (np.array([r[1] for r in rs], np.int64), ends(2), flat(2, np.int64), flat(3, np.float64))
             self.scopes[scope] = (*own, flat(4, np.float64), flat(5, np.int64), ends(4)) if pairs else own
 
+    def bounded(self, found: pa.Table) -> None:
+        """Takes the bounds found (scope, qid, score) of some questions."""
+        names, qids, scores = np.array(found.column(0).to_pylist(), object), found.column(1).to_numpy(), found.column(2).to_numpy()
+        self.theta = {}
+        for scope, (qid, *_) in self.scopes.items():
+            mine, order = names == scope, np.argsort(qid, kind="stable")
+            self.theta[scope] = np.zeros(len(qid))
+            self.theta[scope][order[np.searchsorted(qid, qids[mine], sorter=order)]] = scores[mine]
+
+    def entries(self, scope: str, chunk: Chunk) -> tuple[np.ndarray, ...]:
+        """question (its number), term and weight of all terms known to the chunk, by question and the most that a term can add; that; first term of each question."""
+        qid, first, h, w = self.scopes[scope][:4]
+        t = chunk.known(h)
+        ok = t >= 0
+        q, t, w = np.repeat(np.arange(len(qid)), np.diff(first))[ok], t[ok], w[ok]
+        most = w * chunk.most[t]
+        order = np.lexsort((-most, q))
+        q, t, w, most = q[order], t[order], w[order], most[order]
+        return q, t, w, most, np.searchsorted(q, np.arange(len(qid) + 1))
+
     def questions(self, scope: str, chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """number, terms known to the chunk and weights of each question."""
         qid, first, h, w = self.scopes[scope][:4]
@@ -322,21 +383,31 @@ def weighed(docs: DataFrame, weigh: Callable) -> DataFrame:
     return docs.mapInArrow(run, "scope string, pid long, h array<bigint>, w array<double>")
 
 
-def run_blocks(docs: DataFrame, weigh: Callable, questions: DataFrame, most: int, pairs: bool, work: Callable, schema: str, done: Callable) -> DataFrame:
-    """The rows that work(block, scope, chunk) gives for each block of questions and chunk of docs; done: keeps a block's rows."""
+def run_blocks(docs: DataFrame, weigh: Callable, questions: DataFrame, most: int, pairs: bool, work: Callable, schema: str, done: Callable, short: int = 0) -> DataFrame:
+    """The rows that work(block, scope, chunk) gives for each block of questions and chunk of docs; done: keeps a block's rows; short: bounds of the best so
+    many of each question are sent with a block."""
     sc, out = docs.sparkSession.sparkContext, None
-    names = [x.split()[0] for x in schema.split(", ")]
-    for block in blocks(questions, most, pairs):
+
+    def rows(block: Block, work: Callable, schema: str, done: Callable):
+        names = [x.split()[0] for x in schema.split(", ")]
         shared = sc.broadcast(block)
 
-        def run(batches, shared=shared):
+        def run(batches):
             for scope, chunk in scoped(batches, weigh, shared.value.scopes):
                 columns = work(shared.value, scope, chunk)
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays([pa.array([scope]).take(pa.array(np.zeros(len(columns[0]), np.int32))), *map(pa.array, columns)], names=names)
 
-        part = done(docs.mapInArrow(run, schema))
+        out = done(docs.mapInArrow(run, schema))
         shared.destroy()
+        return out
+
+    for block in blocks(questions, most, pairs):
+        if short:
+            # A list has `short` scores a chunk; one row a question of the block is sent to the driver.
+            best = F.get(F.sort_array(F.collect_list("score"), False), F.lit(short - 1))
+            block.bounded(rows(block, promising(short), "scope string, qid long, score double", lambda df: df.groupBy("scope", "qid").agg(best.alias("score")).where("score > 0").toArrow()))
+        part = rows(block, work, schema, done)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -347,8 +418,14 @@ def listed(k: int, worst: bool = False) -> Callable:
     def work(block: Block, scope: str, chunk: Chunk):
         qid = block.scopes[scope][0]
         q, d, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        taken = np.zeros(len(qid), bool)
+        if scope in block.theta and not worst and len(chunk.terms):
+            taken, own, docs, score = reached(block, scope, chunk, k)
+            q.append(qid[own])
+            d.append(docs)
+            s.append(score)
         for i, ts, x in block.questions(scope, chunk):
-            if worst or len(ts):
+            if not taken[i] and (worst or len(ts)):
                 docs, score = chunk.last(ts, x, k) if worst else chunk.best(ts, x, k)
                 q.append(np.full(len(docs), qid[i]))
                 d.append(docs)
@@ -358,6 +435,89 @@ def listed(k: int, worst: bool = False) -> Callable:
     return work
 
 
+def _summed(q: np.ndarray, d: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each question and document (of n) once, with the sum of s."""
+    key = q * n + d
+    order = np.argsort(key, kind="stable")
+    key, s = key[order], s[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[at] // n, key[at] % n, np.add.reduceat(s, at) if len(at) else s
+
+
+def _first(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best documents of each question, the smaller one on ties."""
+    order = np.lexsort((d, -s, q))
+    q = q[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def promising(k: int) -> Callable:
+    """work: qid, score of k documents of the chunk, at most, that have the terms of a question that can add most."""
+
+    def work(block: Block, scope: str, chunk: Chunk):
+        qid = block.scopes[scope][0]
+        q, ts, x, _, first = block.entries(scope, chunk)
+        if not len(q):
+            return np.zeros(0, np.int64), np.zeros(0)
+        df = chunk.df[ts]
+        seen = np.cumsum(df) - df
+        size = np.clip(LIKELY - (seen - seen[first[q]]), 0, df)
+        posting = chunk.postings(ts, size)
+        own, docs, s = _summed(np.repeat(q, size), chunk.doc[posting], np.repeat(x, size) * chunk.w[posting], chunk.n)
+        best = _first(own, docs, s, k)
+        own, docs = own[best], docs[best]
+        n = first[own + 1] - first[own]
+        pair, term = np.repeat(np.arange(len(own)), n), np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(pair, weights=x[term] * chunk.weights(ts[term], docs[pair]), minlength=len(own))
+        return qid[own], np.round(score, 6)
+
+    return work
+
+
+def reached(block: Block, scope: str, chunk: Chunk, k: int) -> tuple[np.ndarray, ...]:
+    """Whether each question is answered here; question, document, score of the k best, at most, of those that reach its bound. Left are questions without
+    a bound and those with a weight not above zero."""
+    theta = block.theta[scope]
+    q, ts, x, most, first = block.entries(scope, chunk)
+    df, end = chunk.df[ts], first[1:]
+    taken = theta > 0
+    taken[q[x <= 0]] = False
+    if chunk.least <= 0:
+        taken[:] = False
+    total = np.append(0.0, np.cumsum(most))
+    bound = total[end[q]] - total[:-1]  # what a term and all after it can add
+    needed = (bound >= theta[q] - SPARE) & taken[q]
+    n = np.bincount(q[needed], weights=df[needed], minlength=len(theta))
+    next_ = first[:-1] + np.bincount(q[needed], minlength=len(theta))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in np.flatnonzero(n > HEAVY):
+        docs, s = chunk.reaching(ts[first[i] : end[i]], x[first[i] : end[i]], theta[i])
+        found.append((np.full(len(docs), i), docs, s))
+    light = np.flatnonzero(needed & (n[q] <= HEAVY))
+    sizes = np.cumsum(df[light])
+    # Parts end with a question, so that its documents are together.
+    cuts = np.searchsorted(sizes, np.arange(TILE, sizes[-1] if len(sizes) else 0, TILE))
+    cuts = np.unique(np.append(np.searchsorted(q[light], q[light[cuts]]), [0, len(light)]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        some = light[a:b]
+        posting = chunk.postings(ts[some], df[some])
+        own, docs, s = _summed(np.repeat(q[some], df[some]), chunk.doc[posting], np.repeat(x[some], df[some]) * chunk.w[posting], chunk.n)
+        at = next_[own]
+        while len(own):
+            done = at == end[own]
+            found.append((own[done], docs[done], np.round(s[done], 6)))
+            own, docs, s, at = own[~done], docs[~done], s[~done], at[~done]
+            keep = s + bound[at] >= theta[own] - SPARE
+            own, docs, s, at = own[keep], docs[keep], s[keep], at[keep]
+            s = s + x[at] * chunk.weights(ts[at], docs)
+            at = at + 1
+    own, docs, s = (np.concatenate([f[i] for f in found]) for i in range(3))
+    keep = s >= theta[own] - SPARE
+    own, docs, s = own[keep], docs[keep], s[keep]
+    best = _first(own, docs, s, k)
+    return taken, own[best], docs[best], s[best]
+
+
 def scored_pairs(block: Block, scope: str, chunk: Chunk):
     """work: qid, pid, score of the stated pairs whose document is in the chunk and shares a term; the block's scores play no part."""
     qid, first, h, w, _, pid, at = block.scopes[scope]
@@ -401,19 +561,14 @@ def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
     odd = np.zeros(n, bool)
     odd[own[score <= SPARE]] = True
     odd[of[(w <= 0) | (chunk.least * w <= SPARE)]] = True
-    frequent = np.flatnonzero(chunk.df * DENSE >= chunk.n)
-    row = np.full(len(chunk.terms) + 1, -1)
-    row[frequent] = np.arange(len(frequent))
-    whole = np.zeros((len(frequent), chunk.n))
-    for i, x in enumerate(frequent):
-        whole[i, chunk.doc[chunk.first[x] : chunk.first[x + 1]]] = chunk.w[chunk.first[x] : chunk.first[x + 1]]
+    row, whole = chunk.frequent
     step = max(1, TILE // chunk.n)
     for a in range(0, n, step):
         b = min(n, a + step)
         q, ts, x = of[first[a] : first[b]] - a, t[first[a] : first[b]], w[first[a] : first[b]]
         r = row[ts]  # of an unknown term: -1, the last row
         dense, few = r >= 0, (r < 0) & (ts >= 0)
-        left = np.zeros((b - a, len(frequent)))
+        left = np.zeros((b - a, len(whole)))
         left[q[dense], r[dense]] = x[dense]
         s = left @ whole
         q, ts, x = q[few], ts[few], x[few]
@@ -423,7 +578,7 @@ def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
         cuts = np.unique(np.append(np.searchsorted(ends, np.arange(TILE, ends[-1] if len(ends) else 0, TILE)), [0, len(ts)]))
         for i, j in zip(cuts[:-1], cuts[1:]):
             size = df[i:j]
-            posting = np.repeat(chunk.first[ts[i:j]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            posting = chunk.postings(ts[i:j], size)
             s += np.bincount(np.repeat(q[i:j] * chunk.n, size) + chunk.doc[posting], weights=np.repeat(x[i:j], size) * chunk.w[posting], minlength=s.size).reshape(s.shape)
         for i in range(at[a], at[b]):
             if not odd[own[i]]:
