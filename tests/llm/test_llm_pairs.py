@@ -237,3 +237,60 @@ def test_chunks_are_cut_for_pairs_that_reach_the_threshold_only(spark):
 def test_order_in_rows_decides_hashes_with_equal_upper_bits():
     doc, h = np.array([1, 1, 1, 0]), np.array([9, 8, 9, 7], np.uint64)
     assert [x.tolist() for x in distinct(doc, h)] == [[0, 1, 1], [7, 8, 9]]
+
+
+def test_copies_are_left_out_without_a_shuffle_of_texts(spark, monkeypatch):
+    """Every row five times: postings of one copy a side, pairs of all members, and no join of the texts but with the pairs that are read."""
+    rows = [(i, x, "train" if i % 3 else "val") for i, x in corpus(120, 11)]
+    many = [(i + 1000 * c, x, s) for c in range(5) for i, x, s in rows]
+    side = {i: s for i, _, s in many}
+    want = {(a, b) for a, b in brute([(i, x) for i, x, _ in many], 3, 0.6, 12) if side[a] != side[b]}
+    made = []
+    monkeypatch.setattr(O, "postings", lambda df, *a, f=O.postings: made.append((df, f(df, *a))) or made[-1][1])
+    df = spark.createDataFrame(many, "pid long, passage string, split string")
+    assert {tuple(r)[:2] for r in O.found(df, "pid", "passage", "split", k=3, threshold=0.6, least=12, cut=1, part=0.6).collect()} == want
+    for docs, post in made:
+        classes = docs.selectExpr("regexp_replace(trim(text), '[^\\\\pL\\\\pN]+', ' ') as text").distinct().count()
+        assert post.select("id").distinct().count() <= 1.2 * classes
+        assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString() + post._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_full_filter_changes_no_pair(spark, monkeypatch):
+    """With 16 bits for all rows nearly every copy passes, and is found once all the same."""
+    from wikiloom.llm import profile as PR
+
+    monkeypatch.setattr(PR, "MOST_BITS", 4)
+    rows = [(i + 1000 * c, x, "train" if i % 3 else "val") for c in range(3) for i, x in corpus(100, 12)]
+    side = {i: s for i, _, s in rows}
+    want = {(a, b) for a, b in brute([(i, x) for i, x, _ in rows], 3, 0.6, 12) if side[a] != side[b]}
+    got = [tuple(r)[:2] for r in O.found(spark.createDataFrame(rows, "pid long, passage string, split string"), "pid", "passage", "split", k=3, threshold=0.6, least=12, cut=1, part=0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shared_halves_of_frequent_chunks_are_no_candidates(spark):
+    """Records over few words have long lists; nearly all pairs of them that meet and are not similar stop at the parity bits."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(words, k=70)), "train" if i % 2 else "val") for i in range(600)]
+    df = spark.createDataFrame(rows, "pid long, passage string, split string")
+    docs = O.sided(df, "pid", "passage", "split")
+    prof = S.profile(docs, lambda t: distinct(*O.chunks(t, O.CUT)[:2])[1], 12)
+    near = O.meet(*(O.postings(docs.where(f"side = '{x}'"), prof, 3, 0.6, 12, O.CUT, O.PART, False) for x in ("eval", "train")), 0.6)
+    assert near.count() < 20
+
+
+def test_shuffle_files_go_once_a_frame_is_written(spark):
+    import glob
+    import time
+
+    from wikiloom.durable import durable
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{folder}/**/shuffle_*", recursive=True))
+    before = files()
+    rows = durable(spark.range(50_000, numPartitions=4).repartition(7))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and rows.count() == 50_000

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side below this many bytes (rows times the width its caller states) is broadcast.
 BROADCAST_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _folders: dict[str, str] = {}
 
@@ -46,8 +47,14 @@ def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, and safe when executors are lost."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    # Terms stay encoded by their dictionary, which takes more than the usual megabyte for a part of a corpus.
-    df.write.option("compression", codec).option("parquet.dictionary.page.size", str(4 << 20)).parquet(at)
+    # Shuffle files are deleted once the frame is written, not when the driver happens to collect its garbage.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # Terms stay encoded by their dictionary, which takes more than the usual megabyte for a part of a corpus.
+        df.write.option("compression", codec).option("parquet.dictionary.page.size", str(4 << 20)).parquet(at)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -9,7 +9,8 @@ of at least `threshold`, with the summed lengths of the chunks that the two shar
 
 * Two such records share chunks that make up at least the fraction `part` of either: only the rarest chunks, up to
   1 - part of a record's tokens, need to meet. The lengths of the chunks that meet are summed by pair; a posting also carries the
-  bounds of setjoin.py (sizes and parity bits), so that nearly only true pairs leave the join.
+  bounds of setjoin.py (sizes and parity bits) and 64 more parity bits, so that nearly only true pairs leave the join, whose whole
+  texts are read, however long the lists. Postings of one side meet those of the other.
 * The pairs' whole texts are cut again: the lengths of all chunks that they share are summed into the overlap fractions, and the exact
   similarity is checked. A pair is lost only if edits hit so many chunks that less than `part` of it is left whole; the README has
   the measured recall.
@@ -18,7 +19,8 @@ of at least `threshold`, with the summed lengths of the chunks that the two shar
 
 fractions(): the sum of the lengths of the chunks that the other side has anywhere, as a fraction of each record.
 
-Copies within one side are one record here and are put back at the end.
+Copies within one side are one record here and are put back at the end. They are left out by a filter of bits where texts are cut; a copy that
+passes it is found with its pairs once more.
 
 Defined results: null and blank texts, records under the least size and records without a side have no overlaps. Repeated
 rows count once; an id of both sides takes part on both, but not with itself.
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.durable import durable, release, small
 from wikiloom.llm import setjoin as S
-from wikiloom.llm.profile import SLOTS, Profile, copies, profile
-from wikiloom.llm.tokens import Tokens, distinct, mix, parity, runs, slices
+from wikiloom.llm.profile import SLOTS, Kept, Profile, copies, kept, profile
+from wikiloom.llm.tokens import Tokens, distinct, mix, parity_of, runs, slices
 
 CUT, WINDOW, PART = 2, 3, 0.25
 
@@ -53,17 +55,20 @@ def chunks(t: Tokens, cut: int, window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return t.doc[starts], runs(t.hash, np.maximum(starts - (window - 1), begin[starts]), ends), ends - starts
 
 
-def postings(df: DataFrame, prof: Profile, k: int, threshold: float, least: int, cut: int, part: float, tokens: bool) -> DataFrame:
-    """Postings as in setjoin.py, the position holding the length of the chunk."""
+def postings(df: DataFrame, prof: Profile, k: int, threshold: float, least: int, cut: int, part: float, tokens: bool, only: Kept | None = None) -> DataFrame:
+    """Postings as in setjoin.py, the position holding the length of the chunk, with more parity bits; only: of the rows that pass it."""
     bare = prof.bare()
 
     def run(batches):
         for b in slices(batches):
             t = Tokens(b.column(2))
+            if only is not None:
+                some = only.passed(b.column(0).to_numpy(), b.column(1), t)
+                b, t = b.take(pa.array(some)), t.take(some)
             doc, h = distinct(*t.shingles(k))
             size = np.bincount(doc, minlength=t.n)
             ok = (size >= least) if tokens else (t.count >= least)
-            bits = parity(doc, h, t.n)
+            *bits, more = parity_of(doc, h, t.n)
             row, key, length = (doc, h, np.ones(len(h), np.int64)) if tokens else chunks(t, cut)
             freq = bare.codes(key)
             order = np.lexsort((key, freq, row))
@@ -76,21 +81,21 @@ def postings(df: DataFrame, prof: Profile, k: int, threshold: float, least: int,
             row, key, length, freq = row[keep], key[keep], length[keep], freq[keep]
             new = (np.diff(row, prepend=-1) != 0) | np.diff(key, prepend=np.uint64(0)).astype(bool)
             row, key, length, freq = row[new], key[new], length[new], freq[new]
-            yield from S.emit(b, row, key, np.zeros(len(key), np.int64), length, size, bits, S.parts_of(bare, freq))
+            yield from S.emit(b, row, key, np.zeros(len(key), np.int64), length, size, bits, S.parts_of(bare, freq), more)
 
-    return df.mapInArrow(run, S.POSTING_SCHEMA)
+    return df.mapInArrow(run, f"{S.POSTING_SCHEMA}, c long")
 
 
-def meet(post: DataFrame, threshold: float) -> DataFrame:
-    """a, b, shared of records of different sides: the summed lengths of the chunks that meet."""
+def meet(one: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+    """a, b, shared (a < b) of records of either side: the summed lengths of the chunks that meet."""
     nx, ny = (f"((%s.m >> 23) & {S.SCALE})" % t for t in "xy")
     least = S.need(threshold, nx, ny)
-    on = f"""x.key = y.key and x.id < y.id and ((x.m ^ y.m) & 1) != 0
+    on = f"""x.key = y.key and x.id != y.id
         and (({nx} < {S.SCALE} and {ny} < {S.SCALE}
               and {nx} >= {threshold!r}D * {ny} - 1e-9D and {ny} >= {threshold!r}D * {nx} - 1e-9D
-              and bit_count(x.b ^ y.b) + bit_count((x.m ^ y.m) >> 43) <= {nx} + {ny} - 2 * {least})
+              and bit_count(x.b ^ y.b) + bit_count(x.c ^ y.c) + bit_count((x.m ^ y.m) >> 43) <= {nx} + {ny} - 2 * {least})
              or greatest({nx}, {ny}) = {S.SCALE} and least({nx}, {ny}) >= {threshold!r}D * {S.SCALE} - 1)"""
-    pairs = post.alias("x").join(post.alias("y"), F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr(f"least((x.m >> 3) & {S.SCALE}, (y.m >> 3) & {S.SCALE}) - 1").alias("length"))
+    pairs = one.alias("x").join(other.alias("y"), F.expr(on)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.expr(f"least((x.m >> 3) & {S.SCALE}, (y.m >> 3) & {S.SCALE}) - 1").alias("length"))
     return pairs.groupBy("a", "b").agg(F.sum("length").alias("shared"))
 
 
@@ -141,24 +146,31 @@ def found(df: DataFrame, key: str, text: str, split: str, k: int = 5, threshold:
         return distinct(row, h)[1]
 
     prof = profile(docs, keys, least, slots)
-    same = copies(prof.rows)
+    same, first = copies(prof.rows), kept(prof.rows)
     release(prof.rows)
-    reps = S.representatives(docs, same)
-    near = durable(meet(postings(reps, prof, k, threshold, least, cut, part, tokens), threshold))
-    pairs = durable(weigh(reps, near.select("a", "b"), S.shingle_sets(k), cut_, threshold))
+    sides = (postings(docs.where(F.col("side") == x), prof, k, threshold, least, cut, part, tokens, first) for x in ("eval", "train"))
+    near = durable(meet(*sides, threshold))
+    pairs = durable(weigh(docs, near.select("a", "b"), S.shingle_sets(k), cut_, threshold))
     release(near)
-    wide = spread(pairs, same)
-    of = durable(docs.select("id", "side").distinct().join(small(durable(wide.select(F.explode(F.array("a", "b")).alias("id")).distinct()), 16), "id", "left_semi"))
-    x, y = of.select(F.col("id").alias("a"), F.col("side").alias("sa")), of.select(F.col("id").alias("b"), F.col("side").alias("sb"))
-    return wide.join(small(x, 32), "a").join(small(y, 32), "b").where("sa != sb").groupBy("a", "b").agg(F.max("fraction_a").alias("fraction_a"), F.max("fraction_b").alias("fraction_b"))
-
-
-def spread(pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """The pairs of class representatives as pairs of all their members (a < b), each with its class's fraction."""
-    of = same.select("rep", "id")
-    x, y = of.select(F.col("rep").alias("a"), F.col("id").alias("ia")), of.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    wide = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"), "fraction_a", "fraction_b").where("a != b")
-    return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, fraction_a, fraction_b)").alias("fraction_a"), F.expr("if(a < b, fraction_b, fraction_a)").alias("fraction_b"))
+    of = members(docs, pairs, same)
+    release(same)
+    return spread(pairs, of)
+
+
+def members(docs: DataFrame, pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """rep, id, sides (1 train, 2 evaluation, 3 both) of the members of the classes of all records of pairs."""
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    of = durable(same.select("rep", "id").join(small(ends, 16), "rep", "left_semi").unionByName(ends.select("rep", F.col("rep").alias("id"))).distinct())
+    sides = docs.select("id", F.when(F.col("side") == "train", 1).otherwise(2).alias("side")).join(small(of.select("id"), 16), "id", "left_semi").groupBy("id").agg(F.bit_or("side").alias("sides"))
+    return durable(of.join(sides, "id").select("rep", "id", "sides"))
+
+
+def spread(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs of class representatives as pairs of all their members across the sides (a < b), each with its class's fraction."""
+    x, y = (small(of.select(F.col("rep").alias(c), F.col("id").alias(f"i{c}"), F.col("sides").alias(f"s{c}")), 24) for c in "ab")
+    wide = pairs.join(x, "a").join(y, "b").where("ia != ib and (sa | sb) = 3").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "fraction_a", "fraction_b")
+    wide = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, fraction_a, fraction_b)").alias("fraction_a"), F.expr("if(a < b, fraction_b, fraction_a)").alias("fraction_b"))
+    return wide.groupBy("a", "b").agg(F.max("fraction_a").alias("fraction_a"), F.max("fraction_b").alias("fraction_b"))
 
 
 def fractions(df: DataFrame, key: str, text: str, split: str, cut: int = 8) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wikiloom.durable import durable
+from wikiloom.durable import durable, release
 from wikiloom.llm.tokens import Tokens, mix, slices
 
 SLOTS = 24
@@ -145,3 +145,53 @@ def copies(rows: DataFrame) -> DataFrame:
     many = rows.groupBy("side", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     on = F.expr("x.side <=> y.side and x.d1 = y.d1 and x.d2 = y.d2")
     return durable(rows.alias("x").join(many.alias("y"), on).select("x.id", "y.rep", "x.side", "x.d1", "x.d2"))
+
+
+#: Bits of a filter for each row, and of a filter at most, as powers of two: 16 MB.
+BITS_A_ROW, MOST_BITS = 4, 27
+
+
+def _probes(ids: np.ndarray, train: np.ndarray, d1: np.ndarray, d2: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in 2**bits bits of each row."""
+    h = mix(ids.astype(np.uint64) + mix(d1.view(np.uint64) + mix(d2.view(np.uint64) + train.astype(np.uint64))))
+    return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (h, mix(h + np.uint64(1))))
+
+
+def is_train(side) -> np.ndarray:
+    return np.fromiter((x == "train" for x in side.to_pylist()), bool, len(side))
+
+
+@dataclass
+class Kept:
+    """A filter that passes the first row of each class of copies; of the other rows it passes few, and more as its bits fill up."""
+
+    table: object
+    bits: int
+
+    def passed(self, ids: np.ndarray, side, t: Tokens) -> np.ndarray:
+        d1, d2 = t.digest()
+        one, two = (self.table.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _probes(ids, is_train(side), d1, d2, self.bits))
+        return np.flatnonzero(one & two)
+
+
+def kept(rows: DataFrame) -> Kept:
+    """The filter of rows (id, side, d1, d2): nothing is joined with texts, and no text is shuffled to leave copies out."""
+    first = durable(rows.groupBy("side", "d1", "d2").agg(F.min("id").alias("id")))
+    bits = min(MOST_BITS, max(10, first.count().bit_length() + BITS_A_ROW))
+    size = min(CHUNK, 1 << (bits - 3))
+
+    def place(batches):
+        for b in batches:
+            at = np.unique(np.concatenate(_probes(b.column(0).to_numpy(), is_train(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 3) // size), pa.array((at >> 3) % size * 8 + (at & 7))], names=["chunk", "at"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        flags = np.zeros(size * 8, np.uint8)
+        flags[t.column("at").to_numpy()] = 1
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": pa.array([pa.compress(np.packbits(flags, bitorder="little").tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for row in first.select("id", "side", "d1", "d2").mapInArrow(place, "chunk long, at long").groupBy("chunk").applyInArrow(merge, "chunk long, bits binary").collect():
+        table[row.chunk * size : (row.chunk + 1) * size] = unpack(bytes(row.bits), np.uint8, size)
+    release(first)
+    return Kept(rows.sparkSession.sparkContext.broadcast(table), bits)

@@ -102,8 +102,8 @@ def parts_of(prof: Profile, codes: np.ndarray) -> np.ndarray:
     return np.where(excess > max(2 * PIECE, prof.load / 4), np.ceil(excess / PIECE), 1).astype(np.int64)
 
 
-def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray, bits, parts: np.ndarray):
-    """Batches of postings; m holds 20 parity bits, then 20 bits of size, 20 of position plus 1, 2 of kind, 1 of side (train).
+def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndarray, size: np.ndarray, bits, parts: np.ndarray, more: np.ndarray | None = None):
+    """Batches of postings; m holds 20 parity bits, then 20 bits of size, 20 of position plus 1, 2 of kind, 1 of side (train). more: a column c by row.
 
     parts: into how many parts the list of each posting is cut; a posting goes to the keys of its own part with every part.
     """
@@ -117,7 +117,8 @@ def emit(batch, row: np.ndarray, key: np.ndarray, kind: np.ndarray, pos: np.ndar
         other, mine = (n - (ends[i] - parts[i])).astype(np.uint64), own[row[i]] % p
         k = np.where(p > 1, mix(k + mix(np.minimum(mine, other) * p + np.maximum(mine, other) + np.uint64(1))), k)
         m = (bits[1][r] << 43) | (np.minimum(size[r], SCALE) << 23) | (np.minimum(pos[i] + 1, SCALE) << 3) | (kind[i].astype(np.int64) << 1) | train[r].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0).take(pa.array(r)), pa.array(bits[0][r]), pa.array(m)], names=POSTING)
+        columns = [pa.array(k.view(np.int64)), batch.column(0).take(pa.array(r)), pa.array(bits[0][r]), pa.array(m)]
+        yield pa.RecordBatch.from_arrays(columns if more is None else [*columns, pa.array(more[r])], names=POSTING if more is None else [*POSTING, "c"])
 
 
 def postings(df: DataFrame, prof: Profile, k: int, threshold: float, min_tokens: int, limit: int) -> DataFrame:

@@ -74,6 +74,16 @@ class Tokens:
         self.doc = np.repeat(np.arange(n), self.count)
         self.hash = runs(mix(cp.astype(np.uint64) + _K3), starts, ends)
 
+    def take(self, rows: np.ndarray) -> Tokens:
+        """The tokens of some rows, in their order."""
+        some = np.zeros(self.n, bool)
+        some[rows] = True
+        t = object.__new__(Tokens)
+        t.n, t.count, t.hash = len(rows), self.count[rows], self.hash[some[self.doc]]
+        t.first = np.concatenate([[0], np.cumsum(t.count)])
+        t.doc = np.repeat(np.arange(t.n), t.count)
+        return t
+
     def digest(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit digests of each row's token sequence."""
         a, b = self.first[:-1], self.first[1:]
@@ -131,6 +141,16 @@ def parity(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return packed[:, :8].copy().view(np.int64)[:, 0], (rest[:, 0] << 12) | (rest[:, 1] << 4) | (rest[:, 2] >> 4)
 
 
+def parity_of(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PARITY + 64 parity bits of each row's set, as integers of 64, 20 and 64, for which holds what does for parity()."""
+    bits = PARITY + 64
+    at = doc * bits + ((h >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1)
+    one, more = (packed[:, i : i + 8].copy().view(np.int64)[:, 0] for i in (0, 8))
+    rest = packed[:, 16:].astype(np.int64)
+    return one, (rest[:, 0] << 12) | (rest[:, 1] << 4) | (rest[:, 2] >> 4), more
+
+
 def slices(batches, rows: int = ROWS, size: int | None = None):
     """The batches in slices of limited rows, and of limited bytes if size is given (a larger row is a slice of its own)."""
     for b in batches:
