@@ -104,3 +104,30 @@ def test_stream_indexes_rows_that_load_late(spark, tmp_path):
         row.selectExpr("pid", "passage", "wid", "wiki", "split", "timestamp(loaded_at) as loaded_at").write.mode("append").parquet(folder)
         I.grow(I.stream_passages(spark, folder), path, marks).awaitTermination()
     assert sorted(r.pid for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_losses_count_every_passage_and_every_relevant_pair(spark, tmp_path):
+    """Sixteen passages, more than ten of them near: two relevant ones of a question, one that shares no term, a question without a known term."""
+    from wikiloom.plans import retrieval as R
+
+    texts = ["amulet harvest"] * 7 + ["amulet flute lantern"] * 6 + ["lantern lantern harvest"] * 2 + ["flute flute"]
+    pids = [(7 * i) % 16 for i in range(16)]
+    spark.createDataFrame([(p, x, "w") for p, x in zip(pids, texts)], "pid long, passage string, wiki string").write.parquet(str(tmp_path / "passages.parquet"))
+    asked = {1: "amulet lantern", 2: "unheard", 3: "harvest", 4: "amulet"}
+    spark.createDataFrame([(q, x, "w", "test") for q, x in asked.items()], "qid long, query string, wiki string, split string").write.parquet(str(tmp_path / "queries.parquet"))
+    pairs = {(1, pids[8]), (1, pids[0]), (2, pids[3]), (3, pids[15])}
+    spark.createDataFrame([(q, q, p, "w", "test") for q, p in [*pairs, (4, 99)]], "qid_pos long, qid_neg long, pid long, wiki string, split string").write.parquet(str(tmp_path / "triples.parquet"))
+    got = {(r.qid, r.pid): r for r in R.ce_loss(spark, str(tmp_path)).collect()}
+    df = {t: sum(t in x for x in texts) for t in ("amulet", "harvest", "flute", "lantern")}
+
+    def vector(x):
+        v = np.array([x.split().count(t) * (math.log(17 / (1 + n)) + 1) for t, n in df.items()])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    assert set(got) == pairs
+    for (q, p), r in got.items():
+        score = {i: round(float(vector(x) @ vector(asked[q])), 6) for i, x in zip(pids, texts)}
+        order = sorted(score, key=lambda i: (-score[i], i))
+        assert r.cross_entropy == pytest.approx(math.log(sum(map(math.exp, score.values()))) - score[p], abs=1e-5)
+        assert r.mse == pytest.approx(sum((s - (i == p)) ** 2 for i, s in score.items()) / 16, abs=1e-5)
+        assert r.right == (score[p] == max(score.values())) and r.reciprocal_rank == pytest.approx(1 / (1 + order.index(p)), abs=1e-6)

@@ -208,6 +208,25 @@ class Index:
         rank = F.col("ahead") + F.when(F.col("score") > 0, 0).otherwise(F.col("_place") - F.col("before"))
         return ranked_.join(at, ["scope", "pid"]).select("scope", "qid", "pid", rank.cast("long").alias("rank"))
 
+    def against_all(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """scope, qid, pid, score, place (from 0), size, exps, squares, most of the pairs whose question and document are known: among all `size` documents of
+        the scope, those without a shared term at 0, the sums of exp(score) and of score * score over these, and their greatest score."""
+        pairs = pairs.select("scope", "qid", "pid").distinct().join(queries.select("scope", "qid"), ["scope", "qid"], "left_semi")
+        pairs = durable(pairs.join(self.docs.select("scope", "pid"), ["scope", "pid"], "left_semi").select("scope", "qid", "pid"))
+        asked = self._stated(queries, pairs)
+        scored = durable(pairs.join(block_scores(*self._at, asked, pairs), ["scope", "qid", "pid"], "left").na.fill(0.0, ["score"]))
+        # A question has a few stated pairs, a bounded list.
+        stated = scored.groupBy("scope", "qid").agg(F.collect_list(F.struct("score", "pid")).alias("t")).select("scope", "qid", F.col("t.score").alias("score"), F.col("t.pid").alias("pid"))
+        schema = "scope string, qid long, pid long, ahead long, exps double, squares double, most double"
+        parts = P.run_blocks(*self._at, asked.join(stated, ["scope", "qid"]), BLOCK, True, P.summed_in_tiles, schema, durable)
+        sums = parts.groupBy("scope", "qid", "pid").agg(*(F.sum(c).alias(c) for c in ("ahead", "exps", "squares")), F.max("most").alias("most"))
+        size = self.docs.groupBy("scope").agg(F.count("*").alias("size"))
+        # Questions without a known term have no sums: all documents are at 0, in the order of pid.
+        at = in_order(self.docs.select("scope", "pid"), "scope", "pid", "_place")
+        out = scored.join(sums, ["scope", "qid", "pid"], "left").join(at, ["scope", "pid"]).join(size, "scope")
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        return out.select("scope", "qid", "pid", "score", F.coalesce("ahead", "_place").alias("place"), "size", (F.col("size") + zero("exps")).alias("exps"), zero("squares").alias("squares"), zero("most").alias("most"))
+
     def _stated(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs' questions, as rows()."""
         return durable(self._questions(queries.join(pairs.select("scope", "qid").distinct(), ["scope", "qid"], "left_semi")))

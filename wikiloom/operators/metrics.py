@@ -91,6 +91,17 @@ def cross_entropy(scores: DataFrame) -> DataFrame:
     return best.select("scope", "qid", "cross_entropy", "mse", "right", F.round(1 / (1 + F.expr("size(filter(_all, x -> x > _good))")), 6).alias("reciprocal_rank"))
 
 
+def losses_against_all(sums: DataFrame) -> DataFrame:
+    """scope, qid, pid and the losses of cross_entropy() of each pair against all documents of its scope; sums: lexical.Index.against_all()."""
+    return sums.select(
+        "scope", "qid", "pid",
+        F.round(F.log("exps") - F.col("score"), 6).alias("cross_entropy"),
+        F.round((F.col("squares") - 2 * F.col("score") + 1) / F.col("size"), 6).alias("mse"),
+        (F.col("score") >= F.col("most")).cast("int").alias("right"),
+        F.round(1 / (1 + F.col("place")), 6).alias("reciprocal_rank"),
+    )
+
+
 def validation(losses: DataFrame) -> DataFrame:
     """Per scope, over all batches: mean cross-entropy and squared error, accuracy and mean reciprocal rank; losses: cross_entropy()."""
     means = {"cross_entropy": "cross_entropy", "mse": "mse", "accuracy": "right", "mrr": "reciprocal_rank"}

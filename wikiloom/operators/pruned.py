@@ -552,15 +552,11 @@ def counted_ahead(block: Block, scope: str, chunk: Chunk):
     return np.repeat(qid, np.diff(at))[some], pid[some], ahead[some], before[some]
 
 
-def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
-    """work: what counted_ahead() gives, for many questions at once."""
-    qid, first, h, w, score, pid, at = block.scopes[scope]
+def in_tiles(block: Block, scope: str, chunk: Chunk) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First question and the one after the last, and their scores [question, document] with all documents of the chunk, not rounded; about TILE at a time."""
+    qid, first, h, w = block.scopes[scope][:4]
     t = chunk.known(h)
-    n, of, own = len(qid), np.repeat(np.arange(len(qid)), np.diff(first)), np.repeat(np.arange(len(qid)), np.diff(at))
-    ahead, before = np.zeros(len(pid), np.int64), np.zeros(len(pid), np.int64)
-    odd = np.zeros(n, bool)
-    odd[own[score <= SPARE]] = True
-    odd[of[(w <= 0) | (chunk.least * w <= SPARE)]] = True
+    n, of = len(qid), np.repeat(np.arange(len(qid)), np.diff(first))
     row, whole = chunk.frequent
     step = max(1, TILE // chunk.n)
     for a in range(0, n, step):
@@ -580,6 +576,19 @@ def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
             size = df[i:j]
             posting = chunk.postings(ts[i:j], size)
             s += np.bincount(np.repeat(q[i:j] * chunk.n, size) + chunk.doc[posting], weights=np.repeat(x[i:j], size) * chunk.w[posting], minlength=s.size).reshape(s.shape)
+        yield a, b, s
+
+
+def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
+    """work: what counted_ahead() gives, for many questions at once."""
+    qid, first, h, w, score, pid, at = block.scopes[scope]
+    t = chunk.known(h)
+    n, of, own = len(qid), np.repeat(np.arange(len(qid)), np.diff(first)), np.repeat(np.arange(len(qid)), np.diff(at))
+    ahead, before = np.zeros(len(pid), np.int64), np.zeros(len(pid), np.int64)
+    odd = np.zeros(n, bool)
+    odd[own[score <= SPARE]] = True
+    odd[of[(w <= 0) | (chunk.least * w <= SPARE)]] = True
+    for a, b, s in in_tiles(block, scope, chunk):
         for i in range(at[a], at[b]):
             if not odd[own[i]]:
                 mine = s[own[i] - a]
@@ -593,3 +602,20 @@ def counted_in_tiles(block: Block, scope: str, chunk: Chunk):
             ahead[at[i] : at[i + 1]], before[at[i] : at[i + 1]] = chunk.ahead(ts[ts >= 0], x[ts >= 0], score[at[i] : at[i + 1]], pid[at[i] : at[i + 1]])
     some = np.flatnonzero((ahead > 0) | (before > 0))
     return qid[own[some]], pid[some], ahead[some], before[some]
+
+
+def summed_in_tiles(block: Block, scope: str, chunk: Chunk):
+    """work: qid, pid of all stated pairs; over all documents of the chunk, those without a shared term at 0: how many come before the pair's by score, then
+    pid, the sums of exp(score) - 1 and of the squares of the question's scores, and the greatest score."""
+    qid, _, _, _, score, pid, at = block.scopes[scope]
+    own = np.repeat(np.arange(len(qid)), np.diff(at))
+    ahead, sums = np.zeros(len(pid), np.int64), np.zeros((3, len(qid)))
+    for a, b, s in in_tiles(block, scope, chunk):
+        s = np.round(s, 6)
+        for i in range(at[a], at[b]):
+            mine, place = s[own[i] - a], np.searchsorted(chunk.pids, pid[i])
+            ahead[i] = np.count_nonzero(mine > score[i]) + np.count_nonzero(mine[:place] == score[i])
+            if place < chunk.n and chunk.pids[place] == pid[i] and mine[place] > score[i]:
+                ahead[i] -= 1  # the pair's own document, whose sum was rounded otherwise
+        sums[:, a:b] = np.expm1(s).sum(axis=1), np.einsum("ij,ij->i", s, s), s.max(axis=1)
+    return qid[own], pid, ahead, *sums[:, own]

@@ -169,7 +169,13 @@ def best_worst_report(spark, sf_dir):
 
 
 def ce_loss(spark, sf_dir):
-    """Cross-entropy, squared error and accuracy of each relevant pair against the ten best passages of its question."""
+    """Cross-entropy, squared error, accuracy and reciprocal rank of each relevant pair against all passages of its wiki, those without a shared term at 0."""
+    index = L.TfIdf(stored(spark, sf_dir), placed=True)
+    return M.losses_against_all(index.against_all(asked(spark, sf_dir), relevant(spark, sf_dir)))
+
+
+def _ten_best_loss(spark, sf_dir):
+    """The losses of the first relevant passage of each question against the ten best passages."""
     index, q = L.TfIdf(stored(spark, sf_dir), placed=True), asked(spark, sf_dir)
     good = durable(relevant(spark, sf_dir).groupBy("scope", "qid").agg(F.min("pid").alias("pid")))
     q = durable(q.join(good, ["scope", "qid"], "left_semi"))
@@ -180,8 +186,8 @@ def ce_loss(spark, sf_dir):
 
 
 def validation(spark, sf_dir):
-    """Loss, accuracy and mean reciprocal rank over all questions of a wiki."""
-    return M.validation(ce_loss(spark, sf_dir))
+    """Loss, accuracy and mean reciprocal rank over all questions of a wiki, against their ten best passages."""
+    return M.validation(_ten_best_loss(spark, sf_dir))
 
 
 QUERIES = {
@@ -305,6 +311,10 @@ pq AS (SELECT DISTINCT scope, qid, CAST(split_part(scope, '/', 2) AS BIGINT) AS
     "quadrants": _TFIDF + _DIFF + " SELECT rank_a < 10 AS a_good, rank_b < 10 AS b_good, count(*) AS n FROM d GROUP BY ALL",
     "best_worst_report": _TFIDF + _DIFF + """ SELECT * FROM (SELECT scope, qid, pid, rank_a - rank_b AS diff, 'a' AS side FROM d ORDER BY diff, scope, qid, pid LIMIT 20)
 UNION ALL SELECT * FROM (SELECT scope, qid, pid, rank_a - rank_b AS diff, 'b' AS side FROM d ORDER BY diff DESC, scope, qid, pid LIMIT 20)""",
-    "ce_loss": _TFIDF + _LOSS + " SELECT * FROM loss",
+    "ce_loss": _TFIDF + """,
+pq AS (SELECT * FROM rel SEMI JOIN asked USING (scope, qid) SEMI JOIN corpus USING (scope, pid))""" + _PLACES + """
+SELECT ps.scope, ps.qid, ps.pid, round(ln(sum(exp(score))) - any_value(ps.mine), 6) AS cross_entropy, round(avg(pow(score - (other = ps.pid)::INT, 2)), 6) AS mse,
+  (any_value(ps.mine) >= max(score))::INT AS "right", round(1.0 / (1 + any_value(place))::DOUBLE, 6) AS reciprocal_rank
+FROM ps JOIN f ON f.scope = ps.scope AND f.qid = ps.qid JOIN pl ON pl.scope = ps.scope AND pl.qid = ps.qid AND pl.pid = ps.pid GROUP BY ps.scope, ps.qid, ps.pid""",
     "validation": _TFIDF + _LOSS + ' SELECT scope, count(*) AS n, round(avg(cross_entropy), 5) AS cross_entropy, round(avg(mse), 5) AS mse, round(avg("right"), 5) AS accuracy, round(avg(reciprocal_rank), 5) AS mrr FROM loss GROUP BY scope',
 }
